@@ -75,3 +75,14 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "lef
 def let(value: Column, body) -> Column:
     """body(value) with value worked out once: a lambda's variable is never inlined again."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where it isn't installed (a real cluster gets it by --py-files)."""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    return spark
