@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import packing, pii, quality, sharding
+from tesserae.llm import chat, packing, pii, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +34,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op4_quality, op5_packing)}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.report(given.unionByName(extra))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op4_quality, op5_packing, op10_chat)}
 SQL: dict[str, str] = {}
