@@ -1,0 +1,38 @@
+"""Connected components of an edge table, distributed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from tesserae.llm.common import drop_table, written
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component (its smallest node) of every node that has an edge to another.
+
+    Rounds of large-star and small-star: each node's larger, then smaller, neighbours are tied to the smallest one. Edges never
+    grow in number, a hub's edges are summed before they are dealt, and the rounds grow with the logarithm of the nodes. Each
+    round is written to the shared folder.
+    """
+    pair = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
+    now = written(edges.where(F.col(a) != F.col(b)).select(*pair(F.col(a), F.col(b))).distinct(), "edges")
+    before = None
+    while True:
+        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        large = written(large, "large")
+        # small star: a node and its smaller neighbours are tied to the smallest of them
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        tied = large.join(least, "v")
+        small = tied.select(F.col("m").alias("u"), F.col("u").alias("v")).where("u <> v").unionAll(least.select(F.col("m").alias("u"), "v")).distinct()
+        after = written(small, "small")
+        same = after.count() == now.count() and after.join(now, ["u", "v"], "left_anti").limit(1).count() == 0
+        drop_table(large)
+        if before is not None:
+            drop_table(before)
+        before, now = now, after
+        if same:
+            break
+    # now every node hangs on its component's smallest
+    return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionAll(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())

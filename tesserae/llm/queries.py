@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import chat, packing, pii, quality, sharding
+from tesserae.llm import chat, ngram_join, packing, pii, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), 2048)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), n=3, threshold=(9, 10))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -41,5 +45,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(given.unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op4_quality, op5_packing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op4_quality, op5_packing, op7_ngram_join, op10_chat)}
 SQL: dict[str, str] = {}
