@@ -114,6 +114,24 @@ def _terms(text: Column, base: Column) -> Column:
     return F.filter(let(words, around), outside)
 
 
+def _distinct_terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _risky_spans(text: Column, risk: Column) -> Column:
+    """array<struct<s, e, action>> of the terms in risk, but for those inside a base span."""
+
+    def spans(base: Column) -> Column:
+        def one(x: Column) -> Column:
+            found = F.filter(risk, lambda r: r["term"] == F.lower(x["m"]))
+            clear = ~F.exists(base, lambda b: (x["s"] < b["e"]) & (x["e"] > b["s"]))
+            return F.when((F.size(found) > 0) & clear, F.struct(x["s"].alias("s"), x["e"].alias("e"), F.get(found, F.lit(0))["action"].alias("action")))
+
+        return F.filter(F.transform(matches(text, TERM), one), lambda x: x.isNotNull())
+
+    return let(base_spans(text), spans)
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, disclosure: float = 0.9, full: float = 0.02, spread: float = 0.5) -> DataFrame:
     """term, action (generalise or remove): terms that disclose some entity. Counts cover all documents.
 
@@ -134,7 +152,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, di
     terms = candidates.select("term").distinct()
     if at_most(terms, 0):
         return candidates.select("term", F.lit("remove").alias("action"))
-    every = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text_of(), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    every = docs.select(F.explode(_distinct_terms(text_of())).alias("term"))
     df_t = every.join(F.broadcast(terms) if at_most(terms) else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     pmi = F.log(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     ic = F.log(F.lit(n) / F.col("n_c"))
@@ -150,10 +168,13 @@ def find_pii(docs: DataFrame, **how) -> DataFrame:
     kind = "array<struct<s:int,e:int,action:string>>"
     if at_most(risky, 0):
         return found.select("doc_id", "_h", F.col("_base").alias("base"), F.array().cast(kind).alias("terms"))
-    base = docs.select("doc_id", text_of().alias("_text")).groupBy("doc_id", F.xxhash64("_text").alias("_h")).agg(F.first("_text").alias("_text"))
-    words = base.select("doc_id", "_h", F.explode(_terms(F.col("_text"), base_spans(F.col("_text")))).alias("t")).select("doc_id", "_h", F.col("t.term").alias("term"), "t.s", "t.e")
-    hits = words.join(F.broadcast(risky) if at_most(risky) else risky, "term")
-    by_doc = hits.groupBy("doc_id", "_h").agg(F.sort_array(F.collect_list(F.struct("s", "e", "action"))).alias("terms")).select(id_key().alias("_id"), "_h", "terms")
+    # which documents hold which of the terms, then where
+    keyed = docs.select(id_key().alias("_id"), text_of().alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    held = keyed.select("_id", "_h", F.explode(_distinct_terms(F.col("_text"))).alias("term")).join(F.broadcast(risky) if at_most(risky) else risky, "term")
+    by_key = held.groupBy("_id", "_h").agg(F.collect_set(F.struct("term", "action")).alias("_risk"))
+    hits = join_hot(keyed, written(by_key, "held"), ["_id", "_h"], "inner", salt_by=["_id", "_h"])
+    spans = hits.select("_id", "_h", _risky_spans(F.col("_text"), F.col("_risk")).alias("terms"))
+    by_doc = spans.groupBy("_id", "_h").agg(F.first("terms").alias("terms"))
     return join_hot(found.withColumn("_id", id_key()), by_doc, ["_id", "_h"], salt_by=["_id", "_h"]).select("doc_id", "_h", F.col("_base").alias("base"), F.coalesce("terms", F.array().cast(kind)).alias("terms"))
 
 
