@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import chat, ngram_join, packing, pii, quality, sharding
+from tesserae.llm import chat, decontam, ngram_join, packing, pii, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"), n=3, threshold=(9, 10))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -45,5 +49,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(given.unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op4_quality, op5_packing, op7_ngram_join, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op4_quality, op5_packing, op7_ngram_join, op8_decontamination, op10_chat)}
 SQL: dict[str, str] = {}
