@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import chat, decontam, ngram_join, packing, pii, quality, sharding
+from tesserae.llm import chat, decontam, ngram_join, packing, pii, quality, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(table(spark, sf_dir, "documents"), 24)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,5 +53,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(given.unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op4_quality, op5_packing, op7_ngram_join, op8_decontamination, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_secrets, op4_quality, op5_packing, op7_ngram_join, op8_decontamination, op10_chat)}
 SQL: dict[str, str] = {}
