@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import chat, decontam, ngram_join, packing, pii, quality, secrets, sharding
+from tesserae.llm import chat, decontam, ngram_join, packing, pii, quality, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), 2048)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"), n=3, threshold=(9, 10))
 
@@ -53,5 +57,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(given.unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_secrets, op4_quality, op5_packing, op7_ngram_join, op8_decontamination, op10_chat)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_secrets, op4_quality, op5_packing, op6_warc, op7_ngram_join, op8_decontamination, op10_chat)}
+SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, url, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to, url
+        FROM f
+    """,
+}
