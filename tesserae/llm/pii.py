@@ -148,7 +148,11 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, di
     seen = pairs.groupBy("c", F.col("t.term").alias("term"), "_id", "_h").agg(F.first("copies").alias("copies"), F.first("n_c").alias("n_c"), F.min("t.ctx").alias("ctx"))
     by_ctx = seen.groupBy("c", "term", "ctx").agg(F.sum("copies").alias("m"), F.first("n_c").alias("n_c"))
     support = by_ctx.groupBy("c", "term").agg(F.sum("m").alias("n_ct"), F.count("*").alias("n_ctx"), F.first("n_c").alias("n_c"))
-    candidates = written(support.where((F.col("n_ctx") >= min_support) & (F.col("n_ctx") >= spread * F.col("n_ct"))), "candidates")
+    # a term's documents among those with personal data bound its documents from below, and so its PMI from above
+    among = held.select(F.explode(_distinct_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
+    at_best = F.log(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col("n_held"))) >= disclosure * F.log(F.lit(n) / F.col("n_c"))
+    likely = support.where((F.col("n_ctx") >= min_support) & (F.col("n_ctx") >= spread * F.col("n_ct")) & (F.col("n_c") < n))
+    candidates = written(likely.join(among, "term").where(at_best).drop("n_held"), "candidates")
     terms = candidates.select("term").distinct()
     if at_most(terms, 0):
         return candidates.select("term", F.lit("remove").alias("action"))
