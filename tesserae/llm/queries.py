@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import chat, decontam, ngram_join, packing, pii, quality, secrets, sharding, warc
+from tesserae.llm import chat, decontam, langid, ngram_join, packing, pii, quality, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13)
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -57,7 +61,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(given.unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_secrets, op4_quality, op5_packing, op6_warc, op7_ngram_join, op8_decontamination, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_secrets, op4_quality, op5_packing, op6_warc, op7_ngram_join, op8_decontamination, op9_langid, op10_chat)}
 SQL: dict[str, str] = {
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS body FROM pages),
