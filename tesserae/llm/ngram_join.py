@@ -36,7 +36,7 @@ NO_ID = 1 << 62
 #: Set sizes are banded by this ratio; parts are counted for the largest set of a band.
 BAND = 1.4
 #: Words whose hashes a worker keeps, at some 150 bytes each.
-WORDS_KEPT = 700_000
+WORDS_KEPT = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _words: dict[bytes, int] = {}
 
@@ -370,3 +370,20 @@ def _labelled(sig: DataFrame, stand_in, label: DataFrame) -> DataFrame:
     out = join_hot(slim, labels, ["h0", "h1"], salt_by=["doc_id"])
     known = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("_label") < NO_ID, F.col("_label"))
     return out.select("doc_id", "n_shingles", known.alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), **how) -> DataFrame:
+    """docs with one row of each group of linked documents, that of the smallest doc_id; texts without words all stay.
+
+    A null doc_id counts as a large one made from the text. Repeated rows come down to one.
+    """
+    made = F.lit(NO_ID // 2) + F.xxhash64(text_of()).bitwiseAND(F.lit(NO_ID // 2 - 1))
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
+    linked = written(link_components(keyed.select(F.col("_id").alias("doc_id"), "text"), n, threshold, **how), "linked").where("n_shingles > 0")
+    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = keyed.join(F.broadcast(gone) if at_most(gone) else gone, "_id", "left_anti")
+    again = written(linked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")), "repeated")
+    if not at_most(again, 0):
+        many = kept.join(again, "_id", "left_semi")
+        kept = kept.join(again, "_id", "left_anti").unionByName(many.dropDuplicates(["_id"]))
+    return kept.select(*docs.columns)

@@ -27,14 +27,15 @@ from tesserae.llm.common import ready, text_of, written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END = struct.pack("<I", 0)
 #: Words whose ids a worker keeps. A word takes some 200 bytes.
-WORDS_KEPT = 700_000
+WORDS_KEPT = 400_000
 
 
 class Tokens:
     """Ids of texts by a public tokenizer file, as little-endian bytes.
 
     The tokenizer never joins what white space parts, so ids are kept by word. Latin-1 texts are put in lower case first, as the
-    tokenizer would; others are left to it. Special tokens' strings in a text are ordinary text.
+    tokenizer would; others are left to it. A word of lower-case Latin-1 letters is one unit to it and goes straight to its model.
+    Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -42,20 +43,34 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        # the model sees bytes as characters: printable Latin-1 ones as themselves, the others from U+0100 on
+        other = [x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or 174 <= x)]
+        self.as_seen = {x: 256 + k for k, x in enumerate(other)}
         self.ids: dict[str, bytes] = {"": b""}
 
+    def _word(self, w: str) -> bytes:
+        ids = self.ids.get(w)
+        if ids is None:
+            if w.isalpha() and w == w.lower() and w.isascii():
+                found = [t.id for t in self.model.tokenize(w)]
+            elif w.isalpha() and w == w.lower() and max(w) <= "\xff":
+                found = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.as_seen))]
+            else:
+                found = self.tokenizer.encode(w, add_special_tokens=False).ids
+            ids = self.ids[w] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
     def _learn(self, words: list[str]) -> None:
         if len(self.ids) > WORDS_KEPT:
             self.ids = {"": b""}
-        new = [w for w in dict.fromkeys(words) if w not in self.ids]
-        # a full stop or comma after an ASCII letter is a token of its own
-        core = {w: w[:-1] if w[-1] in ".," and w[-2:-1].isascii() and w[-2:-1].isalpha() else w for w in new}
-        ask = [w for w in dict.fromkeys([*core.values(), ".", ","]) if w not in self.ids]
-        for w, e in zip(ask, self.tokenizer.encode_batch(ask, add_special_tokens=False), strict=True):
-            self.ids[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for w, c in core.items():
-            if w != c:
-                self.ids[w] = self.ids[c] + self.ids[w[-1]]
+        for w in set(words):
+            if w not in self.ids:
+                # a full stop or comma after an ASCII letter is a unit of its own
+                if w[-1] in ".," and w[-2:-1].isascii() and w[-2:-1].isalpha():
+                    self.ids[w] = self._word(w[:-1]) + self._word(w[-1])
+                else:
+                    self._word(w)
 
     def __call__(self, text: str) -> bytes:
         try:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tesserae.llm.common import at_most, id_key, join_hot, let, text_of, written
+from tesserae.llm.common import BROADCAST_ROWS, at_most, id_key, join_hot, let, text_of, written
 
 #: The kinds and their patterns. Possessive, and anchored to where a run of characters starts (or the last match
 #: ended): that changes no match and keeps a long run without "@" or "." from being tried from each of its characters.
@@ -205,7 +205,9 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
         F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["action"] == "remove", "").otherwise(PLACEHOLDER["term"]).alias("by"))),
     )
     found = find_pii(docs, **how).select(id_key().alias("_id"), "_h", F.sort_array(spans).alias("_spans")).where(F.size("_spans") > 0).groupBy("_id", "_h").agg(F.first("_spans").alias("_spans"))
-    joined = docs.withColumn("_id", id_key()).withColumn("_h", F.xxhash64(text_of())).join(found, ["_id", "_h"], "left")
+    found = written(found, "spans")
+    small = (found.agg(F.sum(F.size("_spans") + 1)).first()[0] or 0) <= 2 * BROADCAST_ROWS
+    joined = docs.withColumn("_id", id_key()).withColumn("_h", F.xxhash64(text_of())).join(F.broadcast(found) if small else found, ["_id", "_h"], "left")
 
     def rewritten(sp: Column) -> Column:
         reach = lambda i: F.when(i == 0, 0).otherwise(F.array_max(F.transform(F.slice(sp, F.lit(1), F.greatest(i, F.lit(1))), lambda x: x["e"])))
