@@ -1,0 +1 @@
+"""Incremental and stateful processing."""
