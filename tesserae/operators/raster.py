@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -78,24 +77,41 @@ def sobel(a: np.ndarray) -> np.ndarray:
     return np.sqrt((gx * gx + gy * gy) / 2)
 
 
-def components4(mask: np.ndarray) -> np.ndarray:
-    """Labels from 1 of 4-connected parts, in reading order."""
-    out, n = np.zeros(mask.shape, np.int64), 0
-    for y, x in zip(*np.nonzero(mask), strict=True):
-        if out[y, x]:
-            continue
-        n += 1
-        out[y, x] = n
-        todo = deque([(y, x)])
-        while todo:
-            i, j = todo.popleft()
-            for a, b in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)):
-                if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not out[a, b]:
-                    out[a, b] = n
-                    todo.append((a, b))
+def parts(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
+    """Labels from 1 of connected parts, in reading order: runs of neighbouring rows that touch are joined."""
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (ys, starts), ends = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+    root = list(range(len(ys)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    reach, first = int(diagonal), np.searchsorted(ys, np.arange(mask.shape[0] + 1)).tolist()
+    s, e = starts.tolist(), ends.tolist()
+    for y in range(1, mask.shape[0]):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if s[i] < e[j] + reach and s[j] < e[i] + reach:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+            if e[i] < e[j]:
+                i += 1
+            else:
+                j += 1
+    number: dict[int, int] = {}
+    out = np.zeros(mask.shape, np.int64)
+    for k, (y, x0, x1) in enumerate(zip(ys.tolist(), s, e, strict=True)):
+        out[y, x0:x1] = number.setdefault(find(k), len(number) + 1)
     return out
 
 
+def components4(mask: np.ndarray) -> np.ndarray:
+    return parts(mask)
+
+
 def fill_holes(mask: np.ndarray) -> np.ndarray:
     outside = components4(np.pad(~mask, 1, constant_values=True))
     return (outside != outside[0, 0])[1:-1, 1:-1] | mask
@@ -177,10 +193,10 @@ def threshold_segment(image: np.ndarray, threshold: float, dark: bool = False, s
 
 def outline(mask: np.ndarray) -> np.ndarray:
     """Corners (x, y) around the largest 8-connected part's outer border, traced clockwise."""
-    parts = components4(dilate(mask, 0))
-    if not parts.any():
+    labels = parts(mask, True)
+    if not labels.any():
         return np.empty((0, 2), int)
-    part = np.pad(parts == np.bincount(parts.ravel())[1:].argmax() + 1, 1)
+    part = np.pad(labels == np.bincount(labels.ravel())[1:].argmax() + 1, 1)
     ring = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
     y, x = map(int, np.argwhere(part)[0])
     start, way, out = (y, x), 6, []

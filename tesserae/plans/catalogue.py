@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tesserae.plans import measuring, spatial  # noqa: F401  they fill the register
+from tesserae.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
