@@ -17,6 +17,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there).isDirectory()
+
+
 def upsert_stream(source: DataFrame, folder: str, checkpoint: str, keys: list[str], value: str, threshold: float) -> StreamingQuery:
     """Start an additive upsert of measurement partials: each micro-batch is aggregated and written to its own folder, by number, so a
     batch that runs again after a failure overwrites itself and is never counted twice."""
