@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tesserae.llm.common import fresh_dir, id_key, join_hot, ready, text_of, written
+from tesserae.llm.common import at_most, fresh_dir, id_key, join_hot, ready, text_of, written
 
 
 @dataclass(frozen=True)
@@ -111,10 +111,18 @@ def update(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = (*BASE, *E
     known = ledger.rows().where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("_done"))
     every = F.array(*[F.lit(r.key) for r in rules])
     want = F.when(F.col("_done").isNull(), every).otherwise(F.array_except(every, "_done"))
-    new = seen.join(known, "blob", "left").select("blob", "_id", want.alias("rules")).where(F.size("rules") > 0)
-    # the text of a blob's first path; repeated rows of that path are one
+    new = written(seen.join(known, "blob", "left").select("blob", "_id", want.alias("rules")).where(F.size("rules") > 0), "unseen")
     here = docs.select(id_key(path).alias("_id"), blob(text_of()).alias("blob"), text_of().alias("text"))
-    ledger.append(scan(here.join(new, ["_id", "blob"]), rules).dropDuplicates(["blob", "rule"]))
+    rest = written(paths.select("_id", "blob").join(new, ["_id", "blob"], "left_anti").distinct(), "seen")
+    if at_most(rest) and at_most(new.where(F.size("rules") < len(rules)), 0):
+        # few paths are copies or known: leave these out where the texts lie, so that no text is dealt
+        todo = here.join(F.broadcast(rest), ["_id", "blob"], "left_anti").withColumn("rules", every)
+    else:
+        todo = here.join(new, ["_id", "blob"])
+    found = scan(todo, rules)
+    # a path's repeated rows give a blob's findings again
+    repeated = paths.groupBy("_id", "blob").agg(F.count("*").alias("n")).where("n > 1")
+    ledger.append(found if at_most(repeated, 0) else found.dropDuplicates(["blob", "rule"]))
     return paths.select("path", "blob")
 
 
