@@ -8,8 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows up to which a side of a join is broadcast, after they have been counted.
+#: Rows up to which a side of a join is broadcast, after they have been counted; they are narrow, so this is 20 MB or so.
 BROADCAST_ROWS = 100_000
+_OWN: dict[str, str] = {}
 
 
 def local_session(cores: int = 8, memory: str = "8g", name: str = "tesserae") -> SparkSession:
@@ -34,9 +35,7 @@ def work_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="tesserae-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tesserae-"))
 
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
