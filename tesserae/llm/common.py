@@ -2,55 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from tesserae.session import BROADCAST_ROWS, at_most, fresh_dir, ready, work_dir, written
+
+__all__ = ["BROADCAST_ROWS", "again", "at_most", "drop_table", "fresh_dir", "id_key", "join_hot", "let", "ready", "text_of", "whole", "work_dir", "written"]
 
 #: Words of the quality and n-gram contracts: everything but ASCII white space.
 WHITE = r"[\x20\x09-\x0D]+"
-#: Rows up to which a small side is broadcast. Rows are narrow (under 200 bytes), so this is 20 MB at most.
-BROADCAST_ROWS = 100_000
 #: Stands for a null doc_id where a key must compare equal to itself.
 NO_ID = -(2**63)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only in local mode without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="tesserae-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def fresh_dir(spark: SparkSession, tag: str) -> str:
-    return f"{work_dir(spark)}/tesserae-{uuid.uuid4().hex}/{tag}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and any executor may be lost later."""
-    path = fresh_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_table(df: DataFrame) -> None:
-    """Remove the files of a table that written() made; a missing file is no error."""
+    """Remove the files of a table that written() made, and let Spark remove the shuffle files of queries that are done, which it does
+    when the driver collects its garbage."""
     spark = df.sparkSession
+    spark._jvm.System.gc()
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has no more rows than this; reads rows + 1 at most."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
@@ -72,17 +45,17 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "lef
     return left.withColumn("_salt", salt).join(many, [*keys, "_salt"], how).drop("_salt")
 
 
+def whole(docs: DataFrame, *others: Column) -> DataFrame:
+    """docs' rows as one column `row`, whatever its columns are called, beside others."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *others)
+
+
+def again(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of whole() once more, in order, with some changed."""
+    return df.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value worked out once: a lambda's variable is never inlined again."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
-
-def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where it isn't installed (a real cluster gets it by --py-files)."""
-    import os
-
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    return spark

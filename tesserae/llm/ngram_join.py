@@ -1,9 +1,9 @@
 """Jaccard join of documents by word n-grams: T-occurrence search with DivideSkip, exact for the threshold.
 
 1. A document's set of shingles is a sorted array of 64-bit hashes. Equal sets are one class; its smallest doc_id stands for it.
-2. Which classes can meet: for sets of about one size, similar ones differ in at most k shingles, so of k + 1 parts of the
-   shingles (by hash) one is the same in both. Classes that share a part's content are chained, and the chains' components are
-   the blocks within which links may exist. This step loses nothing and holds one row a document and part.
+2. Which classes can meet: similar sets of about one size differ in at most k shingles, so of more than k parts of the shingles
+   (by hash) one is the same in both. Classes that share a part's content are chained, and the chains' components are the blocks
+   within which links may exist. This step loses nothing and holds k + 1 rows a document.
 3. In each block, inverted lists of shingles answer T-occurrence searches: the lists of a document are divided into the longest
    ones and the rest; the short ones are merged on a heap, what occurs in them often enough is looked up in the long ones by
    binary search, and documents that reach the needed overlap are its partners.
@@ -13,8 +13,8 @@ link between groups is lost and copies are never paired with one another. A bloc
 cut into slices; each pair of slices that isn't connected yet is searched in a task of its own, so no task holds more than two.
 
 Defined results: text that is null or has no words has an empty set and no link, its component is itself; a text of fewer words
-than n has its whole sequence as one shingle; repeated rows get a row each; null doc_ids link by their text, and a component_id is
-null only if every row that is reached has none; other columns are ignored.
+than n has its whole sequence as one shingle; repeated rows get a row each; rows with a null doc_id link like others, and a component_id
+is null only if every row that is reached has a null one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +28,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tesserae.llm.common import at_most, join_hot, ready, text_of, written
-from tesserae.llm.components import components
+from tesserae.llm.common import again, at_most, drop_table, id_key, join_hot, ready, text_of, whole, written
+from tesserae.operators.components import connected_components
 
-#: Stand-ins for null doc_ids lie above this, real ids below.
-NO_ID = 1 << 62
 #: Set sizes are banded by this ratio; parts are counted for the largest set of a band.
-BAND = 1.4
+BAND = 2.0
+#: Parts for each one that similar sets may differ in.
+SPREAD = 1.6
+#: Made ids for null doc_ids lie above this, real ids below.
+NO_ID = 1 << 61
 #: Words whose hashes a worker keeps, at some 150 bytes each.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _words: dict[bytes, int] = {}
 
@@ -75,52 +77,89 @@ def needed(a, b, threshold: tuple[int, int]):
     return -(-p * (a + b) // (p + q))
 
 
-def parts(s: np.ndarray, threshold: tuple[int, int]) -> list[int]:
+def parts(s: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
     """Signatures of which two similar sets have one in common.
 
-    A band holds sizes from BAND ** b up; a set also takes part in the band below if a similar smaller set may be there. In a band,
-    similar sets x <= y differ in |x| + |y| - 2 needed(x, y) shingles at most, fewer than there are parts.
+    A band holds sizes from BAND ** b up; a set also takes part in the bands below where a similar smaller set may be. In a band,
+    shingles are dealt to parts by hash. Similar sets x and y differ in at most |x| + |y| - 2 needed(x, y) parts, so among more parts
+    than that of x one is the same in y. A set gives the largest of its parts only, just more than it may differ in: which ones follows
+    from what they hold, so of two sets the one that stops earlier finds its common part given by the other too. A set with too
+    few parts that hold anything gives all, empty ones too.
     """
     p, q = threshold
-    b = int(math.log(len(s)) / math.log(BAND) + 1e-9)
-    out: list[int] = []
-    for band in {b, int(math.log(max(1.0, -(-p * len(s) // q))) / math.log(BAND) + 1e-9)}:
-        most = BAND ** (band + 1) + 1
-        k = int(most * (1 + q / p) * (q - p) / (p + q)) + 2
+    enough = (q - p) * (len(s) + q * len(s) // p) // (p + q) + 1
+    band_of = lambda size: int(math.log(max(1, size)) / math.log(BAND) + 1e-9)
+    out = []
+    for band in range(band_of(-(-p * len(s) // q)), band_of(len(s)) + 1):
+        k = int(SPREAD * BAND ** (band + 1) * (1 + q / p) * (q - p) / (p + q)) + 2
         # the part of a shingle: the high bits of its mixed hash, over k
-        part = ((_mix(s * _C + np.uint64(band)) >> np.uint64(33)) * np.uint64(k)) >> np.uint64(31)
+        part = (((_mix(s * _C + np.uint64(band)) >> np.uint64(33)) * np.uint64(k)) >> np.uint64(31)).astype(np.int64)
         sums = np.zeros(k, np.uint64)
-        np.add.at(sums, part.astype(np.int64), _mix(s * _B + _A))
-        at = np.arange(k, dtype=np.uint64)
-        signed = _mix((sums ^ (at * _A)) + _mix(np.full(1, band + 1, np.uint64)))
-        out += signed.view(np.int64).tolist()
-    return out
+        np.add.at(sums, part, _mix(s * _B + _A))
+        load = np.bincount(part, minlength=k)
+        signed = _mix((sums ^ (np.arange(k, dtype=np.uint64) * _A)) + _mix(np.full(1, band + 1, np.uint64)))
+        full = np.flatnonzero(load)
+        given = full[np.lexsort((signed[full], -load[full]))[:enough]] if len(full) >= enough else np.arange(k)
+        out.append(signed[given].view(np.int64))
+    return np.concatenate(out)
 
 
-def signatures(docs: DataFrame, n: int, threshold: tuple[int, int], chars: int = 4_000_000) -> DataFrame:
-    """doc_id, n_shingles, set_hash (two longs) and parts (array) of each row."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    names = ["doc_id", "n_shingles", "h0", "h1", "parts"]
+def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+DOC, HEAD, TIE = 0, 1, 2
+_SIGNED = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("e", pa.int64())])
+
+
+def signatures(docs: DataFrame, n: int, threshold: tuple[int, int], held: int = 400_000) -> DataFrame:
+    """Rows of three kinds. DOC: doc_id, hash of the text, set size, two hashes of the set, the first of which is the node that equal
+    sets share. HEAD: part, node. TIE: two nodes with a common part.
+
+    Of the nodes in a chunk (`held` parts) that have a part in common only the first goes on as HEAD, the next ones are tied to it, so
+    a part that many share comes down to a row a chunk. Rows of a node stay together, which compresses them.
+    """
+
+    def chunk(docs_: list[tuple], nodes: list[int], sizes: list[int], own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        none = [None] * len(docs_)
+        yield _rows(_SIGNED, [DOC] * len(docs_), *(zip(*docs_, strict=True) if docs_ else [none] * 5))
+        if not nodes:
+            return
+        part, node = np.concatenate(own), np.repeat(np.array(nodes, np.int64), sizes)
+        order = np.lexsort((node, part))
+        again = np.append(False, part[order][1:] == part[order][:-1])
+        ties = np.unique(np.stack([node[order][:-1][again[1:]], node[order][1:][again[1:]]]), axis=1)
+        ties = ties[:, ties[0] != ties[1]]
+        first = np.sort(order[~again])
+        for at in range(0, len(first), 500_000):
+            k = first[at : at + 500_000]
+            empty = np.zeros(len(k), np.int64)
+            yield _rows(_SIGNED, np.full(len(k), HEAD, np.int8), part[k], node[k], empty, empty, empty)
+        empty = np.zeros(ties.shape[1], np.int64)
+        yield _rows(_SIGNED, np.full(ties.shape[1], TIE, np.int8), ties[0], ties[1], empty, empty, empty)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
-            rows, size = [], 0
-            for doc_id, text in zip(given.column(0).to_pylist(), given.column(1), strict=True):
+            docs_, nodes, sizes, own, size, known = [], [], [], [], 0, set()
+            for doc_id, t, text in zip(given.column(0).to_pylist(), given.column(1).to_pylist(), given.column(2), strict=True):
                 s = shingles(text.as_py(), n)
                 h = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((doc_id, len(s), int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), parts(s, threshold) if len(s) else []))
-                size += len(s)
-                if size > chars:
-                    yield batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield batch(rows)
+                h0, h1 = int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+                docs_.append((doc_id, t, len(s), h0, h1))
+                if len(s) and h0 not in known:
+                    known.add(h0)
+                    p = parts(s, threshold)
+                    nodes.append(h0)
+                    sizes.append(len(p))
+                    own.append(p)
+                    size += len(p)
+                if size > held:
+                    yield from chunk(docs_, nodes, sizes, own)
+                    docs_, nodes, sizes, own, size, known = [], [], [], [], 0, set()
+            yield from chunk(docs_, nodes, sizes, own)
 
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h0 long, h1 long, parts array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("t"), text_of().cast("binary").alias("text")).mapInArrow(run, "kind byte, a long, b long, c long, d long, e long")
 
 
 class Lists:
@@ -226,28 +265,29 @@ def connect(sets: list[np.ndarray], threshold: tuple[int, int], known: Union | N
                 top = x
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[int], list[int], list[np.ndarray]]]:
-    """(block, slice), nodes, groups and sets of the rows that belong together; batches are sorted by block and slice."""
+def _grouped(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
+    """Nodes, groups and sets of the rows of a block and part; batches are sorted by these."""
     key, nodes, groups, sets = None, [], [], []
     for b in batches:
         cols = [b.column(i).to_pylist() for i in range(4)]
-        for block, part, node, group, s in zip(*cols, b.column(4), strict=True):
+        for block, part, node, group, text in zip(*cols, b.column(4), strict=True):
             if (block, part) != key:
                 if key is not None:
-                    yield key, nodes, groups, sets
+                    yield nodes, groups, sets
                 key, nodes, groups, sets = (block, part), [], [], []
             nodes.append(node)
             groups.append(group)
-            sets.append(np.frombuffer(s.as_py(), np.uint64))
+            sets.append(shingles(text.as_py(), n))
     if key is not None:
-        yield key, nodes, groups, sets
+        yield nodes, groups, sets
 
 
-def _connected(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """node, group of rows (block, part, node, group, set): connected within a block and part; nodes of one group start together."""
+def _connected(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """node, group of rows (block, part, node, group, text): connected within a block and part; nodes of one group start together."""
+    schema = pa.schema([("node", pa.int64()), ("group", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, nodes, groups, sets in _grouped(batches):
+        for nodes, groups, sets in _grouped(batches, n):
             known, first = Union(len(nodes)), {}
             for i, (node, group) in enumerate(zip(nodes, groups, strict=True)):
                 for k in (node, group):
@@ -257,119 +297,85 @@ def _connected(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             for i, node in enumerate(nodes):
                 r = known.root(i)
                 least[r] = min(least.get(r, node), node)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([least[known.root(i)] for i in range(len(nodes))], pa.int64())], ["node", "group"])
-
-    return rows.select("block", "part", "node", "group", "set").repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(run, "node long, group long")
+            yield _rows(schema, nodes, [least[known.root(i)] for i in range(len(nodes))])
 
+    return rows.select("block", "part", "node", "group", "text").repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(run, "node long, group long")
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """node and set (binary) of rows (doc_id, block, text), for null doc_ids by the set's hash."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for given in batches:
-            ids, sizes, sets, held = [], [], [], 0
-            for doc_id, text in zip(given.column(0).to_pylist(), given.column(1), strict=True):
-                s = shingles(text.as_py(), n)
-                if not len(s):
-                    continue
-                h = int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True)
-                ids.append(NO_ID + (h & (NO_ID - 1)) if doc_id is None else doc_id)
-                sizes.append(len(s))
-                sets.append(s.tobytes())
-                held += len(s)
-                if held > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["node", "size", "set"])
-                    ids, sizes, sets, held = [], [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["node", "size", "set"])
-
-    return docs.select("doc_id", text_of().cast("binary").alias("text")).mapInArrow(run, "node long, size long, set binary")
-
-
-def _chained(classes: DataFrame) -> DataFrame:
-    """part, node, local: what classes share a part. Of a batch's classes with one part only the first goes on, the rest hang on it
-    (local: node hangs on part, which is a node too), so a part that many classes share comes down to one row a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            column = b.column(1)
-            part = column.flatten().to_numpy(zero_copy_only=False)
-            node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()))
-            order = np.lexsort((node, part))
-            part, node = part[order], node[order]
-            again = np.append(False, part[1:] == part[:-1]) if len(part) else np.empty(0, bool)
-            local = np.unique(np.stack([node[:-1][again[1:]], node[1:][again[1:]]]), axis=1) if again.any() else np.empty((2, 0), np.int64)
-            head, tail = part[~again], node[~again]
-            for at in range(0, len(head), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(head[at : at + 500_000]), pa.array(tail[at : at + 500_000]), pa.array(np.zeros(len(head[at : at + 500_000]), bool))], ["part", "node", "local"])
-            yield pa.RecordBatch.from_arrays([pa.array(local[0]), pa.array(local[1]), pa.array(np.ones(local.shape[1], bool))], ["part", "node", "local"])
-
-    return classes.select("node", "parts").mapInArrow(run, "part long, node long, local boolean")
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if at_most(df) else df
 
 
 def link_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), block_size: int = 2_000_000, pivots: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs. threshold: a fraction; block_size: shingles that a task holds."""
-    kept = docs.select(F.col("doc_id").cast("long"), "text")
-    sig = written(signatures(kept, n, threshold), "signatures")
-    some = sig.where("n_shingles > 0")
-    stand_in = F.lit(NO_ID) + F.col("h0").bitwiseAND(F.lit(NO_ID - 1))
-    node = F.coalesce(F.min("doc_id"), F.first(stand_in)).alias("node")
-    classes = some.groupBy("h0", "h1").agg(node, F.first("parts").alias("parts"))
-    chained = written(_chained(classes), "chained")
+    signed = written(signatures(docs.select("doc_id", "text"), n, threshold), "signatures")
+    sig = written(signed.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("t"), F.col("c").alias("n_shingles"), F.col("d").alias("h0"), F.col("e").alias("h1")), "sets")
+    heads = signed.where(F.col("kind") == HEAD).select(F.col("a").alias("part"), F.col("b").alias("node"))
     before = F.lag("node").over(Window.partitionBy("part").orderBy("node"))
-    across = chained.where(~F.col("local")).select(before.alias("a"), F.col("node").alias("b")).where("a is not null")
-    edges = across.unionAll(chained.where("local").select(F.col("part").alias("a"), F.col("node").alias("b"))).distinct()
-    blocks = written(components(edges).withColumnRenamed("component", "block"), "blocks")
-
-    held = kept.where("doc_id is not null").join(F.broadcast(blocks) if at_most(blocks) else blocks, F.col("doc_id") == F.col("node"), "left_semi")
-    sets = _sets(held.unionAll(kept.where("doc_id is null")), n)
-    sets = written(sets.join(F.broadcast(blocks) if at_most(blocks) else blocks, "node"), "sets")
-    slices = sets.groupBy("block").agg(F.ceil(F.sum("size") / block_size).cast("int").alias("slices"))
-    many = written(slices.where("slices > 1"), "many")
-    cut = sets.join(F.broadcast(many) if at_most(many) else many, "block", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    across = heads.select(before.alias("a"), F.col("node").alias("b")).where("a <> b")
+    blocks = written(connected_components(across.unionAll(signed.where(F.col("kind") == TIE).select("a", "b")).distinct(), "a", "b").withColumnRenamed("component", "block"), "blocks")
+    drop_table(signed)
+
+    # of equal sets one row's text goes into the block
+    key = F.struct(id_key().alias("_id"), "t")
+    first = sig.where("n_shingles > 0").groupBy("h0", "h1").agg(F.min(key).alias("k"), F.first("n_shingles").alias("size"))
+    inside = written(first.select(F.col("k._id").alias("_id"), F.col("k.t").alias("t"), F.col("h0").alias("node"), "size").join(_small(blocks), "node"), "inside")
+    slices = inside.groupBy("block").agg(F.ceil(F.sum("size") / block_size).cast("int").alias("slices")).where("slices > 1")
+    many = written(slices, "many")
     part = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    rows = cut.select("block", part.alias("part"), "node", F.col("node").alias("group"), "set")
-    if not at_most(many, 0):
+    placed = inside.join(_small(many), "block", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("part", part)
+    placed = written(placed.select("_id", "t", "node", "block", "slices", "part", F.col("node").alias("group")), "placed")
+    texts = docs.select(id_key().alias("_id"), F.xxhash64(text_of()).alias("t"), text_of().cast("binary").alias("text"))
+    repeated = sig.groupBy(id_key().alias("_id"), "t").agg(F.count("*").alias("n")).where("n > 1")
+    once = at_most(repeated, 0)
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        out = texts.join(_small(rows), ["_id", "t"])
+        return out if once else out.dropDuplicates(["_id", "t", "block", "part"])
+
+    rows = placed.drop("slices")
+    sliced = not at_most(many, 0)
+    if sliced:
         # some of a block's sets go to all of its slices and tie these together
         rank = F.row_number().over(Window.partitionBy("block").orderBy("node"))
-        first = cut.where("slices > 1").select("block", "slices", "node", rank.alias("_k")).where(F.col("_k") <= pivots).select("block", "node")
-        spread = cut.where("slices > 1").join(first, ["block", "node"], "left_semi")
-        extra = spread.select("block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part"), "node", F.col("node").alias("group"), "set", part.alias("_own")).where("part <> _own").drop("_own")
-        rows = rows.unionAll(extra)
-    found = written(_connected(rows, threshold), "connected")
-    if not at_most(many, 0):
-        found = _joined_slices(found, cut, part, threshold)
+        spread = placed.where("slices > 1").withColumn("_k", rank).where(F.col("_k") <= pivots)
+        extra = spread.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).where("_part <> part")
+        rows = rows.unionByName(extra.select("_id", "t", "node", "block", F.col("_part").alias("part"), "group"))
+    found = written(_connected(with_text(rows), n, threshold), "connected")
+    if sliced:
+        found = _joined_slices(found, placed, with_text, n, threshold)
     label = found.groupBy("node").agg(F.min("group").alias("label"))
-    return _labelled(sig, stand_in, label)
+    return _labelled(sig, label)
 
 
-def _joined_slices(found: DataFrame, cut: DataFrame, part, threshold: tuple[int, int]) -> DataFrame:
+def _joined_slices(found: DataFrame, placed: DataFrame, with_text, n: int, threshold: tuple[int, int]) -> DataFrame:
     """Groups of blocks in several slices: those that nodes in more than one slice tie together, then those that a search of each
     pair of slices finds; pairs of slices that are in one group already are left out."""
-    tied = components(found.select(F.col("node").alias("a"), F.col("group").alias("b"))).withColumnRenamed("component", "group")
-    found = written(found.join(tied.withColumnRenamed("group", "_g"), "node", "left").select("node", F.coalesce("_g", "group").alias("group")).distinct(), "tied")
-    at = cut.where("slices > 1").select("block", "slices", part.alias("part"), "node").join(found, "node")
-    open_blocks = written(at.groupBy("block").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).where("_a <> _b").select("block"), "open")
-    if at_most(open_blocks, 0):
+    tied = connected_components(found, "node", "group").select("node", F.col("component").alias("_g"))
+    found = written(found.join(tied, "node", "left").select("node", F.coalesce("_g", "group").alias("group")).distinct(), "tied")
+    at = placed.where("slices > 1").drop("group").join(found, "node")
+    still = written(at.groupBy("block").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).where("_a <> _b").select("block"), "open")
+    if at_most(still, 0):
         return found
-    per = at.join(open_blocks, "block", "left_semi").groupBy("block", "part").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+    per = at.join(still, "block", "left_semi").groupBy("block", "part").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
     x, y = per.select("block", F.col("part").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1")), per.select("block", F.col("part").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     pairs = x.join(y, "block").where("p < q and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").select("block", "p", "q")
     sides = pairs.select("block", "p", "q", F.explode(F.array("p", "q")).alias("part"))
-    rows = cut.where("slices > 1").withColumn("part", part).join(sides, ["block", "part"]).join(found, "node").select("block", (F.col("p") * (1 << 20) + F.col("q")).alias("part"), "node", "group", "set")
-    more = written(_connected(rows, threshold), "pairs")
+    rows = at.join(sides, ["block", "part"]).select("_id", "t", "node", "block", (F.col("p").cast("long") * (1 << 20) + F.col("q")).alias("part"), "group")
+    more = written(_connected(with_text(rows), n, threshold), "pairs")
     every = found.unionAll(more)
-    tied = components(every.select(F.col("node").alias("a"), F.col("group").alias("b"))).withColumnRenamed("component", "_g")
+    tied = connected_components(every, "node", "group").select("node", F.col("component").alias("_g"))
     return found.join(tied, "node", "left").select("node", F.coalesce("_g", "group").alias("group"))
 
 
-def _labelled(sig: DataFrame, stand_in, label: DataFrame) -> DataFrame:
-    slim = sig.select("doc_id", "n_shingles", "h0", "h1")
-    nodes = slim.where("n_shingles > 0").groupBy("h0", "h1").agg(F.coalesce(F.min("doc_id"), F.first(stand_in)).alias("node"))
-    labels = nodes.join(label, "node", "left").select("h0", "h1", F.coalesce("label", "node").alias("_label"))
-    out = join_hot(slim, labels, ["h0", "h1"], salt_by=["doc_id"])
-    known = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("_label") < NO_ID, F.col("_label"))
-    return out.select("doc_id", "n_shingles", known.alias("component_id"))
+def _labelled(sig: DataFrame, label: DataFrame) -> DataFrame:
+    """The smallest doc_id of each row's group; a set outside all blocks is a group of its own."""
+    classes = sig.where("n_shingles > 0").groupBy("h0", "h1").agg(F.min("doc_id").alias("m")).withColumnRenamed("h0", "node")
+    grouped = written(classes.join(label, "node", "left").select("node", "h1", "m", F.coalesce("label", "node").alias("label")), "labelled")
+    least = grouped.groupBy("label").agg(F.min("m").alias("component_id"))
+    named = grouped.join(least, "label").select(F.col("node").alias("h0"), "h1", "component_id")
+    out = join_hot(sig, named, ["h0", "h1"], salt_by=["doc_id", "t"])
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), **how) -> DataFrame:
@@ -377,13 +383,13 @@ def deduplicate(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5)
 
     A null doc_id counts as a large one made from the text. Repeated rows come down to one.
     """
-    made = F.lit(NO_ID // 2) + F.xxhash64(text_of()).bitwiseAND(F.lit(NO_ID // 2 - 1))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
-    linked = written(link_components(keyed.select(F.col("_id").alias("doc_id"), "text"), n, threshold, **how), "linked").where("n_shingles > 0")
+    made = F.lit(NO_ID) + F.xxhash64(text_of()).bitwiseAND(F.lit(NO_ID - 1))
+    keyed = whole(docs, F.coalesce(F.col("doc_id").cast("long"), made).alias("_id"))
+    linked = written(link_components(docs.select(F.coalesce(F.col("doc_id").cast("long"), made).alias("doc_id"), "text"), n, threshold, **how), "linked").where("n_shingles > 0")
     gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = keyed.join(F.broadcast(gone) if at_most(gone) else gone, "_id", "left_anti")
-    again = written(linked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")), "repeated")
-    if not at_most(again, 0):
-        many = kept.join(again, "_id", "left_semi")
-        kept = kept.join(again, "_id", "left_anti").unionByName(many.dropDuplicates(["_id"]))
-    return kept.select(*docs.columns)
+    kept = keyed.join(_small(gone), "_id", "left_anti")
+    repeated = written(linked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")), "repeated")
+    if not at_most(repeated, 0):
+        many = kept.join(repeated, "_id", "left_semi")
+        kept = kept.join(repeated, "_id", "left_anti").unionByName(many.dropDuplicates(["_id"]))
+    return again(kept, docs.columns)
