@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tesserae.llm.common import BROADCAST_ROWS, at_most, id_key, join_hot, let, text_of, written
+from tesserae.llm.common import BROADCAST_ROWS, again, at_most, id_key, join_hot, let, text_of, whole, written
 
 #: The kinds and their patterns. Possessive, and anchored to where a run of characters starts (or the last match
 #: ended): that changes no match and keeps a long run without "@" or "." from being tried from each of its characters.
@@ -207,7 +207,8 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
     found = find_pii(docs, **how).select(id_key().alias("_id"), "_h", F.sort_array(spans).alias("_spans")).where(F.size("_spans") > 0).groupBy("_id", "_h").agg(F.first("_spans").alias("_spans"))
     found = written(found, "spans")
     small = (found.agg(F.sum(F.size("_spans") + 1)).first()[0] or 0) <= 2 * BROADCAST_ROWS
-    joined = docs.withColumn("_id", id_key()).withColumn("_h", F.xxhash64(text_of())).join(F.broadcast(found) if small else found, ["_id", "_h"], "left")
+    keyed = whole(docs, id_key().alias("_id"), F.xxhash64(text_of()).alias("_h"), F.col("text"))
+    joined = keyed.join(F.broadcast(found) if small else found, ["_id", "_h"], "left")
 
     def rewritten(sp: Column) -> Column:
         reach = lambda i: F.when(i == 0, 0).otherwise(F.array_max(F.transform(F.slice(sp, F.lit(1), F.greatest(i, F.lit(1))), lambda x: x["e"])))
@@ -215,4 +216,4 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
         return F.concat(F.array_join(F.transform(sp, piece), ""), let(reach(F.size(sp)), lambda r: F.substring(F.col("text"), r + 1, F.length("text"))))
 
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rewritten(F.col("_spans")))
-    return joined.withColumn("text", text).select(*docs.columns)
+    return again(joined, docs.columns, text=text)
