@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tesserae.functions.geometry import Box, intersection
-from tesserae.session import ready
+from tesserae.session import at_most, ready, written
 
 IOU_STEPS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 RECALL_STEPS = tuple(round(0.01 * k, 2) for k in range(101))
@@ -59,23 +59,37 @@ def voc_matches(gt: DataFrame, det: DataFrame, threshold: float, pad: float = 1.
 
 
 def precision_recall(matches: DataFrame, positives: DataFrame, by: str = "class") -> DataFrame:
-    """Running precision and recall by falling score (ties by det), with the envelope: the best precision at this recall or beyond."""
-    order = Window.partitionBy(by).orderBy(F.desc("score"), "det")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = matches.join(positives, by).withColumn("_tp", F.sum(F.col("tp").cast("long")).over(run)).withColumn("_n", F.count("*").over(run))
-    curve = rows.withColumn("precision", F.col("_tp") / F.col("_n")).withColumn("recall", F.try_divide(F.col("_tp"), F.col("npos")))
-    return curve.withColumn("envelope", F.max("precision").over(order.rowsBetween(0, Window.unboundedFollowing))).drop("_tp", "_n")
+    """Running precision and recall by falling score (ties by det), with the envelope: the best precision at this recall or beyond.
+
+    A class may hold a third of all rows, so none is one task's: rows are range-partitioned by class and score, sums run within a
+    partition, and what stands before or after it comes from one row a class and partition."""
+    order = [F.desc("score"), F.col("det")]
+    parts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(matches.join(positives, by).repartitionByRange(parts, by, *order).withColumn("_p", F.spark_partition_id()), "matches")
+    sums = rows.groupBy(by, "_p").agg(F.sum(F.col("tp").cast("long")).alias("_t"), F.count("*").alias("_c"))
+    earlier = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(by, "_p", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_c0"))
+    own = Window.partitionBy(by, "_p").orderBy(*order)
+    run = own.rowsBetween(Window.unboundedPreceding, 0)
+    tp, n = F.sum(F.col("tp").cast("long")).over(run) + F.col("_t0"), F.count("*").over(run) + F.col("_c0")
+    joined = rows.join(F.broadcast(before) if at_most(before) else before, [by, "_p"])
+    curve = written(joined.withColumn("precision", tp / n).withColumn("recall", F.try_divide(tp, "npos")).drop("_t0", "_c0"), "curve")
+    later = Window.partitionBy(by).orderBy("_p").rowsBetween(1, Window.unboundedFollowing)
+    after = curve.groupBy(by, "_p").agg(F.max("precision").alias("_m")).select(by, "_p", F.max("_m").over(later).alias("_best"))
+    rest = F.max("precision").over(own.rowsBetween(0, Window.unboundedFollowing))
+    return curve.join(F.broadcast(after) if at_most(after) else after, [by, "_p"]).withColumn("envelope", F.greatest(rest, "_best")).drop("_p", "_best")
 
 
 def average_precision(curve: DataFrame, by: str = "class") -> DataFrame:
-    """ap (area under the envelope) and ap11 (mean of the best precision at recalls 0, 0.1 .. 1)."""
-    order = Window.partitionBy(by).orderBy(F.desc("score"), "det")
-    rows = curve.withColumn("_step", F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0)))
+    """ap (area under the envelope) and ap11 (mean of the best precision at recalls 0, 0.1 .. 1).
+
+    Recall grows by 1 / npos at each true positive and nowhere else, so the area is a plain sum."""
+    area = F.sum(F.when(F.col("tp"), F.try_divide("envelope", "npos")).otherwise(0.0))
     at = [F.coalesce(F.max(F.when(F.col("recall") >= F.lit(k / 10), F.col("precision"))), F.lit(0.0)) for k in range(11)]
     total = at[0]
     for x in at[1:]:
         total = total + x
-    return rows.groupBy(by).agg(F.sum(F.col("_step") * F.col("envelope")).alias("ap"), (total / 11).alias("ap11"))
+    return curve.groupBy(by).agg(area.alias("ap"), (total / 11).alias("ap11"))
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray, crowd: np.ndarray | None = None) -> np.ndarray:

@@ -7,8 +7,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tesserae.functions.geometry import Box, iou
+from tesserae.operators.components import connected_components
 from tesserae.operators.evaluation import iou_matrix
-from tesserae.session import ready
+from tesserae.operators.joins import box_overlaps
+from tesserae.session import ready, written
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -43,6 +46,17 @@ def nms(boxes: DataFrame, threshold: float, by: list[str], rotated: bool = False
     return boxes.groupBy(*by).applyInPandas(run, boxes.schema)
 
 
+def wide_nms(boxes: DataFrame, threshold: float, by: list[str], bucket: float) -> DataFrame:
+    """nms() for groups of any size. Only boxes that overlap beyond the threshold can suppress one another, so each connected part of
+    these pairs is a problem of its own; a box without any stays."""
+    a, b = Box.of(suffix="_a"), Box.of(suffix="_b")
+    pairs = box_overlaps(boxes.select("id", *by, *BOX), bucket, "id", tuple(by), iou(a, b) > threshold)
+    tied = written(connected_components(pairs, "id_a", "id_b"), "tied")
+    rows = boxes.join(tied.withColumnRenamed("node", "id"), "id", "left")
+    alone = rows.where("component is null").drop("component")
+    return alone.unionByName(nms(rows.where("component is not null"), threshold, ["component"]).drop("component"))
+
+
 def top_k_nms(boxes: DataFrame, before: int, after: int, threshold: float, level: str = "level", image: str = "image") -> DataFrame:
     """The best `before` of each level, suppression within levels, then the best `after` of each image."""
     top = boxes.withColumn("_k", F.row_number().over(Window.partitionBy(image, level).orderBy(F.desc("score"), "id"))).where(F.col("_k") <= before).drop("_k")

@@ -175,7 +175,10 @@ def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.nearest_centroid(pts.select("id", F.array("x", "y").alias("vector")), centers).select("id", "label")
 
 
-@query()
+@query("""
+    WITH px AS (SELECT o_orderkey // 100 AS y, o_orderkey % 100 AS x, o_custkey % 7 AS id FROM orders WHERE o_custkey % 7 > 0), g AS (SELECT id, y, x, x - row_number() OVER (PARTITION BY id, y ORDER BY x) AS g FROM px)
+    SELECT id, y, min(x) AS x0, max(x) + 1 AS x1 FROM g GROUP BY id, y, g
+""")
 def mask_runs_from_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.to_runs(label_pixels(spark, sf_dir).where("label > 0").withColumnRenamed("label", "id"))
 

@@ -69,10 +69,18 @@ def proposal_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.proposal_recall(gt, det, 1000)
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {BOXES}, {SIDES}, pairs AS (SELECT det.image, det.id AS pred, gt.id AS gt, greatest(0, least(gt.x1, det.x1) - greatest(gt.x0, det.x0)) * greatest(0, least(gt.y1, det.y1) - greatest(gt.y0, det.y0)) AS inter,
+        (gt.x1 - gt.x0) * (gt.y1 - gt.y0) + (det.x1 - det.x0) * (det.y1 - det.y0) AS total FROM det JOIN gt USING (image)),
+    ranked AS (SELECT image, pred, gt, inter / (total - inter) AS iou, row_number() OVER (PARTITION BY image ORDER BY inter / (total - inter) DESC, pred, gt) AS k FROM pairs WHERE inter > 0),
+    walk AS (SELECT DISTINCT image, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS preds, CAST([] AS BIGINT[]) AS gts, false AS taken FROM pairs
+             UNION ALL SELECT w.image, w.k + 1, CASE WHEN free THEN list_append(preds, pred) ELSE preds END, CASE WHEN free THEN list_append(gts, gt) ELSE gts END, free
+             FROM (SELECT w.*, r.pred, r.gt, NOT list_contains(w.preds, r.pred) AND NOT list_contains(w.gts, r.gt) AS free FROM walk w JOIN ranked r ON r.image = w.image AND r.k = w.k + 1) w)
+    SELECT image, pred, gt, round(iou, 6) AS iou FROM ranked JOIN walk USING (image, k) WHERE taken
+""")
 def greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, det = _sides(spark, sf_dir)
-    return matching.greedy_one_to_one(det, gt)
+    return matching.greedy_one_to_one(det, gt).select("image", "pred", "gt", r("iou", 6).alias("iou"))
 
 
 @query()

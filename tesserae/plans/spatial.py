@@ -318,9 +318,18 @@ def painter_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return painted.groupBy("label").agg(F.count("*").alias("pixels"), F.sum(F.col("n") - 1).alias("conflicts"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {BOXES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY score DESC, id) AS k, (x1 - x0) * (y1 - y0) AS area FROM boxes),
+    over AS (SELECT a.class_id, a.k, b.k AS j FROM ranked a JOIN ranked b ON a.class_id = b.class_id AND b.k < a.k AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0
+        WHERE (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / (a.area + b.area - (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) > 0.1),
+    step AS (SELECT ranked.class_id, ranked.k, coalesce(list(j) FILTER (j IS NOT NULL), []) AS against FROM ranked LEFT JOIN over USING (class_id, k) GROUP BY ALL),
+    walk AS (SELECT DISTINCT class_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM boxes
+             UNION ALL SELECT w.class_id, w.k + 1, CASE WHEN list_has_any(kept, against) THEN kept ELSE list_append(kept, w.k + 1) END FROM walk w JOIN step ON step.class_id = w.class_id AND step.k = w.k + 1),
+    final AS (SELECT class_id, unnest(arg_max(kept, k)) AS k FROM walk GROUP BY class_id)
+    SELECT id, class_id, score, x0, y0, x1, y1 FROM ranked JOIN final USING (class_id, k)
+""")
 def nms_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.nms(boxes(spark, sf_dir).select("id", "class_id", "score", "x0", "y0", "x1", "y1"), 0.1, ["class_id"])
+    return matching.wide_nms(boxes(spark, sf_dir).select("id", "class_id", "score", "x0", "y0", "x1", "y1"), 0.1, ["class_id"], 128)
 
 
 @query()

@@ -9,10 +9,16 @@ def latest(rows: DataFrame, name: str, value: str, order: str) -> DataFrame:
     return rows.groupBy(name).agg(F.max_by(value, order).alias("value"), F.max(order).alias("at"))
 
 
-def windowed_median(rows: DataFrame, name: str, value: str, order: str, size: int) -> DataFrame:
-    """Median and number of each series' values whose order is within the last `size` before and at each row."""
-    w = Window.partitionBy(name).orderBy(order).rangeBetween(-(size - 1), 0)
-    return rows.withColumn("median", F.percentile(value, F.lit(0.5)).over(w)).withColumn("samples", F.count(value).over(w))
+def windowed_median(rows: DataFrame, name: str, value: str, order: str, size: int, blocks: int = 32) -> DataFrame:
+    """Median and number of each series' values whose order is within the last `size` before and at each row.
+
+    A series may be long, so it is cut into blocks of `blocks` windows; a row that a later block's windows reach goes there as well."""
+    width = size * blocks
+    own, last = F.floor(F.col(order) / width), F.floor((F.col(order) + size - 1) / width)
+    dealt = rows.withColumn("_block", F.explode(F.sequence(own, last))).withColumn("_own", F.col("_block") == own)
+    w = Window.partitionBy(name, "_block").orderBy(order).rangeBetween(-(size - 1), 0)
+    out = dealt.withColumn("median", F.percentile(value, F.lit(0.5)).over(w)).withColumn("samples", F.count(value).over(w))
+    return out.where("_own").drop("_block", "_own")
 
 
 def last_median(rows: DataFrame, name: str, value: str, order: str, size: int) -> DataFrame:

@@ -79,15 +79,34 @@ def _frames(pdf: pd.DataFrame, state: list[dict], next_id: int, o: TrackOptions)
 
 
 def track(detections: DataFrame, options: TrackOptions = TrackOptions()) -> DataFrame:  # noqa: B008
-    """video, frame, det, track, period, lost of detections (video, frame, det, box); a video's frames run in order in one task."""
-    names = ["frame", "det", "track", "period", "lost"]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _, _ = _frames(pdf, [], 0, options)
-        return pd.DataFrame(out, columns=names).assign(video=key[0])[["video", *names]]
+    """video, frame, det, track, period, lost of detections (video, frame, det, box). A video's frames pass one task in order, sorted on
+    disk if need be; what is held is the last frame's tracks and the rows of one frame."""
+    names = ["video", "frame", "det", "track", "period", "lost"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, state, next_id, held = None, [], 0, None
+        for b in batches:
+            out = []
+            # the last frame of a batch may go on in the next one
+            rows = b if held is None else pd.concat([held, b])
+            whole = (rows["video"] != rows["video"].iloc[-1]) | (rows["frame"] != rows["frame"].iloc[-1])
+            held = rows[~whole]
+            for key, own in rows[whole].groupby("video", sort=False):
+                if key != video:
+                    video, state, next_id = key, [], 0
+                found, state, next_id = _frames(own, state, next_id, options)
+                out += [(key, *x) for x in found]
+            yield pd.DataFrame(out, columns=names)
+        if held is not None and len(held):
+            key = held["video"].iloc[0]
+            if key != video:
+                state, next_id = [], 0
+            found, _, _ = _frames(held, state, next_id, options)
+            yield pd.DataFrame([(key, *x) for x in found], columns=names)
 
     ready(detections.sparkSession)
-    return detections.groupBy("video").applyInPandas(run, TRACK.format(v=dict(detections.dtypes)["video"]))
+    slim = detections.select("video", "frame", "det", *BOX).repartition("video").sortWithinPartitions("video", "frame", "det")
+    return slim.mapInPandas(run, TRACK.format(v=dict(detections.dtypes)["video"]))
 
 
 def track_stream(detections: DataFrame, options: TrackOptions = TrackOptions()) -> DataFrame:  # noqa: B008

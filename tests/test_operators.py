@@ -272,3 +272,39 @@ def test_scalars(spark):
     assert rows[2].c is None
     b = geometry.Box(*[F.lit(v) for v in (0.0, 0.0, 2.0, 2.0)])
     assert spark.range(1).select(geometry.iou(b, b.shift(1.0, 0.0)).alias("v")).first().v == pytest.approx(1 / 3)
+
+
+def test_wide_nms_is_nms(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), int(i % 2), float(rng.integers(0, 30)), *map(int, p), *map(int, p + rng.integers(5, 25, 2))) for i, p in enumerate(rng.integers(0, 120, (150, 2)))]
+    df = spark.createDataFrame(rows, "id long, class_id int, score double, x0 long, y0 long, x1 long, y1 long")
+    ids = lambda d: sorted(r.id for r in d.collect())
+    assert ids(matching.wide_nms(df, 0.2, ["class_id"], 16)) == ids(matching.nms(df, 0.2, ["class_id"]))
+
+
+def test_tracks_don_t_depend_on_batches(spark):
+    rng = np.random.default_rng(9)
+    rows = [(v, f, d, float(x), float(f), float(x + 20), float(f + 20)) for v in range(3) for f in range(40) for d, x in enumerate((0, 100 + rng.integers(0, 3)))]
+    df = spark.createDataFrame(rows, "video long, frame long, det long, x0 double, y0 double, x1 double, y1 double")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    once = key(tracking.track(df))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert key(tracking.track(df)) == once
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r[3] for r in once} == {0, 1}
+
+
+def test_instances_and_rendering(spark):
+    from tesserae.operators import instances, render
+
+    masks_ = spark.createDataFrame([(1, 2, [1.0, 0.0, 1.0, 0.0], 0.0, 0.0, 4.0, 4.0)], "id int, size int, values array<double>, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.y, r.x) for r in render.paste(masks_).collect()}
+    assert {(1, 0), (2, 0), (1, 1), (2, 1)} <= got <= {(y, x) for y in range(4) for x in (0, 1)}
+    df = spark.createDataFrame([(1, 0, 0, 5.0, 5.0), (2, 3, 3, 3.0, 9.0)], "id int, x0 int, y0 int, x1 double, y1 double")
+    assert [r.id for r in instances.nonempty(df).collect()] == [1]
+    x, y = render.rotate(F.lit(0.0), F.lit(0.0), 90, 10, 20)
+    r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert (round(r.x, 6), round(r.y, 6)) == (0.0, 10.0)
+    assert render.best_level(spark.createDataFrame([(0, 1.0), (1, 4.0), (2, 16.0)], "level int, scale double"), 2.0).first().level == 0
