@@ -54,8 +54,15 @@ def at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+#: Rows of an Arrow batch at most: texts and masks are long, and a batch is held several times between Spark and Python.
+BATCH_ROWS = 1_000
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where it isn't installed (a cluster gets it by --py-files)."""
+    """Let Python workers find this package where it isn't installed (a cluster gets it by --py-files), and keep batches small."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= BATCH_ROWS:
+        spark.conf.set(size, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
