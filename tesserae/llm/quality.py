@@ -1,7 +1,7 @@
 """Quality rules: a decision list learned by sequential covering from labelled statistics. DataFrame functions only.
 
 statistics() measures every text. learn() sums the labelled rows, all of them, into counts by binned statistics; these cells
-are bounded by (len(CUTS) + 1) ** len(FEATURES), whatever the number of documents, so the covering itself runs on the driver.
+are bounded by len(CUTS) ** len(FEATURES), whatever the number of documents, so the covering itself runs on the driver.
 Each rule is a conjunction of thresholds: grown by information gain on two thirds of the labels, pruned on the other third,
 and kept only while it is right in at least `precision` of the latter. The list becomes one ordered conditional expression.
 
@@ -17,11 +17,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tesserae.llm.common import WHITE, id_key, let, text_of, written
+from tesserae.llm.common import WHITE, again, id_key, let, text_of, whole, written
 
 FEATURES = ("symbols_per_word", "upper_share", "repeat_share", "dup_line_share", "mean_word", "n_words_f")
-#: Shares of the labelled rows at which thresholds are tried.
-CUTS = (0.05, 0.2, 0.5, 0.8, 0.9, 0.95, 0.98)
+#: Shares of the labelled rows between whose values thresholds are tried.
+CUTS = (0.05, 0.2, 0.5, 0.8, 0.85, 0.9, 0.95, 0.99)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -125,11 +125,16 @@ def cover(cells: list[dict], conditions: list[Condition], max_rules: int = 8, ma
     return out
 
 
+def _between(values: list[float]) -> list[float]:
+    """Thresholds in the middle between neighbouring values: as far as can be from what either side holds."""
+    return [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
+
+
 def learn(stats: DataFrame, labels: DataFrame, label: str = "quality", bad: int = 0, **how) -> DecisionList:
     """Learn from all rows of stats that have a label."""
     rows = written(stats.select(id_key().alias("_id"), *FEATURES).join(labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).alias("_y")), "_id"), "labelled")
     cuts = rows.agg(*[F.percentile_approx(f, list(CUTS), 10_000).alias(f) for f in FEATURES]).first()
-    cuts = {f: sorted(set(cuts[f] or [])) for f in FEATURES}
+    cuts = {f: _between(sorted(set(cuts[f] or []))) for f in FEATURES}
     bins = []
     for f in FEATURES:
         code = F.lit(0)
@@ -145,20 +150,20 @@ def learn(stats: DataFrame, labels: DataFrame, label: str = "quality", bad: int
     return cover([r.asDict() for r in cells.collect()], conditions, **how)
 
 
-def judge(docs: DataFrame, labels: DataFrame, with_text: bool = True, **how) -> DataFrame:
-    """docs with the statistics, base_failed, rule (number of the learned rule that rejects, or 0) and kept."""
-    stats = statistics(docs)
-    stats = written(stats if with_text else stats.drop("text"), "statistics")
+def judge(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """docs without text, with the statistics, base_failed, rule (number of the learned rule that rejects, or 0) and kept."""
+    stats = written(statistics(docs).drop("text"), "statistics")
     rules = learn(stats, labels, **how)
     out = stats.withColumn("base_failed", base_failed()).withColumn("rule", rules.rejected_by())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def report(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    return judge(docs.select("doc_id", "text"), labels, with_text=False, **how).select("doc_id", *BASE, "base_failed", "kept", "rule")
+    return judge(docs.select("doc_id", "text"), labels, **how).select("doc_id", *BASE, "base_failed", "kept", "rule")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of docs that are kept."""
-    out = judge(docs.withColumn("_row", F.struct(*docs.columns)).select("doc_id", "text", "_row"), labels, **how).where("kept")
-    return out.select("_row.*")
+    """The rows of docs that are kept. Statistics are measured twice, to learn and to judge, so that no text is written between."""
+    rules = learn(statistics(docs.select("doc_id", "text")), labels, **how)
+    measured = statistics(whole(docs, F.col("doc_id"), F.col("text")))
+    return again(measured.where(~base_failed() & (rules.rejected_by() == 0)), docs.columns)
