@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tesserae.llm.common import BROADCAST_ROWS, id_key, ready, text_of, written
+from tesserae.llm.common import BROADCAST_ROWS, again, at_most, id_key, ready, text_of, whole, written
 
 #: Bytes of words as they are, A-Z in lower case, the rest as spaces. Bytes from 0x80 belong to letters beyond ASCII.
 _WORD = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -46,20 +46,21 @@ def build_index(docs: DataFrame, vocabulary: frozenset[bytes] | None = None, seg
         segment = TaskContext.get().partitionId() << 32
 
         def stored(held: list[tuple]) -> pa.RecordBatch:
-            every: list[bytes] = []
-            at, starts, sizes = 0, [], []
+            number = {w: i for i, w in enumerate(vocabulary)} if vocabulary is not None else {}
+            at, starts, sizes, codes_, places_ = 0, [], [], [], []
             for _, _, text in held:
                 own = words(text)
+                if vocabulary is None:
+                    codes = np.array([number.setdefault(w, len(number)) for w in own], np.int32)
+                else:
+                    codes = np.array([number.get(w, -1) for w in own], np.int32)
+                known = np.flatnonzero(codes >= 0)
+                codes_.append(codes[known])
+                places_.append((known + at).astype(np.int32))
                 starts.append(at)
                 sizes.append(len(own))
-                every += own
                 at += len(own) + 1
-            number = {w: i for i, w in enumerate(vocabulary if vocabulary is not None else dict.fromkeys(every))}
-            terms = [*number]
-            codes = np.fromiter((number.get(w, -1) for w in every), np.int64, len(every)) if vocabulary is not None else np.fromiter(map(number.__getitem__, every), np.int64, len(every))
-            places = np.arange(len(every)) + np.repeat(np.arange(len(sizes)), sizes)
-            if vocabulary is not None:
-                places, codes = places[codes >= 0], codes[codes >= 0]
+            terms, codes, places = [*number], np.concatenate(codes_), np.concatenate(places_)
             order = np.argsort(codes, kind="stable")
             codes, places = codes[order], places[order].astype("<i4")
             first = np.flatnonzero(np.diff(codes, prepend=-1))
@@ -122,7 +123,7 @@ def _expand(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def match(windows: np.ndarray, lists: np.ndarray, first: np.ndarray, length: np.ndarray, reach: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, ...]]:
+def match(windows: np.ndarray, lists: np.ndarray, first: np.ndarray, length: np.ndarray, reach: int, most: int = 500_000) -> Iterator[tuple[np.ndarray, ...]]:
     """Matches of windows (terms' numbers, one row each) in a segment: exact (window, start) and proximity (window, place).
 
     lists: all postings as term * 2**32 + position, ascending; first, length: each term's place there. In chunks of candidates.
@@ -276,4 +277,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without its contaminated rows."""
     bad = judged(find(docs, benchmark, **how)).where("contaminated").select(id_key().alias("_id"), F.col("h").alias("_h")).distinct()
-    return docs.withColumn("_id", id_key()).withColumn("_h", F.xxhash64(text_of())).join(bad, ["_id", "_h"], "left_anti").select(*docs.columns)
+    kept = whole(docs, id_key().alias("_id"), F.xxhash64(text_of()).alias("_h")).join(F.broadcast(bad) if at_most(bad) else bad, ["_id", "_h"], "left_anti")
+    return again(kept, docs.columns)
