@@ -27,7 +27,7 @@ from tesserae.llm.common import ready, text_of, written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END = struct.pack("<I", 0)
 #: Words whose ids a worker keeps. A word takes some 200 bytes.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 
 
 class Tokens:
