@@ -47,7 +47,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13)
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13).drop("n_near")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_secrets, op4_quality, op5_packing, op6_warc, op7_ngram_join, op8_decontamination, op9_langid, op10_chat)}
+LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 SQL: dict[str, str] = {
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS body FROM pages),
@@ -71,4 +74,39 @@ SQL: dict[str, str] = {
                CASE WHEN first <> page_id THEN first END AS refers_to, url
         FROM f
     """,
+    "op7_ngram_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+              ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        walk AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.node)
+        SELECT node AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM walk LEFT JOIN n ON n.doc_id = node GROUP BY node
+    """,
+    "op8_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({LOW}, '{ITEM_WORD}') AS w FROM documents),
+        i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({LOW}, '{ITEM_WORD}') AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') AS g
+               FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS k FROM i WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM bw),
+        dw AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+        hit AS (SELECT DISTINCT doc_id, k, n, item FROM dw JOIN bw USING (n, g)),
+        places AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM hit) GROUP BY ALL),
+        found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY ALL)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
+    "op10_chat": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        f AS (SELECT *, 4 + length(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '\</turn>'), '### ', '\### '), ':', '\:')) + 2
+                     + length(replace(replace(replace(text, '\', '\\'), '</turn>', '\</turn>'), '### ', '\### ')) + 8 AS n FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+        FROM f GROUP BY conv_id
+    """,
 }
