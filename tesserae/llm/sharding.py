@@ -3,8 +3,9 @@
 The law is `rows`: shards' row counts are at most one apart. The buckets, in order, are one random permutation of all records;
 the record at place p goes to shard p mod n, slot p div n. DataFrame functions only; Spark's shuffle() of an array is Fisher-Yates.
 
-A bucket's number comes from a seeded hash of doc_id, the text and the record's number in its scan partition, so that repeated
-rows, copies and null ids spread as evenly as others. Buckets hold `bucket_bytes` of text on average, whatever the input's size.
+Buckets hold `bucket_bytes` of text on average: by default 16 MB, and up to 256 MB where there would be more than 50,000 buckets. A bucket's
+number comes from a seeded hash of doc_id, the text and the record's number in its scan partition, so that
+repeated rows, copies and null ids spread as evenly as others.
 
 Defined results: a null text has no bytes and counts 8 for its row; an empty table gives no rows; columns named as the results
 (shard, slot, bucket) are replaced.
@@ -23,18 +24,18 @@ def _size(text: str) -> Column:
     return F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long")
 
 
-def external_shuffle(df: DataFrame, path: str, shards: int, seed: int = 17, bucket_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+def external_shuffle(df: DataFrame, path: str, shards: int, seed: int = 17, bucket_bytes: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write df's records shuffled under path, with bucket, shard and slot; return what was written.
 
     Files of one bucket hold its records in shuffled order; a shard's are those with its number, by slot.
     """
     kept = [c for c in df.columns if c not in OWN]
     total = df.agg(F.sum(_size(text) + 64)).first()[0] or 0
-    n = max(1, -(-total // bucket_bytes))
+    n = max(1, -(-total // (bucket_bytes or min(256 << 20, max(16 << 20, total // 50_000)))))
     row = F.struct(*[F.col(c) for c in kept])
     tagged = df.select(F.xxhash64(F.lit(seed), F.col(key), F.col(text), F.monotonically_increasing_id()).alias("_h"), row.alias("_row"))
-    # pass 1: scatter. Each bucket is one partition's array, in an order that doesn't depend on how the scatter arrived.
-    first = tagged.select(F.pmod("_h", F.lit(n)).cast("int").alias("bucket"), F.struct("_h", "_row").alias("_r")).repartition(n, "bucket")
+    # pass 1: scatter. Each bucket is a partition of its own and one array, in an order that doesn't depend on how its records arrive.
+    first = tagged.select(F.pmod("_h", F.lit(n)).cast("int").alias("bucket"), F.struct("_h", "_row").alias("_r")).repartitionById(n, F.col("bucket"))
     buckets = first.groupBy("bucket").agg(F.sort_array(F.collect_list("_r")).alias("_r"))
     # pass 2: shuffle each bucket
     dealt = buckets.select("bucket", F.posexplode(F.shuffle("_r", seed)).alias("_at", "_r")).select("bucket", "_at", F.col("_r._row").alias("_row"))
