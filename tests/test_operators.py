@@ -308,3 +308,29 @@ def test_instances_and_rendering(spark):
     r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
     assert (round(r.x, 6), round(r.y, 6)) == (0.0, 10.0)
     assert render.best_level(spark.createDataFrame([(0, 1.0), (1, 4.0), (2, 16.0)], "level int, scale double"), 2.0).first().level == 0
+
+
+def test_inference_through_an_adapter(spark):
+    from tesserae.operators import inference
+
+    image = np.zeros((60, 60))
+    yy, xx = np.mgrid[:60, :60]
+    for cy, cx in ((15, 15), (40, 42)):
+        image = np.maximum(image, 200 * np.exp(-((yy - cy) ** 2 + (xx - cx) ** 2) / 18))
+    options = tiling.TileOptions(40, overlap_px=20)
+    grid = tiling.tile_grid(tiling.one_image(spark, 60, 60), options).collect()
+    tiles = [(t.tile_id, t.x0, t.y0, t.cx0, t.cy0, t.cx1, t.cy1, t.y1 - t.y0, t.x1 - t.x0, image[t.y0 : t.y1, t.x0 : t.x1].ravel().tolist()) for t in grid]
+    df = spark.createDataFrame(tiles, "tile_id string, x0 long, y0 long, cx0 long, cy0 long, cx1 long, cy1 long, height int, width int, values array<double>")
+    found = inference.predict(df, lambda: inference.ThresholdAdapter(60, {"area": (10, 1000)}), batch=2)
+    owned = sorted((round(r.centroid_x), round(r.centroid_y)) for r in found.where("owned").collect())
+    assert owned == [(15, 15), (42, 40)] and found.count() >= 2
+    runs = masks.unpack(found.select(F.monotonically_increasing_id().alias("id"), F.col("x0").cast("int").alias("x"), F.col("y0").cast("int").alias("y"), "width", "height", "data"))
+    assert masks.statistics(runs).agg(F.sum("area")).first()[0] == found.agg(F.sum("area")).first()[0]
+
+
+def test_augmented_views_are_suppressed_together(spark):
+    from tesserae.operators import inference
+
+    one = spark.createDataFrame([(1, 1, 0, 0.9, 0.0, 0.0, 10.0, 10.0)], "id long, image int, class_id int, score double, x0 double, y0 double, x1 double, y1 double")
+    two = spark.createDataFrame([(1, 1, 0, 0.8, 1.0, 0.0, 11.0, 10.0), (2, 1, 0, 0.7, 50.0, 50.0, 60.0, 60.0)], one.schema)
+    assert sorted(r.score for r in inference.augmented([one, two], 0.5, 10).collect()) == [0.7, 0.9]
