@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tesserae.session import BROADCAST_ROWS, at_most, fresh_dir, ready, work_dir, written
 
-__all__ = ["BROADCAST_ROWS", "again", "at_most", "drop_table", "fresh_dir", "id_key", "join_hot", "let", "ready", "text_of", "whole", "work_dir", "written"]
+__all__ = ["BROADCAST_ROWS", "again", "at_most", "drop_table", "fresh_dir", "id_key", "join_hot", "let", "ready", "text_of", "tidied", "whole", "work_dir", "written"]
 
 #: Words of the quality and n-gram contracts: everything but ASCII white space.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -55,6 +60,20 @@ def again(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
     return df.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns])
 
 
+def tidied(run: Callable, *drops: Callable[[], None]) -> Callable:
+    """run, an iterator over Arrow batches, which at a task's end lets go of what its worker would keep: caches and freed memory."""
+
+    def whole_task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        for drop in drops:
+            drop()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only in glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole_task
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value worked out once: a lambda's variable is never inlined again."""
     return F.element_at(F.transform(F.array(value), body), 1)

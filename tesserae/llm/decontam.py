@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tesserae.llm.common import BROADCAST_ROWS, again, at_most, id_key, ready, text_of, whole, written
+from tesserae.llm.common import BROADCAST_ROWS, again, at_most, id_key, ready, text_of, tidied, whole, written
 
 #: Bytes of words as they are, A-Z in lower case, the rest as spaces. Bytes from 0x80 belong to letters beyond ASCII.
 _WORD = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -93,7 +93,7 @@ def build_index(docs: DataFrame, vocabulary: frozenset[bytes] | None = None, seg
             yield stored(held)
 
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("h"), text_of().cast("binary").alias("text")).mapInArrow(run, INDEX)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("h"), text_of().cast("binary").alias("text")).mapInArrow(tidied(run), INDEX)
 
 
 class Windows:
@@ -226,7 +226,7 @@ def search(index: DataFrame, windows: Windows, reach: int) -> DataFrame:
             yield done()
 
     ready(index.sparkSession)
-    return index.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, FOUND)
+    return index.repartition("segment").sortWithinPartitions("segment").mapInArrow(tidied(run), FOUND)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = 13, reach: int = 24, block_bytes: int = 16 << 20) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tesserae.llm.common import again, at_most, drop_table, id_key, join_hot, ready, text_of, whole, written
+from tesserae.llm.common import again, at_most, drop_table, id_key, join_hot, ready, text_of, tidied, whole, written
 from tesserae.operators.components import connected_components
 
 #: Set sizes are banded by this ratio; parts are counted for the largest set of a band.
@@ -43,6 +43,10 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 _words: dict[bytes, int] = {}
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * _B
     return (h ^ (h >> np.uint64(32))) * _C
@@ -131,16 +135,16 @@ def signatures(docs: DataFrame, n: int, threshold: tuple[int, int], held: int =
         ties = np.unique(np.stack([node[order][:-1][again[1:]], node[order][1:][again[1:]]]), axis=1)
         ties = ties[:, ties[0] != ties[1]]
         first = np.sort(order[~again])
-        for at in range(0, len(first), 500_000):
-            k = first[at : at + 500_000]
+        for at in range(0, len(first), 50_000):
+            k = first[at : at + 50_000]
             empty = np.zeros(len(k), np.int64)
             yield _rows(_SIGNED, np.full(len(k), HEAD, np.int8), part[k], node[k], empty, empty, empty)
         empty = np.zeros(ties.shape[1], np.int64)
         yield _rows(_SIGNED, np.full(ties.shape[1], TIE, np.int8), ties[0], ties[1], empty, empty, empty)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs_, nodes, sizes, own, size, known = [], [], [], [], 0, set()
         for given in batches:
-            docs_, nodes, sizes, own, size, known = [], [], [], [], 0, set()
             for doc_id, t, text in zip(given.column(0).to_pylist(), given.column(1).to_pylist(), given.column(2), strict=True):
                 s = shingles(text.as_py(), n)
                 h = xxhash.xxh3_128_digest(s.tobytes())
@@ -156,10 +160,10 @@ def signatures(docs: DataFrame, n: int, threshold: tuple[int, int], held: int =
                 if size > held:
                     yield from chunk(docs_, nodes, sizes, own)
                     docs_, nodes, sizes, own, size, known = [], [], [], [], 0, set()
-            yield from chunk(docs_, nodes, sizes, own)
+        yield from chunk(docs_, nodes, sizes, own)
 
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("t"), text_of().cast("binary").alias("text")).mapInArrow(run, "kind byte, a long, b long, c long, d long, e long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("t"), text_of().cast("binary").alias("text")).mapInArrow(tidied(run, _forget), "kind byte, a long, b long, c long, d long, e long")
 
 
 class Lists:
@@ -299,7 +303,7 @@ def _connected(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame
                 least[r] = min(least.get(r, node), node)
             yield _rows(schema, nodes, [least[known.root(i)] for i in range(len(nodes))])
 
-    return rows.select("block", "part", "node", "group", "text").repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(run, "node long, group long")
+    return rows.select("block", "part", "node", "group", "text").repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(tidied(run, _forget), "node long, group long")
 
 
 def _small(df: DataFrame) -> DataFrame:

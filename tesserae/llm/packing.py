@@ -22,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tesserae.llm.common import ready, text_of, written
+from tesserae.llm.common import ready, text_of, tidied, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END = struct.pack("<I", 0)
 #: Words whose ids a worker keeps. A word takes some 200 bytes.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 
 
 class Tokens:
@@ -89,6 +89,11 @@ class Tokens:
 _LOADED: dict[str, Tokens] = {}
 
 
+def _forget() -> None:
+    for tokens in _LOADED.values():
+        tokens.ids = {"": b""}
+
+
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """PIECES of docs (and `ids`, little-endian, if asked for): each document's ids and a closing 0, cut where longer than capacity."""
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
@@ -110,7 +115,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(pieces, PIECES + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(tidied(pieces, _forget), PIECES + ", ids binary" * with_ids)
 
 
 def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tesserae.llm.common import at_most, fresh_dir, id_key, join_hot, ready, text_of, written
+from tesserae.llm.common import at_most, fresh_dir, id_key, join_hot, ready, text_of, tidied, written
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,7 @@ def scan(todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array(keys, pa.string()), pa.array(spans, kind)], ["blob", "rule", "spans"])
 
     ready(todo.sparkSession)
-    return todo.select("blob", "rules", "text").mapInArrow(run, LEDGER)
+    return todo.select("blob", "rules", "text").mapInArrow(tidied(run), LEDGER)
 
 
 def update(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = (*BASE, *EXTRA), path: str = "doc_id") -> DataFrame:
