@@ -26,8 +26,8 @@ from tesserae.llm.common import ready, text_of, tidied, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END = struct.pack("<I", 0)
-#: Words whose ids a worker keeps. A word takes some 200 bytes.
-WORDS_KEPT = 200_000
+#: Words whose ids a worker keeps during a task, about as many as 25 MB of text hold. A word takes some 200 bytes.
+WORDS_KEPT = 450_000
 
 
 class Tokens:
