@@ -42,7 +42,7 @@ def duplicate_links(boxes: DataFrame, bucket: float, iou_min: float, containment
     pairs = box_overlaps(boxes, bucket, key, same, F.col(f"{tile}_a") != F.col(f"{tile}_b"))
     a, b = Box.of(suffix="_a"), Box.of(suffix="_b")
     inter = intersection(a, b)
-    measured = pairs.withColumn("intersection", inter).withColumn("iou", F.col("intersection") / (a.area + b.area - F.col("intersection"))).withColumn("containment", containment(F.col("intersection"), a.area, b.area))
+    measured = pairs.withColumn("intersection", inter).withColumn("iou", F.coalesce(F.try_divide("intersection", a.area + b.area - F.col("intersection")), F.lit(0.0))).withColumn("containment", containment(F.col("intersection"), a.area, b.area))
     return measured.where((F.col("iou") >= iou_min) | (F.col("containment") >= containment_min))
 
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from tesserae.functions.geometry import Box
+from tesserae.functions.geometry import Box, intersection
 from tesserae.operators import masks
 from tesserae.operators.components import connected_components
 from tesserae.operators.joins import box_overlaps
@@ -37,11 +37,13 @@ def links(predictions: DataFrame, options: ReconcileOptions, runs: DataFrame | N
     same = ("class_id",) if options.match_classes else ()
     pairs = box_overlaps(predictions.select("id", "tile", "class_id", "area", "x0", "y0", "x1", "y1"), options.bucket, "id", same, F.col("tile_a") != F.col("tile_b"))
     a, b = Box.of(suffix="_a"), Box.of(suffix="_b")
-    most = F.least(F.col("area_a"), F.col("area_b"), a.intersect(b).area)
-    likely = pairs.where((most / (F.col("area_a") + F.col("area_b") - most) >= options.iou) | (most / F.least("area_a", "area_b") >= options.containment))
+    # the planner may ask these before it knows that boxes overlap, so they hold for any two boxes
+    inter = intersection(a, b)
+    most = F.least(F.col("area_a"), F.col("area_b"), inter)
+    ratio = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    likely = pairs.where((ratio(most, F.col("area_a") + F.col("area_b") - most) >= options.iou) | (ratio(most, F.least("area_a", "area_b")) >= options.containment))
     if runs is None:
-        inter = a.intersect(b).area
-        measured = likely.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), inter.alias("intersection"), (inter / (a.area + b.area - inter)).alias("iou"), (inter / F.least(a.area, b.area)).alias("containment"))
+        measured = likely.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), inter.alias("intersection"), ratio(inter, a.area + b.area - inter).alias("iou"), ratio(inter, F.least(a.area, b.area)).alias("containment"))
     else:
         measured = masks.overlaps(runs, likely.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).select("a", "b", "intersection", "iou", "containment")
     return measured.where((F.col("iou") >= options.iou) | (F.col("containment") >= options.containment))
