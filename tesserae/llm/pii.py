@@ -3,7 +3,7 @@
 An entity is the value of a pattern span (an address, a number). Over all documents, a term t discloses an entity c as far as
 PMI(c; t) = ln(N df(c, t) / (df(c) df(t))) comes near the information of c itself, IC(c) = ln(N / df(c)). Terms that reach
 `disclosure` x IC(c) are generalised, terms that reach IC(c) but for `full` are removed. As evidence counts only a pair that
-occurs in `min_support` documents, and in different surroundings: copies of one text are one piece of evidence, not many.
+occurs in `min_support` texts, and in different surroundings: copies of one text count once in df, for a term or against it.
 
 Defined results: a null text is empty; empty tables give empty tables; repeated rows are kept, each with its spans; a null
 doc_id is an id of its own; other input columns don't matter. Running time is linear in the text for any input, since each
@@ -132,32 +132,31 @@ def _risky_spans(text: Column, risk: Column) -> Column:
     return let(base_spans(text), spans)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, disclosure: float = 0.9, full: float = 0.02, spread: float = 0.5) -> DataFrame:
-    """term, action (generalise or remove): terms that disclose some entity. Counts cover all documents.
+def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, disclosure: float = 0.9, full: float = 0.02) -> DataFrame:
+    """term, action (generalise or remove): terms that disclose some entity. Frequencies cover all distinct texts, N all documents.
 
     found: find_base() of docs, with `_text` null where there is no span.
     """
     n = float(max(1, found.count()))
-    # a document counts once for an entity however often it holds it
-    held = found.where(F.size("_base") > 0).withColumn("_id", id_key())
-    ents = held.select("_id", "_h", F.explode(F.array_distinct(F.transform("_base", _entity))).alias("c"))
+    # copies of a text are one document, and one counts once for an entity however often it holds it
+    held = written(found.where(F.size("_base") > 0).select("_h", "_text", "_base").dropDuplicates(["_h"]), "held")
+    ents = held.select("_h", F.explode(F.array_distinct(F.transform("_base", _entity))).alias("c"))
     df_c = ents.groupBy("c").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_support)
-    kept = join_hot(ents, df_c, ["c"], "inner").groupBy("_id", "_h", "c").agg(F.count("*").alias("copies"), F.first("n_c").alias("n_c"))
-    words = held.groupBy("_id", "_h").agg(F.first("_text").alias("_text"), F.first("_base").alias("_base"))
-    pairs = kept.join(words, ["_id", "_h"]).select("c", "n_c", "copies", "_id", "_h", F.explode(_terms(F.col("_text"), F.col("_base"))).alias("t"))
-    seen = pairs.groupBy("c", F.col("t.term").alias("term"), "_id", "_h").agg(F.first("copies").alias("copies"), F.first("n_c").alias("n_c"), F.min("t.ctx").alias("ctx"))
-    by_ctx = seen.groupBy("c", "term", "ctx").agg(F.sum("copies").alias("m"), F.first("n_c").alias("n_c"))
+    kept = join_hot(ents, df_c, ["c"], "inner")
+    pairs = kept.join(held, "_h").select("c", "n_c", "_h", F.explode(_terms(F.col("_text"), F.col("_base"))).alias("t"))
+    seen = pairs.groupBy("c", F.col("t.term").alias("term"), "_h").agg(F.first("n_c").alias("n_c"), F.min("t.ctx").alias("ctx"))
+    by_ctx = seen.groupBy("c", "term", "ctx").agg(F.count("*").alias("m"), F.first("n_c").alias("n_c"))
     support = by_ctx.groupBy("c", "term").agg(F.sum("m").alias("n_ct"), F.count("*").alias("n_ctx"), F.first("n_c").alias("n_c"))
     # a term's documents among those with personal data bound its documents from below, and so its PMI from above
     among = held.select(F.explode(_distinct_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
     at_best = F.log(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col("n_held"))) >= disclosure * F.log(F.lit(n) / F.col("n_c"))
-    likely = support.where((F.col("n_ctx") >= min_support) & (F.col("n_ctx") >= spread * F.col("n_ct")) & (F.col("n_c") < n))
+    likely = support.where((F.col("n_ctx") >= min_support) & (F.col("n_c") < n))
     candidates = written(likely.join(among, "term").where(at_best).drop("n_held"), "candidates")
     terms = candidates.select("term").distinct()
     if at_most(terms, 0):
         return candidates.select("term", F.lit("remove").alias("action"))
-    every = docs.select(F.explode(_distinct_terms(text_of())).alias("term"))
-    df_t = every.join(F.broadcast(terms) if at_most(terms) else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    every = docs.select(F.xxhash64(text_of()).alias("_h"), F.explode(_distinct_terms(text_of())).alias("term"))
+    df_t = every.join(F.broadcast(terms) if at_most(terms) else terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     pmi = F.log(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     ic = F.log(F.lit(n) / F.col("n_c"))
     strong = candidates.join(df_t, "term").select("term", pmi.alias("pmi"), ic.alias("ic")).where((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic")))

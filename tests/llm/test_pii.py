@@ -69,6 +69,14 @@ def test_copies_are_one_piece_of_evidence(spark):
     assert pii.disclosing_terms(df, pii.find_base(df)).count() == 0
 
 
+def test_copies_do_not_count_against_a_term(spark):
+    texts = ["early one day wuzzle wrote eve@x.org from home", "the letter of wuzzle reached eve@x.org by noon", "nobody but wuzzle knows who eve@x.org may be"]
+    held = [(i, texts[min(i, 2)]) for i in range(1_000)]
+    plain = [(2_000 + i, f"other words here {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}") for i in range(300)]
+    df = spark.createDataFrame([*held, *plain], "doc_id long, text string")
+    assert [r.term for r in pii.disclosing_terms(df, pii.find_base(df)).collect()] == ["wuzzle"]
+
+
 def test_sanitise_keeps_columns_and_clean_texts(spark, docs, nothing):
     out = pii.sanitise(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
