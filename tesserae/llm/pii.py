@@ -3,7 +3,8 @@
 An entity is the value of a pattern span (an address, a number). Over all documents, a term t discloses an entity c as far as
 PMI(c; t) = ln(N df(c, t) / (df(c) df(t))) comes near the information of c itself, IC(c) = ln(N / df(c)). Terms that reach
 `disclosure` x IC(c) are generalised, terms that reach IC(c) but for `full` are removed. As evidence counts only a pair that
-occurs in `min_support` texts, and in different surroundings: copies of one text count once in df, for a term or against it.
+occurs in `min_support` different texts, whatever stands beside it. Copies of one text count once, for a term or against it;
+near copies are different texts.
 
 Defined results: a null text is empty; empty tables give empty tables; repeated rows are kept, each with its spans; a null
 doc_id is an id of its own; other input columns don't matter. Running time is linear in the text for any input, since each
@@ -107,11 +108,9 @@ def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _terms(text: Column, base: Column) -> Column:
-    """Words in lower case with their place and neighbours, but for those inside a base span."""
-    words = matches(text, TERM)
+    """The distinct words in lower case, but for those inside a base span."""
     outside = lambda x: ~F.exists(base, lambda b: (x["s"] < b["e"]) & (x["e"] > b["s"]))
-    around = lambda ws: F.transform(ws, lambda x, i: F.struct(F.lower(x["m"]).alias("term"), x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(F.get(ws, i - 1)["m"], F.get(ws, i + 1)["m"]).alias("ctx")))
-    return F.filter(let(words, around), outside)
+    return F.array_distinct(F.transform(F.filter(matches(text, TERM), outside), lambda x: F.lower(x["m"])))
 
 
 def _distinct_terms(text: Column) -> Column:
@@ -143,14 +142,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, di
     ents = held.select("_h", F.explode(F.array_distinct(F.transform("_base", _entity))).alias("c"))
     df_c = ents.groupBy("c").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_support)
     kept = join_hot(ents, df_c, ["c"], "inner")
-    pairs = kept.join(held, "_h").select("c", "n_c", "_h", F.explode(_terms(F.col("_text"), F.col("_base"))).alias("t"))
-    seen = pairs.groupBy("c", F.col("t.term").alias("term"), "_h").agg(F.first("n_c").alias("n_c"), F.min("t.ctx").alias("ctx"))
-    by_ctx = seen.groupBy("c", "term", "ctx").agg(F.count("*").alias("m"), F.first("n_c").alias("n_c"))
-    support = by_ctx.groupBy("c", "term").agg(F.sum("m").alias("n_ct"), F.count("*").alias("n_ctx"), F.first("n_c").alias("n_c"))
+    pairs = kept.join(held, "_h").select("c", "n_c", F.explode(_terms(F.col("_text"), F.col("_base"))).alias("term"))
+    support = pairs.groupBy("c", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c"))
     # a term's documents among those with personal data bound its documents from below, and so its PMI from above
     among = held.select(F.explode(_distinct_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
     at_best = F.log(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col("n_held"))) >= disclosure * F.log(F.lit(n) / F.col("n_c"))
-    likely = support.where((F.col("n_ctx") >= min_support) & (F.col("n_c") < n))
+    likely = support.where((F.col("n_ct") >= min_support) & (F.col("n_c") < n))
     candidates = written(likely.join(among, "term").where(at_best).drop("n_held"), "candidates")
     terms = candidates.select("term").distinct()
     if at_most(terms, 0):

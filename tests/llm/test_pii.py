@@ -77,6 +77,15 @@ def test_copies_do_not_count_against_a_term(spark):
     assert [r.term for r in pii.disclosing_terms(df, pii.find_base(df)).collect()] == ["wuzzle"]
 
 
+def test_a_fixed_phrase_in_different_texts_is_evidence(spark):
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:05d}")
+    body = lambda k: " ".join(word(20 * k + j) for j in range(20))
+    signed = [(i, f"{body(i)} contact Dr Zorblax Quint at z@x.org {body(100 + i)}") for i in range(30)]
+    plain = [(200 + i, f"contact at writes {body(400 + i)}") for i in range(300)]
+    df = spark.createDataFrame([*signed, *plain], "doc_id long, text string")
+    assert sorted(r.term for r in pii.disclosing_terms(df, pii.find_base(df)).collect()) == ["quint", "zorblax"]
+
+
 def test_sanitise_keeps_columns_and_clean_texts(spark, docs, nothing):
     out = pii.sanitise(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
