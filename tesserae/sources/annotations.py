@@ -1,4 +1,4 @@
-"""Annotation files (COCO, LVIS, Pascal VOC, Cityscapes, panoptic) as tables of images and of objects."""
+"""Annotation files (COCO, LVIS, Pascal VOC, Cityscapes) as tables of images and of objects."""
 
 from __future__ import annotations
 
