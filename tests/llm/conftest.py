@@ -12,7 +12,7 @@ def docs(spark):
     own = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame(ODD, "doc_id long, text string")
     out = own.unionByName(odd).unionByName(own.limit(4))
-    return out.selectExpr("*", "'k' as shard", "1 as slot", "2 as bucket", "3 as n_words", "'q' as lang", "4 as kept", "5 as length", "'r' as blob", "6 as node", "7 as part", "8 as _id", "9 as _h", "10 as row", "11 as h0").cache()
+    return out.selectExpr("*", "'k' as shard", "1 as slot", "2 as bucket", "3 as n_words", "'q' as lang", "4 as kept", "5 as length", "'r' as blob", "6 as node", "7 as part", "8 as _id", "9 as _h", "10 as row", "11 as h0", "12 as _at", "13 as _start", "14 as _text", "15 as _base", "16 as term", "17 as c", "18 as _n").cache()
 
 
 @pytest.fixture(scope="session")
