@@ -1,4 +1,4 @@
-"""Language identification by a bidirectional gated recurrent network over bytes, in numpy.
+r"""Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
 A text is read in windows of `width` bytes, all of them; in each window a forward and a backward network of gated units run over the
 bytes, every position gets probabilities of the languages, and a text's probabilities are the mean over its positions. train()
@@ -6,14 +6,15 @@ learns by backpropagation through time on the driver, from a sample with documen
 `windows_each` windows of each text at seeded places. Prediction takes windows from many texts in step, so that a step is a few
 array operations; it holds `chunk` bytes at a time, however long a text is.
 
+Letters are what Unicode calls so (`\p{L}`): digits, fractions, numerals and marks of any script aren't.
+
 Defined results: a text that is null or has no letter is `und` with score 0, as is every text if there is nothing to learn from;
-a null doc_id is not held out and not learned from; repeated rows get a row each; ties go to the first language by name; an empty table
+a null doc_id is not held out and not learned from; repeated rows get a row each and are learned from once; ties go to the first language by name; an empty table
 gives an empty table; other columns are never read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tesserae.llm.common import ready, text_of
 
 PAD = 256
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -201,15 +201,19 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], hidden: int
     return net
 
 
+def lettered(text: str = "text") -> Column:
+    return text_of(text).rlike(r"\p{L}")
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def learn(docs: DataFrame, docs_each: int = 300, windows_each: int = 16, width: int = 64, **how) -> Network | None:
     """A network from the texts that aren't held out; None if there are none with a language and letters."""
-    able = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & text_of().rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    chosen = able.select("doc_id", "lang", F.xxhash64(F.lit(9), "doc_id").alias("_h")).withColumn("_k", rank).where(F.col("_k") <= docs_each).select("doc_id", "lang").distinct()
+    able = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & lettered()).select("doc_id", "lang", text_of().alias("text"), F.xxhash64("text").alias("_t"))
+    rank = F.rank().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "_t"))
+    chosen = able.select("doc_id", "lang", "_t", F.xxhash64(F.lit(9), "doc_id").alias("_h")).distinct().withColumn("_k", rank).where(F.col("_k") <= docs_each).select("doc_id", "lang", "_t")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,8 +231,8 @@ def learn(docs: DataFrame, docs_each: int = 300, windows_each: int = 16, width:
 
     ready(docs.sparkSession)
     # docs_each texts of each language, so this side is small
-    texts = able.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
-    rows = texts.mapInArrow(cut, "doc_id long, lang string, part binary").toPandas().sort_values(["lang", "doc_id", "part"], kind="stable")
+    texts = able.join(F.broadcast(chosen), ["doc_id", "lang", "_t"]).dropDuplicates(["doc_id", "lang", "_t"])
+    rows = texts.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).mapInArrow(cut, "doc_id long, lang string, part binary").toPandas().sort_values(["lang", "doc_id", "part"], kind="stable")
     if not len(rows):
         return None
     langs = sorted(rows["lang"].unique())
@@ -243,7 +247,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_py() for t in b.column(2)]
-            able = np.array([net is not None and bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in texts], bool)
+            able = np.array(b.column(3).to_pylist(), bool) & (net is not None)
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             if able.any():
                 at = np.flatnonzero(able)
@@ -253,7 +257,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), text_of().cast("binary").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), text_of().cast("binary").alias("text"), lettered().alias("able")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def report(docs: DataFrame, **how) -> DataFrame:

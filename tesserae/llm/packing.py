@@ -28,26 +28,40 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END = struct.pack("<I", 0)
 #: Words whose ids a worker keeps during a task, about as many as 25 MB of text hold. A word takes some 200 bytes.
 WORDS_KEPT = 450_000
+#: Words, marks, digits, white space and letters on which a tokenizer shows whether ids may be kept by word.
+PROBE = "The  quick brown-fox's Straße, don't 12.5% Émile\n\nnaïve (x2)\tK. 你好 ½ É. it's; ab.cd  END "
 
 
 class Tokens:
-    """Ids of texts by a public tokenizer file, as little-endian bytes.
+    """Ids of texts by a public tokenizer file, as little-endian bytes: what encode(text, add_special_tokens=False) gives.
 
-    The tokenizer never joins what white space parts, so ids are kept by word. Latin-1 texts are put in lower case first, as the
-    tokenizer would; others are left to it. A word of lower-case Latin-1 letters is one unit to it and goes straight to its model.
-    Special tokens' strings in a text are ordinary text.
+    A tokenizer that never joins what white space parts, and puts letters in lower case, has its ids kept by word. Latin-1 texts are put in
+    lower case first, as it would; others are left to it. A word of lower-case Latin-1 letters is one unit to it and goes straight to
+    its model. Whether a file is of this kind is tried on PROBE; if not, it gets each text whole, as do texts that hold a special token's
+    string. With `plain` such strings are ordinary text, else the special token, as the library has it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.specials = [t.content.lower() for t in added if not plain]
+        self.by_word = True
         self.model = self.tokenizer.model
         # the model sees bytes as characters: printable Latin-1 ones as themselves, the others from U+0100 on
         other = [x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or 174 <= x)]
         self.as_seen = {x: 256 + k for k, x in enumerate(other)}
         self.ids: dict[str, bytes] = {"": b""}
+        try:
+            self.by_word = self(PROBE) == self._whole(PROBE)
+        except Exception:  # a model without this kind of words
+            self.by_word = False
+
+    def _whole(self, text: str) -> bytes:
+        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
 
     def _word(self, w: str) -> bytes:
         ids = self.ids.get(w)
@@ -73,6 +87,8 @@ class Tokens:
                     self._word(w)
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_word or self.specials and any(x in text.lower() for x in self.specials):
+            return self._whole(text)
         try:
             text.encode("latin-1")
             text = text.lower()

@@ -14,6 +14,7 @@ empty tables; other columns are ignored. Times grow with the text only: no patte
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -69,19 +70,31 @@ def blob(text: Column) -> Column:
 
 
 class Ledger:
-    """A Parquet table of LEDGER rows; each scan appends one folder of files, which becomes visible when it is whole."""
+    """A table of LEDGER rows. Each scan writes a folder of its own, which counts only once its marker is there: a scan that broke off
+    leaves nothing that is read. Two scans that ran at once may hold the same pair; it is read once."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def rows(self) -> DataFrame:
-        there = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not there.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(there):
+        """One row for each blob and rule; findings of one pair are the same whoever scanned it."""
+        there, system = self._path("scan-*/_whole")
+        scans = [x.getPath().getParent().toString() for x in system.globStatus(there) or []]
+        if not scans:
             return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(self.path)
+        rows = self.spark.read.schema(LEDGER).parquet(*scans)
+        return rows if len(scans) == 1 else rows.dropDuplicates(["blob", "rule"])
 
     def append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path)
+        """rows: no pair twice."""
+        scan = f"scan-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{scan}")
+        marker, system = self._path(f"{scan}/_whole")
+        system.create(marker).close()
 
 
 def scan(todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -114,9 +127,10 @@ def update(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = (*BASE, *E
     new = written(seen.join(known, "blob", "left").select("blob", "_id", want.alias("rules")).where(F.size("rules") > 0), "unseen")
     here = docs.select(id_key(path).alias("_id"), blob(text_of()).alias("blob"), text_of().alias("text"))
     rest = written(paths.select("_id", "blob").join(new, ["_id", "blob"], "left_anti").distinct(), "seen")
-    if at_most(rest) and at_most(new.where(F.size("rules") < len(rules)), 0):
+    kinds = new.select("rules").distinct().limit(2).collect()
+    if len(kinds) == 1 and at_most(rest):
         # few paths are copies or known: leave these out where the texts lie, so that no text is dealt
-        todo = here.join(F.broadcast(rest), ["_id", "blob"], "left_anti").withColumn("rules", every)
+        todo = here.join(F.broadcast(rest), ["_id", "blob"], "left_anti").withColumn("rules", F.array(*[F.lit(x) for x in kinds[0][0]]))
     else:
         todo = here.join(new, ["_id", "blob"])
     found = scan(todo, rules)
@@ -128,13 +142,10 @@ def update(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = (*BASE, *E
 
 def findings(paths: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = (*BASE, *EXTRA)) -> DataFrame:
     """path, blob and found (array<struct<kind, s, e>> by start, then the rules' order) of each path."""
-    rows = ledger.rows().where(F.size("spans") > 0)
-    each = []
-    for k, r in enumerate(rules):
-        each.append(rows.where(F.col("rule") == r.key).select("blob", F.explode("spans").alias("x"), F.lit(k).alias("k"), F.lit(r.name).alias("kind")))
-    spans = each[0]
-    for x in each[1:]:
-        spans = spans.unionAll(x)
+    order = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.key, k)])
+    names = F.array(*[F.lit(r.name) for r in rules])
+    held = ledger.rows().where((F.size("spans") > 0) & F.col("rule").isin([r.key for r in rules])).withColumn("k", F.element_at(order, F.col("rule")))
+    spans = held.select("blob", "k", F.get(names, F.col("k")).alias("kind"), F.explode("spans").alias("x"))
     by_blob = spans.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct(F.col("x.s").alias("s"), "k", F.col("x.e").alias("e"), "kind"))).alias("found"))
     out = join_hot(paths, by_blob, ["blob"], salt_by=["path"])
     found = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
@@ -142,8 +153,12 @@ def findings(paths: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = (*BASE,
 
 
 def report(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
-    """The digest of findings(): counts by kind, hash of the base rules' spans, all spans."""
+    """The digest of findings(): counts by kind, hash of the base rules' spans, all spans.
+
+    The base rules are scanned first, then the whole set: the second scan takes only the pairs of a blob and an added rule.
+    """
     ledger = ledger or Ledger(docs.sparkSession, fresh_dir(docs.sparkSession, "ledger"))
+    update(docs, ledger, BASE)
     out = findings(update(docs, ledger), ledger)
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     said = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")

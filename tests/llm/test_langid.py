@@ -63,5 +63,17 @@ def test_defined_results(spark, docs, nothing, net):
     got = {r.doc_id: r for r in langid.predict(rows, net).collect()}
     assert [got[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and got[None].lang_pred in net.langs and not got[None].held_out
     assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k in (1, 2, 3, 5))
+    odd = ["²½", "Ⅷ ٣", "\u0301 ①", "१२", "😀", "ª", "1 ß"]
+    told = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), net).collect()}
+    assert [told[k] for k in range(5)] == [("und", 0.0)] * 5 and all(told[k][0] in net.langs for k in (5, 6))
     assert langid.predict(docs, net).count() == docs.count() and langid.report(nothing).count() == 0
     assert langid.report(rows.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_repeated_rows_are_learned_from_once(spark, source, monkeypatch):
+    given = []
+    monkeypatch.setattr(langid, "train", lambda codes, y, langs, **how: given.append((codes.shape, y.tolist(), langs)))
+    few = source.where("doc_id < 60")
+    langid.learn(few, docs_each=3)
+    langid.learn(few.unionAll(few).unionAll(few), docs_each=3)
+    assert given[0] == given[1] and given[0][0][1] <= 64

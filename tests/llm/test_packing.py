@@ -8,7 +8,7 @@ from collections import Counter
 from tesserae.llm import packing
 from tesserae.llm.queries import word_tokenizer
 
-MIXED = [(-21, "a..b, c.,. İΣ Σ. ΑΣ, don't x's. ÀÉ. é. \xa0z\x1cq w"), (-22, "<|endoftext|> y"), (-23, "K Å é ﬁ ½ ٣ 你好, ok."), (7, "again")]
+MIXED = [(-21, "a..b, c.,. İΣ Σ. ΑΣ, don't x's. ÀÉ. é. \xa0z\x1cq w"), (-22, "<|endoftext|> y"), (-24, "A<|startoftext|>B <|ENDOFTEXT|> <|endoftext|>z"), (-23, "K Å é ﬁ ½ ٣ 你好, ok."), (7, "again")]
 
 
 def fewest(items: list[int], capacity: int) -> int:
@@ -62,7 +62,6 @@ def test_round_trip_against_the_tokenizer(spark, docs, rows):
     df = docs.select("doc_id", "text", "length").unionByName(spark.createDataFrame(MIXED, "doc_id long, text string"), allowMissingColumns=True)
     got = packing.pack(df, word_tokenizer(), 512).collect()
     t = Tokenizer.from_file(word_tokenizer())
-    t.encode_special_tokens = True
     want = Counter()
     for i, text in [*rows, *MIXED]:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -92,6 +91,21 @@ def test_words_against_the_tokenizer():
         assert t(text) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_special_strings_and_other_files():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "A<|startoftext|>B <|ENDOFTEXT|>", "The  end. It's 12", ""]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = word_tokenizer().replace("word_bpe_49k.json", name)
+        for plain in (False, True):
+            t, own = Tokenizer.from_file(path), packing.Tokens(path, plain)
+            t.encode_special_tokens = plain
+            assert own.by_word == name.startswith("word")
+            for x in texts:
+                ids = t.encode(x, add_special_tokens=False).ids
+                assert own(x) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_ids_and_nothing(docs, nothing):
     with_ids = packing.pack(docs.limit(3), word_tokenizer(), 64, with_ids=True).collect()
     assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in with_ids)

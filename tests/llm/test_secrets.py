@@ -51,6 +51,18 @@ def test_the_ledger_is_incremental(spark, docs, monkeypatch):
     assert {r.rule: r["count"] for r in ledger.rows().groupBy("rule").count().collect()}["hex@2"] == blobs(later)
 
 
+def test_a_pair_counts_once_and_only_when_its_scan_is_whole(spark):
+    docs = spark.createDataFrame([(1, "assign token=abcdefgh1")], "doc_id long, text string")
+    want = secrets.report(docs).first()
+    ledger = secrets.Ledger(spark, fresh_dir(spark, "ledger"))
+    row = [(hashlib.sha256(b"assign token=abcdefgh1").hexdigest(), "assign@1", [(7, 22)])]
+    for _ in range(2):  # two scans at once
+        ledger.append(spark.createDataFrame(row, secrets.LEDGER))
+    assert secrets.report(docs, ledger).first() == want and want.n_assign == 1
+    spark.createDataFrame(row, secrets.LEDGER).write.parquet(f"{ledger.path}/scan-broken")
+    assert ledger.rows().where("rule = 'assign@1'").count() == 1
+
+
 def test_pem_blocks_are_added_and_base_spans_stay(spark):
     text = "x -----BEGIN RSA PRIVATE KEY-----\nQUJD\n token=abcdefgh1"
     row = secrets.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
