@@ -3,10 +3,11 @@ r"""Benchmark decontamination by a distributed positional inverted index.
 build_index() cuts the documents into segments of `segment_bytes` of text; each segment stores, as rows of one table, its
 documents (number of words, first position) and its terms with their sorted positions. search() takes the benchmark's windows of
 `width` words to every segment: the positions of a window's rarest term there are the candidates; the lists of the next rarest
-terms, adjusted by their offsets, are intersected with these. What keeps all terms within `reach` words of the rarest one is a
-proximity match; what has each in its place is an exact match.
+terms, adjusted by their offsets, are intersected with these. What has each term in its place is an exact match; a proximity match has all
+of a window's terms, in any order, within `reach` successive words of one document, however documents were cut into segments.
 
-The benchmark travels to the segments in blocks of `block_bytes` of text, so neither it nor the index needs to fit anywhere.
+The benchmark travels to the segments in blocks of `block_windows` windows, so neither it nor the index needs to fit anywhere; long items
+are cut into pieces that overlap by a window but for a word.
 
 Defined results: null texts have no words and no hits; an item without words has no window; repeated items count once by item_id, a
 null item_id is the empty string; repeated documents get a row each; empty tables give empty tables or no hits; other columns are
@@ -20,12 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from tesserae.llm.common import BROADCAST_ROWS, again, at_most, id_key, ready, text_of, tidied, whole, written
 
 #: Bytes of words as they are, A-Z in lower case, the rest as spaces. Bytes from 0x80 belong to letters beyond ASCII.
 _WORD = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+#: Fixed value: a word of the contract.
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 INDEX = "segment long, term binary, doc_id long, h long, at int, n int, positions binary"
 
 
@@ -33,10 +37,10 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORD).split()
 
 
-def build_index(docs: DataFrame, vocabulary: frozenset[bytes] | None = None, segment_bytes: int = 8 << 20) -> DataFrame:
+def build_index(docs: DataFrame, vocabulary: Broadcast | None = None, segment_bytes: int = 8 << 20) -> DataFrame:
     """Rows of terms (term, n, positions) and of documents (doc_id, h: hash of the text, at: first position, n: words) by segment.
 
-    With a vocabulary only its terms are stored. Documents are one position apart, so that no phrase runs over a document's end.
+    With a vocabulary (a broadcast set of words) only its terms are stored, and only benchmarks of these words can be searched. Documents are one position apart, so that no phrase runs over a document's end.
     """
     schema = pa.schema([("segment", pa.int64()), ("term", pa.binary()), ("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("positions", pa.binary())])
 
@@ -46,7 +50,7 @@ def build_index(docs: DataFrame, vocabulary: frozenset[bytes] | None = None, seg
         segment = TaskContext.get().partitionId() << 32
 
         def stored(held: list[tuple]) -> pa.RecordBatch:
-            number = {w: i for i, w in enumerate(vocabulary)} if vocabulary is not None else {}
+            number = {w: i for i, w in enumerate(vocabulary.value)} if vocabulary is not None else {}
             at, starts, sizes, codes_, places_ = 0, [], [], [], []
             for _, _, text in held:
                 own = words(text)
@@ -111,7 +115,7 @@ class Windows:
         self.by_length: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
         for n in {len(w) for w in found}:
             own = [w for w in found if len(w) == n]
-            self.by_length[n] = np.array(own, np.int64), [sorted(found[w]) for w in own]
+            self.by_length[n] = np.array(own, np.int32), [sorted(found[w]) for w in own]
 
 
 _SPACE = np.int64(1) << 32
@@ -123,10 +127,18 @@ def _expand(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def match(windows: np.ndarray, lists: np.ndarray, first: np.ndarray, length: np.ndarray, reach: int, most: int = 500_000) -> Iterator[tuple[np.ndarray, ...]]:
+def _within(lists: np.ndarray, terms: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether each of terms has a posting from lo to hi (one of each a row)."""
+    at = np.searchsorted(lists, terms * _SPACE + lo)
+    at[at == len(lists)] = 0
+    return (lists[at] >= terms * _SPACE + lo) & (lists[at] <= terms * _SPACE + hi)
+
+
+def match(windows: np.ndarray, lists: np.ndarray, first: np.ndarray, length: np.ndarray, starts: np.ndarray, sizes: np.ndarray, reach: int, most: int = 500_000) -> Iterator[tuple[np.ndarray, ...]]:
     """Matches of windows (terms' numbers, one row each) in a segment: exact (window, start) and proximity (window, place).
 
-    lists: all postings as term * 2**32 + position, ascending; first, length: each term's place there. In chunks of candidates.
+    lists: all postings as term * 2**32 + position, ascending; first, length: each term's place there; starts, sizes: the documents'. In
+    chunks of candidates.
     """
     alive = np.flatnonzero((length[windows] > 0).all(axis=1))
     if not len(alive):
@@ -141,16 +153,28 @@ def match(windows: np.ndarray, lists: np.ndarray, first: np.ndarray, length: np.
         counts = length[rarest[lo:hi]]
         which = np.repeat(np.arange(lo, hi), counts)
         place = lists[np.repeat(first[rarest[lo:hi]], counts) + _expand(counts)] & (_SPACE - 1)
-        for k in range(1, windows.shape[1]):  # proximity: a posting of the k-th rarest term within reach
-            term = windows[alive[which], order[which, k]] * _SPACE
-            at = np.searchsorted(lists, term + np.maximum(place - reach, 0))
-            at[at == len(lists)] = 0
-            near = (lists[at] >= term + np.maximum(place - reach, 0)) & (lists[at] <= term + place + reach)
-            which, place = which[near], place[near]
+        exact, places = which, place
+        doc = np.searchsorted(starts, place, "right") - 1
+        begin, end = starts[doc], starts[doc] + sizes[doc] - 1
+        for k in range(1, windows.shape[1]):  # proximity: a posting of the k-th rarest term near enough to the rarest
+            term = windows[alive[which], order[which, k]]
+            near = _within(lists, term, np.maximum(place - reach + 1, begin), np.minimum(place + reach - 1, end))
+            which, place, begin, end = which[near], place[near], begin[near], end[near]
             if not len(which):
                 break
-        near_w, near_p = alive[which], place
-        start = place - order[which, 0] if len(which) else place
+        near_w, near_p = [], []
+        for back in range(reach if len(which) else 0):  # and all of them in one stretch, which starts so far before it
+            lo, hi = np.maximum(place - back, begin), np.minimum(place - back + reach - 1, end)
+            ok = np.ones(len(which), bool)
+            for k in range(1, windows.shape[1]):
+                left = np.flatnonzero(ok)
+                ok[left] = _within(lists, windows[alive[which[left]], order[which[left], k]], lo[left], hi[left])
+            near_w.append(alive[which[ok]])
+            near_p.append(place[ok])
+            which, place, begin, end = which[~ok], place[~ok], begin[~ok], end[~ok]
+        near_w, near_p = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (near_w, near_p))
+        which, place = exact, places
+        start = place - order[which, 0]
         ok = start >= 0
         which, start = which[ok], start[ok]
         for k in range(1, windows.shape[1]):  # exact: the offset-adjusted lists
@@ -181,7 +205,7 @@ def _segment(rows: list[tuple], windows: Windows, reach: int) -> tuple[list, ...
     items: list[set[int]] = [set() for _ in docs]
     near: list[set[int]] = [set() for _ in docs]
     for n, (table, of) in windows.by_length.items():
-        for w, start, near_w, near_p in match(table, lists, first, length, reach):
+        for w, start, near_w, near_p in match(table, lists, first, length, starts, sizes, reach):
             np.add.at(cover, start, 1)
             np.add.at(cover, start + n, -1)
             for ids, places, into in ((w, start, items), (near_w, near_p, near)):
@@ -202,7 +226,7 @@ def _segment(rows: list[tuple], windows: Windows, reach: int) -> tuple[list, ...
 FOUND = "doc_id long, h long, n_words long, spans array<struct<s:long,e:long>>, items array<string>, near array<string>"
 
 
-def search(index: DataFrame, windows: Windows, reach: int) -> DataFrame:
+def search(index: DataFrame, windows: Broadcast, reach: int) -> DataFrame:
     """FOUND for every document of the index: spans of words that an exact match covers, items with exact and proximity matches."""
     span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
     kinds = [pa.int64(), pa.int64(), pa.int64(), span, pa.list_(pa.string()), pa.list_(pa.string())]
@@ -212,7 +236,7 @@ def search(index: DataFrame, windows: Windows, reach: int) -> DataFrame:
         now, rows = None, []
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(_segment(rows, windows, reach), kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(_segment(rows, windows.value, reach), kinds, strict=True)], names)
 
         for b in batches:
             segments = b.column(0).to_pylist()
@@ -229,20 +253,36 @@ def search(index: DataFrame, windows: Windows, reach: int) -> DataFrame:
     return index.repartition("segment").sortWithinPartitions("segment").mapInArrow(tidied(run), FOUND)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = 13, reach: int = 24, block_bytes: int = 16 << 20) -> DataFrame:
+def _pieces(benchmark: DataFrame, width: int, most: int = 10_000) -> DataFrame:
+    """id, text and windows (how many) of the items' pieces of `most` windows at most, their words in lower case between spaces."""
+    low = F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.regexp_extract_all(low, F.lit(ITEM_WORD), F.lit(0)).alias("w"))
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size("w") - width, F.lit(0)) / most).cast("int"))
+    parts = items.where(F.size("w") > 0).select("id", F.explode(F.transform(starts, lambda k: F.slice("w", k * most + 1, F.lit(most + width - 1)))).alias("w"))
+    return parts.select("id", F.array_join("w", " ").cast("binary").alias("text"), F.greatest(F.lit(1), F.size("w") - width + 1).alias("windows")).distinct()
+
+
+def find(docs: DataFrame, benchmark: DataFrame, width: int = 13, reach: int = 24, block_windows: int = 200_000) -> DataFrame:
     """FOUND for every row of docs."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), text_of().cast("binary").alias("text")).distinct()
-    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // block_bytes))
-    if blocks == 1:  # at most block_bytes of text
-        windows = Windows([(r["id"], bytes(r["text"])) for r in items.collect()], width)
-        vocabulary = frozenset(windows.number) if len(windows.number) <= BROADCAST_ROWS else None
-        return search(written(build_index(docs, vocabulary), "index"), windows, reach)
+    items = written(_pieces(benchmark, width), "items")
+    sc = docs.sparkSession.sparkContext
+    total = items.agg(F.sum("windows")).first()[0] or 0
+    blocks = max(1, -(-total // block_windows))
+
+    def block(k: int) -> Windows:  # some block_windows windows, one item's piece more or less
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        return Windows([(r["id"], bytes(r["text"])) for r in rows.collect()], width)
+
+    if blocks == 1:
+        windows = block(0)
+        vocabulary = sc.broadcast(frozenset(windows.number)) if len(windows.number) <= BROADCAST_ROWS else None
+        return search(written(build_index(docs, vocabulary), "index"), sc.broadcast(windows), reach)
     index = written(build_index(docs), "index")
     out = None
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()
-        found = written(search(index, Windows([(r["id"], bytes(r["text"])) for r in part], width), reach), "found")
+        shared = sc.broadcast(block(k))
+        found = written(search(index, shared, reach), "found")
+        shared.unpersist()
         out = found if out is None else out.unionAll(found)
     copies = out.groupBy("doc_id", "h", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"), (F.count("*") / blocks).cast("int").alias("_n"))
     return copies.select(*[x.split()[0] for x in FOUND.split(", ")], F.explode(F.sequence(F.lit(1), "_n")).alias("_k")).drop("_k").mapInArrow(_merge_spans, FOUND)

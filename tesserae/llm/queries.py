@@ -47,7 +47,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13).drop("n_near")
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_secrets, op4_quality, op5_packing, op6_warc, op7_ngram_join, op8_decontamination, op9_langid, op10_chat)}
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ITEM_WORD = decontam.ITEM_WORD
 
 SQL: dict[str, str] = {
     "op6_warc": """
@@ -94,10 +94,19 @@ SQL: dict[str, str] = {
         dw AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
         hit AS (SELECT DISTINCT doc_id, k, n, item FROM dw JOIN bw USING (n, g)),
         places AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM hit) GROUP BY ALL),
-        found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY ALL)
+        found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY ALL),
+        win AS (SELECT g, list_distinct(string_split(g, ' ')) AS t FROM (SELECT DISTINCT g FROM bw)),
+        wt AS (SELECT g, len(t) AS n, unnest(t) AS term FROM win),
+        dt AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM d),
+        able AS (SELECT doc_id, g FROM dt JOIN wt USING (term) GROUP BY doc_id, g, n HAVING count(*) = n),
+        rare AS (SELECT g, arg_min(term, times) AS term FROM wt JOIN (SELECT term, count(*) AS times FROM dt GROUP BY ALL) AS f USING (term) GROUP BY g),
+        pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS term FROM d),
+        spot AS (SELECT able.doc_id, g, unnest(range(greatest(1, k - 23), k + 1)) AS k FROM able JOIN rare USING (g) JOIN pos ON pos.doc_id = able.doc_id AND pos.term = rare.term),
+        close AS (SELECT DISTINCT doc_id, g FROM spot JOIN d USING (doc_id) JOIN win USING (g) WHERE list_has_all(w[k : k + 23], t)),
+        near AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM close JOIN bw USING (g) GROUP BY ALL)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)
     """,
     "op10_chat": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -29,7 +29,11 @@ def plain(docs, items, width):
                 if own := windows.get(tuple(w[k : k + n])):
                     hit |= set(range(k, k + n))
                     found |= own
-        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+        near, words = set(), set(w)
+        for x, own in windows.items():
+            if own - near and words.issuperset(x):
+                near |= own if any(set(x) <= set(w[k : k + 24]) for k in range(len(w)) if w[k] in x) else set()
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w), len(near)))
     return sorted(out, key=repr)
 
 
@@ -43,17 +47,17 @@ def cases(spark, docs, rows):
     return df, [*rows, *extra], items, [(r.item_id, r.text) for r in items.collect()]
 
 
-@pytest.mark.parametrize(("width", "how"), [(13, {}), (4, {}), (13, {"block_bytes": 3000})])
+@pytest.mark.parametrize(("width", "how"), [(13, {}), (4, {}), (13, {"block_windows": 300})])
 def test_against_plain_version(cases, width, how):
     df, rows, items, bench = cases
-    got = sorted((tuple(r)[:6] for r in decontam.report(df, items, width=width, **how).collect()), key=repr)
+    got = sorted((tuple(r) for r in decontam.report(df, items, width=width, **how).collect()), key=repr)
     assert got == plain(rows, bench, width)
 
 
 def test_index_without_a_vocabulary_gives_the_same(cases, monkeypatch):
     df, rows, items, bench = cases
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
-    assert sorted((tuple(r)[:6] for r in decontam.report(df, items).collect()), key=repr) == plain(rows, bench, 13)
+    assert sorted((tuple(r) for r in decontam.report(df, items).collect()), key=repr) == plain(rows, bench, 13)
 
 
 def test_proximity(spark):
@@ -63,9 +67,21 @@ def test_proximity(spark):
     assert got == {1: (0, 1), 2: (0, 0), 3: (1, 1)}
 
 
+def test_long_items_and_the_ends_of_documents(spark):
+    words = [f"w{k}" for k in range(60)]
+    items = [(1, " ".join(words)), (2, "x y z")]
+    docs = [(1, " ".join(words[20:45])), (2, "z"), (3, "y x"), (4, "z q y " + "q " * 21 + "x"), (5, "z q y " + "q " * 20 + "x")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((tuple(r) for r in decontam.report(df, bench).collect()), key=repr)
+    assert got == plain(docs, items, 13) and {r[0]: r[6] for r in got} == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
+    pieces = decontam._pieces(bench, 13, most=10).collect()
+    windows = {tuple(w[k : k + 13]) for r in pieces for w in [r.text.decode().split()] for k in range(max(1, len(w) - 12))}
+    assert windows == {tuple(words[k : k + 13]) for k in range(48)} | {("x", "y", "z")} and max(r.windows for r in pieces) <= 10
+
+
 def test_decontaminate(cases, nothing):
     df, rows, items, bench = cases
     out = decontam.decontaminate(df, items)
-    assert out.columns == df.columns and out.count() == sum(not x[-1] for x in plain(rows, bench, 13))
+    assert out.columns == df.columns and out.count() == sum(not x[5] for x in plain(rows, bench, 13))
     assert decontam.report(nothing, items).count() == 0
     assert decontam.report(df, items.limit(0)).where("n_hit > 0").count() == 0

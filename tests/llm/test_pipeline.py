@@ -36,7 +36,7 @@ def test_stages_against_plain_versions(spark, stages):
     assert set(rows(good)) < set(rows(docs))
     assert sorted(i for i, _ in rows(single)) == sorted({c for _, _, c in groups(rows(good), 5, (4, 5))})
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    assert sorted(i for i, _ in rows(clean)) == sorted(x[0] for x in contaminated(rows(single), bench, 13) if not x[-1])
+    assert sorted(i for i, _ in rows(clean)) == sorted(x[0] for x in contaminated(rows(single), bench, 13) if not x[5])
     before, after = dict(rows(clean)), dict(rows(private))
     assert set(before) == set(after)
     assert not any(spans(t) for t in after.values())
