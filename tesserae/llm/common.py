@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tesserae.session import BROADCAST_ROWS, at_most, fresh_dir, ready, work_dir, written
 
-__all__ = ["BROADCAST_ROWS", "again", "at_most", "drop_table", "fresh_dir", "id_key", "join_hot", "let", "ready", "text_of", "tidied", "whole", "work_dir", "written"]
+__all__ = ["BROADCAST_ROWS", "again", "at_most", "drop_table", "fresh_dir", "id_key", "join_hot", "let", "ready", "text_key", "text_of", "tidied", "whole", "work_dir", "written"]
 
 #: Words of the quality and n-gram contracts: everything but ASCII white space.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -37,13 +37,18 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 16, salt_by: list[str] | None = None) -> DataFrame:
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text, in tables as large as can be."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 16, salt_by: list[str] | None = None, small: bool | None = None) -> DataFrame:
     """Join where one key may hold a third of left's rows and right has one row a key.
 
-    right is broadcast if its row count, which is measured, allows that; else left is salted and right repeated for each salt,
-    so a hot key is dealt over `salts` tasks.
+    right is broadcast if its row count, which is measured unless `small` says it, allows that; else left is salted and right repeated
+    for each salt, so a hot key is dealt over `salts` tasks.
     """
-    if at_most(right):
+    if at_most(right) if small is None else small:
         return left.join(F.broadcast(right), keys, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by or left.columns]), F.lit(salts)).cast("int")
     many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

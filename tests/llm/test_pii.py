@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -48,6 +49,59 @@ def test_base_spans_against_plain_version(spark, docs, rows):
     assert all(r.spans.startswith(by_hash[r.base_sha256]) for r in got)
 
 
+WORD = re.compile(r"[^\W\d_]{3,}")
+
+
+def entities(kind: str, m: str):
+    digits = re.sub("[^0-9]", "", m)
+    if kind == "email":
+        return (kind, 0, m.lower()), (kind, 1, m.split("@", 1)[1].lower())
+    if kind == "ip":
+        return (kind, 0, m), (kind, 1, m.rpartition(".")[0])
+    return (kind, 0, digits), (kind, 1, digits[:8] if kind == "card" else digits[:-4])
+
+
+def terms(texts: list[str], least=3, reach=32, disclosure=0.85, full=0.02) -> dict[str, list[tuple]]:
+    """The term spans (s, e, action, kind) of each text, term by term and entity by entity."""
+    texts = sorted(set(texts))
+    words = {t: [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(t)] for t in texts}
+    n, df_t, df_c, near = len(texts), Counter(), Counter(), {}
+    base = {}
+    for t in texts:
+        df_t.update({w for *_, w in words[t]})
+        base[t] = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in spans(t))]
+        df_c.update({c for k, s, e in base[t] for c in entities(k, t[s:e])})
+    free = {t: [x for x in words[t] if not any(x[0] < e and x[1] > s for _, s, e in base[t])] for t in texts}
+    for t in texts:
+        near[t] = {(c, w) for k, s, e in base[t] for a, b, w in free[t] if a < e + reach and b > s - reach for c in entities(k, t[s:e])}
+    n_ct = Counter(x for t in texts for x in near[t])
+    strong = {}
+    for (c, w), m in n_ct.items():
+        ic, pmi = math.log(n / df_c[c]), math.log(n * m / (df_c[c] * (df_t[w] + 1 / m)))
+        if ic > 0 and pmi >= disclosure * ic:
+            strong[c, w] = pmi >= (1 - full) * ic
+    out = {}
+    for t in texts:
+        risk: dict = {}
+        for (c, w), gone in strong.items():
+            if n_ct[c, w] >= least or (c, w) in near[t]:
+                risk.setdefault(w, []).append((gone, c[0]))
+        said = lambda w: ("remove" if any(g for g, _ in risk[w]) else "generalise", risk[w][0][1] if len({k for _, k in risk[w]}) == 1 else None)  # noqa: B023, E731
+        out[t] = [(a, b, *said(w)) for a, b, w in free[t] if w in risk]
+    return out
+
+
+def test_terms_against_plain_version(spark, docs, rows):
+    more = [(i, f"Dr Zorblax Quint answers at z@x.org or 10.1.2.{i} before noon{'abcdefgh'[i]}q") for i in range(6)] + [(9, "zorblax alone"), (10, "u@x.org 10.1.2.3 wuzzle")]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*more, *more[:2]], "doc_id long, text string"))
+    want = terms([t or "" for _, t in [*rows, *more]])
+    got = pii.find_pii(df).select("doc_id", "terms").collect()
+    text = {i: t or "" for i, t in [*more, *rows] if i is not None}
+    told = {r.doc_id: [tuple(x) for x in r.terms] for r in got if r.doc_id is not None and r.doc_id > 10}
+    assert told == {i: want[text[i]] for i in told} and sum(map(len, told.values())) > 50
+    assert Counter(tuple(map(tuple, r.terms)) for r in got) == Counter(tuple(want[t or ""]) for _, t in [*rows, *more, *more[:2]])
+
+
 def planted(spark):
     vary = lambda i: "lmnopqrst"[i % 9]
     held = [(i, f"alpha beta gamma{vary(i)}q contact bob@site.org with zorblatt {vary(i)}lm and {'uvwxyz'[i % 6]}zz more") for i in range(12)]
@@ -61,7 +115,7 @@ def test_a_disclosing_term_is_found_and_common_words_stay(spark):
     rows = {r.doc_id: r for r in pii.report(df).collect()}
     assert rows[400].spans == "email:20:34,term:5:13" and rows[100].spans == ""
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert clean[400] == "here [TERM] alone [EMAIL]" and clean[100] == df.where("doc_id = 100").first().text
+    assert clean[400] == "here [EMAIL TERM] alone [EMAIL]" and clean[100] == df.where("doc_id = 100").first().text
 
 
 def test_copies_are_one_piece_of_evidence(spark):
@@ -86,6 +140,19 @@ def test_a_fixed_phrase_in_different_texts_is_evidence(spark):
     assert sorted(r.term for r in pii.disclosing_terms(df, pii.find_base(df)).collect()) == ["quint", "zorblax"]
 
 
+def test_what_a_term_becomes(spark):
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:05d}")
+    plain = [(i, "then wrote and more long before nothing but other words once " + " ".join(word(30 * i + j) for j in range(30))) for i in range(300)]
+    held = [(1_000 + i, f"{word(90_000 + i)} then Zorblax wrote z@x.org and more of it, long before {word(95_000 + i)} by Quint 10.1.2.3") for i in range(40)]
+    seen = [(2_000 + i, f"quint and then and more of it wrote by {word(97_000 + i)}") for i in range(6)]
+    one = [(3_000, "wuzzle 10.9.8.7 or +1 555 123 4567 then nothing but other words, and so on, and wuzzle once more")]
+    df = spark.createDataFrame([*plain, *held, *seen, *one], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert got[1_000].startswith(f"{word(90_000)} then  wrote [EMAIL] and more of it, ") and got[1_000].endswith(" by [IP TERM] [IP]")
+    assert got[2_000] == f"[IP TERM] and then and more of it wrote by {word(97_000)}" and got[5] == plain[5][1]
+    assert got[3_000] == "[TERM] [IP] or [PHONE] then nothing but other words, and so on, and [TERM] once more"
+
+
 def test_sanitise_keeps_columns_and_clean_texts(spark, docs, nothing):
     out = pii.sanitise(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
