@@ -1,9 +1,10 @@
 """Quality rules: a decision list learned by sequential covering from labelled statistics. DataFrame functions only.
 
-statistics() measures every text. learn() sums the labelled rows, all of them, into counts by binned statistics; these cells
-are bounded by len(CUTS) ** len(FEATURES), whatever the number of documents, so the covering itself runs on the driver.
-Each rule is a conjunction of thresholds: grown by information gain on two thirds of the labels, pruned on the other third,
-and kept only while it is right in at least `precision` of the latter. The list becomes one ordered conditional expression.
+statistics() measures every text. learn() tries thresholds where the classes end: between quantiles of the bad and of the good labelled
+rows, dense at both ends. Each rule is a conjunction of thresholds: grown by information gain on two thirds of the labels, pruned on the
+other third, and kept if it is right in at least `precision` of the latter and, by Laplace's estimate, of all; if not, the next best start is grown. A step of growth is one
+aggregate over all labelled rows that the rules so far leave, counts by feature and bin; nothing else reaches the driver, so the
+number of labels doesn't matter. The list becomes one ordered conditional expression.
 
 Defined results: a null text has no words and fails the base rules; repeated rows are each judged; without labels, or where no
 rule is precise enough, the list is empty and only the base rules reject; columns of the input other than doc_id and text stay
@@ -13,15 +14,18 @@ as they are, and a statistic replaces an input column of the same name.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tesserae.llm.common import WHITE, again, id_key, let, text_of, whole, written
 
 FEATURES = ("symbols_per_word", "upper_share", "repeat_share", "dup_line_share", "mean_word", "n_words_f")
-#: Shares of the labelled rows between whose values thresholds are tried.
-CUTS = (0.05, 0.2, 0.5, 0.8, 0.85, 0.9, 0.95, 0.99)
+#: Shares of the labelled rows, bad ones and good ones, between whose values thresholds are tried.
+CUTS = (0.0, 0.002, 0.01, 0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98, 0.99, 0.998, 1.0)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -91,37 +95,70 @@ class DecisionList:
         return "; ".join(" and ".join(map(str, r)) for r in self.rules) or "keep all"
 
 
-def _count(cells: list[dict], rule) -> tuple[int, int, int, int]:
-    """Bad and good labels that a rule covers, to grow and to prune on."""
-    hit = [c for c in cells if all(x.holds(c) for x in rule)]
-    return tuple(sum(c[k] for c in hit) for k in ("bad", "good", "bad_p", "good_p"))
+Counts = tuple[int, int, int, int]  # bad and good labels, to grow and to prune on
+Tally = Callable[[list, list, list], tuple[Counts, list[Counts]]]
 
 
-def cover(cells: list[dict], conditions: list[Condition], max_rules: int = 8, max_terms: int = 3, precision: float = 0.9, least: int = 5) -> DecisionList:
-    """Sequential covering over cells {feature: bin, bad, good, bad_p, good_p}."""
-    out, left = DecisionList(), cells
+def tally_cells(cells: list[dict]) -> Tally:
+    """Counts over cells {feature: bin, bad, good, bad_p, good_p} that are at hand."""
+
+    def tally(rules: list, rule: list, conditions: list[Condition]) -> tuple[Counts, list[Counts]]:
+        left = [c for c in cells if not any(all(x.holds(c) for x in r) for r in rules) and all(x.holds(c) for x in rule)]
+        count = lambda own: tuple(sum(c[k] for c in own) for k in ("bad", "good", "bad_p", "good_p"))
+        return count(left), [count([c for c in left if x.holds(c)]) for x in conditions]
+
+    return tally
+
+
+def tally_rows(rows: DataFrame) -> Tally:
+    """Counts over rows: the features' bins, `_bad` and `_grow`. One aggregate each: counts by feature and bin."""
+    n = lambda x, name: F.sum(x.cast("long")).alias(name)
+    bad, grow = F.col("_bad"), F.col("_grow")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f).alias("b")) for k, f in enumerate(FEATURES)])).alias("x")
+    holds = lambda c: F.col(c.feature) > c.bin if c.above else F.col(c.feature) <= c.bin
+    every = lambda rule: reduce(and_, map(holds, rule), F.lit(True))
+
+    def tally(rules: list, rule: list, conditions: list[Condition]) -> tuple[Counts, list[Counts]]:
+        left = rows.where(reduce(and_, [~every(r) for r in rules], every(rule))).select(each, "_bad", "_grow")
+        by_bin = left.groupBy("x.f", "x.b").agg(n(bad & grow, "bad"), n(~bad & grow, "good"), n(bad & ~grow, "bad_p"), n(~bad & ~grow, "good_p")).collect()
+        count = lambda f, own: tuple(sum(r[k] for r in by_bin if r["f"] == f and own(r["b"])) for k in ("bad", "good", "bad_p", "good_p"))
+        return count(0, lambda b: True), [count(FEATURES.index(c.feature), lambda b, c=c: (b > c.bin) == c.above) for c in conditions]
+
+    return tally
+
+
+def cover(cells: list[dict] | Tally, conditions: list[Condition], max_rules: int = 32, max_terms: int = 3, precision: float = 0.9, least: int = 5, tries: int = 8) -> DecisionList:
+    """Sequential covering. Ends when fewer than `least` bad labels are left or none of the `tries` best starts grows into a precise rule."""
+    out, tally = DecisionList(), cells if callable(cells) else tally_cells(cells)
+
+    def ranked(whole: Counts, counts: list[Counts]) -> list[tuple[Condition, Counts]]:
+        """Conditions that gain, the best first."""
+        p0, n0 = whole[:2]
+        gain = lambda p, n: p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
+        scored = [(gain(c[0], c[1]), -k) for k, c in enumerate(counts) if c[0] >= least and c[:2] != (p0, n0)]
+        return [(conditions[-k], counts[-k]) for g, k in sorted(scored, reverse=True) if g > 0]
+
+    right = lambda c: (c[2] + 1) / (c[2] + c[3] + 2)
+    # a rare kind has few labels to prune on: these must agree, and all labels together be enough
+    precise = lambda c: c[2] > 0 and c[2] >= precision * (c[2] + c[3]) and c[0] + c[2] + 1 >= precision * (sum(c) + 2)
     while len(out.rules) < max_rules:
-        rule, (p0, n0, _, _) = [], _count(left, [])
-        if p0 < least:
+        whole, counts = tally(out.rules, [], conditions)
+        if whole[0] < least or not whole[1]:
             break
-        while len(rule) < max_terms and n0:
-            scored = []
-            for c in conditions:
-                p, n, _, _ = _count(left, [*rule, c])
-                if p >= least and (p, n) != (p0, n0):
-                    scored.append((p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))), c, p, n))
-            best = max(scored, key=lambda x: (x[0], -conditions.index(x[1])), default=None)
-            if best is None or best[0] <= 0:
+        for start in ranked(whole, counts)[:tries]:
+            rule = [start]  # each condition with the counts of the rule up to it
+            while len(rule) < max_terms and rule[-1][1][1]:
+                better = ranked(*tally(out.rules, [c for c, _ in rule], conditions))
+                if not better:
+                    break
+                rule.append(better[0])
+            while len(rule) > 1 and right(rule[-2][1]) >= right(rule[-1][1]):
+                rule.pop()
+            if precise(rule[-1][1]):
+                out.rules.append(tuple(c for c, _ in rule))
                 break
-            rule.append(best[1])
-            p0, n0 = best[2:]
-        right = lambda r: (lambda c: (c[2] + 1) / (c[2] + c[3] + 2))(_count(left, r))
-        while len(rule) > 1 and right(rule[:-1]) >= right(rule):
-            rule.pop()
-        if not rule or right(rule) < precision:
+        else:
             break
-        out.rules.append(tuple(rule))
-        left = [c for c in left if not all(x.holds(c) for x in rule)]
     return out
 
 
@@ -132,22 +169,20 @@ def _between(values: list[float]) -> list[float]:
 
 def learn(stats: DataFrame, labels: DataFrame, label: str = "quality", bad: int = 0, **how) -> DecisionList:
     """Learn from all rows of stats that have a label."""
-    rows = written(stats.select(id_key().alias("_id"), *FEATURES).join(labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).alias("_y")), "_id"), "labelled")
-    cuts = rows.agg(*[F.percentile_approx(f, list(CUTS), 10_000).alias(f) for f in FEATURES]).first()
-    cuts = {f: _between(sorted(set(cuts[f] or []))) for f in FEATURES}
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), (F.col(label) == bad).alias("_bad"))
+    rows = written(stats.select(id_key().alias("_id"), *FEATURES).join(known, "_id"), "labelled")
+    ends = lambda f: [F.percentile_approx(F.when(F.col("_bad") == b, F.col(f)), list(CUTS), 10_000).alias(f"{f}_{b}") for b in (True, False)]
+    found = rows.agg(*[c for f in FEATURES for c in ends(f)]).first()
+    cuts = {f: _between(sorted({*(found[f"{f}_True"] or []), *(found[f"{f}_False"] or [])})) for f in FEATURES}
     bins = []
     for f in FEATURES:
         code = F.lit(0)
         for c in cuts[f]:
             code = code + F.when(F.col(f) > c, 1).otherwise(0)
-        bins.append(code.alias(f))
-    grow = F.pmod(F.xxhash64("_id", F.lit(4)), F.lit(3)) != 0
-    is_bad = F.col("_y") == bad
-    n = lambda x, name: F.sum(F.when(x, 1).otherwise(0)).alias(name)
-    cells = rows.select(*bins, grow.alias("_g"), is_bad.alias("_b")).groupBy(*FEATURES).agg(n(F.col("_b") & F.col("_g"), "bad"), n(~F.col("_b") & F.col("_g"), "good"), n(F.col("_b") & ~F.col("_g"), "bad_p"), n(~F.col("_b") & ~F.col("_g"), "good_p"))
+        bins.append(code.cast("byte").alias(f))
+    binned = written(rows.select(*bins, "_bad", (F.pmod(F.xxhash64("_id", F.lit(4)), F.lit(3)) != 0).alias("_grow")), "binned")
     conditions = [Condition(f, above, c, k) for f in FEATURES for k, c in enumerate(cuts[f]) for above in (True, False)]
-    # the cells are bounded by CUTS and FEATURES, not by the rows
-    return cover([r.asDict() for r in cells.collect()], conditions, **how)
+    return cover(tally_rows(binned), conditions, **how)
 
 
 def judge(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

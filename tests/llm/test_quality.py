@@ -52,6 +52,36 @@ def test_covering_grows_and_prunes():
     assert quality.cover(noise, [a, b]).rules == []
 
 
+def test_counts_of_rows_are_those_of_cells(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(*[rnd.randint(0, 3) for _ in quality.FEATURES], rnd.random() < 0.3, rnd.random() < 0.6) for _ in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"{f} int" for f in quality.FEATURES) + ", _bad boolean, _grow boolean")
+    cells = [dict(zip(quality.FEATURES, r, strict=False)) | {k: int((r[-2], r[-1]) == v) for k, v in {"bad": (True, True), "good": (False, True), "bad_p": (True, False), "good_p": (False, False)}.items()} for r in rows]
+    conditions = [quality.Condition(f, above, 0.0, k) for f in quality.FEATURES for k in range(3) for above in (True, False)]
+    a, b = quality.tally_rows(df), quality.tally_cells(cells)
+    rules = [(conditions[0], conditions[9]), (conditions[4],)]
+    assert a([], [], conditions) == b([], [], conditions) and a(rules, [conditions[-1]], conditions) == b(rules, [conditions[-1]], conditions)
+
+
+def test_an_imprecise_start_doesn_t_end_the_list():
+    f, g = quality.Condition("f", True, 1.0, 0), quality.Condition("g", True, 1.0, 0)
+    # f gains most but is wrong on the labels to prune on; g is right
+    cells = [dict(f=1, g=0, bad=60, good=10, bad_p=5, good_p=30), dict(f=0, g=1, bad=10, good=0, bad_p=12, good_p=0), dict(f=0, g=0, bad=5, good=200, bad_p=2, good_p=100)]
+    assert quality.cover(cells, [f, g]).rules == [(g,)]
+
+
+def test_rare_kinds_at_both_ends_are_found(spark):
+    text = lambda k, word: " ".join(word(i) for i in range(60 + k % 40))
+    good = [(k, text(k, lambda i: f"word{i}x{k}"), 1) for k in range(3_000)]
+    tiny = [(5_000 + k, text(k, lambda i: "abcdefghijklmnopqrstuvwxyz"[i * (k + 3) % 26]), 0) for k in range(40)]
+    marked = [(6_000 + k, text(k, lambda i: f"word{i}x{k}" + "#" * (i % 20 == 0)), 0) for k in range(40)]
+    rows = spark.createDataFrame([*good, *tiny, *marked], "doc_id long, text string, quality int")
+    judged = quality.judge(rows.select("doc_id", "text"), rows.select("doc_id", "quality")).join(rows.select("doc_id", "quality"), "doc_id")
+    assert judged.where("kept and quality = 0").count() <= 4 and judged.where("not kept and quality = 1").count() <= 10
+
+
 def test_without_labels_only_the_base_rules_reject(spark, docs, nothing):
     none = spark.createDataFrame([(1, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     out = quality.judge(docs, none)
