@@ -1,10 +1,11 @@
 """Packing token sequences by bin completion, a branch-and-bound over fillings.
 
 Pieces of equal length are the same to a packer, so the whole problem is a histogram of at most `capacity` lengths, whatever the
-number of documents. pack_histogram() solves it on the driver: the largest length left is completed by an undominated filling;
-a branch is cut when the waste so far leaves no better total; the best-fit solution is the first incumbent. One step applies a
-filling as often as the histogram allows. Its answer, patterns with counts, is dealt to the pieces by their rank among those of
-their length; ranks are made of salted row numbers, since one length may hold a third of all pieces.
+number of documents. pack_histogram() solves it on the driver: the largest length left is completed by undominated fillings, enumerated
+without a limit, the fullest first; a branch is cut when its waste or a lower bound leaves no better total; the best-fit solution is the first
+incumbent. The search ends at the lower bound, or after `steps` of it; both numbers are in the result. Its answer, patterns with
+counts, is dealt to the pieces by their rank among those of their length; ranks are made of salted row numbers, as many salts as a length
+needs, since one length may hold a third of all pieces.
 
 Defined results: a null text is empty and yields one piece, the closing id; repeated rows are packed each; an empty table yields
 no rows; other columns are ignored.
@@ -14,15 +15,16 @@ from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tesserae.llm.common import ready, text_of, tidied, written
+from tesserae.llm.common import join_hot, ready, text_of, tidied, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END = struct.pack("<I", 0)
@@ -152,133 +154,171 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return place(0)
 
 
-def completions(room: int, left: dict[int, int], lengths: list[int], width: int = 6) -> list[tuple[int, ...]]:
-    """Undominated fillings of room from what is left (lengths: its keys, ascending), the fullest first.
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """The least number of bins by Martello and Toth's L2: for each k, items over capacity - k share a bin with none of k or more, the
+    other large items leave their rooms to those from k to half a bin."""
+    n = np.zeros(capacity + 2, np.int64)
+    for x, m in counts.items():
+        n[x] = m
+    items, tokens = np.cumsum(n), np.cumsum(n * np.arange(capacity + 2))
+    k = np.arange(0, capacity // 2 + 1)
+    alone = items[-1] - items[capacity - k]
+    large, in_large = items[capacity - k] - items[capacity // 2], tokens[capacity - k] - tokens[capacity // 2]
+    small = tokens[capacity // 2] - tokens[np.maximum(k - 1, 0)]
+    return int((alone + large + np.maximum(0, -((large * capacity - in_large - small) // capacity))).max())
 
-    A filling that fits exactly with one item dominates all others. Fillings of one to three items and the greedy one of any
-    number are built; the `width` fullest that none of the others dominates are returned.
+
+def _order(filling: tuple[int, ...]) -> tuple:
+    return -sum(filling), [-x for x in filling]
+
+
+class Work:
+    """Steps of search that may still be made."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+
+def completions(room: int, left: dict[int, int], least: int = 0, work: Work | None = None) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of room from what is left, all of them while there is work left, the fullest first, down to a sum of `least`.
+
+    Of fillings of one sum those of larger items come first, so what dominates a filling comes before it. Sums that no choice of
+    lengths can give are left out, which keeps the search for a sum from running into dead ends.
     """
-    k = bisect_right(lengths, room)
-    if not k:
-        return [()]
-    if lengths[k - 1] == room:
-        return [(room,)]
-    greedy, rest, i = [], room, k - 1
-    while rest and i >= 0:
-        x = lengths[i]
-        n = min(rest // x, left[x])
-        greedy += [x] * n
-        rest -= n * x
-        i = min(i - 1, bisect_right(lengths, rest) - 1)
-    fits = np.array(lengths[:k], dtype=np.int64)
-    found = {(int(fits[-1]),), tuple(greedy)}
-
-    def pairs(space: int, head: tuple[int, ...]) -> None:
-        at = np.searchsorted(fits, space - fits, "right") - 1
-        ok = np.flatnonzero((at >= 0) & (fits[at] <= fits))
-        if len(ok):
-            sums = fits[ok] + fits[at[ok]]
-            for j in ok[np.argsort(-sums, kind="stable")[:width]]:
-                found.add(tuple(sorted((*head, int(fits[j]), int(fits[at[j]])), reverse=True)))
-
-    pairs(room, ())
-    if all(sum(f) < room for f in found):
-        for x in fits[::-1][:24]:
-            pairs(room - int(x), (int(x),))
-    able = [f for f in found if all(n <= left[x] for x, n in Counter(f).items())]
-    able.sort(key=lambda f: (room - sum(f), len(f), [-x for x in f]))
-    out: list[tuple[int, ...]] = []
-    for f in able[: 4 * width]:
-        if len(f) > 8 or not any(len(g) <= 8 and _dominates(g, f) for g in out):
-            out.append(f)
-    return out[:width] or [()]
-
-
-def pack_histogram(counts: dict[int, int], capacity: int, nodes: int = 6000) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, descending) and how often each is used; as few bins as found within `nodes` steps of search.
-
-    Stops early at the lower bound, the total over the capacity or the number of lengths that can't share a bin.
+    fits = sorted((x for x, n in left.items() if x <= room and n > 0), reverse=True)
+    whole = (1 << (room + 1)) - 1
+    sums = 1  # bit s: lengths, used without limit, can add up to s
+    for x in reversed(fits):
+        step = x
+        while step <= room and sums != whole:
+            sums |= sums << step & whole
+            step *= 2
+    total = sum(x * min(left[x], room // x) for x in fits)
+    work = work or Work(1 << 62)
+
+    def adding(t: int, k: int) -> Iterator[tuple[int, ...]]:
+        if not t:
+            yield ()
+            return
+        for i in range(bisect_left(fits, -t, lo=k, key=neg), len(fits)):
+            x = fits[i]
+            work.left -= 1
+            if work.left < 0:
+                return
+            for m in range(min(left[x], t // x), 0, -1):
+                if sums >> (t - m * x) & 1:
+                    for rest in adding(t - m * x, i + 1):
+                        yield (x,) * m + rest
+
+    found: list[tuple[int, ...]] = []
+    for t in range(min(room, total), max(least, 0) - 1, -1):
+        if sums >> t & 1:
+            for f in adding(t, 0):
+                work.left -= len(found)
+                if len(f) > 8 or not any(len(g) <= 8 and _dominates(g, f) for g in found):
+                    found.append(f)
+                    yield f
+                    if t == room and len(f) <= 1:  # dominates all others
+                        return
+
+
+def pack_histogram(counts: dict[int, int], capacity: int, steps: int = 2_000_000) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths, descending) and how often each is used; the fewest bins that are found within `steps` of search.
+
+    What each branch leaves is packed by best fit too, and the best of these solutions is the incumbent. Ends early at lower_bound(), which proves the answer, or when every branch was cut or tried, which does too. A branch takes one filling
+    of the largest item so many times, most often first; what follows it takes only later fillings of that item, so no solution
+    comes twice. A branch is cut if its waste, or the lower bound of what it leaves, allows no better total.
     """
-    counts = {x: n for x, n in counts.items() if n}
-    total = sum(x * n for x, n in counts.items())
-    bound = max(-(-total // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
-    best: list[tuple[tuple[int, ...], int]] = []
-    best_bins = sum(counts.values()) + 1
-
-    def steps(left: dict[int, int], lengths: list[int], limit: int):
-        top = lengths[-1]
-        left[top] -= 1  # the item that is completed
-        for f in completions(capacity - top, left, lengths if left[top] else lengths[:-1], limit):
-            yield tuple(sorted((top, *f), reverse=True))
-        left[top] += 1
-
-    def best_fit() -> list[tuple[tuple[int, ...], int]]:
-        left, out = dict(counts), []
-        while left:
-            lengths = sorted(left)
-            pattern, room = [], capacity
-            for x in reversed(lengths):
-                n = min(left[x], room // x)
-                pattern += [x] * n
-                room -= n * x
-                if room < lengths[0]:
-                    break
-            apply(left, tuple(pattern), out)
-        return out
-
-    def apply(left: dict[int, int], pattern: tuple[int, ...], out: list) -> int:
-        uses = Counter(pattern)
-        times = min(left[x] // n for x, n in uses.items())
-        for x, n in uses.items():
-            left[x] -= n * times
+    left = {x: n for x, n in counts.items() if n}
+    if not left:
+        return []
+    bound = lower_bound(left, capacity)
+    best = _best_fit(left, capacity)
+    fewest = sum(t for _, t in best)
+    work = Work(steps)
+    path: list[tuple[tuple[int, ...], int]] = []
+    tokens, bins = sum(x * n for x, n in left.items()), 0
+
+    def take(pattern: tuple[int, ...], times: int) -> None:
+        for x, n in Counter(pattern).items():
+            left[x] = left.get(x, 0) - n * times
             if not left[x]:
                 del left[x]
-        out.append((pattern, times))
-        return times
 
-    if not counts:
-        return []
-    best = best_fit()
-    best_bins = sum(t for _, t in best)
-    # depth first; each entry: what is left, its tokens, bins used, path, the branches not yet tried
-    first = dict(counts)
-    stack = [(first, total, 0, None, list(steps(first, sorted(first), 6)))]
-    while stack and nodes > 0 and best_bins > bound:
-        left, tokens, bins, path, branches = stack[-1]
-        if not branches:
+    def branches(top: int, later: tuple[int, ...] | None) -> Iterator[tuple[tuple[int, ...], tuple[int, ...], int]]:
+        others = left | {top: left[top] - 1}
+        slack = (fewest - 1 - bins) * capacity - tokens
+        for f in completions(capacity - top, others, capacity - top - slack, work):
+            if later is None or _order(f) > _order(later):
+                pattern = tuple(sorted((top, *f), reverse=True))
+                for times in range(min(left[x] // n for x, n in Counter(pattern).items()), 0, -1):
+                    yield f, pattern, times
+
+    stack = [branches(max(left), None)]
+    while stack and fewest > bound and work.left > 0:
+        branch = next(stack[-1], None)
+        if branch is None:
             stack.pop()
+            if path:
+                pattern, times = path.pop()
+                take(pattern, -times)
+                tokens += sum(pattern) * times
+                bins -= times
             continue
-        nodes -= 1
-        after, made = dict(left), []
-        pattern = branches.pop(0)
-        times = apply(after, pattern, made)
+        work.left -= 10 + 2 * len(left)
+        f, pattern, times = branch
+        take(pattern, times)
+        path.append((pattern, times))
         tokens -= sum(pattern) * times
         bins += times
-        if bins + -(-tokens // capacity) >= best_bins:  # the waste so far leaves no better total
-            continue
-        path = (made[0], path)
-        if not after:
-            best, best_bins = [], bins
-            while path:
-                best.append(path[0])
-                path = path[1]
-            continue
-        stack.append((after, tokens, bins, path, list(steps(after, sorted(after), 6))))
+        able = bins + -(-tokens // capacity) < fewest and bins + lower_bound(left, capacity) < fewest
+        if able:
+            rest = _best_fit(left, capacity)
+            work.left -= len(rest) * len(left) // 2
+            if bins + sum(t for _, t in rest) < fewest:
+                best, fewest = path + rest, bins + sum(t for _, t in rest)
+        top = pattern[0]
+        stack.append(branches(max(left), f if left.get(top) else None) if left and able else iter(()))
     return best
 
 
-def place(pieces: DataFrame, capacity: int = 2048, salts: int = 32, nodes: int = 6000) -> DataFrame:
-    """pieces (doc_id, piece, length, ...) with sequence_id and offset. pieces is read three times: pass a written table."""
+def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The first incumbent: the largest item left, then again and again the largest that fits, as often as that can be had."""
+    left, out = dict(counts), []
+    while left:
+        lengths, pattern, room = sorted(left), [], capacity
+        for x in reversed(lengths):
+            n = min(left[x], room // x)
+            pattern += [x] * n
+            room -= n * x
+            if room < lengths[0]:
+                break
+        uses = Counter(pattern)
+        times = min(left[x] // n for x, n in uses.items())
+        for x, n in uses.items():
+            left[x] -= n * times
+            if not left[x]:
+                del left[x]
+        out.append((tuple(pattern), times))
+    return out
+
+
+def place(pieces: DataFrame, capacity: int = 2048, steps: int = 2_000_000, run: int = 200_000) -> DataFrame:
+    """pieces (doc_id, piece, length, ...) with sequence_id and offset, n_sequences (how many there are) and least_sequences (the lower
+    bound). pieces is read three times: pass a written table. A length of many pieces is numbered in parts of `run` pieces or so."""
     spark = pieces.sparkSession
-    tagged = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    # at most capacity x salts rows
+    hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    many = F.create_map(*[F.lit(v) for x, n in hist.items() if n > run for v in (x, -(-n // run))]) if any(n > run for n in hist.values()) else None
+    salts = F.lit(1) if many is None else F.coalesce(F.element_at(many, F.col("length")), F.lit(1))
+    tagged = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts).cast("int"))
+    # a row for each length and `run` pieces
     sizes = written(tagged.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "lengths")
     before = sizes.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    hist = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    patterns = pack_histogram(hist, capacity, steps)
     runs: dict[int, list[tuple[int, int, int, int, int]]] = {}
     given: Counter = Counter()
     first = 0
-    for pattern, times in pack_histogram(hist, capacity, nodes):
+    for pattern, times in patterns:
         at = 0
         for x, n in sorted(Counter(pattern).items(), reverse=True):
             runs.setdefault(x, []).append((given[x], given[x] + n * times, first, n, at))
@@ -287,13 +327,15 @@ def place(pieces: DataFrame, capacity: int = 2048, salts: int = 32, nodes: int =
         first += times
     plan = spark.createDataFrame([(x, r) for x, r in runs.items()], "length long, _runs array<struct<lo:long,hi:long,seq:long,n:long,at:long>>")
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1 + F.col("_before")
-    ranked = tagged.join(F.broadcast(before), ["length", "_salt"]).withColumn("_rank", rank.cast("long"))
+    ranked = join_hot(tagged, before, ["length", "_salt"], "inner", salt_by=["doc_id", "piece"]).withColumn("_rank", rank.cast("long"))
     run = F.get(F.filter("_runs", lambda r: (r["lo"] <= F.col("_rank")) & (F.col("_rank") < r["hi"])), F.lit(0))
     placed = ranked.join(F.broadcast(plan), "length").withColumn("_run", run).withColumn("_k", F.col("_rank") - F.col("_run.lo"))
     return placed.select(
         *pieces.columns,
         (F.col("_run.seq") + F.floor(F.col("_k") / F.col("_run.n"))).cast("long").alias("sequence_id"),
         (F.col("_run.at") + F.col("_k") % F.col("_run.n") * F.col("length")).cast("long").alias("offset"),
+        F.lit(first).cast("long").alias("n_sequences"),
+        F.lit(lower_bound(hist, capacity)).cast("long").alias("least_sequences"),
     )
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import struct
 import zlib
@@ -51,11 +52,52 @@ def test_many_pieces_come_near_the_lower_bound():
 
 
 def test_dominated_fillings_are_left_out():
-    assert packing.completions(10, {10: 1, 6: 1, 4: 1}, [4, 6, 10]) == [(10,)]
-    found = packing.completions(10, {7: 1, 2: 2, 1: 1}, [1, 2, 7])
+    assert list(packing.completions(10, {10: 1, 6: 1, 4: 1})) == [(10,)]
+    found = list(packing.completions(10, {7: 1, 2: 2, 1: 1}))
     assert found[0] == (7, 2, 1) and not any(packing._dominates(a, b) for k, b in enumerate(found) for a in found[:k])
 
 
+def test_all_undominated_fillings_are_enumerated():
+    rnd = random.Random(4)
+    for _ in range(150):
+        room, items = rnd.randint(1, 14), [rnd.randint(1, 12) for _ in range(rnd.randint(0, 7))]
+        able = {f for r in range(len(items) + 1) for f in itertools.combinations(sorted(items, reverse=True), r) if sum(f) <= room}
+        want = {f for f in able if not any(g != f and packing._dominates(g, f) for g in able)}
+        assert set(packing.completions(room, Counter(items))) == want
+
+
+def test_search_gains_where_best_fit_isn_t_enough():
+    hist = Counter({6: 2, 5: 2, 4: 2, 3: 4, 2: 2})  # 46 tokens: 4 bins of 12
+    rnd = random.Random(7)
+    harder = Counter(rnd.randint(500, 1200) for _ in range(300))
+    for counts, capacity, most in ((hist, 12, 4), (harder, 2048, 127)):
+        first, found = packing._best_fit(counts, capacity), packing.pack_histogram(counts, capacity)
+        assert sum(n for _, n in found) <= most and sum(n for _, n in found) <= sum(n for _, n in first)
+        assert packing.lower_bound(counts, capacity) <= sum(n for _, n in found)
+        assert Counter({x: sum(p.count(x) * n for p, n in found) for x in counts}) == counts
+    assert sum(n for _, n in packing._best_fit(harder, 2048)) > 127
+
+
+def test_lower_bound():
+    rnd = random.Random(6)
+    for _ in range(150):
+        capacity = rnd.choice([10, 21])
+        items = [rnd.randint(1, capacity) for _ in range(rnd.randint(1, 9))]
+        assert -(-sum(items) // capacity) <= packing.lower_bound(Counter(items), capacity) <= fewest(sorted(items, reverse=True), capacity)
+    assert packing.lower_bound({6: 3, 5: 3}, 10) == 5
+
+
+def test_a_length_of_many_pieces_is_numbered_in_parts(spark):
+    pieces = spark.range(500).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id < 300, 7L, 3L + id % 3) as length", "id as ids_crc32")
+    got = packing.place(pieces, 10, run=20).collect()
+    seen: dict = {}
+    for r in got:
+        seen.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in seen.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 10
+    assert len(got) == 500 and len(seen) == got[0].n_sequences >= got[0].least_sequences
+
+
 def test_round_trip_against_the_tokenizer(spark, docs, rows):
     from tokenizers import Tokenizer
 
