@@ -37,7 +37,6 @@ GENERAL = {"email": "[EMAIL TERM]", "ip": "[IP TERM]", "card": "[CARD TERM]", "p
 TERM_AT_ALL = "[TERM]"
 TERMS = "array<struct<s:int,e:int,action:string,kind:string>>"
 TERM = r"\p{L}{3,}+"
-_BLOCK = 256
 #: Code points of a cell of text, in which words meet the spans near them.
 _CELL = 512
 
@@ -65,27 +64,27 @@ def _sum(a: Column) -> Column:
 def matches(text: Column, pattern: str, valid=None) -> Column:
     """array<struct<m, s, e>> of the pattern's leftmost matches that don't overlap, those that fail valid(match) dropped.
 
-    A start is the length of all before it; sums are kept for blocks of 256 matches, so that many matches in one text stay cheap.
+    A start is the length of all before it; sums are kept for blocks of matches, some cube root of their number long, so that many matches
+    in one text stay cheap.
     """
     # split() gives what stands between the matches
     lengths = lambda found, gaps: F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-    blocks = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _BLOCK).cast("int")), lambda j: _sum(F.slice(n, j * _BLOCK + 1, F.lit(_BLOCK))))
+    blocks = lambda n, size: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / size).cast("int")), lambda j: _sum(F.slice(n, j * size + 1, size)))
     before = lambda b: F.transform(b, lambda _, j: F.when(j == 0, 0).otherwise(_sum(F.slice(b, F.lit(1), F.greatest(j, F.lit(1))))))
 
-    def located(found: Column, gaps: Column) -> Column:
+    def located(found: Column, gaps: Column, size: Column) -> Column:
         def at(n: Column, base: Column) -> Column:
             def one(m: Column, i: Column) -> Column:
-                k = F.floor(i / _BLOCK).cast("int")
-                rest = F.when(i % _BLOCK == 0, 0).otherwise(_sum(F.slice(n, k * _BLOCK + 1, F.greatest(i % _BLOCK, F.lit(1)))))
-                start = F.get(base, k) + rest + F.length(F.get(gaps, i))
+                rest = F.when(i % size == 0, 0).otherwise(_sum(F.slice(n, i - i % size + 1, F.greatest(i % size, F.lit(1)))))
+                start = F.get(base, F.floor(i / size).cast("int")) + rest + F.length(F.get(gaps, i))
                 return F.when(valid(m) if valid else F.lit(True), F.struct(m.alias("m"), start.alias("s"), (start + F.length(m)).alias("e")))
 
             return F.filter(F.transform(found, one), lambda x: x.isNotNull())
 
-        return let(lengths(found, gaps), lambda n: let(let(blocks(n), before), lambda base: at(n, base)))
+        return let(lengths(found, gaps), lambda n: let(let(blocks(n, size), before), lambda base: at(n, base)))
 
     empty = F.array().cast("array<struct<m:string,s:int,e:int>>")
-    some = lambda found: F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda gaps: located(found, gaps))).otherwise(empty)
+    some = lambda found: F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda gaps: let(F.ceil(F.cbrt(2 * F.size(found))).cast("int"), lambda size: located(found, gaps, size)))).otherwise(empty)
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), some)
 
 
@@ -159,8 +158,9 @@ def near_terms(held: DataFrame, reach: int) -> DataFrame:
     return free.select("_h", "term", F.explode("_c").alias("_c")).select("_h", F.explode("_c.c").alias("c"), "_c.kind", "term").distinct()
 
 
-def disclosures(docs: DataFrame, found: DataFrame, held: DataFrame, near: DataFrame, disclosure: float = 0.85, full: float = 0.02) -> DataFrame:
-    """c, term, kind, n_ct and action of each pair in which the term discloses the entity.
+def disclosures(docs: DataFrame, found: DataFrame, held: DataFrame, near: DataFrame, disclosure: float = 0.85, full: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """c, term, kind, n_ct and action of each pair in which the term discloses the entity; `_h` and term of each text that holds a term
+    that could.
 
     found: find_base() of docs, with `_text` null where there is no span; held, near: its _held() and near_terms().
     """
@@ -175,9 +175,10 @@ def disclosures(docs: DataFrame, found: DataFrame, held: DataFrame, near: DataFr
     candidates = written(join_hot(likely, among, ["term"], "inner", salt_by=["c"]).where(pmi("n_held") >= disclosure * ic).drop("n_held"), "candidates")
     terms = candidates.select("term").distinct()
     every = docs.select(text_key(text_of()).alias("_h"), F.explode(_distinct_terms(text_of())).alias("term"))
-    df_t = join_hot(every, terms, ["term"], "left_semi", salt_by=["_h"]).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    texts_of = written(join_hot(every, terms, ["term"], "left_semi", salt_by=["_h"]).distinct(), "texts_of")
+    df_t = texts_of.groupBy("term").agg(F.count("*").alias("n_t"))
     strong = candidates.join(df_t, "term").where(pmi("n_t") >= disclosure * ic)
-    return strong.select("c", "term", "kind", "n_ct", F.when(pmi("n_t") >= (1 - full) * ic, "remove").otherwise("generalise").alias("action"))
+    return strong.select("c", "term", "kind", "n_ct", F.when(pmi("n_t") >= (1 - full) * ic, "remove").otherwise("generalise").alias("action")), texts_of
 
 
 def _strongest(rows: DataFrame, *keys: str) -> DataFrame:
@@ -188,7 +189,7 @@ def _strongest(rows: DataFrame, *keys: str) -> DataFrame:
 def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, reach: int = 32, **how) -> DataFrame:
     """term, action, kind of the terms that disclose some entity wherever they stand."""
     held = written(_held(found), "held")
-    strong = disclosures(docs, found, held, written(near_terms(held, reach), "near"), **how)
+    strong, _ = disclosures(docs, found, held, written(near_terms(held, reach), "near"), **how)
     return _strongest(strong.where(F.col("n_ct") >= min_support), "term")
 
 
@@ -198,14 +199,15 @@ def find_pii(docs: DataFrame, min_support: int = 3, reach: int = 32, **how) -> D
     found = written(find_base(docs).withColumn("_text", slim), "pii")
     held = written(_held(found), "held")
     near = written(near_terms(held, reach), "near")
-    strong = written(disclosures(docs, found, held, near, **how), "disclosing")
+    strong, texts_of = disclosures(docs, found, held, near, **how)
+    strong = written(strong, "disclosing")
     risk = near.join(_small(strong.where(F.col("n_ct") < min_support).drop("kind")), ["c", "term"]).select("_h", "term", "action", "kind")
     texts = held.select("_h", "_text")
     wide = written(_strongest(strong.where(F.col("n_ct") >= min_support), "term"), "wide")
     if not at_most(wide, 0):
         keyed = docs.select(text_key(text_of()).alias("_h"), text_of().alias("_text"))
-        hits = join_hot(keyed.select("_h", F.explode(_distinct_terms(F.col("_text"))).alias("term")), wide, ["term"], "inner", salt_by=["_h"])
-        risk = risk.unionAll(written(hits.select("_h", "term", "action", "kind").distinct(), "hits"))
+        hits = join_hot(texts_of, wide, ["term"], "inner", salt_by=["_h"]).select("_h", "term", "action", "kind")
+        risk = written(risk.unionAll(hits), "risks")
         others = written(risk.select("_h").distinct().join(held.select("_h"), "_h", "left_anti"), "others")
         texts = texts.unionAll(join_hot(keyed, others, ["_h"], "left_semi", salt_by=["_text"]).dropDuplicates(["_h"]))
     risk = written(_strongest(risk, "_h", "term"), "risk")
