@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tesserae.llm.common import ready, text_of
+from tesserae.llm.common import join_hot, ready, text_of
 
 PAD = 256
 
@@ -212,8 +212,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def learn(docs: DataFrame, docs_each: int = 300, windows_each: int = 16, width: int = 64, **how) -> Network | None:
     """A network from the texts that aren't held out; None if there are none with a language and letters."""
     able = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & lettered()).select("doc_id", "lang", text_of().alias("text"), F.xxhash64("text").alias("_t"))
+    drawn = able.select("doc_id", "lang", "_t", F.xxhash64(F.lit(9), "doc_id").alias("_h"))
+    # of each language the texts with the least hashes, some four times as many as are wanted; then the first of these
+    many = drawn.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))
+    least = join_hot(drawn, many, ["lang"], "inner", salt_by=["_h"]).where(F.col("_h").cast("double") / 2.0**64 + 0.5 <= 4.0 * docs_each / F.col("_n"))
     rank = F.rank().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "_t"))
-    chosen = able.select("doc_id", "lang", "_t", F.xxhash64(F.lit(9), "doc_id").alias("_h")).distinct().withColumn("_k", rank).where(F.col("_k") <= docs_each).select("doc_id", "lang", "_t")
+    chosen = least.select("doc_id", "lang", "_t", "_h").distinct().withColumn("_k", rank).where(F.col("_k") <= docs_each).select("doc_id", "lang", "_t")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
