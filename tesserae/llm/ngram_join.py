@@ -9,8 +9,11 @@
    binary search, and documents that reach the needed overlap are its partners.
 
 A block is searched only until its documents are connected: whoever is not yet in the block's largest group is searched, so no
-link between groups is lost and copies are never paired with one another. A block of more than `block_docs` documents is
-cut into slices; each pair of slices that isn't connected yet is searched in a task of its own, so no task holds more than two.
+link between groups is lost and copies are never paired with one another. A block of more than `block_rows` sets or `block_size`
+shingles is cut into slices, some sets going to all of them, and each slice is searched by itself. What is then outside the block's
+largest group is dealt anew, with a sample of that group, as long as that halves it. Whoever is still outside visits the slices
+that hold a set with one of its parts, and only these: of two linked sets in different groups one at least is outside, and they share a
+part, so this finds what is left. Slices lie on partitions of their own choosing, a block's one after another.
 
 Defined results: text that is null or has no words has an empty set and no link, its component is itself; a text of fewer words
 than n has its whole sequence as one shingle; repeated rows get a row each; rows with a null doc_id link like others, and a component_id
@@ -269,49 +272,86 @@ def connect(sets: list[np.ndarray], threshold: tuple[int, int], known: Union | N
                 top = x
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
-    """Nodes, groups and sets of the rows of a block and part; batches are sorted by these."""
-    key, nodes, groups, sets = None, [], [], []
+def visit(sets: list[np.ndarray], guests: list[int], threshold: tuple[int, int], known: Union) -> Union:
+    """Groups of sets once each guest has been searched, or until all are one."""
+    lists, apart = Lists(sets), len({known.root(i) for i in range(len(sets))})
+    for x in guests:
+        if apart == 1:
+            break
+        for y in lists.search(sets[x], threshold):
+            apart -= known.root(x) != known.root(y)
+            known.join(x, y)
+    return known
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list[int], list[int], list[bool], list[np.ndarray]]]:
+    """Nodes, groups, guests and sets of the rows of a block and part; batches are sorted by these."""
+    key, own = None, ([], [], [], [])
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(4)]
-        for block, part, node, group, text in zip(*cols, b.column(4), strict=True):
+        cols = [b.column(i).to_pylist() for i in range(5)]
+        for block, part, *row, text in zip(*cols, b.column(5), strict=True):
             if (block, part) != key:
                 if key is not None:
-                    yield nodes, groups, sets
-                key, nodes, groups, sets = (block, part), [], [], []
-            nodes.append(node)
-            groups.append(group)
-            sets.append(shingles(text.as_py(), n))
+                    yield own
+                key, own = (block, part), ([], [], [], [])
+            for column, x in zip(own, (*row, shingles(text.as_py(), n)), strict=True):
+                column.append(x)
     if key is not None:
-        yield nodes, groups, sets
+        yield own
 
 
-def _connected(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """node, group of rows (block, part, node, group, text): connected within a block and part; nodes of one group start together."""
+def _connected(rows: DataFrame, n: int, threshold: tuple[int, int], partitions: int) -> DataFrame:
+    """node, group of rows (block, part, node, group, text, and guest, if only guests are to be searched): connected within a block and
+    part; nodes of one group start together."""
     schema = pa.schema([("node", pa.int64()), ("group", pa.int64())])
+    visits = "guest" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, groups, sets in _grouped(batches, n):
+        for nodes, groups, guests, sets in _grouped(batches, n):
             known, first = Union(len(nodes)), {}
             for i, (node, group) in enumerate(zip(nodes, groups, strict=True)):
                 for k in (node, group):
                     known.join(i, first.setdefault(k, i))
-            known = connect(sets, threshold, known)
+            if visits:
+                known = visit(sets, [i for i, x in enumerate(guests) if x], threshold, known)
+            else:
+                known = connect(sets, threshold, known)
             least: dict[int, int] = {}
             for i, node in enumerate(nodes):
                 r = known.root(i)
                 least[r] = min(least.get(r, node), node)
             yield _rows(schema, nodes, [least[known.root(i)] for i in range(len(nodes))])
 
-    return rows.select("block", "part", "node", "group", "text").repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(tidied(run, _forget), "node long, group long")
+    at = F.pmod(F.xxhash64("block") + F.col("part"), F.lit(partitions)).cast("int")
+    rows = rows.select("block", "part", "node", "group", F.col("guest") if visits else F.lit(False).alias("guest"), "text")
+    return rows.repartitionById(partitions, at).sortWithinPartitions("block", "part").mapInArrow(tidied(run, _forget), "node long, group long")
+
+
+def _part_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """block, part (slice), node, out, sig of rows (block, part, node, out, text): a row for each part of a set's shingles."""
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("node", pa.int64()), ("out", pa.bool_()), ("sig", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [parts(shingles(t.as_py(), n), threshold) for t in b.column(4)]
+            again = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(again)) for k in range(4)), pa.array(np.concatenate(own) if own else [], pa.int64())], schema=schema)
+
+    return rows.select("block", F.col("part").cast("long"), "node", "out", "text").mapInArrow(tidied(run, _forget), "block long, part long, node long, out boolean, sig long")
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if at_most(df) else df
 
 
-def link_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), block_size: int = 2_000_000, pivots: int = 4) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs. threshold: a fraction; block_size: shingles that a task holds."""
+def link_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), **how) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of docs. threshold: a fraction; how: options of labelled_rows()."""
+    return labelled_rows(docs, n, threshold, **how).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled_rows(docs: DataFrame, n: int, threshold: tuple[int, int], block_size: int = 200_000, block_rows: int = 128, pivots: int = 4) -> DataFrame:
+    """doc_id, t (hash of the text), n_shingles, component_id and label of each row of docs: rows of one group have one label, null
+    for an empty set. block_size, block_rows: shingles and sets of a slice."""
     signed = written(signatures(docs.select("doc_id", "text"), n, threshold), "signatures")
     sig = written(signed.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("t"), F.col("c").alias("n_shingles"), F.col("d").alias("h0"), F.col("e").alias("h1")), "sets")
     heads = signed.where(F.col("kind") == HEAD).select(F.col("a").alias("part"), F.col("b").alias("node"))
@@ -324,7 +364,9 @@ def link_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4
     key = F.struct(id_key().alias("_id"), "t")
     first = sig.where("n_shingles > 0").groupBy("h0", "h1").agg(F.min(key).alias("k"), F.first("n_shingles").alias("size"))
     inside = written(first.select(F.col("k._id").alias("_id"), F.col("k.t").alias("t"), F.col("h0").alias("node"), "size").join(_small(blocks), "node"), "inside")
-    slices = inside.groupBy("block").agg(F.ceil(F.sum("size") / block_size).cast("int").alias("slices")).where("slices > 1")
+    total = inside.agg(F.sum("size")).first()[0] or 0
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 1_000_000))
+    slices = inside.groupBy("block").agg(F.ceil(F.greatest(F.sum("size") / block_size, F.count("*") / block_rows)).cast("int").alias("slices")).where("slices > 1")
     many = written(slices, "many")
     part = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
     placed = inside.join(_small(many), "block", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("part", part)
@@ -345,55 +387,89 @@ def link_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4
         spread = placed.where("slices > 1").withColumn("_k", rank).where(F.col("_k") <= pivots)
         extra = spread.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).where("_part <> part")
         rows = rows.unionByName(extra.select("_id", "t", "node", "block", F.col("_part").alias("part"), "group"))
-    found = written(_connected(with_text(rows), n, threshold), "connected")
+    found = written(_connected(with_text(rows), n, threshold, partitions), "connected")
     if sliced:
-        found = _joined_slices(found, placed, with_text, n, threshold)
+        search = lambda rows: written(_connected(with_text(rows), n, threshold, partitions), "connected")
+        found = _joined_slices(found, placed, search, lambda rows: _part_rows(with_text(rows), n, threshold), block_rows)
     label = found.groupBy("node").agg(F.min("group").alias("label"))
     return _labelled(sig, label)
 
 
-def _joined_slices(found: DataFrame, placed: DataFrame, with_text, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """Groups of blocks in several slices: those that nodes in more than one slice tie together, then those that a search of each
-    pair of slices finds; pairs of slices that are in one group already are left out."""
+def _merged(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """found (node, group), groups that pairs (node, group: some node's number) tie made one."""
+    ties = pairs.join(found.select("node", F.col("group").alias("g")), "node").select("g", "group").distinct()
+    tied = connected_components(ties, "g", "group").select(F.col("node").alias("group"), F.col("component").alias("_g"))
+    return written(join_hot(found, tied, ["group"], salt_by=["node"]).select("node", F.coalesce("_g", "group").alias("group")), "tied")
+
+
+def _joined_slices(found: DataFrame, placed: DataFrame, search, part_rows, block_rows: int) -> DataFrame:
+    """Groups of blocks in several slices, which were searched one by one: nodes in more than one slice tie some; then see the module."""
     tied = connected_components(found, "node", "group").select("node", F.col("component").alias("_g"))
     found = written(found.join(tied, "node", "left").select("node", F.coalesce("_g", "group").alias("group")).distinct(), "tied")
-    at = placed.where("slices > 1").drop("group").join(found, "node")
-    still = written(at.groupBy("block").agg(F.min("group").alias("_a"), F.max("group").alias("_b")).where("_a <> _b").select("block"), "open")
-    if at_most(still, 0):
-        return found
-    per = at.join(still, "block", "left_semi").groupBy("block", "part").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
-    x, y = per.select("block", F.col("part").alias("p"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1")), per.select("block", F.col("part").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = x.join(y, "block").where("p < q and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").select("block", "p", "q")
-    sides = pairs.select("block", "p", "q", F.explode(F.array("p", "q")).alias("part"))
-    rows = at.join(sides, ["block", "part"]).select("_id", "t", "node", "block", (F.col("p").cast("long") * (1 << 20) + F.col("q")).alias("part"), "group")
-    more = written(_connected(with_text(rows), n, threshold), "pairs")
-    every = found.unionAll(more)
-    tied = connected_components(every, "node", "group").select("node", F.col("component").alias("_g"))
-    return found.join(tied, "node", "left").select("node", F.coalesce("_g", "group").alias("group"))
+    slices = placed.where("slices > 1").drop("group")
+    before = None
+    while True:
+        at = written(slices.join(found, "node"), "sliced")
+        sizes = at.groupBy("block", "group").agg(F.count("*").alias("n"))
+        tops = sizes.groupBy("block").agg(F.max_by("group", F.struct("n", "group")).alias("top"), F.max("n").alias("n_top"), (F.sum("n") - F.max("n")).alias("n_out")).where("n_out > 0")
+        tops = written(tops, "tops")
+        left = tops.agg(F.sum("n_out")).first()[0] or 0
+        if not left:
+            return found
+        named = join_hot(at, tops, ["block"], "inner", salt_by=["node"]).withColumn("out", F.col("group") != F.col("top"))
+        if left <= 4 * block_rows or before is not None and 2 * left > before:
+            break
+        # dealt anew, as many of the largest group beside them: half a slice of each
+        before = left
+        draw = F.xxhash64("node", F.lit(left))
+        units = F.ceil(2 * F.col("n_out") / block_rows)
+        some = named.where(F.col("out") | (draw.cast("double") / 2.0**64 + 0.5 <= F.col("n_out") / F.col("n_top")))
+        found = _merged(found, search(some.withColumn("part", F.pmod(F.xxhash64(draw), units)).select("_id", "t", "node", "block", "part", "group")))
+    sigs = written(part_rows(named.select("_id", "t", "block", "part", "node", "out")), "parts")
+    mates = sigs.select("block", "sig", F.col("part").alias("to")).distinct()
+    visits = join_hot(sigs.where("out").drop("out"), mates, ["block", "sig"], "inner", salt_by=["node"]).where("part <> to").select("block", "node", "to").distinct()
+    visits = written(visits, "visits")
+    # a slice that many visit is there once for each chunk of them
+    hosts = visits.groupBy("block", "to").agg(F.ceil(F.count("*") / (4 * block_rows)).cast("int").alias("chunks"))
+    hosts = written(hosts.withColumnRenamed("to", "part"), "hosts")
+    unit = lambda part, chunk: F.col(part).cast("long") * (1 << 20) + chunk
+    home = join_hot(at, hosts, ["block", "part"], "inner", salt_by=["node"]).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    home = home.select("_id", "t", "node", "block", unit("part", F.col("_k")).alias("part"), "group", F.lit(False).alias("guest"))
+    away = join_hot(visits.withColumnRenamed("to", "part"), hosts, ["block", "part"], "inner", salt_by=["node"])
+    away = away.select("block", "node", unit("part", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("part"))
+    guests = away.join(at.select("_id", "t", "node", "group"), "node").select("_id", "t", "node", "block", "part", "group", F.lit(True).alias("guest"))
+    return _merged(found, search(home.unionByName(guests)))
 
 
 def _labelled(sig: DataFrame, label: DataFrame) -> DataFrame:
-    """The smallest doc_id of each row's group; a set outside all blocks is a group of its own."""
+    """The smallest doc_id of each row's group, and the group's label; a set outside all blocks is a group of its own."""
     classes = sig.where("n_shingles > 0").groupBy("h0", "h1").agg(F.min("doc_id").alias("m")).withColumnRenamed("h0", "node")
     grouped = written(classes.join(label, "node", "left").select("node", "h1", "m", F.coalesce("label", "node").alias("label")), "labelled")
     least = grouped.groupBy("label").agg(F.min("m").alias("component_id"))
-    named = grouped.join(least, "label").select(F.col("node").alias("h0"), "h1", "component_id")
+    named = join_hot(grouped, least, ["label"], "inner", salt_by=["node", "h1"]).select(F.col("node").alias("h0"), "h1", "component_id", "label")
     out = join_hot(sig, named, ["h0", "h1"], salt_by=["doc_id", "t"])
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    full = F.col("n_shingles") > 0
+    return out.select("doc_id", "t", "n_shingles", F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(full, F.col("label")).alias("label"))
 
 
 def deduplicate(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), **how) -> DataFrame:
-    """docs with one row of each group of linked documents, that of the smallest doc_id; texts without words all stay.
+    """docs with one row of each group of linked documents, that of the smallest doc_id (of its texts that with the least hash); texts
+    without words all stay.
 
-    A null doc_id counts as a large one made from the text. Repeated rows come down to one.
+    A null doc_id counts as a large one made from the text. Repeated rows come down to one; different texts with one doc_id are told apart.
     """
-    made = F.lit(NO_ID) + F.xxhash64(text_of()).bitwiseAND(F.lit(NO_ID - 1))
-    keyed = whole(docs, F.coalesce(F.col("doc_id").cast("long"), made).alias("_id"))
-    linked = written(link_components(docs.select(F.coalesce(F.col("doc_id").cast("long"), made).alias("doc_id"), "text"), n, threshold, **how), "linked").where("n_shingles > 0")
-    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = keyed.join(_small(gone), "_id", "left_anti")
-    repeated = written(linked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")), "repeated")
-    if not at_most(repeated, 0):
-        many = kept.join(repeated, "_id", "left_semi")
-        kept = kept.join(repeated, "_id", "left_anti").unionByName(many.dropDuplicates(["_id"]))
+    made = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.xxhash64(text_of()).bitwiseAND(F.lit(NO_ID - 1)))
+    keyed = whole(docs, made.alias("_id"), F.xxhash64(text_of()).alias("_t"))
+    linked = written(labelled_rows(docs.select(made.alias("doc_id"), "text"), n, threshold, **how), "linked").where("n_shingles > 0")
+    first = linked.where("doc_id = component_id")
+    several = written(first.groupBy("label").agg(F.count("*").alias("_n"), F.min("t").alias("_least")).where("_n > 1").select("label", "_least"), "several")
+    gone = linked.where("doc_id <> component_id")
+    repeated = join_hot(first, several, ["label"], "inner", salt_by=["t"])
+    gone = gone.select("doc_id", "t").unionAll(repeated.where("t <> _least").select("doc_id", "t"))
+    gone = gone.distinct().select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    kept = keyed.join(_small(gone), ["_id", "_t"], "left_anti")
+    twice = written(repeated.where("t = _least").groupBy("doc_id", "t").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")), "repeated")
+    if not at_most(twice, 0):
+        many = kept.join(_small(twice), ["_id", "_t"], "left_semi")
+        kept = kept.join(_small(twice), ["_id", "_t"], "left_anti").unionByName(many.dropDuplicates(["_id", "_t"]))
     return again(kept, docs.columns)

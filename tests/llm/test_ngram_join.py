@@ -97,7 +97,7 @@ def near_copies(rnd: random.Random, count: int) -> list:
     return out
 
 
-@pytest.mark.parametrize(("n", "threshold", "how"), [(3, (9, 10), {}), (5, (4, 5), {}), (3, (9, 10), {"block_size": 1500}), (2, (1, 2), {"block_size": 3000, "pivots": 1})])
+@pytest.mark.parametrize(("n", "threshold", "how"), [(3, (9, 10), {}), (5, (4, 5), {}), (3, (9, 10), {"block_size": 1500}), (2, (1, 2), {"block_size": 3000, "pivots": 1}), (3, (9, 10), {"block_rows": 3, "pivots": 0}), (2, (1, 2), {"block_rows": 4, "pivots": 1})])
 def test_components_against_all_pairs(spark, docs, rows, n, threshold, how):
     extra = near_copies(random.Random(3), 60) + [(-31, "A b"), (-32, "a  B")]
     df = docs.select("doc_id", "text", "node", "part").unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
@@ -114,5 +114,34 @@ def test_deduplicate_keeps_one_of_each_group(spark, docs, rows):
     assert sorted(10**9 if i is None else i for i in got) == sorted(want)
 
 
+def test_different_texts_of_one_id_are_told_apart(spark):
+    word = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(3, word(1)), (5, word(1) + " more"), (5, word(2)), (7, word(3)), (7, word(4)), (9, word(5)), (9, word(5)), (9, word(5) + " end"), (11, ""), (11, "")]
+    got = [(r.doc_id, r.text) for r in nj.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    nines = [x for x in got if x[0] == 9]
+    assert len(nines) == 1 and nines[0] in rows
+    assert sorted(x for x in got if x[0] != 9) == sorted(x for x in rows if x[0] != 9 and x != (5, word(1) + " more"))
+
+
+def test_visits_find_links_between_slices(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = []
+    for g in range(40):  # chains: each text like the one before, the ends unlike
+        words = [f"g{g}w{k}" for k in range(60)] if g % 2 else rows[0][1].split()[:30] + [f"g{g}w{k}" for k in range(60)] if rows else [f"c{k}" for k in range(60)]
+        for i in range(5):
+            rows.append((100 * g + i, " ".join(words)))
+            words = list(words)
+            for _ in range(2):
+                words[rnd.randrange(len(words))] = f"v{rnd.randrange(99999)}"
+    calls = []
+    real = nj.visit
+    monkeypatch.setattr(nj, "_part_rows", lambda *a, f=nj._part_rows: calls.append(1) or f(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({"block_rows": 2, "pivots": 0}, {"block_rows": 3, "pivots": 1}):
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nj.link_components(df, 3, (4, 5), **how).collect()), key=repr)
+        assert got == plain(rows, 3, (4, 5))
+    assert calls and real is nj.visit
+
+
 def test_nothing(nothing):
     assert nj.link_components(nothing).count() == nj.deduplicate(nothing).count() == 0
