@@ -8,7 +8,7 @@ Of records with one payload of at least `least` bytes, the one with the largest
 Which one that is comes from sums over digests; a payload that a third of all rows share is joined by salted digests.
 
 Archives are named by task attempt and counted only if their index rows were committed, so a lost executor leaves no wrong
-record. They are written through pyarrow's file systems, below the folder that all executors share.
+record. They are written through pyarrow's file systems (files, HDFS, S3, GCS), below the folder that all executors share.
 
 Defined results: a null payload is empty; a null URL is empty; a null key is never a response that others refer to, unless all rows
 with the payload have one, which then are all responses; of repeated rows with the largest key, all are responses; an empty table
@@ -23,7 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserae.llm.common import fresh_dir, join_hot, ready, text_of, written
 
@@ -31,9 +31,20 @@ INDEX = "archive string, offset long, length long, url string, digest string, re
 END = b"\r\n"
 
 
+def shared_folder(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme that Spark takes it to have, so that it is the same place to executors' workers: without one it would be a
+    folder on each executor's own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _file_system(uri: str):
+    """pyarrow's file system and path of a URI; it knows S3 by one name only."""
     from pyarrow import fs
 
+    scheme, _, rest = uri.partition("://")
+    if rest and scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
@@ -130,8 +141,9 @@ def ranges(rows: list[tuple[int, int]], gap: int, span: int) -> Iterator[tuple[i
 READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read(selected: DataFrame, folder: str, gap: int = 64 << 10, span: int = 4 << 20, chunk: int = 64 << 20, with_payload: bool = True) -> DataFrame:
-    """READ of the index rows selected. Archives are cut into chunks of `chunk` bytes, so that a large one is read by many tasks."""
+def read(selected: DataFrame, folder: str, gap: int = 64 << 10, span: int = 4 << 20, chunk: int = 4 << 20, with_payload: bool = True, most_tasks: int = 100_000) -> DataFrame:
+    """READ of the index rows selected. Archives are cut into chunks of `chunk` bytes, so that a large one is read by many tasks: one a
+    chunk or so, whatever the index takes itself; chunks grow where there would be more than most_tasks."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +163,15 @@ def read(selected: DataFrame, folder: str, gap: int = 64 << 10, span: int = 4 <<
                 lo = hi
 
     ready(selected.sparkSession)
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    chunk = max(chunk, -(-total // most_tasks))
     place = F.floor(F.col("offset") / chunk).alias("_chunk")
-    sorted_rows = selected.select("archive", "offset", "length", place).repartition("archive", "_chunk").sortWithinPartitions("archive", "offset")
+    sorted_rows = selected.select("archive", "offset", "length", place).repartition(max(1, -(-total // chunk)), "archive", "_chunk").sortWithinPartitions("archive", "offset")
     return sorted_rows.select("archive", "offset", "length").mapInArrow(run, READ)
 
 
 def report(pages: DataFrame) -> DataFrame:
     """Write all pages, read all records back."""
-    folder = fresh_dir(pages.sparkSession, "warc")
+    folder = shared_folder(pages.sparkSession, fresh_dir(pages.sparkSession, "warc"))
     index = write(decide(pages), folder)
     return read(index, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

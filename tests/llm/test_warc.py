@@ -60,3 +60,12 @@ def test_a_changed_payload_is_noticed():
 
 def test_nothing(spark):
     assert warc.report(pages(spark).limit(0)).count() == 0
+
+
+def test_folders_and_read_tasks(spark, tmp_path):
+    assert warc.shared_folder(spark, str(tmp_path)) == f"file:{tmp_path}"
+    pages = spark.range(400).selectExpr("id as page_id", "concat('u', id) as url", "repeat(sha2(string(id), 512), 40) as html")
+    index = warc.write(warc.decide(pages), warc.shared_folder(spark, str(tmp_path / "w")))
+    out = warc.read(index, "", chunk=20_000)
+    assert out.rdd.getNumPartitions() > 4 and out.count() == 400
+    assert warc.read(index, "", chunk=20_000, most_tasks=2).rdd.getNumPartitions() <= 2
