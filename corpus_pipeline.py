@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, packed token sequences out.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the columns of
-documents. SQL can't express the learned rules, the search or the packing, so ORACLE_SQL is None and tests hold the pipeline
+documents; what they return is written in the shared folder and read again, so no stage computes another one's work twice and a lost
+executor costs nothing of the stages before. SQL can't express the learned rules, the search or the packing, so ORACLE_SQL is None and tests hold the pipeline
 against a plain version.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm import decontam, ngram_join, packing, pii, quality
 from tesserae.llm.queries import table, word_tokenizer
+from tesserae.session import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +46,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -38,8 +38,18 @@ def work_dir(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tesserae-"))
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/tesserae-{spark.sparkContext.applicationId}"
+
+
 def fresh_dir(spark: SparkSession, tag: str) -> str:
-    return f"{work_dir(spark)}/tesserae-{uuid.uuid4().hex}/{tag}"
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}/{tag}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables between stages that this application wrote. DataFrames that read them are of no use after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tesserae.session import local_session  # noqa: E402
+from tesserae.session import clean, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,7 +15,8 @@ def spark():
     session = local_session(4, "4g", "tests")
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
-    return session
+    yield session
+    clean(session)
 
 
 @pytest.fixture(scope="session")
