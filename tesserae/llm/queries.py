@@ -65,7 +65,67 @@ QUERIES = {f.__name__: f for f in (op1_pii, op2_sharding, op3_secrets, op4_quali
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ITEM_WORD = decontam.ITEM_WORD
 
+
+
+def _found(name: str, pattern: str, keep: str, text: str = "text") -> str:
+    """SQL for the matches of pattern in table `t` (doc, text) that keep holds for: doc, m, s, e, one row each."""
+    return rf"""
+        {name}_all AS (SELECT doc, regexp_extract_all({text}, '{pattern}') AS m, string_split_regex({text}, '{pattern}') AS g FROM t),
+        {name}_rows AS (SELECT doc, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(g[1 : len(m)]) AS g FROM {name}_all WHERE len(m) > 0),
+        {name}_each AS (SELECT doc, m, sum(length(g) + length(m)) OVER (PARTITION BY doc ORDER BY i) - length(m) AS s FROM {name}_rows),
+        {name} AS (SELECT doc, m, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e FROM {name}_each WHERE {keep})"""
+
+
+_ASSIGN = """(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 SQL: dict[str, str] = {
+    "op3_secrets": rf"""
+        WITH t AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+        {_found("assign", _ASSIGN, f"length(regexp_extract(m, '^{_ASSIGN}$', 1)) >= 8")},
+        {_found("access", "AKIA[A-Z0-9]+", "length(m) >= 16")},
+        {_found("hex", "[0-9a-f]{32,}", "true")},
+        {_found("pem", "-----BEGIN [A-Z ]{{0,32}}PRIVATE KEY-----[A-Za-z0-9+/=[:space:]]*".replace("{{", "{").replace("}}", "}"), "true")},
+        spans AS (SELECT doc, s, 0 AS k, e, 'assign' AS kind FROM assign UNION ALL SELECT doc, s, 1, e, 'access' FROM access
+                  UNION ALL SELECT doc, s, 2, e, 'hex' FROM hex UNION ALL SELECT doc, s, 3, e, 'pem' FROM pem),
+        by_doc AS (SELECT doc, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_pem,
+                   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM spans GROUP BY doc)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+               coalesce(spans, '') AS spans, coalesce(n_pem, 0) AS n_pem
+        FROM t LEFT JOIN by_doc USING (doc)
+    """,
+    "op1_pii": rf"""
+        WITH RECURSIVE t AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+        {_found("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")},
+        {_found("ip", "[0-9]+(?:[.][0-9]+)(?:[.][0-9]+)(?:[.][0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0")},
+        {_found("card", "[0-9](?:[ -]?[0-9])+", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(regexp_replace(m, '[^0-9]', '', 'g')) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT) WHEN CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT) > 4 THEN 2 * CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT) - 9 ELSE 2 * CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT) END)) % 10 = 0")},
+        {_found("phone", "[+][0-9][ ().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 8 AND 15")},
+        {_found("word", r"\p{L}{3,}", "true")},
+        base AS (SELECT *, 0 AS k, 'email' AS kind, lower(m) AS v, lower(regexp_extract(m, '@(.*)', 1)) AS w FROM email
+                 UNION ALL SELECT *, 1, 'ip', m, regexp_extract(m, '(.*)[.]', 1) FROM ip
+                 UNION ALL SELECT *, 2, 'card', regexp_replace(m, '[^0-9]', '', 'g'), left(regexp_replace(m, '[^0-9]', '', 'g'), 8) FROM card
+                 UNION ALL SELECT *, 3, 'phone', regexp_replace(m, '[^0-9]', '', 'g'), regexp_replace(m, '[^0-9]', '', 'g')[1 : -5] FROM phone),
+        first AS (SELECT min(doc) AS doc, text FROM t GROUP BY text),
+        n AS (SELECT count(*) AS n FROM first),
+        ents AS (SELECT doc, s, e, kind, unnest([kind || ' 0 ' || v, kind || ' 1 ' || w]) AS c FROM base JOIN first USING (doc)),
+        free AS (SELECT doc, s, e, lower(m) AS term FROM word WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc = word.doc AND word.s < b.e AND word.e > b.s)),
+        df_c AS (SELECT c, count(DISTINCT doc) AS n_c FROM ents GROUP BY c),
+        df_t AS (SELECT lower(m) AS term, count(DISTINCT doc) AS n_t FROM word JOIN first USING (doc) GROUP BY ALL),
+        near AS (SELECT DISTINCT f.doc, c, kind, term FROM free f JOIN ents x ON f.doc = x.doc AND f.s < x.e + 32 AND f.e > x.s - 32),
+        pairs AS (SELECT c, term, any_value(kind) AS kind, count(*) AS n_ct FROM near GROUP BY c, term),
+        rated AS (SELECT c, term, kind, n_ct, ln(n / n_c) AS ic, ln(CAST(n AS DOUBLE) * n_ct / (n_c * (n_t + 1.0::DOUBLE / n_ct))) AS pmi
+                  FROM pairs JOIN df_c USING (c) JOIN df_t USING (term) CROSS JOIN n WHERE n_c < n),
+        strong AS (SELECT *, CASE WHEN pmi >= 0.98 * ic THEN 'remove' ELSE 'generalise' END AS action FROM rated WHERE pmi >= 0.85 * ic),
+        risk AS (SELECT doc, term, action FROM near JOIN strong USING (c, term) WHERE n_ct < 3
+                 UNION ALL SELECT DISTINCT first.doc, term, action FROM word JOIN first USING (doc) JOIN strong ON term = lower(m) WHERE n_ct >= 3),
+        told AS (SELECT doc, term, max(action) AS action FROM risk GROUP BY ALL),
+        terms AS (SELECT doc, count(*) FILTER (action = 'remove') AS n_removed, count(*) FILTER (action = 'generalise') AS n_generalised, string_agg('term:' || s || ':' || e, ',' ORDER BY s) AS terms
+                  FROM free JOIN told USING (doc, term) GROUP BY doc),
+        by_doc AS (SELECT doc, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+                   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS base FROM base GROUP BY doc)
+        SELECT t.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256,
+               concat_ws(',', base, terms) AS spans, coalesce(n_removed, 0) AS n_removed, coalesce(n_generalised, 0) AS n_generalised
+        FROM t JOIN first USING (text) LEFT JOIN terms ON terms.doc = first.doc LEFT JOIN by_doc ON by_doc.doc = t.doc
+    """,
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS body FROM pages),
         d AS (SELECT page_id, url, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
