@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tesserae.functions.geometry import Box, intersection
+from tesserae.operators.joins import cross_overlaps
 from tesserae.session import at_most, ready, written
 
 IOU_STEPS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
@@ -41,21 +42,22 @@ def class_scores(matrix: DataFrame, classes: int) -> DataFrame:
     return sums.select("c", F.try_divide("tp", F.col("pos") + F.col("got") - F.col("tp")).alias("iou"), F.try_divide("tp", "pos").alias("acc"))
 
 
-def voc_matches(gt: DataFrame, det: DataFrame, threshold: float, pad: float = 1.0) -> DataFrame:
-    """det with tp: the best ground truth of its image and class, if over the threshold, claimed once by the highest score. Difficult
-    ones neither help nor hurt. gt: image, class, id, difficult, box; det: image, class, id, score, box; pad counts pixels inclusive."""
-    a = gt.select("image", "class", F.col("id").alias("gt"), "difficult", *[F.col(c).alias(f"{c}_a") for c in ("x0", "y0", "x1", "y1")])
-    b = det.select("image", "class", F.col("id").alias("det"), "score", *[F.col(c).alias(f"{c}_b") for c in ("x0", "y0", "x1", "y1")])
+def voc_matches(gt: DataFrame, det: DataFrame, threshold: float, pad: float = 1.0, bucket: float = 128.0) -> DataFrame:
+    """det with tp: the best ground truth of its image and class, if over the threshold (0 or more), claimed once by the highest score.
+    Difficult ones neither help nor hurt. gt: image, class, id, difficult, box; det: image, class, id, score, box; pad counts pixels
+    inclusive. Only boxes that overlap meet, in buckets."""
+    box = lambda df: df.withColumn("x1", F.col("x1") + pad).withColumn("y1", F.col("y1") + pad)
+    a = box(gt.select("image", "class", "id", "difficult", "x0", "y0", "x1", "y1"))
+    b = box(det.select("image", "class", "id", "score", "x0", "y0", "x1", "y1"))
     one, two = Box.of(suffix="_a"), Box.of(suffix="_b")
-    inter = intersection(one, two, pad)
-    size = lambda x: (x.width + pad) * (x.height + pad)
-    ov = inter / (size(one) + size(two) - inter)
-    best = b.join(a, ["image", "class"], "left").groupBy("image", "class", "det", "score").agg(F.max(F.struct(F.coalesce(ov, F.lit(-1.0)).alias("ov"), (-F.col("gt")).alias("neg"), "difficult")).alias("m"))
-    hit = best.select("image", "class", "det", "score", F.when(F.col("m.ov") > threshold, -F.col("m.neg")).alias("gt"), F.col("m.difficult").alias("difficult"))
+    inter = intersection(one, two)
+    pairs = cross_overlaps(a, b, bucket, ("image", "class")).withColumn("ov", inter / (one.area + two.area - inter)).where(F.col("ov") > threshold)
+    best = pairs.groupBy("image", "class", F.col("id_b").alias("det")).agg(F.max(F.struct("ov", (-F.col("id_a")).alias("neg"), F.col("difficult_a").alias("hard"))).alias("m"), F.first("score_b").alias("score"))
+    hit = best.select("image", "class", "det", (-F.col("m.neg")).alias("gt"), F.coalesce("m.hard", F.lit(False)).alias("hard"), "score")
     turn = F.row_number().over(Window.partitionBy("image", "class", "gt").orderBy(F.desc("score"), "det"))
-    claimed = hit.withColumn("_turn", turn)
-    ignored = F.col("gt").isNotNull() & F.coalesce(F.col("difficult"), F.lit(False))
-    return claimed.where(~ignored).select("image", "class", "det", "score", (F.col("gt").isNotNull() & (F.col("_turn") == 1)).alias("tp"))
+    claimed = hit.select("image", "class", "det", "hard", (turn == 1).alias("first"))
+    rows = det.select("image", "class", F.col("id").alias("det"), "score").join(claimed, ["image", "class", "det"], "left")
+    return rows.where(~F.coalesce("hard", F.lit(False))).select("image", "class", "det", "score", F.coalesce("first", F.lit(False)).alias("tp"))
 
 
 def precision_recall(matches: DataFrame, positives: DataFrame, by: str = "class") -> DataFrame:

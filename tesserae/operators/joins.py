@@ -35,6 +35,20 @@ def box_overlaps(boxes: DataFrame, bucket: float, key: str = "id", same: tuple[s
     return out.drop("_gx", "_gy")
 
 
+def cross_overlaps(left: DataFrame, right: DataFrame, bucket: float, same: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a box of left and one of right that overlap strictly, as columns with suffixes _a and _b; dealt as in box_overlaps()."""
+    keys = ["_gx", "_gy", *same]
+
+    def dealt(df: DataFrame, suffix: str) -> DataFrame:
+        gx, gy = _span(F.col("x0"), F.col("x1"), bucket), _span(F.col("y0"), F.col("y1"), bucket)
+        rows = df.withColumn("_gx", F.explode(gx)).withColumn("_gy", F.explode(gy))
+        return rows.select(*keys, *[F.col(c).alias(f"{c}{suffix}") for c in df.columns if c not in same])
+
+    one, two = Box.of(suffix="_a"), Box.of(suffix="_b")
+    here = (F.floor(F.greatest(one.x0, two.x0) / bucket) == F.col("_gx")) & (F.floor(F.greatest(one.y0, two.y0) / bucket) == F.col("_gy"))
+    return dealt(left, "_a").join(dealt(right, "_b"), keys).where(one.overlaps(two) & here).drop("_gx", "_gy")
+
+
 def duplicate_links(boxes: DataFrame, bucket: float, iou_min: float, containment_min: float, key: str = "id", tile: str = "tile", same: tuple[str, ...] = ("class_id",)) -> DataFrame:
     """Links between predictions of different tiles by box overlap: IoU or containment reaches its threshold.
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tesserae.session import ready
@@ -76,11 +77,56 @@ def union(runs: DataFrame, groups: DataFrame) -> DataFrame:
     return marked.groupBy("group", "y", "_k").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).select(F.col("group").alias("id"), "y", "x0", "x1")
 
 
+def paint_runs(runs: DataFrame, scores: DataFrame, rows: int = 64, columns: int = 4096) -> DataFrame:
+    """y, x0, x1, label, n: where masks overlap the higher score, ties to the smaller id, has the pixel; n is how many claimed it.
+
+    Runs travel as they are, cut where they leave a cell of rows x columns pixels; a cell is painted by itself, the best mask last."""
+    cell = F.explode(F.sequence(F.floor(F.col("x0") / columns), F.floor((F.col("x1") - 1) / columns))).alias("_cx")
+    dealt = runs.where("x1 > x0").join(scores.select("id", "score"), "id").select(F.floor(F.col("y") / rows).alias("_cy"), cell, "y", "x0", "x1", "id", F.col("score").cast("double").alias("score"))
+    cut = dealt.withColumn("x0", F.greatest("x0", F.col("_cx") * columns)).withColumn("x1", F.least("x1", (F.col("_cx") + 1) * columns))
+    names = ["_cy", "_cx", "y", "x0", "x1", "id"]
+    schema = pa.schema([(c, pa.int64()) for c in ("y", "x0", "x1", "label", "n")])
+
+    def segments(cell: tuple[int, int], label: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+        n = np.cumsum(change, axis=1)[:, :columns]
+        edge = np.ones((rows, columns), bool)
+        edge[:, 1:] = (label[:, 1:] != label[:, :-1]) | (n[:, 1:] != n[:, :-1])
+        at = np.flatnonzero(edge.ravel())
+        ends = np.append(at[1:], rows * columns)
+        full = n.ravel()[at] > 0
+        at, ends = at[full], ends[full]
+        y, x = at // columns + cell[0] * rows, at % columns + cell[1] * columns
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (y, x, x + ends - at, label.ravel()[at], n.ravel()[at])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = None
+        for b in batches:
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            cuts = [0, *(np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                cy, cx, y, x0, x1, ids = (c[lo:hi] for c in cols)
+                if (key := (int(cy[0]), int(cx[0]))) != cell:
+                    if cell is not None:
+                        yield segments(cell, label, change)
+                    cell, label, change = key, np.zeros((rows, columns), np.int64), np.zeros((rows, columns + 1), np.int32)
+                y, x0, x1 = y - cell[0] * rows, x0 - cell[1] * columns, x1 - cell[1] * columns
+                np.add.at(change, (y, x0), 1)
+                np.add.at(change, (y, x1), -1)
+                for r, p, q, i in zip(y.tolist(), x0.tolist(), x1.tolist(), ids.tolist(), strict=True):
+                    label[r, p:q] = i
+        if cell is not None:
+            yield segments(cell, label, change)
+
+    ready(runs.sparkSession)
+    ordered = cut.repartition("_cy", "_cx").sortWithinPartitions("_cy", "_cx", "score", F.desc("id"))
+    return ordered.select(*[F.col(c).cast("long").alias(c) for c in names]).mapInArrow(run, "y long, x0 long, x1 long, label long, n long")
+
+
 def paint(runs: DataFrame, scores: DataFrame) -> DataFrame:
-    """label of each pixel: the mask of the highest score, ties to the smaller id; and n, how many claimed it. One aggregate a pixel."""
-    pixels = to_pixels(runs.join(scores.select("id", "score"), "id"))
-    first = F.min(F.struct((-F.col("score")).alias("s"), "id"))
-    return pixels.groupBy("y", "x").agg(first["id"].alias("label"), F.count("*").alias("n"))
+    """paint_runs() by the pixel: y, x, label, n."""
+    return to_pixels(paint_runs(runs, scores)).select("y", "x", "label", "n")
 
 
 def conflicts(painted: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tesserae.functions.scalar import arcsinh, clip, finite, impute, signed_log1p, zscore
 from tesserae.operators.joins import nearest_centroid
-from tesserae.session import ready
+from tesserae.session import at_most, ready
 
 TRANSFORMS = {"none": lambda c: F.col(c).cast("double"), "arcsinh": lambda c: arcsinh(F.col(c).cast("double")), "log1p": lambda c: signed_log1p(F.col(c).cast("double"))}
 
@@ -167,7 +167,8 @@ def summary(assigned: DataFrame, clusters: DataFrame | None = None) -> DataFrame
 def rename(assigned: DataFrame, names: DataFrame) -> DataFrame:
     """cluster_name replaced by names (cluster_id, new_name); blank names are ignored."""
     given = names.select("cluster_id", F.nullif(F.trim("new_name"), F.lit("")).alias("_new"))
-    return assigned.join(F.broadcast(given), "cluster_id", "left").withColumn("cluster_name", F.coalesce("_new", "cluster_name")).drop("_new")
+    given = F.broadcast(given) if at_most(given) else given
+    return assigned.join(given, "cluster_id", "left").withColumn("cluster_name", F.coalesce("_new", "cluster_name")).drop("_new")
 
 
 def features_json(features: list[str]) -> Column:

@@ -9,7 +9,10 @@ from tesserae.functions.geometry import Box
 from tesserae.operators import graph, instances, joins, masks, matching, phenotype, raster, render
 from tesserae.plans.registry import big, query, r, table
 from tesserae.plans.spatial import BOXES, box_runs, boxes, label_pixels, points
-from tesserae.session import fresh_dir
+from tesserae.session import at_most, fresh_dir
+
+#: Points that communities are fitted on at most, and neighbours of each.
+SAMPLE, NEIGHBOURS = 100_000, 15
 
 # a heat map of orders: prices on a grid of 100 columns
 HEAT = "heat AS (SELECT o_custkey % 3 AS image, o_orderkey // 100 AS y, o_orderkey % 100 AS x, o_totalprice AS value FROM orders)"
@@ -166,12 +169,12 @@ def panoptic_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the neighbour graph of sampled points; then every point by the nearest community's centre."""
     pts = points(spark, sf_dir)
-    chosen = phenotype.sample(pts, "id", 500)
-    weights = phenotype.knn_weights(joins.knn(chosen, 8, 60))
-    edges = [(e["a"], e["b"], e["weight"]) for e in weights.collect()]  # at most 8 for each sampled point
+    chosen = phenotype.sample(pts, "id", SAMPLE)
+    weights = phenotype.knn_weights(joins.knn(chosen, NEIGHBOURS, 60))
+    edges = [(e["a"], e["b"], e["weight"]) for e in weights.collect()]  # at most NEIGHBOURS for each sampled point
     nodes = [n["id"] for n in chosen.select("id").orderBy("id").collect()]
     label = spark.createDataFrame(list(phenotype.communities(edges, nodes).items()), "id long, label int")
-    centers = chosen.join(F.broadcast(label), "id").groupBy("label").agg(F.array(F.avg("x"), F.avg("y")).alias("vector"))
+    centers = chosen.join(F.broadcast(label) if at_most(label) else label, "id").groupBy("label").agg(F.array(F.avg("x"), F.avg("y")).alias("vector"))
     return joins.nearest_centroid(pts.select("id", F.array("x", "y").alias("vector")), centers).select("id", "label")
 
 

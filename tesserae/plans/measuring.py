@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserae.operators import phenotype, quantify
 from tesserae.plans.registry import big, query, r, table
+from tesserae.session import at_most
 
 CELL, CHANNEL, VALUE, LEVEL = "l_suppkey", "l_returnflag", "l_extendedprice", 30000.0
 CHANNELS = ["A", "N", "R"]
@@ -66,7 +67,7 @@ def compartment_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def background_corrected_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = _pixels(spark, sf_dir)
     bg = quantify.background(pixels, CHANNEL, VALUE, F.col("l_discount") == 0)
-    parts = quantify.partials(pixels.where("l_discount <> 0"), [CELL, CHANNEL], VALUE, LEVEL).join(F.broadcast(bg), CHANNEL, "left")
+    parts = quantify.partials(pixels.where("l_discount <> 0"), [CELL, CHANNEL], VALUE, LEVEL).join(F.broadcast(bg) if at_most(bg) else bg, CHANNEL, "left")
     return quantify.metrics(parts, F.col("background_mean")).select(CELL, CHANNEL, r("mean").alias("mean"), r("corrected_mean").alias("corrected_mean"))
 
 

@@ -314,8 +314,9 @@ def mask_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT label, count(*) AS pixels, CAST(sum(n - 1) AS BIGINT) AS conflicts FROM k GROUP BY ALL
 """)
 def painter_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    painted = masks.paint(box_runs(spark, sf_dir), boxes(spark, sf_dir))
-    return painted.groupBy("label").agg(F.count("*").alias("pixels"), F.sum(F.col("n") - 1).alias("conflicts"))
+    painted = masks.paint_runs(box_runs(spark, sf_dir), boxes(spark, sf_dir))
+    size = F.col("x1") - F.col("x0")
+    return painted.groupBy("label").agg(F.sum(size).alias("pixels"), F.sum((F.col("n") - 1) * size).alias("conflicts"))
 
 
 @query(f"""

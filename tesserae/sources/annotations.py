@@ -26,7 +26,8 @@ def contiguous(categories: DataFrame, key: str = "id") -> DataFrame:
 
 def remap(rows: DataFrame, categories: DataFrame, key: str = "category_id", strict: bool = True) -> DataFrame:
     """rows with class instead of category ids; an unknown id is an error if strict, else its rows go."""
-    known = F.broadcast(contiguous(categories).withColumnRenamed("id", key))
+    known = contiguous(categories).withColumnRenamed("id", key)
+    known = F.broadcast(known) if at_most(known) else known
     if not strict:
         return rows.join(known, key)
     out = rows.join(known, key, "left")

@@ -77,9 +77,13 @@ def ome_metadata(xml: Column) -> dict[str, Column]:
 
 
 def qpi_channel(xml: Column) -> Column:
-    """A page's channel: biomarker, else channel name, else fluor."""
-    get = lambda tag: F.nullif(F.regexp_extract(xml, f"<{tag}>([^<]+)</{tag}>", 1), F.lit(""))
-    return F.coalesce(get("Biomarker"), get("ChannelName"), get("Fluor"))
+    """A page's channel: what the first of the tags Biomarker, ChannelName and Fluor holds, in any case and with any attributes, without
+    tags inside it; null if that is blank. Where the tags have namespaces, the first that isn't blank."""
+    # fixed values: how the three tags are matched
+    tag = r"(?is)<(?:Biomarker|ChannelName|Fluor)[^>]*>(.*?)</(?:Biomarker|ChannelName|Fluor)>"
+    spaced = r"(?i)<\w+:(?:Biomarker|ChannelName|Fluor)(?:\s[^>]*)?>\s*([^<]*[^<\s])"
+    held = F.when(xml.rlike(tag), F.regexp_replace(F.regexp_extract(xml, tag, 1), "<[^>]*>", "")).otherwise(F.regexp_extract(xml, spaced, 1))
+    return F.nullif(F.trim(held), F.lit(""))
 
 
 def zarr_pixel_size(attributes: Column) -> Column:

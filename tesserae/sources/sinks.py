@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 from tesserae.operators.sampling import numbered
+from tesserae.session import at_most
 
 #: Rows and columns of a spreadsheet.
 SHEET_ROWS, SHEET_COLUMNS = 1_048_576, 16_384
@@ -45,16 +46,27 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def coco_document(images: DataFrame, categories: DataFrame, annotations: DataFrame, path: str) -> None:
-    """One document of three lists, streamed to the driver's file row by row."""
-    with open(path, "w") as out:
-        out.write("{")
-        for k, (name, df) in enumerate((("images", images), ("categories", categories), ("annotations", annotations))):
-            out.write(("," if k else "") + json.dumps(name) + ":[")
-            for i, row in enumerate(df.toJSON().toLocalIterator()):
-                out.write(("," if i else "") + row)
-            out.write("]")
-        out.write("}")
+def coco_document(images: DataFrame, categories: DataFrame, annotations: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """One document of three lists, for tools that read no other: it goes through the driver, row by row, to any file system that Spark
+    knows, under another name until it is whole. More than `most` rows are refused; write_json_lines() writes them in parts."""
+    tables = (("images", images), ("categories", categories), ("annotations", annotations))
+    for name, df in tables:
+        if not at_most(df, most):
+            raise ValueError(f"more than {most} {name}: write them in parts")
+    spark = images.sparkSession
+    there, made = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.part"))
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = spark._jvm.java.io.PrintStream(system.create(made, True), False, "UTF-8")
+    out.print("{")
+    for k, (name, df) in enumerate(tables):
+        out.print(("," if k else "") + json.dumps(name) + ":[")
+        for i, row in enumerate(df.toJSON().toLocalIterator()):
+            out.print(("," if i else "") + row)
+        out.print("]")
+    out.print("}")
+    out.close()
+    system.delete(there, False)
+    system.rename(made, there)
 
 
 def write_label_chunks(labels: DataFrame, path: str, chunk: int = 1024) -> None:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -45,6 +47,10 @@ def compact(spark: SparkSession, folder: str, keys: list[str], to: str) -> None:
 class WorkLog:
     """Units of work and their states. States are appended, never changed; a unit's last row counts.
 
+    Every append is a folder of its own that counts once its marker file is there. A run's results and the states that complete its
+    units share one marker, so both show or neither does: what a run that broke off wrote is never read, and its units are done
+    again, once. One run at a time claims units: it holds the log's lock, a file that only one can create.
+
     Units that were running when the log is opened are pending again; failed ones stay so unless they are to be retried."""
 
     STATES = ("pending", "running", "completed", "failed")
@@ -60,38 +66,88 @@ class WorkLog:
         else:
             spark.createDataFrame([(mark,)], "value string").coalesce(1).write.text(f"{path}/context")
 
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _create(self, name: str) -> None:
+        """A file that is there once only: an error if it is there already."""
+        path, system = self._file(name)
+        system.create(path, False).close()
+
+    def _whole(self, kind: str) -> list[str]:
+        """Folders of a kind whose marker is there."""
+        marks, system = self._file("marks/*")
+        names = [x.getPath().getName() for x in system.globStatus(marks) or []]
+        return [f"{self.path}/{kind}/{x}" for x in sorted(names) if exists(self.spark, f"{self.path}/{kind}/{x}")]
+
     def rows(self) -> DataFrame:
-        if not exists(self.spark, f"{self.path}/rows"):
+        found = self._whole("rows")
+        if not found:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/rows")
+        return self.spark.read.schema(self.SCHEMA).parquet(*found)
+
+    def results(self) -> DataFrame | None:
+        """What completed runs gave; None before the first."""
+        found = self._whole("results")
+        return self.spark.read.parquet(*found) if found else None
 
     def states(self) -> DataFrame:
         return self.rows().groupBy("unit").agg(F.max_by(F.struct("state", "attempt", "error"), "seq").alias("s")).select("unit", "s.*")
 
-    def append(self, units: DataFrame, state: str, error: str | None = None) -> None:
-        """units: unit. A new attempt begins with `running`."""
+    def _write(self, units: DataFrame, state: str, error: str | None, name: str) -> None:
         if state not in self.STATES:
             raise ValueError(f"no state {state}")
         last = self.rows().groupBy("unit").agg(F.max("seq").alias("_seq"), F.max("attempt").alias("_attempt"))
         rows = units.select(F.col("unit").cast("string")).distinct().join(last, "unit", "left")
         attempt = F.coalesce("_attempt", F.lit(0)) + (1 if state == "running" else 0)
-        rows.select("unit", F.lit(state).alias("state"), attempt.cast("int").alias("attempt"), F.lit(error).cast("string").alias("error"), F.current_timestamp().alias("at"), (F.coalesce("_seq", F.lit(-1)) + 1).cast("long").alias("seq")).write.mode("append").parquet(f"{self.path}/rows")
+        rows.select("unit", F.lit(state).alias("state"), attempt.cast("int").alias("attempt"), F.lit(error).cast("string").alias("error"), F.current_timestamp().alias("at"), (F.coalesce("_seq", F.lit(-1)) + 1).cast("long").alias("seq")).write.parquet(f"{self.path}/rows/{name}")
+
+    def append(self, units: DataFrame, state: str, error: str | None = None) -> None:
+        """units: unit. A new attempt begins with `running`."""
+        name = uuid.uuid4().hex
+        self._write(units, state, error, name)
+        self._create(f"marks/{name}")
 
     def todo(self, units: DataFrame, retry_failed: bool = False) -> DataFrame:
         """units that aren't done: unknown, pending or interrupted ones, and failed ones if asked for."""
         done = ["completed"] if retry_failed else ["completed", "failed"]
         return units.join(self.states().where(F.col("state").isin(done)).select("unit"), "unit", "left_anti")
 
+    def unlock(self) -> None:
+        """Take away the lock of a run that is known to be dead."""
+        path, system = self._file("lock")
+        system.delete(path, False)
+
     def run(self, units: DataFrame, work: Callable[[DataFrame], DataFrame], retry_failed: bool = False) -> DataFrame | None:
-        """Do what is left: work(units) gives a result that is written before its units are completed."""
-        left = self.todo(units, retry_failed)
-        if left.limit(1).count() == 0:
-            return None
-        self.append(left.select("unit"), "running")
-        out = work(left)
-        out.write.mode("append").parquet(f"{self.path}/results")
-        self.append(left.select("unit"), "completed")
-        return self.spark.read.parquet(f"{self.path}/results")
+        """Do what is left: work(units) gives a result, which is written, then shown together with its units' completion. Returns all
+        results so far. An error while another run holds the lock."""
+        try:
+            self._create("lock")
+        except Py4JJavaError as e:
+            raise RuntimeError("another run holds this log; unlock() it if that run is dead") from e
+        try:
+            claimed = self.todo(units, retry_failed)
+            if claimed.limit(1).count():
+                name = uuid.uuid4().hex
+                claimed.write.parquet(f"{self.path}/claims/{name}")  # the states change meanwhile
+                left = self.spark.read.schema(claimed.schema).parquet(f"{self.path}/claims/{name}")
+                self.append(left.select("unit"), "running")
+                work(left).write.parquet(f"{self.path}/results/{name}")
+                self._write(left.select("unit"), "completed", None, name)
+                self._create(f"marks/{name}")
+        finally:
+            self.unlock()
+        return self.results()
+
+    def phases(self, units: DataFrame, work: Callable[[DataFrame], DataFrame], retries: int = 1) -> DataFrame | None:
+        """run(), then as many passes over what failed or was left as asked for; stops early when nothing is."""
+        out = self.run(units, work)
+        for _ in range(retries):
+            if self.todo(units, True).limit(1).count() == 0:
+                break
+            out = self.run(units, work, retry_failed=True)
+        return out
 
     def progress(self) -> DataFrame:
         return quantify.status_counts(self.states(), "state", list(self.STATES))

@@ -259,6 +259,70 @@ def test_work_log(spark, tmp_path):
         incremental.WorkLog(spark, str(tmp_path / "log"), {"a": 2})
 
 
+def test_work_counts_once_whatever_breaks(spark, tmp_path, monkeypatch):
+    log = incremental.WorkLog(spark, str(tmp_path / "log"), {"a": 1})
+    units = spark.createDataFrame([("u1",), ("u2",)], "unit string")
+    work = lambda left: left.selectExpr("unit", "1 as n")
+    create = incremental.WorkLog._create
+    # results are written, then the run breaks before it is completed
+    monkeypatch.setattr(incremental.WorkLog, "_write", lambda self, u, state, *a, f=incremental.WorkLog._write: f(self, u, state, *a) if state != "completed" else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        log.run(units, work)
+    monkeypatch.undo()
+    # both are written, but not their marker
+    made = []
+    monkeypatch.setattr(incremental.WorkLog, "_create", lambda self, name: made.append(name) or (1 / 0 if len(made) == 3 else create(self, name)))
+    with pytest.raises(ZeroDivisionError):
+        log.run(units, work)
+    monkeypatch.undo()
+    assert log.results() is None and {r.state for r in log.states().collect()} == {"running"}
+    assert sorted(tuple(r) for r in log.run(units, work).collect()) == [("u1", 1), ("u2", 1)]
+    more = units.unionAll(spark.createDataFrame([("u3",)], "unit string"))
+    assert sorted(r.unit for r in log.run(more, work).collect()) == ["u1", "u2", "u3"] and log.run(more, work).count() == 3
+    assert {(r.state, r.attempt) for r in log.states().where("unit <> 'u3'").collect()} == {("completed", 3)}
+
+
+def test_one_run_holds_the_lock(spark, tmp_path):
+    log = incremental.WorkLog(spark, str(tmp_path / "log"), {"a": 1})
+    units = spark.createDataFrame([("u1",)], "unit string")
+
+    def other(left):
+        with pytest.raises(RuntimeError):
+            log.run(units, lambda x: x)
+        return left
+
+    assert log.run(units, other).count() == 1 and log.run(units, other).count() == 1
+
+
+def test_phases_retry_what_failed(spark, tmp_path):
+    log = incremental.WorkLog(spark, str(tmp_path / "log"), {"a": 1})
+    units = spark.createDataFrame([("u1",), ("u2",)], "unit string")
+    log.append(units.where("unit = 'u2'"), "failed", "once")
+    assert sorted(r.unit for r in log.phases(units, lambda left: left).collect()) == ["u1", "u2"]
+
+
+def test_painting_by_runs_is_painting_by_pixels(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(y), int(x), int(x) + int(w)) for i in range(60) for y, x, w in zip(rng.integers(-20, 200, 4), rng.integers(-30, 300, 4), rng.integers(0, 90, 4), strict=True)]
+    scores = [(i, float(i % 7)) for i in range(60)]
+    runs = spark.createDataFrame(rows, "id long, y long, x0 long, x1 long").distinct()
+    want: dict = {}
+    for i, y, a, b in {tuple(r) for r in runs.collect()}:
+        for x in range(a, b):
+            want.setdefault((y, x), []).append((-(i % 7), i))
+    got = masks.to_pixels(masks.paint_runs(runs, spark.createDataFrame(scores, "id long, score double"), 64, 100)).collect()
+    assert {(r.y, r.x): (r.label, r.n) for r in got} == {k: (min(v)[1], len(v)) for k, v in want.items()} and len(got) == len(want)
+
+
+def test_cross_overlaps_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    box = lambda n: [(int(i), int(i % 2), *map(float, p), *map(float, p + rng.integers(1, 80, 2))) for i, p in enumerate(rng.integers(-50, 300, (n, 2)))]
+    a, b = box(60), box(70)
+    got = joins.cross_overlaps(*[spark.createDataFrame(x, "id int, c int, x0 double, y0 double, x1 double, y1 double") for x in (a, b)], 40.0, ("c",))
+    want = sorted((p[0], q[0]) for p in a for q in b if p[1] == q[1] and p[2] < q[4] and q[2] < p[4] and p[3] < q[5] and q[3] < p[5])
+    assert sorted((r.id_a, r.id_b) for r in got.collect()) == want
+
+
 def test_communities_of_two_cliques():
     edges = [(a, b, 1.0) for g in (range(5), range(5, 10)) for a in g for b in g if a < b] + [(0, 5, 0.1)]
     got = phenotype.communities(edges, list(range(10)))

@@ -69,7 +69,10 @@ def test_archives(spark, tmp_path):
 def test_metadata_xml(spark):
     xml = '<OME xmlns="u"><Image><Pixels PhysicalSizeX="0.5" PhysicalSizeY="0.25"><Channel Name="DAPI"/><Channel Name="CD3"/></Pixels></Image></OME>'
     r = spark.createDataFrame([(xml, "<P><Biomarker></Biomarker><ChannelName>Opal</ChannelName></P>")], "x string, q string").select(*[c.alias(n) for n, c in images.ome_metadata(F.col("x")).items()], images.qpi_channel(F.col("q")).alias("q")).first()
-    assert (list(r.channels), r.pixel_size_x, r.pixel_size_y, r.q) == (["DAPI", "CD3"], 0.5, 0.25, "Opal")
+    assert (list(r.channels), r.pixel_size_x, r.pixel_size_y, r.q) == (["DAPI", "CD3"], 0.5, 0.25, None)
+    pages = ["<p><fluor id='1'>A <b>1</b></FLUOR><Biomarker>B</Biomarker></p>", "<p>none</p>", "<q:p><q:Fluor> </q:Fluor><q:BIOMARKER a='1'> CD8 </q:BIOMARKER></q:p>", "<ChannelName>\nOpal 520\n</ChannelName>"]
+    got = spark.createDataFrame(list(enumerate(pages)), "k int, q string").select("k", images.qpi_channel(F.col("q")).alias("v")).orderBy("k").collect()
+    assert [(x.v or "").strip() or None for x in got] == ["A 1", None, "CD8", "Opal 520"]
     z = '{"multiscales":[{"axes":[{"name":"c"},{"name":"y"},{"name":"x"}],"datasets":[{"coordinateTransformations":[{"type":"scale","scale":[1,0.3,0.4]}]}]}]}'
     assert tuple(spark.createDataFrame([(z,)], "z string").select(images.zarr_pixel_size(F.col("z")).alias("p")).first().p) == (0.3, 0.4)
 
