@@ -13,6 +13,8 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from bisect import bisect_left
@@ -24,23 +26,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tesserae.llm.common import join_hot, ready, text_of, tidied, written
+from tesserae.llm.common import at_most, ready, text_of, tidied, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END = struct.pack("<I", 0)
-#: Words whose ids a worker keeps during a task, about as many as 25 MB of text hold. A word takes some 200 bytes.
+#: Units whose ids a worker keeps during a task, about as many as 25 MB of text hold. One takes some 200 bytes.
 WORDS_KEPT = 450_000
+#: Fixed value: what the tokenizer cuts lower-case Latin-1 text into.
+UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\t-\\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 #: Words, marks, digits, white space and letters on which a tokenizer shows whether ids may be kept by word.
-PROBE = "The  quick brown-fox's Straße, don't 12.5% Émile\n\nnaïve (x2)\tK. 你好 ½ É. it's; ab.cd  END "
+PROBE = "The  quick brown-fox's Straße, don't 12.5% Émile\n\nnaïve (x2)\tK. ½ É. it's; ab.cd  END "
 
 
 class Tokens:
     """Ids of texts by a public tokenizer file, as little-endian bytes: what encode(text, add_special_tokens=False) gives.
 
-    A tokenizer that never joins what white space parts, and puts letters in lower case, has its ids kept by word. Latin-1 texts are put in
-    lower case first, as it would; others are left to it. A word of lower-case Latin-1 letters is one unit to it and goes straight to
-    its model. Whether a file is of this kind is tried on PROBE; if not, it gets each text whole, as do texts that hold a special token's
-    string. With `plain` such strings are ordinary text, else the special token, as the library has it.
+    A tokenizer that puts letters in lower case, cuts texts into UNITs and encodes each by itself has the ids of units kept; a unit
+    goes straight to its model. Whether a file is of this kind is tried on PROBE. If not, it gets each text whole, as do texts with
+    letters beyond Latin-1, whose rules are its own, and texts that hold a special token's string. With `plain` such strings are ordinary
+    text, else the special token, as the library has it.
     """
 
     def __init__(self, path: str, plain: bool = False):
@@ -50,12 +54,14 @@ class Tokens:
         self.tokenizer.encode_special_tokens = plain
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.specials = [t.content.lower() for t in added if not plain]
+        # the characters that all of them begin with and that have no case: a text without these is quickly done with
+        self.sign = os.path.commonprefix([re.match(r"[^\w]*", x)[0] for x in self.specials])
         self.by_word = True
         self.model = self.tokenizer.model
         # the model sees bytes as characters: printable Latin-1 ones as themselves, the others from U+0100 on
         other = [x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or 174 <= x)]
         self.as_seen = {x: 256 + k for k, x in enumerate(other)}
-        self.ids: dict[str, bytes] = {"": b""}
+        self.ids: dict[str, bytes] = {}
         try:
             self.by_word = self(PROBE) == self._whole(PROBE)
         except Exception:  # a model without this kind of words
@@ -65,43 +71,27 @@ class Tokens:
         found = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(found)}I", *found)
 
-    def _word(self, w: str) -> bytes:
-        ids = self.ids.get(w)
-        if ids is None:
-            if w.isalpha() and w == w.lower() and w.isascii():
-                found = [t.id for t in self.model.tokenize(w)]
-            elif w.isalpha() and w == w.lower() and max(w) <= "\xff":
-                found = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.as_seen))]
-            else:
-                found = self.tokenizer.encode(w, add_special_tokens=False).ids
-            ids = self.ids[w] = struct.pack(f"<{len(found)}I", *found)
-        return ids
-
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, units: list[str]) -> None:
         if len(self.ids) > WORDS_KEPT:
-            self.ids = {"": b""}
-        for w in set(words):
-            if w not in self.ids:
-                # a full stop or comma after an ASCII letter is a unit of its own
-                if w[-1] in ".," and w[-2:-1].isascii() and w[-2:-1].isalpha():
-                    self.ids[w] = self._word(w[:-1]) + self._word(w[-1])
-                else:
-                    self._word(w)
+            self.ids = {}
+        ids, tokenize = self.ids, self.model.tokenize
+        for u in set(units).difference(ids):
+            found = [t.id for t in tokenize(u if u.isascii() and u.isprintable() else u.encode().decode("latin-1").translate(self.as_seen))]
+            ids[u] = struct.pack(f"<{len(found)}I", *found)
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_word or self.specials and any(x in text.lower() for x in self.specials):
+        if not self.by_word or self.specials and self.sign in text and any(x in text.lower() for x in self.specials):
             return self._whole(text)
         try:
             text.encode("latin-1")
-            text = text.lower()
         except UnicodeError:
-            pass
-        words = text.replace("\n", " ").split(" ")
+            return self._whole(text)
+        units = UNIT.findall(text.lower())
         try:
-            return b"".join(map(self.ids.__getitem__, words))
+            return b"".join(map(self.ids.__getitem__, units))
         except KeyError:
-            self._learn(words)
-            return b"".join(map(self.ids.__getitem__, words))
+            self._learn(units)
+            return b"".join(map(self.ids.__getitem__, units))
 
 
 _LOADED: dict[str, Tokens] = {}
@@ -109,7 +99,7 @@ _LOADED: dict[str, Tokens] = {}
 
 def _forget() -> None:
     for tokens in _LOADED.values():
-        tokens.ids = {"": b""}
+        tokens.ids = {}
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
@@ -118,8 +108,6 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, with_ids: bool =
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens = _LOADED.get(tokenizer) or _LOADED.setdefault(tokenizer, Tokens(tokenizer))
         for batch in batches:
@@ -303,7 +291,7 @@ def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ..
     return out
 
 
-def place(pieces: DataFrame, capacity: int = 2048, steps: int = 2_000_000, run: int = 200_000) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = 2048, steps: int = 2_000_000, run: int = 1_000) -> DataFrame:
     """pieces (doc_id, piece, length, ...) with sequence_id and offset, n_sequences (how many there are) and least_sequences (the lower
     bound). pieces is read three times: pass a written table. A length of many pieces is numbered in parts of `run` pieces or so."""
     spark = pieces.sparkSession
@@ -327,7 +315,7 @@ def place(pieces: DataFrame, capacity: int = 2048, steps: int = 2_000_000, run:
         first += times
     plan = spark.createDataFrame([(x, r) for x, r in runs.items()], "length long, _runs array<struct<lo:long,hi:long,seq:long,n:long,at:long>>")
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1 + F.col("_before")
-    ranked = join_hot(tagged, before, ["length", "_salt"], "inner", salt_by=["doc_id", "piece"]).withColumn("_rank", rank.cast("long"))
+    ranked = tagged.join(F.broadcast(before) if at_most(before) else before, ["length", "_salt"]).withColumn("_rank", rank.cast("long"))
     run = F.get(F.filter("_runs", lambda r: (r["lo"] <= F.col("_rank")) & (F.col("_rank") < r["hi"])), F.lit(0))
     placed = ranked.join(F.broadcast(plan), "length").withColumn("_run", run).withColumn("_k", F.col("_rank") - F.col("_run.lo"))
     return placed.select(
