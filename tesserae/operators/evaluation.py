@@ -3,6 +3,8 @@ matching."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,22 +44,44 @@ def class_scores(matrix: DataFrame, classes: int) -> DataFrame:
     return sums.select("c", F.try_divide("tp", F.col("pos") + F.col("got") - F.col("tp")).alias("iou"), F.try_divide("tp", "pos").alias("acc"))
 
 
-def voc_matches(gt: DataFrame, det: DataFrame, threshold: float, pad: float = 1.0, bucket: float = 128.0) -> DataFrame:
-    """det with tp: the best ground truth of its image and class, if over the threshold (0 or more), claimed once by the highest score.
-    Difficult ones neither help nor hurt. gt: image, class, id, difficult, box; det: image, class, id, score, box; pad counts pixels
-    inclusive. Only boxes that overlap meet, in buckets."""
+def voc_best(gt: DataFrame, det: DataFrame, over: float, pad: float = 1.0, bucket: float = 128.0) -> DataFrame:
+    """image, class, det, score, gt, hard, ov of each detection whose best ground truth of its image and class overlaps by more than
+    `over` (0 or more). Only boxes that overlap meet, in buckets."""
     box = lambda df: df.withColumn("x1", F.col("x1") + pad).withColumn("y1", F.col("y1") + pad)
     a = box(gt.select("image", "class", "id", "difficult", "x0", "y0", "x1", "y1"))
     b = box(det.select("image", "class", "id", "score", "x0", "y0", "x1", "y1"))
     one, two = Box.of(suffix="_a"), Box.of(suffix="_b")
     inter = intersection(one, two)
-    pairs = cross_overlaps(a, b, bucket, ("image", "class")).withColumn("ov", inter / (one.area + two.area - inter)).where(F.col("ov") > threshold)
+    pairs = cross_overlaps(a, b, bucket, ("image", "class")).withColumn("ov", inter / (one.area + two.area - inter)).where(F.col("ov") > over)
     best = pairs.groupBy("image", "class", F.col("id_b").alias("det")).agg(F.max(F.struct("ov", (-F.col("id_a")).alias("neg"), F.col("difficult_a").alias("hard"))).alias("m"), F.first("score_b").alias("score"))
-    hit = best.select("image", "class", "det", (-F.col("m.neg")).alias("gt"), F.coalesce("m.hard", F.lit(False)).alias("hard"), "score")
-    turn = F.row_number().over(Window.partitionBy("image", "class", "gt").orderBy(F.desc("score"), "det"))
-    claimed = hit.select("image", "class", "det", "hard", (turn == 1).alias("first"))
-    rows = det.select("image", "class", F.col("id").alias("det"), "score").join(claimed, ["image", "class", "det"], "left")
-    return rows.where(~F.coalesce("hard", F.lit(False))).select("image", "class", "det", "score", F.coalesce("first", F.lit(False)).alias("tp"))
+    return best.select("image", "class", "det", "score", (-F.col("m.neg")).alias("gt"), F.coalesce("m.hard", F.lit(False)).alias("hard"), "m.ov")
+
+
+def voc_matches(gt: DataFrame, det: DataFrame, threshold: float, pad: float = 1.0, bucket: float = 128.0) -> DataFrame:
+    """det with tp: the best ground truth of its image and class, if over the threshold, claimed once by the highest score. Difficult
+    ones neither help nor hurt. gt: image, class, id, difficult, box; det: image, class, id, score, box; pad counts pixels inclusive."""
+    return _claimed(det, voc_best(gt, det, threshold, pad, bucket).withColumn("iou_step", F.lit(threshold)), (threshold,)).drop("iou_step")
+
+
+def _claimed(det: DataFrame, hit: DataFrame, steps: tuple[float, ...]) -> DataFrame:
+    turn = F.row_number().over(Window.partitionBy("iou_step", "image", "class", "gt").orderBy(F.desc("score"), "det"))
+    claimed = hit.select("iou_step", "image", "class", "det", "hard", (turn == 1).alias("first"))
+    every = det.select("image", "class", F.col("id").alias("det"), "score").withColumn("iou_step", F.explode(F.array(*[F.lit(float(t)) for t in steps])))
+    rows = every.join(claimed, ["iou_step", "image", "class", "det"], "left")
+    return rows.where(~F.coalesce("hard", F.lit(False))).select("iou_step", "image", "class", "det", "score", F.coalesce("first", F.lit(False)).alias("tp"))
+
+
+def voc_report(gt: DataFrame, det: DataFrame, steps: tuple[float, ...] = IOU_STEPS, pad: float = 1.0) -> DataFrame:
+    """class, iou_step, ap, ap11 at thresholds from 0.50 to 0.95. Scores count to three places and boxes to one, as they are submitted.
+
+    A detection's best ground truth is the same at every threshold, so pairs are made once."""
+    held = det.withColumn("score", F.round("score", 3)).withColumns({c: F.round(F.col(c).cast("double"), 1) for c in BOX})
+    best = voc_best(gt, held, min(steps), pad)
+    hit = best.withColumn("iou_step", F.explode(F.array(*[F.lit(float(t)) for t in steps]))).where(F.col("ov") > F.col("iou_step")).drop("ov")
+    rows = _claimed(held, hit, steps).withColumn("key", F.struct("class", "iou_step"))
+    positives = gt.groupBy("class").agg(F.count_if(~F.coalesce("difficult", F.lit(False))).alias("npos"))
+    keys = positives.withColumn("iou_step", F.explode(F.array(*[F.lit(float(t)) for t in steps]))).select(F.struct("class", "iou_step").alias("key"), "npos")
+    return average_precision(precision_recall(rows, keys, "key"), "key").select("key.class", "key.iou_step", "ap", "ap11")
 
 
 def precision_recall(matches: DataFrame, positives: DataFrame, by: str = "class") -> DataFrame:
@@ -106,13 +130,14 @@ def iou_matrix(a: np.ndarray, b: np.ndarray, crowd: np.ndarray | None = None) ->
     return np.divide(inter, union, out=np.zeros_like(inter, dtype=float), where=union > 0)
 
 
-def greedy_matches(scores: np.ndarray, ious: np.ndarray, ignore: np.ndarray, threshold: float) -> np.ndarray:
-    """Ground truth of each detection or -1: by falling score the best one not taken, real ones before ignored ones."""
-    taken = np.zeros(ious.shape[1], bool)
+def greedy_matches(scores: np.ndarray, ious: np.ndarray, ignore: np.ndarray, threshold: float, crowd: np.ndarray | None = None) -> np.ndarray:
+    """Ground truth of each detection or -1: by falling score the best one not taken, real ones before ignored ones. Crowds (all that are
+    ignored, if not given) are never taken."""
+    taken, crowd = np.zeros(ious.shape[1], bool), ignore if crowd is None else crowd
     out = np.full(len(scores), -1)
     for d in np.argsort(-scores, kind="stable"):
         for kind in (False, True):
-            able = (ious[d] >= threshold) & (ignore == kind) & (~taken | (ignore & kind))
+            able = (ious[d] >= threshold) & (ignore == kind) & (~taken | crowd)
             if able.any():
                 g = int(np.where(able, ious[d], -1).argmax())
                 out[d] = g
@@ -121,22 +146,45 @@ def greedy_matches(scores: np.ndarray, ious: np.ndarray, ignore: np.ndarray, thr
     return out
 
 
-def coco_matches(gt: DataFrame, det: DataFrame, max_dets: int = 100, steps: tuple[float, ...] = IOU_STEPS) -> DataFrame:
+BOX, ROTATED = ["x0", "y0", "x1", "y1"], ["cx", "cy", "w", "h", "angle"]
+#: Areas of small, medium and large objects.
+SIZES = {"s": (0.0, 32.0**2), "m": (32.0**2, 96.0**2), "l": (96.0**2, 1e10)}
+
+
+def _area(rotated: bool) -> Column:
+    return (F.col("w") * F.col("h") if rotated else Box.of().area).cast("double")
+
+
+def coco_truths(gt: DataFrame, area: tuple[float, float] | None = None, rotated: bool = False) -> DataFrame:
+    """gt with crowd and ignore: crowds and, with area, objects outside it count neither way."""
+    crowd = F.coalesce(F.col("crowd"), F.lit(False)) if "crowd" in gt.columns else F.lit(False)
+    size = F.col("area") if "area" in gt.columns else _area(rotated)
+    outside = F.lit(False) if area is None else (size < area[0]) | (size > area[1])
+    return gt.withColumn("crowd", crowd).withColumn("ignore", F.col("crowd") | outside)
+
+
+def coco_matches(gt: DataFrame, det: DataFrame, max_dets: int = 100, steps: tuple[float, ...] = IOU_STEPS, area: tuple[float, float] | None = None, rotated: bool = False, per_class: bool = True) -> DataFrame:
     """class, score, det, iou_step, tp of every detection that counts: matched greedily within an image and class. An image's rows fit
-    one task by nature: it keeps max_dets detections."""
-    top = det.withColumn("_k", F.row_number().over(Window.partitionBy("image", "class").orderBy(F.desc("score"), "id"))).where(F.col("_k") <= max_dets)
-    cols = ["x0", "y0", "x1", "y1"]
-    left = gt.select("image", "class", "id", F.lit(0.0).alias("score"), F.coalesce(F.col("crowd"), F.lit(False)).alias("crowd"), F.lit(True).alias("is_gt"), *[F.col(c).cast("double").alias(c) for c in cols])
-    right = top.select("image", "class", "id", F.col("score").cast("double").alias("score"), F.lit(False).alias("crowd"), F.lit(False).alias("is_gt"), *[F.col(c).cast("double").alias(c) for c in cols])
+    one task by nature: it keeps max_dets detections, of each class or of all. Boxes are x0 .. y1 or, rotated, cx, cy, w, h, angle; with
+    area, detections outside it that match nothing don't count."""
+    cols = ROTATED if rotated else BOX
+    top = det.withColumn("_k", F.row_number().over(Window.partitionBy(*["image", "class"][: 1 + per_class]).orderBy(F.desc("score"), "id"))).where(F.col("_k") <= max_dets)
+    boxes = [F.col(c).cast("double").alias(c) for c in cols]
+    left = coco_truths(gt, area, rotated).select("image", "class", "id", F.lit(0.0).alias("score"), "crowd", "ignore", F.lit(True).alias("is_gt"), *boxes)
+    size = _area(rotated)
+    outside = F.lit(False) if area is None else (size < area[0]) | (size > area[1])
+    right = top.select("image", "class", "id", F.col("score").cast("double").alias("score"), F.lit(False).alias("crowd"), outside.alias("ignore"), F.lit(False).alias("is_gt"), *boxes)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        from tesserae.operators.matching import rotated_iou
+
         g, d = pdf[pdf["is_gt"]].sort_values("id"), pdf[~pdf["is_gt"]].sort_values(["score", "id"], ascending=[False, True])
         out = []
-        crowd = g["crowd"].to_numpy(bool)
-        ious = iou_matrix(d[cols].to_numpy(), g[cols].to_numpy(), crowd)
+        crowd, ignore, far = g["crowd"].to_numpy(bool), g["ignore"].to_numpy(bool), d["ignore"].to_numpy(bool)
+        ious = rotated_iou(d[cols].to_numpy(), g[cols].to_numpy()) if rotated else iou_matrix(d[cols].to_numpy(), g[cols].to_numpy(), crowd)
         for t in steps:
-            m = greedy_matches(d["score"].to_numpy(), ious, crowd, t)
-            ignored = np.array([k >= 0 and crowd[k] for k in m], bool)
+            m = greedy_matches(d["score"].to_numpy(), ious, ignore, t, crowd)
+            ignored = np.array([ignore[k] if k >= 0 else out_ for k, out_ in zip(m, far, strict=True)], bool)
             part = pd.DataFrame({"class": key[1], "image": key[0], "det": d["id"].to_numpy(), "score": d["score"].to_numpy(), "iou_step": t, "tp": m >= 0})
             out.append(part[~ignored])
         return pd.concat(out)
@@ -146,9 +194,9 @@ def coco_matches(gt: DataFrame, det: DataFrame, max_dets: int = 100, steps: tupl
     return left.unionByName(right).groupBy("image", "class").applyInPandas(run, f"class {kinds['class']}, image {kinds['image']}, det {dict(det.dtypes)['id']}, score double, iou_step double, tp boolean")
 
 
-def coco_ap(matches: DataFrame, gt: DataFrame) -> DataFrame:
+def coco_ap(matches: DataFrame, gt: DataFrame, area: tuple[float, float] | None = None, rotated: bool = False) -> DataFrame:
     """class, iou_step, ap: mean over 101 recalls of the envelope at the first detection that reaches the recall."""
-    positives = gt.where(~F.coalesce(F.col("crowd"), F.lit(False))).groupBy("class").agg(F.count("*").alias("npos"))
+    positives = coco_truths(gt, area, rotated).where(~F.col("ignore")).groupBy("class").agg(F.count("*").alias("npos"))
     rows = matches.withColumn("key", F.struct("class", "iou_step"))
     steps = matches.select("class", "iou_step").distinct().join(positives, "class").select(F.struct("class", "iou_step").alias("key"), "npos")
     curve = precision_recall(rows, steps, "key")
@@ -157,6 +205,47 @@ def coco_ap(matches: DataFrame, gt: DataFrame) -> DataFrame:
     return curve.groupBy("key").agg(mean.alias("ap")).select("key.class", "key.iou_step", "ap")
 
 
+def _mean_ap(ap: DataFrame, gt: DataFrame, area: tuple[float, float] | None, rotated: bool, steps: tuple[float, ...]) -> DataFrame:
+    """class, iou_step, ap of every class with a positive, 0 where nothing was detected."""
+    held = coco_truths(gt, area, rotated).where(~F.col("ignore")).select("class").distinct()
+    grid = held.withColumn("iou_step", F.explode(F.array(*[F.lit(t) for t in steps])))
+    return grid.join(ap, ["class", "iou_step"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+
+
+def coco_report(gt: DataFrame, det: DataFrame, max_dets: int = 100, rotated: bool = False, names: DataFrame | None = None) -> DataFrame:
+    """metric, value: AP, AP50, AP75, by size APs, APm, APl, and AP-<class> of each class (its name, if names has class and name); in
+    per cent, NaN where no class has a positive."""
+    shares = []
+    for metric, area in {"": None, **SIZES}.items():
+        own = written(_mean_ap(coco_ap(coco_matches(gt, det, max_dets, area=area, rotated=rotated), gt, area, rotated), gt, area, rotated, IOU_STEPS), "ap")
+        one = lambda where, name: own.where(where).agg((100 * F.avg("ap")).alias("value")).select(F.lit(name).alias("metric"), F.coalesce("value", F.lit(float("nan"))).alias("value"))  # noqa: B023, E731
+        shares.append(one("true", f"AP{metric}"))
+        if area is None:
+            shares += [one("abs(iou_step - 0.5) < 1e-9", "AP50"), one("abs(iou_step - 0.75) < 1e-9", "AP75")]
+            each = own.groupBy("class").agg((100 * F.avg("ap")).alias("value"))
+            label = F.col("class").cast("string")
+            if names is not None:
+                each, label = each.join(names.select("class", "name"), "class", "left"), F.coalesce("name", F.col("class").cast("string"))
+            shares.append(each.select(F.concat(F.lit("AP-"), label).alias("metric"), "value"))
+    return reduce(DataFrame.unionByName, shares)
+
+
+def lvis_report(gt: DataFrame, det: DataFrame, negative: DataFrame, not_exhaustive: DataFrame, images: DataFrame, max_dets: int = 300) -> DataFrame:
+    """metric, value: AP, AP50, AP75 and of rare, common and frequent classes APr, APc, APf, in per cent.
+
+    A class counts in an image only if it is there or known not to be (negative: image, class); where its annotation isn't exhaustive
+    (not_exhaustive: image, class) a detection without a match counts neither way. images: class and the number of images it is in."""
+    known = gt.select("image", "class").unionAll(negative.select("image", "class")).distinct()
+    judged = det.join(known, ["image", "class"], "left_semi")
+    matches = coco_matches(gt, judged, max_dets, per_class=False)
+    loose = not_exhaustive.select("image", "class").distinct().withColumn("_loose", F.lit(True))
+    matches = written(matches.join(loose, ["image", "class"], "left").where(F.col("tp") | F.col("_loose").isNull()).drop("_loose"), "matches")
+    ap = written(_mean_ap(coco_ap(matches, gt), gt, None, False, IOU_STEPS).join(frequency_groups(images).select("class", "group"), "class", "left"), "ap")
+    one = lambda where, name: ap.where(where).agg((100 * F.avg("ap")).alias("value")).select(F.lit(name).alias("metric"), F.coalesce("value", F.lit(float("nan"))).alias("value"))
+    shares = [one("true", "AP"), one("abs(iou_step - 0.5) < 1e-9", "AP50"), one("abs(iou_step - 0.75) < 1e-9", "AP75")]
+    return reduce(DataFrame.unionByName, shares + [one(f"group = '{g}'", f"AP{g}") for g in "rcf"])
+
+
 def proposal_recall(gt: DataFrame, proposals: DataFrame, limit: int, area: tuple[float, float] = (0, 1e10), steps: tuple[float, ...] = IOU_STEPS) -> DataFrame:
     """ar, num_pos: greedy one-to-one matches by the globally best pair, image by image; images without either side don't count."""
     top = proposals.withColumn("_k", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("score"), "id"))).where(F.col("_k") <= limit)
@@ -221,3 +310,44 @@ def accuracy(rows: DataFrame, gt: Column, pred: Column, background: int) -> Data
     return rows.agg(share(gt == pred, F.lit(True)).alias("cls_accuracy"), share(fg & (gt == pred), fg).alias("fg_cls_accuracy"), share(fg & (pred == background), fg).alias("false_negative"))
 
 
+class Evaluator:
+    """Evaluation in three steps: reset(), process() of any number of batches of rows, evaluate() once over all of them.
+
+    measure takes all rows that were processed and returns metric, value. Batches are written as they come, so nothing is held."""
+
+    def __init__(self, measure: Callable[[DataFrame], DataFrame]):
+        self.measure = measure
+        self.reset()
+
+    def reset(self) -> None:
+        self.batches: list[DataFrame] = []
+
+    def process(self, rows: DataFrame) -> None:
+        self.batches.append(written(rows, "batch"))
+
+    def evaluate(self) -> DataFrame:
+        if not self.batches:
+            raise ValueError("nothing was processed")
+        return self.measure(reduce(DataFrame.unionByName, self.batches))
+
+
+class Evaluators(Evaluator):
+    """Several as one; a metric that two of them give is an error."""
+
+    def __init__(self, evaluators: dict[str, Evaluator]):
+        self.evaluators = evaluators
+
+    def reset(self) -> None:
+        for e in self.evaluators.values():
+            e.reset()
+
+    def process(self, rows: DataFrame) -> None:
+        for e in self.evaluators.values():
+            e.process(rows)
+
+    def evaluate(self) -> DataFrame:
+        found = written(reduce(DataFrame.unionByName, [e.evaluate().select(F.lit(name).alias("task"), "metric", "value") for name, e in self.evaluators.items()]), "metrics")
+        twice = found.groupBy("metric").agg(F.count_distinct("task").alias("n")).where("n > 1").first()
+        if twice:
+            raise ValueError(f"{twice['metric']} is given more than once")
+        return found

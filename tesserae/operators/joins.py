@@ -106,9 +106,38 @@ def knn(points: DataFrame, k: int, bucket: float, key: str = "id", x: str = "x",
         if at_most(todo, 0):
             break
         side *= 2
+    else:
+        raise RuntimeError(f"neighbours aren't found after {rounds} rounds: give a larger bucket")
     return done
 
 
+def knn_vectors(points: DataFrame, k: int, key: str = "id", vector: str = "vector", block: int = 64) -> DataFrame:
+    """a, b, rank, distance: the k nearest others of each vector, exact, ties by place in key order. The vectors, which are counted,
+    travel to all tasks; a task holds block x vectors distances at a time."""
+    if not at_most(points, BROADCAST_ROWS):
+        raise ValueError("too many vectors for a search of all: sample them")
+    rows = points.select(key, vector).orderBy(key).collect()
+    ids, every = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
+    shared = points.sparkSession.sparkContext.broadcast((np.array(ids), every, (every * every).sum(axis=1)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, all_, norms = shared.value
+        for b in batches:
+            own, vectors = b["key"].to_numpy(), np.stack(b["vector"].to_numpy()) if len(b) else np.empty((0, 0))
+            for lo in range(0, len(own), block):
+                v, names = vectors[lo : lo + block], own[lo : lo + block]
+                d = np.maximum((v * v).sum(axis=1)[:, None] - 2 * v @ all_.T + norms, 0)
+                d[keys[None, :] == names[:, None]] = np.inf
+                m = min(k, len(keys) - 1)
+                at = np.argsort(d, axis=1, kind="stable")[:, :m]
+                far = np.sqrt(np.take_along_axis(d, at, 1))
+                yield pd.DataFrame({"a": np.repeat(names, m), "b": keys[at.ravel()], "rank": np.tile(np.arange(1, m + 1), len(names)), "distance": far.ravel()})
+
+    ready(points.sparkSession)
+    kind = dict(points.dtypes)[key]
+    return points.select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInPandas(run, f"a {kind}, b {kind}, rank int, distance double")
+
+
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str = "id", vector: str = "vector", label: str = "label") -> DataFrame:
     """key, label and squared distance of the nearest centroid, ties by the lower label. The centroids, which are counted, travel to
     the vectors: an Arrow batch is one matrix product."""

@@ -133,6 +133,23 @@ def conflicts(painted: DataFrame) -> DataFrame:
     return painted.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("conflicts"), F.count("*").alias("pixels"))
 
 
+def from_polygons(shapes: DataFrame) -> DataFrame:
+    """Runs of polygons (id, xs, ys; several rows of an id are parts of one shape): pixels whose centre is inside by the even-odd rule.
+
+    Each edge gives the places where it crosses rows' middles; a row's crossings, in order, open and close runs."""
+    n = F.size("xs")
+    ends = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("xs", i).alias("ax"), F.get("ys", i).alias("ay"), F.get("xs", (i + 1) % n).alias("bx"), F.get("ys", (i + 1) % n).alias("by")))
+    edges = shapes.where(n >= 3).select("id", F.explode(ends).alias("e")).select("id", "e.*").where("ay <> by")
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    # rows whose middle lies in [low, high)
+    rows = edges.select("*", F.ceil(low - 0.5).alias("_first"), (F.ceil(high - 0.5) - 1).alias("_last")).where("_first <= _last")
+    at = rows.select("id", F.explode(F.sequence("_first", "_last")).alias("y"), "ax", "ay", "bx", "by")
+    cross = at.select("id", "y", (F.col("ax") + (F.col("y") + 0.5 - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))).alias("c"))
+    lists = cross.groupBy("id", "y").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("c") / 2).cast("int") - 1), lambda i: F.struct(F.ceil(F.get("c", 2 * i) - 0.5).alias("x0"), F.ceil(F.get("c", 2 * i + 1) - 0.5).alias("x1")))
+    return lists.select("id", "y", F.explode(pairs).alias("r")).select("id", "y", "r.x0", "r.x1").where("x1 > x0")
+
+
 def polygons(runs: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """id, xs, ys, area and box of each mask's largest outline, simplified to tolerance x perimeter; masks whose outline has fewer than
     three corners or no area are left out."""

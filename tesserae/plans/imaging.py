@@ -8,7 +8,7 @@ from tesserae.functions import geometry
 from tesserae.functions.geometry import Box
 from tesserae.operators import graph, instances, joins, masks, matching, phenotype, raster, render
 from tesserae.plans.registry import big, query, r, table
-from tesserae.plans.spatial import BOXES, box_runs, boxes, label_pixels, points
+from tesserae.plans.spatial import BOXES, box_runs, boxes, label_pixels, points, suppressed
 from tesserae.session import at_most, fresh_dir
 
 #: Points that communities are fitted on at most, and neighbours of each.
@@ -136,7 +136,9 @@ def compartments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.compartments(cells, nuclei, 1).drop("membrane")
 
 
-@query()
+@query(suppressed("SELECT id, tile AS image, class_id, score, x0, y0, x1, y1 FROM boxes WHERE score > 950", ("image", "class_id"), 0.3) + """
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, id) AS rank FROM stays) WHERE rank <= 100
+""")
 def class_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = boxes(spark, sf_dir).withColumnRenamed("tile", "image").drop("area")
     return instances.detections(rows, 950.0, 0.3, 100)

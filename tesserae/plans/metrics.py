@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserae.operators import evaluation, matching
 from tesserae.plans.registry import big, query, r, table
-from tesserae.plans.spatial import BOXES, boxes
+from tesserae.plans.spatial import BOXES, boxes, suppressed
 from tesserae.session import fresh_dir
 from tesserae.streaming import incremental, metrics, tracking
 
@@ -56,26 +56,70 @@ def voc_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.average_precision(_curve(spark, sf_dir)).select("class", r("ap", 6).alias("ap"), r("ap11", 6).alias("ap11"))
 
 
-@query()
-def coco_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gt, det = _sides(spark, sf_dir)
-    gt = gt.withColumn("crowd", F.col("id") % 13 == 0)
-    return evaluation.coco_ap(evaluation.coco_matches(gt, det), gt)
+_SWEEP = VOC.replace("best AS (SELECT", "steps AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS t), best AS (SELECT")
+_SWEEP = _SWEEP.replace("hit AS (SELECT image, class, det, score, CASE WHEN ov > 0.1 THEN gt END AS gt, difficult FROM best)", "hit AS (SELECT t, image, class, det, score, CASE WHEN ov > t THEN gt END AS gt, difficult FROM best, steps)")
+_SWEEP = _SWEEP.replace("PARTITION BY image, class, gt", "PARTITION BY t, image, class, gt").replace("matched AS (SELECT image", "matched AS (SELECT t, image").replace("PARTITION BY class ORDER", "PARTITION BY t, class ORDER")
+_SWEEP = _SWEEP.replace("run AS (SELECT class", "run AS (SELECT t, class").replace("curve AS (SELECT class", "curve AS (SELECT t, class")
 
 
-@query()
-def proposal_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""
+    WITH {BOXES}, {SIDES}, {_SWEEP}, s AS (SELECT *, recall - coalesce(lag(recall) OVER (PARTITION BY t, class ORDER BY score DESC, det), 0) AS step FROM curve)
+    SELECT class, round(t, 2) AS iou_step, round(sum(step * envelope), 6) AS ap, round(({_AP11}) / 11, 6) AS ap11 FROM s GROUP BY class, t
+""")
+def voc_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = evaluation.voc_report(*_sides(spark, sf_dir))
+    return found.select("class", r("iou_step", 2).alias("iou_step"), r("ap", 6).alias("ap"), r("ap11", 6).alias("ap11"))
+
+
+COCO = """
+    c AS (SELECT det.image, det.class, det.id AS det, det.score, row_number() OVER (PARTITION BY det.image, det.class ORDER BY det.score DESC, det.id) AS k FROM det QUALIFY k <= 100),
+    sides AS (SELECT DISTINCT image, class FROM det UNION SELECT DISTINCT image, class FROM gt),
+    pairs AS (SELECT c.image, c.class, c.k, gt.id AS gt, gt.id % 13 = 0 AS crowd, greatest(0, least(gt.x1, d.x1) - greatest(gt.x0, d.x0)) * greatest(0, least(gt.y1, d.y1) - greatest(gt.y0, d.y0)) AS inter,
+        (gt.x1 - gt.x0) * (gt.y1 - gt.y0) AS ga, (d.x1 - d.x0) * (d.y1 - d.y0) AS da FROM c JOIN det d ON d.id = c.det JOIN gt ON gt.image = c.image AND gt.class = c.class),
+    rated AS (SELECT image, class, k, gt, crowd, inter / CASE WHEN crowd THEN da ELSE ga + da - inter END AS iou FROM pairs WHERE inter > 0),
+    able AS (SELECT c.image, c.class, c.k, c.det, c.score, coalesce(list({'gt': gt, 'crowd': crowd, 'iou': iou} ORDER BY iou DESC, gt) FILTER (gt IS NOT NULL), []) AS found FROM c LEFT JOIN rated USING (image, class, k) GROUP BY ALL),
+    steps AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS t),
+    walk AS (SELECT image, class, t, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS won, false AS crowd FROM sides, steps
+             UNION ALL SELECT image, class, t, k, CASE WHEN real IS NOT NULL THEN list_append(taken, real) ELSE taken END, coalesce(real, mass), real IS NULL AND mass IS NOT NULL FROM (
+                 SELECT w.image, w.class, w.t, w.k + 1 AS k, w.taken, list_filter(a.found, lambda x: x.iou >= w.t AND NOT x.crowd AND NOT list_contains(w.taken, x.gt))[1].gt AS real, list_filter(a.found, lambda x: x.iou >= w.t AND x.crowd)[1].gt AS mass
+                 FROM walk w JOIN able a ON a.image = w.image AND a.class = w.class AND a.k = w.k + 1)),
+    matched AS (SELECT w.class, w.t, a.score, a.det, w.won IS NOT NULL AS tp FROM walk w JOIN able a ON a.image = w.image AND a.class = w.class AND a.k = w.k WHERE NOT w.crowd),
+    npos AS (SELECT class, count(*) AS npos FROM gt WHERE id % 13 <> 0 GROUP BY class),
+    run AS (SELECT class, t, score, det, sum(tp::INT) OVER w / count(*) OVER w AS precision, sum(tp::INT) OVER w / npos AS recall FROM matched JOIN npos USING (class) WINDOW w AS (PARTITION BY class, t ORDER BY score DESC, det ROWS UNBOUNDED PRECEDING)),
+    curve AS (SELECT class, t, recall, max(precision) OVER (PARTITION BY class, t ORDER BY score DESC, det ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM run),
+    points AS (SELECT class, t, r, coalesce(max(envelope) FILTER (recall >= r / 100 - 1e-12), 0) AS p FROM curve, (SELECT unnest(range(0, 101)) AS r) GROUP BY ALL)
+"""
+
+
+@query(f"WITH RECURSIVE {BOXES}, {SIDES}, {COCO} SELECT class, round(t, 2) AS iou_step, round(avg(p), 6) AS ap FROM points GROUP BY class, t")
+def coco_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, det = _sides(spark, sf_dir)
-    return evaluation.proposal_recall(gt, det, 1000)
+    gt = gt.withColumn("crowd", F.col("id") % 13 == 0)
+    return evaluation.coco_ap(evaluation.coco_matches(gt, det), gt).select("class", r("iou_step", 2).alias("iou_step"), r("ap", 6).alias("ap"))
 
 
-@query(f"""
-    WITH RECURSIVE {BOXES}, {SIDES}, pairs AS (SELECT det.image, det.id AS pred, gt.id AS gt, greatest(0, least(gt.x1, det.x1) - greatest(gt.x0, det.x0)) * greatest(0, least(gt.y1, det.y1) - greatest(gt.y0, det.y0)) AS inter,
+GREEDY = """
+pairs AS (SELECT det.image, det.id AS pred, gt.id AS gt, greatest(0, least(gt.x1, det.x1) - greatest(gt.x0, det.x0)) * greatest(0, least(gt.y1, det.y1) - greatest(gt.y0, det.y0)) AS inter,
         (gt.x1 - gt.x0) * (gt.y1 - gt.y0) + (det.x1 - det.x0) * (det.y1 - det.y0) AS total FROM det JOIN gt USING (image)),
     ranked AS (SELECT image, pred, gt, inter / (total - inter) AS iou, row_number() OVER (PARTITION BY image ORDER BY inter / (total - inter) DESC, pred, gt) AS k FROM pairs WHERE inter > 0),
     walk AS (SELECT DISTINCT image, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS preds, CAST([] AS BIGINT[]) AS gts, false AS taken FROM pairs
              UNION ALL SELECT w.image, w.k + 1, CASE WHEN free THEN list_append(preds, pred) ELSE preds END, CASE WHEN free THEN list_append(gts, gt) ELSE gts END, free
              FROM (SELECT w.*, r.pred, r.gt, NOT list_contains(w.preds, r.pred) AND NOT list_contains(w.gts, r.gt) AS free FROM walk w JOIN ranked r ON r.image = w.image AND r.k = w.k + 1) w)
+"""
+
+
+@query(f"""
+    WITH RECURSIVE {BOXES}, {SIDES}, {GREEDY}, n AS (SELECT count(*) AS n FROM gt WHERE image IN (SELECT image FROM det)), won AS (SELECT iou FROM ranked JOIN walk USING (image, k) WHERE taken),
+    steps AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS t), r AS (SELECT t, (SELECT count(*) FROM won WHERE iou >= t) / n AS r FROM steps, n)
+    SELECT round(avg(r), 6) AS ar, (SELECT n FROM n) AS num_pos FROM r
+""")
+def proposal_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, det = _sides(spark, sf_dir)
+    return evaluation.proposal_recall(gt, det, 1_000_000).select(r("ar", 6).alias("ar"), "num_pos")
+
+
+@query(f"""
+    WITH RECURSIVE {BOXES}, {SIDES}, {GREEDY}
     SELECT image, pred, gt, round(iou, 6) AS iou FROM ranked JOIN walk USING (image, k) WHERE taken
 """)
 def greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +127,9 @@ def greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.greedy_one_to_one(det, gt).select("image", "pred", "gt", r("iou", 6).alias("iou"))
 
 
-@query()
+@query(suppressed("""SELECT * FROM (SELECT id, tile AS image, class_id AS level, score, x0, y0, x1, y1, row_number() OVER (PARTITION BY tile, class_id ORDER BY score DESC, id) AS top FROM boxes) WHERE top <= 1000""", ("image", "level"), 0.5) + """
+    SELECT * FROM (SELECT id, image, level, score, x0, y0, x1, y1, row_number() OVER (PARTITION BY image ORDER BY score DESC, id) AS rank FROM stays) WHERE rank <= 100
+""")
 def top_k_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = boxes(spark, sf_dir).select("id", F.col("tile").alias("image"), F.col("class_id").alias("level"), "score", "x0", "y0", "x1", "y1")
     return matching.top_k_nms(rows, 1000, 100, 0.5)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tesserae.functions import geometry, scalar
+from tesserae.functions import geometry, nested, scalar
 from tesserae.functions.geometry import Box
 from tesserae.plans.registry import big, query, r, table
 from tesserae.plans.spatial import BOXES, boxes
@@ -140,3 +140,22 @@ def keypoint_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("id")
     cx, cy, ok = geometry.keypoint_to_heatmap(F.col("x0") + k * 7 % 80, F.col("y0") + k * 11 % 80, Box.of(), 56)
     return boxes(spark, sf_dir).select("id", cx.alias("cx"), cy.alias("cy"), ok.alias("valid"))
+
+
+@query("""
+    SELECT s_suppkey AS id, s_suppkey % 7 AS "a/b", 'n' || s_suppkey AS "a/c/d", round(s_acctbal, 2) AS "a/c/e" FROM supplier
+""")
+def flattened_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    inner = F.struct(F.concat(F.lit("n"), k.cast("string")).alias("d"), r("s_acctbal", 2).alias("e"))
+    return nested.flattened(table(spark, sf_dir, "supplier").select(k.alias("id"), F.struct((k % 7).alias("b"), inner.alias("c")).alias("a")))
+
+
+@query("""
+    SELECT s_suppkey AS id, '{"a":{"keep":' || s_suppkey || '},"l":[{"keep":1}]}' AS config FROM supplier
+""")
+def json_without_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit('{"a":{"keep":'), k, F.lit(',"threshold_algorithm":"x"},"l":[{"keep":1,"threshold_algorithm":2}],"threshold_algorithm":3}'))
+    kept = nested.json_without(text, "struct<a:struct<keep:long,threshold_algorithm:string>,l:array<struct<keep:long,threshold_algorithm:long>>,threshold_algorithm:long>", "threshold_algorithm")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), kept.alias("config"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserae.functions.geometry import Box
-from tesserae.operators import graph, joins, masks, matching, raster, reconcile, tiling
+from tesserae.operators import graph, joins, masks, matching, raster, reconcile, regions, tiling
 from tesserae.operators.components import connected_components as components
 from tesserae.operators.sampling import numbered
 from tesserae.plans.registry import big, query, r, table
@@ -333,6 +333,23 @@ def nms_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.wide_nms(boxes(spark, sf_dir).select("id", "class_id", "score", "x0", "y0", "x1", "y1"), 0.1, ["class_id"], 128)
 
 
+def suppressed(scored: str, by: tuple[str, ...], threshold: float) -> str:
+    """SQL for suppression of boxes (`scored` defines them as s) within `by`: what stays, as `stays`."""
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in by)
+    cols = lambda t: ", ".join(f"{t}.{c}" for c in by)
+    inter = "(least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))"
+    return f"""
+        WITH RECURSIVE {BOXES}, s AS ({scored}), ranked AS (SELECT *, row_number() OVER (PARTITION BY {", ".join(by)} ORDER BY score DESC, id) AS k FROM s),
+        over AS (SELECT {cols("a")}, a.k, b.k AS j FROM ranked a JOIN ranked b ON {same("a", "b")} AND b.k < a.k AND a.x0 < b.x1 AND a.x1 > b.x0 AND a.y0 < b.y1 AND a.y1 > b.y0
+            WHERE {inter} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {inter}) > {threshold}),
+        step AS (SELECT {cols("ranked")}, ranked.k, coalesce(list(j) FILTER (j IS NOT NULL), []) AS against FROM ranked LEFT JOIN over ON {same("ranked", "over")} AND over.k = ranked.k GROUP BY ALL),
+        walk AS (SELECT DISTINCT {", ".join(by)}, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM s
+                 UNION ALL SELECT {cols("w")}, w.k + 1, CASE WHEN list_has_any(kept, against) THEN kept ELSE list_append(kept, w.k + 1) END FROM walk w JOIN step ON {same("step", "w")} AND step.k = w.k + 1),
+        final AS (SELECT {", ".join(by)}, unnest(arg_max(kept, k)) AS k FROM walk GROUP BY {", ".join(by)}),
+        stays AS (SELECT ranked.* EXCLUDE (k) FROM ranked JOIN final ON {same("ranked", "final")} AND final.k = ranked.k)
+    """
+
+
 @query()
 def delaunay_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.delaunay_graph(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 7919 % 1000).alias("x"), (F.col("s_suppkey") * 104729 % 997).alias("y")))
@@ -369,3 +386,35 @@ def box_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def global_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(boxes(spark, sf_dir).select("id", "y0", "x0"), ["y0", "x0", "id"]).select("id", "number")
+
+
+TRIANGLES = "shapes AS (SELECT id, [x0 + 0.25, x1 + 0.0, x0 + 7.5] AS xs, [y0 + 0.0, y0 + id % 9, y1 - 0.5] AS ys FROM boxes)"
+
+
+@query(f"""
+    WITH {BOXES}, {TRIANGLES}, e AS (SELECT id, unnest(xs) AS ax, unnest(ys) AS ay, unnest(xs[2:3] || xs[1:1]) AS ex, unnest(ys[2:3] || ys[1:1]) AS ey FROM shapes),
+    c AS (SELECT id, y, ax + (y + 0.5 - ay) * (ex - ax) / (ey - ay) AS c FROM (SELECT *, unnest(range(CAST(ceil(least(ay, ey) - 0.5) AS BIGINT), CAST(ceil(greatest(ay, ey) - 0.5) AS BIGINT))) AS y FROM e WHERE ay <> ey)),
+    r AS (SELECT id, y, c, lead(c) OVER w AS d, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY id, y ORDER BY c))
+    SELECT id, y, CAST(ceil(c - 0.5) AS BIGINT) AS x0, CAST(ceil(d - 0.5) AS BIGINT) AS x1 FROM r WHERE k % 2 = 1 AND ceil(d - 0.5) > ceil(c - 0.5)
+""")
+def polygon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = lambda c: F.col(c).cast("double")
+    shapes = boxes(spark, sf_dir).select("id", F.array(low("x0") + 0.25, low("x1"), low("x0") + 7.5).alias("xs"), F.array(low("y0"), low("y0") + F.col("id") % 9, low("y1") - 0.5).alias("ys"))
+    return masks.from_polygons(shapes).select("id", *[big(c).alias(c) for c in ("y", "x0", "x1")])
+
+
+@query(f"""
+    WITH {SEEDS}, nuclei AS (SELECT DISTINCT ON (y, x) y, x, label FROM (SELECT y + dy AS y, x + dx AS x, label FROM seeds, (SELECT unnest([0, 0, 1]) AS dy, unnest([0, 1, 0]) AS dx)) ORDER BY y, x, label),
+    p AS (SELECT label, y, x, row_number() OVER (PARTITION BY label ORDER BY y, x) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM nuclei),
+    m AS (SELECT label, y, x FROM p WHERE k = n // 2),
+    o AS (SELECT a.d AS dy, b.d AS dx FROM (SELECT unnest(range(-5, 6)) AS d) a, (SELECT unnest(range(-5, 6)) AS d) b WHERE a.d * a.d + b.d * b.d <= 25),
+    near AS (SELECT y, x, arg_min(label, (d2, label)) AS label FROM (SELECT y + dy AS y, x + dx AS x, dy * dy + dx * dx AS d2, label FROM m, o) GROUP BY ALL)
+    SELECT y, x, coalesce(nuclei.label, near.label) AS label FROM near FULL JOIN nuclei USING (y, x)
+""")
+def voronoi_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nuclei of three pixels at most, one on another's place giving way to the smaller label; regions by the nearest seed."""
+    k = F.col("s_suppkey")
+    seeds = table(spark, sf_dir, "supplier").groupBy((k * 37 % 200).cast("int").alias("y"), (k * 91 % 200).cast("int").alias("x")).agg((F.min("s_suppkey") + 1).alias("label"))
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 0), (0, 1), (1, 0))])).alias("o")
+    nuclei = seeds.select("label", "y", "x", around).groupBy((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(F.min("label").alias("label"))
+    return regions.grow(nuclei, "voronoi", 5).select(big("y").alias("y"), big("x").alias("x"), big("label").alias("label"))

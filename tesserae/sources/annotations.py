@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from tesserae.session import at_most
+from tesserae.session import at_most, written
 
 POLYGON = T.ArrayType(T.ArrayType(T.DoubleType()))
 COCO = T.StructType(
@@ -117,3 +117,58 @@ def only_annotated(images: DataFrame, annotations: DataFrame, min_keypoints: int
         seen = F.size(F.filter(F.transform("keypoints", lambda v, i: F.when(i % 3 == 2, v > 0)), lambda v: F.coalesce(v, F.lit(False))))
         kept = kept.groupBy("image_id").agg(F.sum(seen).alias("n")).where(F.col("n") >= min_keypoints)
     return images.join(kept.select(F.col("image_id").alias("id")), "id", "left_semi")
+
+
+PANOPTIC = """
+    annotations array<struct<image_id long, file_name string, segments_info array<struct<id long, category_id long, area double, bbox array<double>, iscrowd int>>>>,
+    categories array<struct<id long, name string, isthing int>>
+"""
+
+
+def read_panoptic(spark: SparkSession, path: str, image_folder: str, truth_folder: str) -> tuple[DataFrame, DataFrame]:
+    """Images (image_id, file_name, pan_seg_file_name, segments) of files in COCO's panoptic form, and the categories with `class` counted
+    from 0 among things and among stuff. A segment's class is that of its category; a category that is unknown is an error."""
+    doc = spark.read.schema(PANOPTIC).option("multiLine", True).json(path)
+    named = doc.select(F.explode("categories").alias("c")).select("c.id", "c.name", (F.coalesce("c.isthing", F.lit(1)) == 1).alias("isthing")).distinct()
+    if not at_most(named):
+        raise ValueError("too many categories")
+    categories = named.withColumn("class", F.row_number().over(Window.partitionBy("isthing").orderBy("id")).cast("long") - 1)
+    rows = doc.select(F.explode("annotations").alias("a")).select("a.image_id", "a.file_name", F.posexplode_outer("a.segments_info").alias("k", "s"))
+    found = rows.join(F.broadcast(categories.select(F.col("id").alias("_c"), "class", "isthing")), F.col("s.category_id") == F.col("_c"), "left")
+    bad = F.raise_error(F.concat(F.lit("unknown category "), F.col("s.category_id").cast("string"))).cast("long")
+    kind = F.when(F.col("s").isNotNull() & F.col("class").isNull(), bad).otherwise(F.col("class"))
+    segment = F.struct("k", F.col("s.id").alias("id"), kind.alias("class"), "isthing", F.col("s.area").alias("area"), F.col("s.bbox").alias("bbox"), F.coalesce("s.iscrowd", F.lit(0)).alias("iscrowd"))
+    lists = found.groupBy("image_id", "file_name").agg(F.sort_array(F.collect_list(F.when(F.col("s").isNotNull(), segment))).alias("segments"))
+    bare = F.regexp_replace("file_name", r"\.[^./]*$", "")
+    images = lists.select("image_id", F.concat(F.lit(f"{image_folder}/"), bare, F.lit(".jpg")).alias("file_name"), F.concat(F.lit(f"{truth_folder}/"), F.col("file_name")).alias("pan_seg_file_name"), F.transform("segments", lambda s: s.dropFields("k")).alias("segments"))
+    return images, categories
+
+
+def segment_pixels(pixels: DataFrame) -> DataFrame:
+    """segment of pixels (red, green, blue) of panoptic truth images: red + 256 green + 256^2 blue."""
+    return pixels.withColumn("segment", (F.col("red").cast("long") + F.col("green").cast("long") * 256 + F.col("blue").cast("long") * 65536))
+
+
+def visible_polygons(objects: DataFrame, reverse: bool = True) -> DataFrame:
+    """Runs (file, order, label, y, x0, x1) of what can be seen of each object of read_cityscapes(): what the objects in front leave, front
+    first by `order`. The painter's rule on runs, in place of cutting polygons from the union of those in front."""
+    from tesserae.operators import masks
+
+    keyed = objects.withColumn("id", F.xxhash64("file", "order"))
+    runs = masks.from_polygons(keyed.select("id", F.transform("polygon", lambda p: p[0]).alias("xs"), F.transform("polygon", lambda p: p[1]).alias("ys")))
+    # a file is an image of its own: its rows lie in a band of their own for the painter
+    band = keyed.groupBy("file").agg(F.max("imgHeight").alias("h"))
+    placed = written(band.withColumn("_k", F.sum("h").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))).select("file", F.coalesce("_k", F.lit(0)).cast("long").alias("top")), "bands")
+    named = keyed.join(placed, "file").select("id", "file", "order", "label", "top")
+    dealt = runs.join(named.select("id", "top"), "id").select("id", (F.col("y") + F.col("top")).alias("y"), "x0", "x1")
+    seen = masks.paint_runs(dealt, named.select("id", (-F.col("order")).cast("double").alias("score")))
+    back = seen.withColumnRenamed("label", "id").join(named, "id")
+    return back.select("file", "order", "label", (F.col("y") - F.col("top")).alias("y"), "x0", "x1")
+
+
+def merged_truths(detections: DataFrame, semantic: DataFrame, key: str = "file_name") -> DataFrame:
+    """Detection rows with the semantic truth of the same file; a file without one is an error."""
+    side = semantic.select(key, "sem_seg_file_name").dropDuplicates([key])
+    out = detections.join(side, key, "left")
+    bad = F.raise_error(F.concat(F.lit("no semantic truth for "), F.col(key)))
+    return out.withColumn("sem_seg_file_name", F.when(F.col("sem_seg_file_name").isNull(), bad).otherwise(F.col("sem_seg_file_name")))

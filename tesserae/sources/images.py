@@ -98,7 +98,7 @@ def zarr_pixel_size(attributes: Column) -> Column:
 def read_arrays(spark: SparkSession, path: str, tile: int = 1024, axes: str | None = None) -> DataFrame:
     """path, channel, row, column, y, x, height, width and values (row by row) of the tiles of .npy files, one task a file.
 
-    TIFF and Zarr need a codec; a reader for them yields the same rows from read_tiles()."""
+    TIFF files and Zarr folders are read by tiles.read_image(), segment by segment."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

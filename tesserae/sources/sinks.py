@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import json
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserae.operators.sampling import numbered
-from tesserae.session import at_most
+from tesserae.session import at_most, written
 
 #: Rows and columns of a spreadsheet.
 SHEET_ROWS, SHEET_COLUMNS = 1_048_576, 16_384
@@ -69,6 +73,82 @@ def coco_document(images: DataFrame, categories: DataFrame, annotations: DataFra
     system.rename(made, there)
 
 
+def _at(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """A small document under another name until it is whole, then in the place of the old one."""
+    there, system = _at(spark, path)
+    made, _ = _at(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = system.create(made, True)
+    out.write(bytearray(json.dumps(value, indent=2, sort_keys=True, default=str).encode()))
+    out.hsync()
+    out.close()
+    system.delete(there, False)
+    if not system.rename(made, there):
+        raise OSError(f"{path} can't be written")
+
+
+def read_json(spark: SparkSession, path: str):
+    """What write_json() wrote; None if there is nothing."""
+    there, system = _at(spark, path)
+    if not system.exists(there):
+        return None
+    return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    there, system = _at(spark, path)
+    system.delete(there, True)
+
+
+#: Columns of the table of global cells, in order.
+CELL_COLUMNS = ("global_cell_id", "class_id", "class_name", "score", "area", "centroid_x", "centroid_y", "x0", "y0", "x1", "y1", "source_count", "owned_source_count", "touches_image_edge", "representative_prediction_id", "mask_strategy")
+
+
+def write_cells(cells: DataFrame, path: str) -> None:
+    """The table of global cells by number; columns that cells lacks are empty."""
+    rows = cells.select(*[F.col(c) if c in cells.columns else F.lit(None).cast("string").alias(c) for c in CELL_COLUMNS])
+    write_csv(rows, path, ["global_cell_id"])
+
+
+def write_archives(instances: DataFrame, folder: str, compressed: bool = True) -> DataFrame:
+    """One .npz a tile of instances (tile_id, local_index, score, class_id, area, x0, y0, x1, y1, centroid_x, centroid_y, owned_by_core,
+    touches_read_edge, width, height, data: packed bits), in the form that images.read_archives() reads. Returns tile_id, path and count.
+
+    An archive is written under the attempt's name and then takes its own, so one that is there is whole. A tile is one task's: it holds what
+    one read of an image found."""
+    from tesserae.session import ready
+
+    fields = {"scores": ("score", np.float32), "class_ids": ("class_id", np.int32), "areas": ("area", np.int64), "owned_by_core": ("owned_by_core", bool), "touches_read_edge": ("touches_read_edge", bool), "mask_widths": ("width", np.int32), "mask_heights": ("height", np.int32)}
+    there, system = _at(instances.sparkSession, folder)
+    system.mkdirs(there)
+    base = there.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        own = pdf.sort_values("local_index")
+        data = [np.frombuffer(d, np.uint8) for d in own["data"]]
+        held = {name: own[c].to_numpy().astype(kind) for name, (c, kind) in fields.items()}
+        held |= {"schema_version": np.array([1], np.int16), "tile_id": np.array(str(key[0])), "global_boxes": own[["x0", "y0", "x1", "y1"]].to_numpy(np.int64), "global_centroids": own[["centroid_x", "centroid_y"]].to_numpy(float), "mask_offsets": np.cumsum([0, *map(len, data)]), "mask_data": np.concatenate(data)}
+        packed = io.BytesIO()
+        (np.savez_compressed if compressed else np.savez)(packed, **held)
+        files, root = fs.FileSystem.from_uri(base)
+        name = f"{root}/{key[0]}.npz"
+        part = f"{name}.{TaskContext.get().taskAttemptId()}.part"
+        with files.open_output_stream(part) as out:
+            out.write(packed.getvalue())
+        files.move(part, name)
+        return pd.DataFrame({"tile_id": [key[0]], "path": [name], "n": [len(own)]})
+
+    ready(instances.sparkSession)
+    return written(instances.groupBy("tile_id").applyInPandas(run, f"tile_id {dict(instances.dtypes)['tile_id']}, path string, n long"), "archives")
+
+
 def write_label_chunks(labels: DataFrame, path: str, chunk: int = 1024) -> None:
     """Labelled pixels by chunk; an empty chunk has no folder."""
     rows = labels.where("label > 0").withColumn("chunk_y", F.floor(F.col("y") / chunk)).withColumn("chunk_x", F.floor(F.col("x") / chunk))
