@@ -162,26 +162,33 @@ def panoptic_fusion(pixels: DataFrame, overlap: float = 0.5, stuff_area: int = 4
     covered is dropped; then stuff where free, if there is enough. Rows with a null instance carry the stuff class."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[tuple[int, int], tuple[int, int]] = {}
-        things = pdf[pdf["instance"].notna() & (pdf["score"] >= score)]
-        order = things.groupby("instance").agg(score=("score", "first"), cls=("class", "first")).reset_index().sort_values(["score", "instance"], ascending=[False, True])
-        number = 0
-        for inst, cls in zip(order["instance"], order["cls"], strict=True):
-            own = things[things["instance"] == inst]
-            places = list(zip(own["y"], own["x"], strict=True))
-            free = [p for p in places if p not in taken]
-            if (len(places) - len(free)) / len(places) > overlap:
+        ys, xs = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
+        width = int(xs.max() - xs.min()) + 1
+        places, at = np.unique((ys - ys.min()) * width + xs - xs.min(), return_inverse=True)
+        segment, of = np.zeros(len(places), np.int32), np.zeros(len(places), np.int32)
+        classes, number = pdf["class"].to_numpy(), 0
+        things = np.flatnonzero((pdf["instance"].notna() & (pdf["score"] >= score)).to_numpy())
+        names, inverse = np.unique(pdf["instance"].to_numpy()[things].astype(float), return_inverse=True)
+        by = things[np.argsort(inverse, kind="stable")]
+        own = np.split(by, np.cumsum(np.bincount(inverse, minlength=len(names)))[:-1]) if len(names) else []
+        scores = np.array([pdf["score"].iloc[rows[0]] for rows in own])
+        for k in np.lexsort((names, -scores)).tolist():
+            mine = at[own[k]]
+            free = mine[segment[mine] == 0]
+            if (len(mine) - len(free)) / len(mine) > overlap:
                 continue
             number += 1
-            taken |= dict.fromkeys(free, (number, int(cls)))
-        stuff = pdf[pdf["instance"].isna()]
-        for cls, own in stuff.groupby("class"):
-            free = [p for p in zip(own["y"], own["x"], strict=True) if p not in taken]
+            segment[free], of[free] = number, int(classes[own[k][0]])
+        stuff = np.flatnonzero(pdf["instance"].isna().to_numpy())
+        for cls in np.unique(classes[stuff]).tolist():
+            mine = at[stuff[classes[stuff] == cls]]
+            free = mine[segment[mine] == 0]
             if cls != 0 and len(free) >= stuff_area:
                 number += 1
-                taken |= dict.fromkeys(free, (number, int(cls)))
-        out = pd.DataFrame([(y, x, s, c) for (y, x), (s, c) in taken.items()], columns=["y", "x", "segment", "class"])
-        return out.assign(image=pdf["image"].iloc[0])[["image", "y", "x", "segment", "class"]]
+                segment[free], of[free] = number, int(cls)
+        hit = np.flatnonzero(segment)
+        out = {"image": pdf["image"].iloc[0], "y": places[hit] // width + ys.min(), "x": places[hit] % width + xs.min(), "segment": segment[hit], "class": of[hit]}
+        return pd.DataFrame(out)
 
     ready(pixels.sparkSession)
     return pixels.groupBy("image").applyInPandas(run, f"image {dict(pixels.dtypes)['image']}, y int, x int, segment int, class int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,7 @@ def reconstruct(seed: np.ndarray, mask: np.ndarray) -> np.ndarray:
         out = new
 
 
-def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
+def gaussian(a: np.ndarray, sigma: float, beyond: str = "symmetric") -> np.ndarray:
     if sigma <= 0:
         return a.astype(float)
     r = int(4 * sigma + 0.5)
@@ -55,14 +56,16 @@ def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
     k /= k.sum()
     out = a.astype(float)
     for axis in (0, 1):
-        padded = np.pad(out, [(r, r) if i == axis else (0, 0) for i in (0, 1)], mode="symmetric")
+        padded = np.pad(out, [(r, r) if i == axis else (0, 0) for i in (0, 1)], mode=beyond)
         out = np.apply_along_axis(lambda v: np.convolve(v, k, "valid"), axis, padded)
     return out
 
 
-def median3(a: np.ndarray) -> np.ndarray:
-    p = np.pad(a, 1, mode="edge")
-    return np.median([p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3)], axis=0)
+def median(a: np.ndarray, radius: float) -> np.ndarray:
+    """Median over a disk, edges repeated."""
+    r = int(radius)
+    p = np.pad(a, r, mode="edge")
+    return np.median([p[r + dy : r + dy + a.shape[0], r + dx : r + dx + a.shape[1]] for dy, dx in disk(radius)], axis=0)
 
 
 def laplacian(a: np.ndarray) -> np.ndarray:
@@ -128,19 +131,45 @@ def nearest(labels: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
     return found, best
 
 
-def distance_inside(mask: np.ndarray) -> np.ndarray:
-    """Euclidean distance of each pixel of mask to the next one outside: lower envelopes of parabolas, by rows and then by columns."""
-    h, w = mask.shape
-    far = float(h * h + w * w + 1)
-    g = np.where(mask, far, 0.0)
+def _envelope(f: list[float], far: float) -> list[float]:
+    """min over q of (p - q)^2 + f[q] at each p: the lower envelope of these parabolas, from left to right."""
+    feet, starts, out = [], [], []
+    for q, height in enumerate(f):
+        if height >= far:
+            continue
+        at = -math.inf
+        while feet:
+            k = feet[-1]
+            at = (height + q * q - f[k] - k * k) / (2 * (q - k))
+            if at > starts[-1]:
+                break
+            feet.pop()
+            starts.pop()
+            at = -math.inf
+        feet.append(q)
+        starts.append(at)
+    if not feet:
+        return [far] * len(f)
+    i = 0
+    for p in range(len(f)):
+        while i + 1 < len(feet) and starts[i + 1] < p:
+            i += 1
+        out.append((p - feet[i]) ** 2 + f[feet[i]])
+    return out
 
-    def pass_(f: np.ndarray) -> np.ndarray:
-        n = len(f)
-        d = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2
-        return (d + f[None, :]).min(axis=1)
 
-    g = np.apply_along_axis(pass_, 0, g)
-    return np.sqrt(np.minimum(np.apply_along_axis(pass_, 1, g), far))
+def distance_inside(mask: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each pixel of mask to the next one outside: lower envelopes of parabolas, by columns and then by rows."""
+    far = float(mask.shape[0] ** 2 + mask.shape[1] ** 2 + 1)
+    g = np.where(mask, far, 0.0)
+    for _ in range(2):
+        lines = g.T
+        busy = lines.any(axis=1)
+        out = np.zeros(lines.shape)
+        for k in np.flatnonzero(busy).tolist():
+            out[k] = _envelope(lines[k].tolist(), far)
+        g = out
+    return np.sqrt(np.minimum(g, far))
 
 
 def watershed(elevation: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -171,26 +200,72 @@ def split_by_shape(mask: np.ndarray, apart: int = 3) -> np.ndarray:
     return watershed(-d, markers, mask) if markers.any() else components4(mask)
 
 
-def threshold_segment(image: np.ndarray, threshold: float, dark: bool = False, sigma: float = 1.0, background: float = 0, grow: int = 1, area: tuple[int, int] = (1, 1 << 30)) -> np.ndarray:
-    """Objects brighter than the threshold: smoothed, curved upward, watershed from local maxima, grown, filled, split by shape and
-    filtered by area and mean."""
-    a = median3(255.0 - image if dark else image.astype(float))
+def regional_maxima(a: np.ndarray) -> np.ndarray:
+    """Plateaus (8-connected) without a higher neighbour."""
+    around = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+    top = a >= np.maximum.reduce([shifted(a, dy, dx, -np.inf) for dy, dx in around])
+    while True:
+        # a pixel whose equal neighbour isn't one isn't one either
+        lost = np.zeros(a.shape, bool)
+        for dy, dx in around:
+            lost |= (shifted(a, dy, dx, np.nan) == a) & ~shifted(top, dy, dx, True)
+        if not (lost & top).any():
+            return top
+        top &= ~lost
+
+
+def _split(mask: np.ndarray, touching: bool, apart: int) -> np.ndarray:
+    return split_by_shape(mask, apart) if touching else components4(mask)
+
+
+def threshold_segment(
+    image: np.ndarray, threshold: float, dark: bool = False, sigma: float = 3.0, background: float = 0, reconstruction: bool = True, smooth_radius: int = 0,
+    fill: bool = True, touching: bool = True, apart: int = 3, refine: bool = True, area: tuple[int, int] = (1, 1 << 30),
+) -> np.ndarray:
+    """Objects that curve upward and are brighter than the threshold on average.
+
+    The background is taken off, the rest smoothed; where its Laplacian is negative, the response flows to its regional maxima. Regions
+    whose mean is over the threshold are accepted, grown by a pixel within the response, filled, and split by their shape. After a wide smoothing
+    the borders follow the response of a finer one. Objects stay by area and mean."""
+    a = 255.0 - image if dark else image.astype(float)
+    if smooth_radius:
+        a = median(a, smooth_radius)
+    measured = a
     if background:
-        a = a - opening(a, background)
-    smooth = gaussian(a, sigma)
-    body = (-laplacian(smooth) > 0) & (a > threshold)
-    labels = watershed(-smooth, peaks(smooth, body), body)
-    sums, counts = np.bincount(labels.ravel(), a.ravel()), np.bincount(labels.ravel())
-    bright = np.divide(sums, counts, out=np.zeros(len(counts)), where=counts > 0) > threshold
+        under = erode(a, background)
+        measured = np.maximum(a - (reconstruct(under, a) if reconstruction else dilate(under, background)), 0.0)
+    response = -laplacian(gaussian(measured, sigma, "edge"))
+    body = response > 0
+    labels = watershed(-response, components4(regional_maxima(response) & body), body)
+    bright = _means(labels, measured)[1] > threshold
     bright[0] = False
-    labels = split_by_shape(fill_holes(dilate(bright[labels], grow)))
-    sums, counts = np.bincount(labels.ravel(), a.ravel()), np.bincount(labels.ravel())
-    keep = (counts >= area[0]) & (counts <= area[1]) & (np.divide(sums, counts, out=np.zeros(len(counts)), where=counts > 0) > threshold)
+    merged = stretched(bright[labels]) & body
+    if fill:
+        merged = fill_holes(merged)
+    labels = _split(merged, touching, apart)
+    if refine and sigma > 1.5 and labels.any():
+        fine = -laplacian(gaussian(a, 1.0, "edge")) > 0
+        now = labels > 0
+        labels = _split(stretched(now, True) | (now & fine), touching, apart)
+    counts, means = _means(labels, measured)
+    keep = (counts >= area[0]) & (counts <= area[1]) & (means > threshold)
     keep[0] = False
     number = np.cumsum(keep) * keep
     return number[labels]
 
 
+def stretched(mask: np.ndarray, inner: bool = False) -> np.ndarray:
+    """mask grown by a pixel in all eight directions or, inner, shrunk by one; edges repeated."""
+    p = np.pad(mask, 1, mode="edge")
+    views = [p[i : i + mask.shape[0], j : j + mask.shape[1]] for i in range(3) for j in range(3)]
+    return np.logical_and.reduce(views) if inner else np.logical_or.reduce(views)
+
+
+def _means(labels: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.bincount(labels.ravel())
+    return counts, np.divide(np.bincount(labels.ravel(), values.ravel()), counts, out=np.zeros(len(counts)), where=counts > 0)
+
+
 def outline(mask: np.ndarray) -> np.ndarray:
     """Corners (x, y) around the largest 8-connected part's outer border, traced clockwise."""
     labels = parts(mask, True)

@@ -212,7 +212,14 @@ def test_raster_kernels():
     yy, xx = np.mgrid[:40, :40]
     for cy, cx in ((10, 10), (28, 27)):
         image = np.maximum(image, 200 * np.exp(-((yy - cy) ** 2 + (xx - cx) ** 2) / 18))
-    labels = raster.threshold_segment(image, 60, area=(10, 1000))
+    rng = np.random.default_rng(2)
+    odd = rng.random((40, 33)) < 0.85
+    ys, xs = np.nonzero(~odd)
+    want = np.array([[np.sqrt(((ys - y) ** 2 + (xs - x) ** 2).min()) for x in range(33)] for y in range(40)])
+    assert np.allclose(raster.distance_inside(odd), want)
+    flat = np.array([[1, 1, 0, 3], [1, 2, 0, 3], [0, 0, 0, 0], [5, 5, 4, 0]], float)
+    assert np.array_equal(raster.regional_maxima(flat), (flat == 3) | (flat == 5) | (flat == 2))
+    labels = raster.threshold_segment(image, 60, sigma=1.0, area=(10, 1000))
     assert labels.max() == 2 and labels[10, 10] and labels[28, 27] and labels[10, 10] != labels[28, 27]
 
 
