@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tesserae.operators.joins import knn, radius_pairs
-from tesserae.session import at_most
+from tesserae.session import at_most, written
 
 #: Points above which the triangulation, a global algorithm on the driver, refuses.
 DELAUNAY_LIMIT = 300_000
@@ -82,6 +82,7 @@ def enrichment(counts: DataFrame) -> DataFrame:
     """expected edges under the configuration model, and observed / expected (NaN where nothing is expected).
 
     Degrees come from the counts themselves: a pair adds its edges to both clusters, twice to one."""
+    counts = written(counts, "counts")  # a row a pair of clusters; what they are made of is worked out once
     ends = counts.select(F.col("a").alias("c"), "observed").unionAll(counts.select(F.col("b").alias("c"), "observed"))
     degree = ends.groupBy("c").agg(F.sum("observed").cast("double").alias("d"))
     total = degree.agg(F.sum("d")).first()[0] or 0.0

@@ -141,9 +141,10 @@ def knn_vectors(points: DataFrame, k: int, key: str = "id", vector: str = "vecto
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str = "id", vector: str = "vector", label: str = "label") -> DataFrame:
     """key, label and squared distance of the nearest centroid, ties by the lower label. The centroids, which are counted, travel to
     the vectors: an Arrow batch is one matrix product."""
-    if not at_most(centroids, BROADCAST_ROWS):
+    rows = centroids.select(label, vector).limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
         raise ValueError("too many centroids for one matrix")
-    rows = centroids.orderBy(label).select(label, vector).collect()
+    rows.sort(key=lambda r: r[0])
     labels, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

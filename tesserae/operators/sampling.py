@@ -35,6 +35,13 @@ def priority_sample(df: DataFrame, priority: Column, k: int, tie: str) -> DataFr
     return df.withColumn("priority", priority).orderBy("priority", tie).limit(k)
 
 
+def ratio_sample(df: DataFrame, key: str, ratio: float, seed: int = 13) -> DataFrame:
+    """A seeded sample of int(rows x ratio) rows, the same ones however the rows are dealt."""
+    if not 0 <= ratio <= 1:
+        raise ValueError("ratio must be from 0 to 1")
+    return priority_sample(df, F.xxhash64(F.lit(seed), F.col(key)), int(df.count() * ratio), key)
+
+
 def grid_sample(df: DataFrame, order: str, step: int) -> DataFrame:
     """Each step-th row in order, from the first."""
     return numbered(df, [order], "_k").where((F.col("_k") - 1) % step == 0).drop("_k")

@@ -149,6 +149,22 @@ class WorkLog:
             out = self.run(units, work, retry_failed=True)
         return out
 
+    def run_in_batches(self, units: DataFrame, work: Callable[[DataFrame], DataFrame], size: int, progress: Callable[[str, int, int], None] | None = None, cancelled: Callable[[], bool] | None = None) -> DataFrame | None:
+        """run() over `size` units or so at a time, told apart by hash. progress gets the phase, units done and units in all after each;
+        cancelled is asked before each, and what was done until then stays done."""
+        left = self.todo(units)
+        total, rest = units.count(), left.count()
+        for k in range(batches := -(-rest // size)):
+            if cancelled and cancelled():
+                break
+            self.run(units.where(F.pmod(F.xxhash64(F.col("unit").cast("string")), F.lit(batches)) == k), work)
+            if progress:
+                progress("running", self.states().where("state = 'completed'").count(), total)
+        else:
+            if progress:
+                progress("completed", self.states().where("state = 'completed'").count(), total)
+        return self.results()
+
     def progress(self) -> DataFrame:
         return quantify.status_counts(self.states(), "state", list(self.STATES))
 

@@ -301,6 +301,22 @@ def test_one_run_holds_the_lock(spark, tmp_path):
     assert log.run(units, other).count() == 1 and log.run(units, other).count() == 1
 
 
+def test_batches_tell_and_can_be_stopped(spark, tmp_path):
+    log = incremental.WorkLog(spark, str(tmp_path / "log"), {"a": 1})
+    units = spark.range(20).selectExpr("concat('u', id) as unit")
+    told: list = []
+    log.run_in_batches(units, lambda left: left, 5, lambda *a: told.append(a), lambda: len(told) >= 2)
+    done = told[-1][1]
+    assert len(told) == 2 and 0 < done < 20 and log.results().count() == done
+    assert log.run_in_batches(units, lambda left: left, 50, lambda *a: told.append(a)).count() == 20 and told[-1] == ("completed", 20, 20)
+
+
+def test_ratio_sample(spark):
+    df = spark.range(101)
+    a, b = (sorted(r.id for r in sampling.ratio_sample(d, "id", 0.25).collect()) for d in (df, df.repartition(7)))
+    assert a == b and len(a) == 25
+
+
 def test_phases_retry_what_failed(spark, tmp_path):
     log = incremental.WorkLog(spark, str(tmp_path / "log"), {"a": 1})
     units = spark.createDataFrame([("u1",), ("u2",)], "unit string")
