@@ -58,6 +58,32 @@ def test_run_is_its_stages(spark, stages):
     assert key(corpus_pipeline.run(spark, SF)) == key(stages[5])
 
 
+def test_quality_stage_keeps_what_the_report_keeps(spark, stages):
+    from tesserae.llm import quality
+    from tests.llm.test_quality import plain as statistics
+
+    report = quality.report(stages[0], spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    assert Counter(r.doc_id for r in report if r.kept) == Counter(r.doc_id for r in stages[1].collect())
+    assert not any(statistics(r.text or "")[-1] for r in stages[1].collect())
+
+
+def test_odd_rows_and_clashing_columns(spark, docs, tmp_path):
+    """Nulls, empty and long texts, repeated rows, a null id, and columns that are called as operators' own."""
+    held = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, held, SF)
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        before, held = held, spark.read.parquet(str(tmp_path / name))
+        assert held.count() <= before.count() and held.select("doc_id").subtract(before.select("doc_id")).count() == 0
+    again = [r for r in docs.where("doc_id is null").limit(1).collect()]
+    only = spark.createDataFrame(again * 2, docs.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, only, SF).collect()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, held, SF)
+    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in held.collect()}
+
+
 def test_empty_documents(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
