@@ -426,9 +426,12 @@ def _joined_slices(found: DataFrame, placed: DataFrame, search, part_rows, block
         some = named.where(F.col("out") | (draw.cast("double") / 2.0**64 + 0.5 <= F.col("n_out") / F.col("n_top")))
         found = _merged(found, search(some.withColumn("part", F.pmod(F.xxhash64(draw), units)).select("_id", "t", "node", "block", "part", "group")))
     sigs = written(part_rows(named.select("_id", "t", "block", "part", "node", "out")), "parts")
-    mates = sigs.select("block", "sig", F.col("part").alias("to")).distinct()
-    visits = join_hot(sigs.where("out").drop("out"), mates, ["block", "sig"], "inner", salt_by=["node"]).where("part <> to").select("block", "node", "to").distinct()
-    visits = written(visits, "visits")
+    # the slices that hold a part, one row a part; then those that hold any of a set's parts
+    mates = sigs.groupBy("block", "sig").agg(F.collect_set("part").alias("to"))
+    mates = mates.join(_small(sigs.where("out").select("block", "sig").distinct()), ["block", "sig"], "left_semi")
+    near = join_hot(sigs.where("out").drop("out"), written(mates, "mates"), ["block", "sig"], "inner", salt_by=["node"])
+    others = near.groupBy("block", "node", "part").agg(F.array_distinct(F.flatten(F.collect_set("to"))).alias("to"))
+    visits = written(others.select("block", "node", F.explode(F.filter("to", lambda x: x != F.col("part"))).alias("to")), "visits")
     # a slice that many visit is there once for each chunk of them
     hosts = visits.groupBy("block", "to").agg(F.ceil(F.count("*") / (4 * block_rows)).cast("int").alias("chunks"))
     hosts = written(hosts.withColumnRenamed("to", "part"), "hosts")
@@ -446,7 +449,7 @@ def _labelled(sig: DataFrame, label: DataFrame) -> DataFrame:
     classes = sig.where("n_shingles > 0").groupBy("h0", "h1").agg(F.min("doc_id").alias("m")).withColumnRenamed("h0", "node")
     grouped = written(classes.join(label, "node", "left").select("node", "h1", "m", F.coalesce("label", "node").alias("label")), "labelled")
     least = grouped.groupBy("label").agg(F.min("m").alias("component_id"))
-    named = join_hot(grouped, least, ["label"], "inner", salt_by=["node", "h1"]).select(F.col("node").alias("h0"), "h1", "component_id", "label")
+    named = grouped.join(least, "label").select(F.col("node").alias("h0"), "h1", "component_id", "label")
     out = join_hot(sig, named, ["h0", "h1"], salt_by=["doc_id", "t"])
     full = F.col("n_shingles") > 0
     return out.select("doc_id", "t", "n_shingles", F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(full, F.col("label")).alias("label"))
