@@ -144,11 +144,16 @@ def class_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instances.detections(rows, 950.0, 0.3, 100)
 
 
-@query()
+@query(suppressed("""
+    SELECT id, class_id, tile, score, cx - CASE WHEN id % 2 = 1 THEN h ELSE w END / 2 AS x0, cy - CASE WHEN id % 2 = 1 THEN w ELSE h END / 2 AS y0,
+           cx + CASE WHEN id % 2 = 1 THEN h ELSE w END / 2 AS x1, cy + CASE WHEN id % 2 = 1 THEN w ELSE h END / 2 AS y1
+    FROM (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, x1 - x0 AS w, y1 - y0 AS h FROM boxes)
+""", ("class_id", "tile"), 0.1) + " SELECT id, class_id, tile, score FROM stays")
 def rotated_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes turned by quarters, which SQL can follow; other angles are in the tests."""
     cx, cy = Box.of().center
-    rows = boxes(spark, sf_dir).select("id", "class_id", "score", cx.alias("cx"), cy.alias("cy"), Box.of().width.cast("double").alias("w"), Box.of().height.cast("double").alias("h"), (F.col("id") * 37 % 360).cast("double").alias("angle"))
-    return matching.nms(rows, 0.1, ["class_id"], rotated=True)
+    rows = boxes(spark, sf_dir).select("id", "class_id", "tile", "score", cx.alias("cx"), cy.alias("cy"), Box.of().width.cast("double").alias("w"), Box.of().height.cast("double").alias("h"), (F.col("id") % 4 * 90).cast("double").alias("angle"))
+    return matching.nms(rows, 0.1, ["class_id", "tile"], rotated=True).select("id", "class_id", "tile", "score")
 
 
 @query()
@@ -158,11 +163,29 @@ def threshold_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.segment_tiles(rows, 60.0, sigma=1.5)
 
 
-@query()
+@query("""
+    WITH p AS (SELECT o_custkey % 20 AS image, CAST(o_orderkey % 120 AS INT) AS x, CAST((o_orderkey // 120) % 4 AS INT) AS i FROM orders),
+    t3 AS (SELECT DISTINCT image, x FROM p WHERE i = 3),
+    n2 AS (SELECT image, count(*) AS n, count(*) FILTER ((image, x) NOT IN (SELECT (image, x) FROM t3)) AS free FROM p WHERE i = 2 GROUP BY image),
+    t2 AS (SELECT DISTINCT image, x FROM p JOIN n2 USING (image) WHERE i = 2 AND (n - free) / n <= 0.5 AND (image, x) NOT IN (SELECT (image, x) FROM t3)),
+    n1 AS (SELECT image, count(*) AS n, count(*) FILTER ((image, x) NOT IN (SELECT (image, x) FROM t3 UNION ALL SELECT (image, x) FROM t2)) AS free FROM p WHERE i = 1 GROUP BY image),
+    t1 AS (SELECT DISTINCT image, x FROM p JOIN n1 USING (image) WHERE i = 1 AND (n - free) / n <= 0.5 AND (image, x) NOT IN (SELECT (image, x) FROM t3 UNION ALL SELECT (image, x) FROM t2)),
+    things AS (SELECT *, 3 AS i FROM t3 UNION ALL SELECT *, 2 FROM t2 UNION ALL SELECT *, 1 FROM t1),
+    taken AS (SELECT image, i FROM (SELECT DISTINCT image, 3 AS i FROM t3 UNION SELECT image, 2 FROM n2 WHERE (n - free) / n <= 0.5 UNION SELECT image, 1 FROM n1 WHERE (n - free) / n <= 0.5)),
+    numbered AS (SELECT image, i, row_number() OVER (PARTITION BY image ORDER BY i DESC) AS segment FROM taken),
+    s AS (SELECT image, x, x % 3 AS class FROM p WHERE i = 0 AND x % 3 > 0 AND (image, x) NOT IN (SELECT (image, x) FROM things)),
+    big AS (SELECT image, class FROM s GROUP BY ALL HAVING count(*) >= 5),
+    stuff AS (SELECT image, class, coalesce((SELECT max(segment) FROM numbered n WHERE n.image = big.image), 0) + row_number() OVER (PARTITION BY image ORDER BY class) AS segment FROM big)
+    SELECT image, 0 AS y, x, CAST(segment AS INT) AS segment, CAST(10 + i AS INT) AS class FROM things JOIN numbered USING (image, i)
+    UNION ALL SELECT DISTINCT image, 0, x, CAST(segment AS INT), CAST(class AS INT) FROM s JOIN stuff USING (image, class)
+""")
 def panoptic_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three instances an image that overlap, the best first, and two kinds of stuff where they leave room."""
     k = F.col("o_orderkey")
+    instance = F.floor(k / 120) % 4
     rows = table(spark, sf_dir, "orders").select(
-        (F.col("o_custkey") % 20).alias("image"), F.lit(0).alias("y"), (k % 300).cast("int").alias("x"), F.when(k % 4 > 0, k % 4).cast("int").alias("instance"), (k % 3).cast("int").alias("class"), (0.5 + (k % 4) / 10).cast("double").alias("score")
+        (F.col("o_custkey") % 20).alias("image"), F.lit(0).alias("y"), (k % 120).cast("int").alias("x"), F.when(instance > 0, instance).cast("int").alias("instance"),
+        F.when(instance > 0, 10 + instance).otherwise(k % 120 % 3).cast("int").alias("class"), (0.5 + instance / 10).cast("double").alias("score"),
     )
     return matching.panoptic_fusion(rows, 0.5, 5)
 

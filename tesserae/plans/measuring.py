@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tesserae.operators import phenotype, quantify
+from tesserae.operators import joins, phenotype, quantify
 from tesserae.plans.registry import big, query, r, table
 from tesserae.session import at_most
 
@@ -247,3 +247,32 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = phenotype.apply(rows, FEATURES, phenotype.fit(rows, FEATURES))
     centroids = phenotype.kmeans(ready.select(F.array(*FEATURES).alias("vector")), "vector", 5)
     return phenotype.summary(phenotype.assign(ready, FEATURES, centroids, "id"))
+
+
+@query("""
+    WITH f AS (SELECT p_partkey AS id, CAST(p_retailprice AS DOUBLE) / 100 AS a, CAST(p_size AS DOUBLE) AS b FROM part),
+    m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(a * a) - avg(a) * avg(a) AS va, avg(b * b) - avg(b) * avg(b) AS vb, avg(a * b) - avg(a) * avg(b) AS c FROM f),
+    e AS (SELECT *, (va + vb) / 2 + sqrt(((va - vb) / 2) * ((va - vb) / 2) + c * c) AS top FROM m),
+    -- the first direction is (c, top - va) or (top - vb, c), whichever is longer; the second is at a right angle
+    d AS (SELECT *, CASE WHEN abs(top - vb) > abs(top - va) THEN top - vb ELSE c END AS u, CASE WHEN abs(top - vb) > abs(top - va) THEN c ELSE top - va END AS v FROM e),
+    n AS (SELECT ma, mb, u / sqrt(u * u + v * v) AS u, v / sqrt(u * u + v * v) AS v FROM d),
+    s AS (SELECT ma, mb, CASE WHEN abs(u) >= abs(v) THEN sign(u) ELSE sign(v) END * u AS u1, CASE WHEN abs(u) >= abs(v) THEN sign(u) ELSE sign(v) END * v AS v1, CASE WHEN abs(v) >= abs(u) THEN sign(-v) ELSE sign(u) END * (-v) AS u2, CASE WHEN abs(v) >= abs(u) THEN sign(-v) ELSE sign(u) END * u AS v2 FROM n)
+    SELECT id, round((a - ma) * u1 + (b - mb) * v1, 4) AS pca1, round((a - ma) * u2 + (b - mb) * v2, 4) AS pca2 FROM f, s
+""")
+def principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two features, whose directions SQL can say in closed form."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice").cast("double") / 100).alias("a"), F.col("p_size").cast("double").alias("b"))
+    mean, axes, _ = phenotype.pca(rows, ["a", "b"], 2)
+    return rows.select("id", *phenotype.project(["a", "b"], mean, axes)).select("id", r("pca1").alias("pca1"), r("pca2").alias("pca2"))
+
+
+@query("""
+    SELECT count(*) AS cell_count, round(avg(1000 * (p_partkey % 3) + p_size), 4) AS x, round(avg(500 * (p_partkey % 3) - p_size), 4) AS y FROM part GROUP BY p_partkey % 3
+""")
+def kmeans_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three groups far apart: whatever it starts from, k-means finds their means."""
+    k = F.col("p_partkey") % 3
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array((1000 * k + F.col("p_size")).cast("double"), (500 * k - F.col("p_size")).cast("double")).alias("vector"))
+    centroids = phenotype.kmeans(rows, "vector", 3)
+    found = joins.nearest_centroid(rows, centroids).groupBy("label").agg(F.count("*").alias("cell_count"))
+    return found.join(centroids, "label").select("cell_count", r(F.col("vector")[0]).alias("x"), r(F.col("vector")[1]).alias("y"))
