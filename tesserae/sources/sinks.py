@@ -149,6 +149,35 @@ def write_archives(instances: DataFrame, folder: str, compressed: bool = True) -
     return written(instances.groupBy("tile_id").applyInPandas(run, f"tile_id {dict(instances.dtypes)['tile_id']}, path string, n long"), "archives")
 
 
+def write_tiffs(pixels: DataFrame, folder: str, height: int, width: int, dtype: str = "uint16", key: str = "image") -> DataFrame:
+    """One TIFF an image of pixels (key, channel, y, x, value), a page a channel; absent pixels are 0. An image is one task's, as a region of
+    interest or a tile is. Returns key and path."""
+    from tesserae.session import ready
+
+    there, system = _at(pixels.sparkSession, folder)
+    system.mkdirs(there)
+    base = there.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+
+    def run(given: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        from tesserae.sources.tiles import encode_tiff
+
+        a = np.zeros((int(pdf["channel"].max()) + 1, height, width), dtype)
+        a[pdf["channel"], pdf["y"], pdf["x"]] = pdf["value"]
+        files, root = fs.FileSystem.from_uri(base)
+        name = f"{root}/{given[0]}.tif"
+        part = f"{name}.{TaskContext.get().taskAttemptId()}.part"
+        with files.open_output_stream(part) as out:
+            out.write(encode_tiff(a))
+        files.move(part, name)
+        return pd.DataFrame({key: [given[0]], "path": [name]})
+
+    ready(pixels.sparkSession)
+    return written(pixels.select(key, "channel", "y", "x", "value").groupBy(key).applyInPandas(run, f"{key} {dict(pixels.dtypes)[key]}, path string"), "tiffs")
+
+
 def write_label_chunks(labels: DataFrame, path: str, chunk: int = 1024) -> None:
     """Labelled pixels by chunk; an empty chunk has no folder."""
     rows = labels.where("label > 0").withColumn("chunk_y", F.floor(F.col("y") / chunk)).withColumn("chunk_x", F.floor(F.col("x") / chunk))

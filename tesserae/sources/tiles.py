@@ -1,4 +1,4 @@
-"""A data source for large images: TIFF and BigTIFF (strips or tiles, raw or deflated) and Zarr version 2 (raw or zlib chunks).
+"""A data source for large images: TIFF and BigTIFF (strips or tiles, raw or deflated), Zarr version 2 (raw or zlib chunks) and .npy.
 
     spark.dataSource.register(TileSource)
     spark.read.format("tesserae_tiles").option("path", p).option("region", "x,y,width,height").option("channels", "0,2").load()
@@ -13,6 +13,7 @@ Files are reached through pyarrow's file systems, so executors read the bytes of
 
 from __future__ import annotations
 
+import ast
 import json
 import math
 import struct
@@ -150,6 +151,65 @@ def describe(path: str) -> dict:
     return out
 
 
+def encode_tiff(planes_: np.ndarray, tile: int = 256, description: str = "") -> bytes:
+    """A TIFF of (channels, height, width): a page a channel, in deflated tiles."""
+    out = bytearray(struct.pack("<2sHI", b"II", 42, 0))
+    link, kind = 4, {"u": 1, "i": 2, "f": 3}[planes_.dtype.kind]
+    for n, page in enumerate(np.ascontiguousarray(planes_.astype(planes_.dtype.newbyteorder("<")))):
+        offsets, counts = [], []
+        for y in range(0, page.shape[0], tile):
+            for x in range(0, page.shape[1], tile):
+                part = page[y : y + tile, x : x + tile]
+                raw = zlib.compress(np.pad(part, ((0, tile - part.shape[0]), (0, tile - part.shape[1]))).tobytes(), 6)
+                offsets.append(len(out))
+                counts.append(len(raw))
+                out += raw
+        fields = [(WIDTH, 4, [page.shape[1]]), (HEIGHT, 4, [page.shape[0]]), (BITS, 3, [8 * page.dtype.itemsize]), (COMPRESSION, 3, [8]), (262, 3, [1]), (SAMPLES, 3, [1]), (PLANAR, 3, [1])]
+        fields += [(TILE_WIDTH, 4, [tile]), (TILE_HEIGHT, 4, [tile]), (TILE_OFFSETS, 4, offsets), (TILE_COUNTS, 4, counts), (SAMPLE_FORMAT, 3, [kind])]
+        entries = []
+        for tag, code, values in fields:
+            entries.append((tag, code, len(values), struct.pack("<" + FIELD[code][1] * len(values), *values)))
+        if description and not n:
+            text = description.encode() + b"\0"
+            entries.append((DESCRIPTION, 2, len(text), text))
+        made = []
+        for tag, code, count, raw in sorted(entries):
+            if len(raw) > 4:
+                at = len(out)
+                out += raw + b"\0" * (len(raw) % 2)
+                raw = struct.pack("<I", at)
+            made.append(struct.pack("<HHI", tag, code, count) + raw.ljust(4, b"\0"))
+        struct.pack_into("<I", out, link, len(out))
+        out += struct.pack("<H", len(made)) + b"".join(made)
+        link = len(out)
+        out += struct.pack("<I", 0)
+    return bytes(out)
+
+
+def _npy_segments(path: str, axes: str | None, rows: int = 256) -> list[Segment]:
+    """An array file's channels in strips of rows; other axes at their first position."""
+    from tesserae.sources.images import axes_of
+
+    with open_file(path) as data:
+        head = data.read_at(min(data.size(), 4096), 0)
+    major = head[6]
+    size = struct.unpack_from("<H" if major == 1 else "<I", head, 8)[0]
+    begin = (10 if major == 1 else 12) + size
+    about = ast.literal_eval(head[begin - size : begin].decode("latin-1"))
+    shape, order = about["shape"], axes_of(len(about["shape"]), axes)
+    if about["fortran_order"] or order[-2:] != "YX":
+        raise ValueError(f"{path}: only rows that lie one after another are read in parts")
+    step = np.dtype(about["descr"]).itemsize
+    plane = shape[-1] * shape[-2] * step
+    ahead = {c: math.prod(shape[k + 1 : -2]) for k, c in enumerate(order[:-2])}
+    out = []
+    for c in range(shape[order.index("C")] if "C" in order else 1):
+        for row, y in enumerate(range(0, shape[-2], rows)):
+            own = min(rows, shape[-2] - y), shape[-1]
+            out.append(Segment(path, 0, (c,), row, 0, y, 0, own, *own, about["descr"], "raw", 1, begin + c * ahead.get("C", 0) * plane + y * shape[-1] * step, own[0] * own[1] * step))
+    return out
+
+
 def _zarr_json(path: str) -> dict | None:
     try:
         with open_file(path) as f:
@@ -197,7 +257,7 @@ def _zarr_segments(path: str, axes: str | None) -> list[Segment]:
 
 def planes(s: Segment) -> np.ndarray:
     """(channels, height, width) of a segment, as floating point."""
-    if "|" not in s.dtype:
+    if s.length >= 0:
         with open_file(s.path) as f:
             raw = f.read_at(s.length, s.offset)
         raw = zlib.decompress(raw) if s.codec == "zlib" else raw
@@ -259,7 +319,10 @@ class TileReader(DataSourceReader):
         from tesserae.sources.images import kind_of
 
         kind = kind_of(self.path)
-        found = _zarr_segments(self.path, self.axes) if kind == "zarr" else _tiff_segments(self.path)
+        readers = {"zarr": lambda: _zarr_segments(self.path, self.axes), "tiff": lambda: _tiff_segments(self.path), "npy": lambda: _npy_segments(self.path, self.axes)}
+        if kind not in readers:
+            raise ValueError(f"no tiles in a file of kind {kind}")
+        found = readers[kind]()
 
         def needed(s: Segment) -> bool:
             if s.level != self.level or not set(s.channels) & self._channels(s):

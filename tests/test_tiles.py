@@ -84,6 +84,21 @@ def test_segments_are_pruned(tmp_path):
     assert len(reader.partitions()) == 8
 
 
+def test_array_files(spark, tmp_path):
+    a = np.random.default_rng(4).normal(size=(2, 3, 300, 20))
+    np.save(tmp_path / "a.npy", a)
+    got = whole(tiles.read_image(spark, str(tmp_path / "a.npy"), axes="TCYX"), (3, 300, 20))
+    assert np.array_equal(got, a[0])
+    part = tiles.read_image(spark, str(tmp_path / "a.npy"), axes="TCYX", region=(2, 250, 5, 20), channels=[2])
+    assert np.array_equal(whole(part, (3, 300, 20))[2, 250:270, 2:7], a[0, 2, 250:270, 2:7]) and part.count() == 2
+
+
+def test_encoded_files(spark, tmp_path):
+    a = np.arange(3 * 50 * 70).reshape(3, 50, 70).astype(np.uint16)
+    (tmp_path / "e.tif").write_bytes(tiles.encode_tiff(a, 32, "about"))
+    assert np.array_equal(whole(tiles.read_image(spark, str(tmp_path / "e.tif")), a.shape), a) and tiles.describe(str(tmp_path / "e.tif"))["description"] == "about"
+
+
 def test_filters_reach_the_source(spark, tmp_path):
     page = np.arange(64 * 64, dtype=np.int16).reshape(64, 64, 1)
     path = tmp_path / "c.tif"
