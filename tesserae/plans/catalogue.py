@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.plans import imaging, measuring, metrics, ranking, scalars, spatial  # noqa: F401  they fill the register
+from tesserae.plans import files, imaging, measuring, metrics, ranking, scalars, spatial  # noqa: F401  they fill the register
 from tesserae.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

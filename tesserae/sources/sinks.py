@@ -79,11 +79,16 @@ def _at(spark: SparkSession, path: str):
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:
-    """A small document under another name until it is whole, then in the place of the old one."""
+    """A small document as write_text() writes."""
+    write_text(spark, path, json.dumps(value, indent=2, sort_keys=True, default=str))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file under another name until it is whole, then in the place of the old one."""
     there, system = _at(spark, path)
     made, _ = _at(spark, f"{path}.{uuid.uuid4().hex}.part")
     out = system.create(made, True)
-    out.write(bytearray(json.dumps(value, indent=2, sort_keys=True, default=str).encode()))
+    out.write(bytearray(text.encode()))
     out.hsync()
     out.close()
     system.delete(there, False)
