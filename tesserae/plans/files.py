@@ -12,14 +12,15 @@ from tesserae.plans.spatial import BOXES, box_runs, boxes, label_pixels, points
 from tesserae.session import fresh_dir
 from tesserae.sources import annotations, images, sinks, tiles
 
-IMAGE = "px AS (SELECT o_orderkey // 100 AS y, o_orderkey % 100 AS x, o_custkey % 7 AS label, o_custkey % 3 AS image FROM orders WHERE o_orderkey < 40000)"
+IMAGE = "px AS (SELECT o_orderkey // 100 AS y, o_orderkey % 100 AS x, o_custkey % 7 AS label, o_custkey % 3 AS image FROM orders)"
 
 
 @query(f"WITH {IMAGE} SELECT image, y, x, CAST(label AS DOUBLE) AS value FROM px WHERE label > 0 AND x >= 10 AND x < 60 AND y >= 2 AND y < 202")
 def tiff_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images written as TIFF, a region of each read: only the stored tiles that it meets."""
-    px = label_pixels(spark, sf_dir).where("y < 400").join(table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 100).alias("y"), (F.col("o_orderkey") % 100).alias("x"), (F.col("o_custkey") % 3).alias("image")), ["y", "x"])
-    files = sinks.write_tiffs(px.select("image", F.lit(0).alias("channel"), "y", "x", F.col("label").alias("value")), fresh_dir(spark, "tiff"), 400, 100)
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    px = table(spark, sf_dir, "orders").select((c % 3).alias("image"), F.lit(0).alias("channel"), F.floor(k / 100).alias("y"), (k % 100).alias("x"), (c % 7).alias("value"))
+    files = sinks.write_tiffs(px, fresh_dir(spark, "tiff"), px.agg(F.max("y") + 1).first()[0] or 1, 100)
     out = None
     for f in files.orderBy("image").collect():  # three images
         own = images.pixels(tiles.read_image(spark, f["path"], region=(10, 2, 50, 200))).where("value > 0").select(F.lit(f["image"]).alias("image"), big("y").alias("y"), big("x").alias("x"), "value")
@@ -27,10 +28,10 @@ def tiff_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(f"WITH {BOXES}, c AS (SELECT DISTINCT class_id FROM boxes WHERE id < 300) SELECT id, class_id, x0::DOUBLE AS x0, y0::DOUBLE AS y0, (x1 - x0)::DOUBLE AS w, (y1 - y0)::DOUBLE AS h FROM boxes WHERE id < 300 AND id % 5 > 0")
+@query(f"WITH {BOXES} SELECT id, class_id, x0::DOUBLE AS x0, y0::DOUBLE AS y0, (x1 - x0)::DOUBLE AS w, (y1 - y0)::DOUBLE AS h FROM boxes WHERE id % 5 > 0")
 def coco_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A COCO document of the first boxes; every fifth has a polygon of too few points and goes."""
-    rows = boxes(spark, sf_dir).where("id < 300")
+    """A COCO document of all boxes; every fifth has a polygon of too few points and goes."""
+    rows = boxes(spark, sf_dir)
     corner = [F.col(c).cast("double") for c in ("x0", "y0", "x1", "y0", "x1", "y1")]
     polygon = F.when(F.col("id") % 5 == 0, F.array(*corner[:4])).otherwise(F.array(*corner))
     notes = rows.select("id", F.col("tile").alias("image_id"), (F.col("class_id") * 10 + 3).cast("long").alias("category_id"), F.array(polygon).alias("segmentation"), F.array(*[F.col(c).cast("double") for c in ("x0", "y0")], (F.col("x1") - F.col("x0")).cast("double"), (F.col("y1") - F.col("y0")).cast("double")).alias("bbox"), F.lit(0).alias("iscrowd"))
@@ -42,31 +43,33 @@ def coco_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.col("class").cast("int").alias("class_id"), *[F.col("bbox")[k].alias(c) for k, c in enumerate(("x0", "y0", "w", "h"))])
 
 
-@query(f"WITH {BOXES} SELECT 'i' || id AS image, 'c' || class_id AS class, (x0 - 1)::DOUBLE AS x0, (y0 - 1)::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, id % 3 = 0 AS difficult FROM boxes WHERE id < 40")
+@query(f"WITH {BOXES} SELECT 'i' || id // 50 AS image, 'c' || class_id AS class, (x0 - 1)::DOUBLE AS x0, (y0 - 1)::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, id % 3 = 0 AS difficult FROM boxes")
 def voc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = boxes(spark, sf_dir).where("id < 40")
-    text = F.format_string("<annotation><object><name>c%d</name><difficult>%d</difficult><bndbox><xmin>%d</xmin><ymin>%d</ymin><xmax>%d</xmax><ymax>%d</ymax></bndbox></object></annotation>", "class_id", F.when(F.col("id") % 3 == 0, 1).otherwise(0), "x0", "y0", "x1", "y1")
+    """An XML file for each fifty boxes."""
+    rows = boxes(spark, sf_dir)
+    text = F.format_string("<object><name>c%d</name><difficult>%d</difficult><bndbox><xmin>%d</xmin><ymin>%d</ymin><xmax>%d</xmax><ymax>%d</ymax></bndbox></object>", "class_id", F.when(F.col("id") % 3 == 0, 1).otherwise(0), "x0", "y0", "x1", "y1")
     folder = fresh_dir(spark, "voc")
-    for row in rows.select("id", text.alias("t")).collect():  # forty small files
-        sinks.write_text(spark, f"{folder}/i{row['id']}.xml", row["t"])
+    files = rows.groupBy(F.floor(F.col("id") / 50).alias("image")).agg(F.array_join(F.collect_list(text), "").alias("t"))
+    for row in files.toLocalIterator():
+        sinks.write_text(spark, f"{folder}/i{row['image']}.xml", f"<annotation>{row['t']}</annotation>")
     return annotations.read_voc(spark, f"{folder}/*.xml")
 
 
 @query(f"""
-    WITH {BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY id DESC) - 1 AS front FROM boxes WHERE id < 60)
-    SELECT tile, CAST(front AS INT) AS "order", 'c' || class_id AS label, x1 - x0 AS width, y1 - y0 AS height FROM o
+    WITH {BOXES}, o AS (SELECT *, id // 50 AS image, row_number() OVER (PARTITION BY id // 50 ORDER BY id DESC) - 1 AS front FROM boxes)
+    SELECT image, CAST(front AS INT) AS "order", 'c' || class_id AS label, x1 - x0 AS width, y1 - y0 AS height FROM o
 """)
 def cityscapes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polygon files, an image each; objects that come later stand in front."""
-    rows = boxes(spark, sf_dir).where("id < 60").orderBy("tile", "id").collect()
+    """Polygon files, one for each fifty boxes; objects that come later stand in front."""
     folder = fresh_dir(spark, "city")
-    for tile in sorted({b["tile"] for b in rows}):
-        objects = [{"label": f"c{b['class_id']}", "polygon": [[b["x0"], b["y0"]], [b["x1"], b["y0"]], [b["x1"], b["y1"]], [b["x0"], b["y1"]]]} for b in rows if b["tile"] == tile]
-        sinks.write_text(spark, f"{folder}/t{tile}_polygons.json", json.dumps({"imgHeight": 2100, "imgWidth": 1600, "objects": objects}))
+    files = boxes(spark, sf_dir).groupBy(F.floor(F.col("id") / 50).alias("image")).agg(F.sort_array(F.collect_list(F.struct("id", "class_id", "x0", "y0", "x1", "y1"))).alias("held"))
+    for row in files.toLocalIterator():
+        objects = [{"label": f"c{b['class_id']}", "polygon": [[b["x0"], b["y0"]], [b["x1"], b["y0"]], [b["x1"], b["y1"]], [b["x0"], b["y1"]]]} for b in row["held"]]
+        sinks.write_text(spark, f"{folder}/t{row['image']}_polygons.json", json.dumps({"imgHeight": 2100, "imgWidth": 1600, "objects": objects}))
     found = annotations.read_cityscapes(spark, f"{folder}/*_polygons.json")
     ends = lambda k, f: f(F.transform("polygon", lambda p: p[k]))
     width, height = (ends(k, F.array_max) - ends(k, F.array_min) for k in (0, 1))
-    return found.select(F.regexp_extract("file", r"t(\d+)_polygons", 1).cast("long").alias("tile"), "order", "label", width.cast("long").alias("width"), height.cast("long").alias("height"))
+    return found.select(F.regexp_extract("file", r"t(\d+)_polygons", 1).cast("long").alias("image"), "order", "label", width.cast("long").alias("width"), height.cast("long").alias("height"))
 
 
 @query("""
@@ -77,7 +80,7 @@ def cityscapes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panoptic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as images, suppliers as segments of four categories: 10 and 11 are things, 12 and 13 stuff, each counted from 0."""
     held: dict[int, list] = {n["n_nationkey"]: [] for n in table(spark, sf_dir, "nation").collect()}
-    for s in table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").where("s_suppkey < 100000").collect():
+    for s in table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").toLocalIterator():
         held[s["s_nationkey"]].append({"id": s["s_suppkey"], "category_id": 10 + s["s_suppkey"] % 4, "area": 1, "bbox": [0, 0, 1, 1], "iscrowd": 0})
     doc = {"annotations": [{"image_id": n, "file_name": f"n{n}.png", "segments_info": v} for n, v in held.items()], "categories": [{"id": 10 + k, "name": f"c{k}", "isthing": int(k < 2)} for k in range(4)]}
     path = f"{fresh_dir(spark, 'panoptic')}/p.json"
@@ -87,14 +90,13 @@ def panoptic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image_id", "file_name", count(True).alias("things"), count(False).alias("stuff"), F.aggregate(F.transform("segments", lambda s: s["class"]), F.lit(0).cast("long"), lambda a, x: a + x).alias("classes"))
 
 
-RUNS = "runs AS (SELECT id, class_id, score, y0, y1, x0, x1, unnest(range(y0, y1)) AS y FROM boxes WHERE id < 200), shaped AS (SELECT id, class_id, score, y, x0 + 2 * (y % 2) AS x0, x1 FROM runs)"
+RUNS = "runs AS (SELECT id, class_id, score, y0, y1, x0, x1, unnest(range(y0, y1)) AS y FROM boxes), shaped AS (SELECT id, class_id, score, y, x0 + 2 * (y % 2) AS x0, x1 FROM runs)"
 
 
-@query(f"WITH {BOXES}, {RUNS} SELECT 't' || id % 3 AS tile, row_number() OVER (PARTITION BY id % 3 ORDER BY id) - 1 AS local_index, class_id, sum(x1 - x0)::BIGINT AS area, min(x0) AS x0, min(y) AS y0 FROM shaped GROUP BY id, class_id")
+@query(f"WITH {BOXES}, {RUNS} SELECT 't' || id // 50 AS tile, row_number() OVER (PARTITION BY id // 50 ORDER BY id) - 1 AS local_index, class_id, sum(x1 - x0)::BIGINT AS area, min(x0) AS x0, min(y) AS y0 FROM shaped GROUP BY id, class_id")
 def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks packed into archives, one a tile, and read back: areas come from the bits."""
-    own = boxes(spark, sf_dir).where("id < 200")
-    shapes = box_runs(spark, sf_dir).where("id < 200")
+    own, shapes = boxes(spark, sf_dir), box_runs(spark, sf_dir)
     boxed = masks.statistics(shapes).withColumnRenamed("area", "_a")
     # bits of the box row by row: spaces and pixels of each row as text, packed eight to a byte, the lowest bit first
     rows = shapes.join(boxed.select("id", F.col("x0").alias("bx0"), F.col("x1").alias("bx1")), "id")
@@ -104,7 +106,7 @@ def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     octets = F.transform(F.sequence(F.lit(0), (F.length(padded) / 8).cast("int") - 1), lambda i: F.lpad(F.conv(F.reverse(F.substring(padded, i * 8 + 1, F.lit(8))), 2, 16), 2, "0"))
     data = bits.select("id", F.unhex(F.array_join(octets, "")).alias("data"))
     rows = own.select("id", "class_id", "score").join(boxed, "id").join(data, "id").select(
-        F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("tile_id"), F.col("id").alias("local_index"), "score", "class_id", F.col("_a").alias("area"), "x0", "y0", "x1", "y1", "centroid_x", "centroid_y",
+        F.concat(F.lit("t"), F.floor(F.col("id") / 50).cast("string")).alias("tile_id"), F.col("id").alias("local_index"), "score", "class_id", F.col("_a").alias("area"), "x0", "y0", "x1", "y1", "centroid_x", "centroid_y",
         F.lit(True).alias("owned_by_core"), F.lit(False).alias("touches_read_edge"), (F.col("x1") - F.col("x0")).cast("int").alias("width"), (F.col("y1") - F.col("y0")).cast("int").alias("height"), "data",
     )
     folder = fresh_dir(spark, "npz")
