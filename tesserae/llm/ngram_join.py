@@ -349,7 +349,7 @@ def link_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4
     return labelled_rows(docs, n, threshold, **how).select("doc_id", "n_shingles", "component_id")
 
 
-def labelled_rows(docs: DataFrame, n: int, threshold: tuple[int, int], block_size: int = 200_000, block_rows: int = 128, pivots: int = 4) -> DataFrame:
+def labelled_rows(docs: DataFrame, n: int, threshold: tuple[int, int], block_size: int = 500_000, block_rows: int = 1_024, pivots: int = 4) -> DataFrame:
     """doc_id, t (hash of the text), n_shingles, component_id and label of each row of docs: rows of one group have one label, null
     for an empty set. block_size, block_rows: shingles and sets of a slice."""
     signed = written(signatures(docs.select("doc_id", "text"), n, threshold), "signatures")
