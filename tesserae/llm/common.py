@@ -9,9 +9,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tesserae.session import BROADCAST_ROWS, at_most, fresh_dir, ready, work_dir, written
+from tesserae.session import BROADCAST_ROWS, at_most, dealt, fresh_dir, ready, work_dir, written
 
-__all__ = ["BROADCAST_ROWS", "again", "at_most", "drop_table", "fresh_dir", "id_key", "join_hot", "let", "ready", "text_key", "text_of", "tidied", "whole", "work_dir", "written"]
+__all__ = ["BROADCAST_ROWS", "again", "at_most", "dealt", "drop_table", "fresh_dir", "id_key", "join_hot", "let", "ready", "text_key", "text_of", "tidied", "whole", "work_dir", "written"]
 
 #: Words of the quality and n-gram contracts: everything but ASCII white space.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -52,7 +52,7 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "lef
         return left.join(F.broadcast(right), keys, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by or left.columns]), F.lit(salts)).cast("int")
     many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(many, [*keys, "_salt"], how).drop("_salt")
+    return left.withColumn("_salt", salt).join(dealt(many), [*keys, "_salt"], how).drop("_salt")
 
 
 def whole(docs: DataFrame, *others: Column) -> DataFrame:

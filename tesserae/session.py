@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows up to which a side of a join is broadcast, after they have been counted; they are narrow, so this is 20 MB or so.
 BROADCAST_ROWS = 100_000
@@ -64,6 +64,17 @@ def at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that must not travel whole. Spark sizes a table by its compressed files, before rows are exploded, and would
+    broadcast millions of rows through the driver."""
+    return df.hint("merge")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A side of a join, broadcast if its rows, which are counted, allow that; else dealt."""
+    return F.broadcast(df) if at_most(df) else dealt(df)
+
+
 #: Rows of an Arrow batch at most: texts and masks are long, and a batch is held several times between Spark and Python.
 BATCH_ROWS = 1_000
 
