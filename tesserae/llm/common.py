@@ -9,9 +9,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tesserae.session import BROADCAST_ROWS, at_most, dealt, fresh_dir, ready, work_dir, written
+from tesserae.session import BROADCAST_ROWS, at_most, dealt, fresh_dir, ready, small, work_dir, written
 
-__all__ = ["BROADCAST_ROWS", "again", "at_most", "dealt", "drop_table", "fresh_dir", "id_key", "join_hot", "let", "ready", "text_key", "text_of", "tidied", "whole", "work_dir", "written"]
+__all__ = ["BROADCAST_ROWS", "again", "at_most", "dealt", "drop_table", "fresh_dir", "id_key", "join_hot", "let", "ready", "small", "text_key", "text_of", "tidied", "whole", "work_dir", "written"]
 
 #: Words of the quality and n-gram contracts: everything but ASCII white space.
 WHITE = r"[\x20\x09-\x0D]+"

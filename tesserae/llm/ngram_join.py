@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tesserae.llm.common import again, at_most, drop_table, id_key, join_hot, ready, text_of, tidied, whole, written
+from tesserae.llm.common import again, at_most, dealt, drop_table, id_key, join_hot, ready, small, text_of, tidied, whole, written
 from tesserae.operators.components import connected_components
 
 #: Set sizes are banded by this ratio; parts are counted for the largest set of a band.
@@ -340,10 +340,6 @@ def _part_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame
     return rows.select("block", F.col("part").cast("long"), "node", "out", "text").mapInArrow(tidied(run, _forget), "block long, part long, node long, out boolean, sig long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if at_most(df) else df
-
-
 def link_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), **how) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs. threshold: a fraction; how: options of labelled_rows()."""
     return labelled_rows(docs, n, threshold, **how).select("doc_id", "n_shingles", "component_id")
@@ -363,20 +359,20 @@ def labelled_rows(docs: DataFrame, n: int, threshold: tuple[int, int], block_siz
     # of equal sets one row's text goes into the block
     key = F.struct(id_key().alias("_id"), "t")
     first = sig.where("n_shingles > 0").groupBy("h0", "h1").agg(F.min(key).alias("k"), F.first("n_shingles").alias("size"))
-    inside = written(first.select(F.col("k._id").alias("_id"), F.col("k.t").alias("t"), F.col("h0").alias("node"), "size").join(_small(blocks), "node"), "inside")
+    inside = written(first.select(F.col("k._id").alias("_id"), F.col("k.t").alias("t"), F.col("h0").alias("node"), "size").join(small(blocks), "node"), "inside")
     total = inside.agg(F.sum("size")).first()[0] or 0
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 1_000_000))
     slices = inside.groupBy("block").agg(F.ceil(F.greatest(F.sum("size") / block_size, F.count("*") / block_rows)).cast("int").alias("slices")).where("slices > 1")
     many = written(slices, "many")
     part = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    placed = inside.join(_small(many), "block", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("part", part)
+    placed = inside.join(small(many), "block", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("part", part)
     placed = written(placed.select("_id", "t", "node", "block", "slices", "part", F.col("node").alias("group")), "placed")
     texts = docs.select(id_key().alias("_id"), F.xxhash64(text_of()).alias("t"), text_of().cast("binary").alias("text"))
     repeated = sig.groupBy(id_key().alias("_id"), "t").agg(F.count("*").alias("n")).where("n > 1")
     once = at_most(repeated, 0)
 
     def with_text(rows: DataFrame) -> DataFrame:
-        out = texts.join(_small(rows), ["_id", "t"])
+        out = texts.join(small(rows), ["_id", "t"])
         return out if once else out.dropDuplicates(["_id", "t", "block", "part"])
 
     rows = placed.drop("slices")
@@ -397,7 +393,7 @@ def labelled_rows(docs: DataFrame, n: int, threshold: tuple[int, int], block_siz
 
 def _merged(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """found (node, group), groups that pairs (node, group: some node's number) tie made one."""
-    ties = pairs.join(found.select("node", F.col("group").alias("g")), "node").select("g", "group").distinct()
+    ties = pairs.join(dealt(found.select("node", F.col("group").alias("g"))), "node").select("g", "group").distinct()
     tied = connected_components(ties, "g", "group").select(F.col("node").alias("group"), F.col("component").alias("_g"))
     return written(join_hot(found, tied, ["group"], salt_by=["node"]).select("node", F.coalesce("_g", "group").alias("group")), "tied")
 
@@ -405,11 +401,11 @@ def _merged(found: DataFrame, pairs: DataFrame) -> DataFrame:
 def _joined_slices(found: DataFrame, placed: DataFrame, search, part_rows, block_rows: int) -> DataFrame:
     """Groups of blocks in several slices, which were searched one by one: nodes in more than one slice tie some; then see the module."""
     tied = connected_components(found, "node", "group").select("node", F.col("component").alias("_g"))
-    found = written(found.join(tied, "node", "left").select("node", F.coalesce("_g", "group").alias("group")).distinct(), "tied")
+    found = written(found.join(dealt(tied), "node", "left").select("node", F.coalesce("_g", "group").alias("group")).distinct(), "tied")
     slices = placed.where("slices > 1").drop("group")
     before = None
     while True:
-        at = written(slices.join(found, "node"), "sliced")
+        at = written(slices.join(dealt(found), "node"), "sliced")
         sizes = at.groupBy("block", "group").agg(F.count("*").alias("n"))
         tops = sizes.groupBy("block").agg(F.max_by("group", F.struct("n", "group")).alias("top"), F.max("n").alias("n_top"), (F.sum("n") - F.max("n")).alias("n_out")).where("n_out > 0")
         tops = written(tops, "tops")
@@ -428,7 +424,7 @@ def _joined_slices(found: DataFrame, placed: DataFrame, search, part_rows, block
     sigs = written(part_rows(named.select("_id", "t", "block", "part", "node", "out")), "parts")
     # the slices that hold a part, one row a part; then those that hold any of a set's parts
     mates = sigs.groupBy("block", "sig").agg(F.collect_set("part").alias("to"))
-    mates = mates.join(_small(sigs.where("out").select("block", "sig").distinct()), ["block", "sig"], "left_semi")
+    mates = mates.join(small(sigs.where("out").select("block", "sig").distinct()), ["block", "sig"], "left_semi")
     near = join_hot(sigs.where("out").drop("out"), written(mates, "mates"), ["block", "sig"], "inner", salt_by=["node"])
     others = near.groupBy("block", "node", "part").agg(F.array_distinct(F.flatten(F.collect_set("to"))).alias("to"))
     visits = written(others.select("block", "node", F.explode(F.filter("to", lambda x: x != F.col("part"))).alias("to")), "visits")
@@ -440,16 +436,16 @@ def _joined_slices(found: DataFrame, placed: DataFrame, search, part_rows, block
     home = home.select("_id", "t", "node", "block", unit("part", F.col("_k")).alias("part"), "group", F.lit(False).alias("guest"))
     away = join_hot(visits.withColumnRenamed("to", "part"), hosts, ["block", "part"], "inner", salt_by=["node"])
     away = away.select("block", "node", unit("part", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("part"))
-    guests = away.join(at.select("_id", "t", "node", "group"), "node").select("_id", "t", "node", "block", "part", "group", F.lit(True).alias("guest"))
+    guests = away.join(dealt(at.select("_id", "t", "node", "group")), "node").select("_id", "t", "node", "block", "part", "group", F.lit(True).alias("guest"))
     return _merged(found, search(home.unionByName(guests)))
 
 
 def _labelled(sig: DataFrame, label: DataFrame) -> DataFrame:
     """The smallest doc_id of each row's group, and the group's label; a set outside all blocks is a group of its own."""
     classes = sig.where("n_shingles > 0").groupBy("h0", "h1").agg(F.min("doc_id").alias("m")).withColumnRenamed("h0", "node")
-    grouped = written(classes.join(label, "node", "left").select("node", "h1", "m", F.coalesce("label", "node").alias("label")), "labelled")
+    grouped = written(classes.join(dealt(label), "node", "left").select("node", "h1", "m", F.coalesce("label", "node").alias("label")), "labelled")
     least = grouped.groupBy("label").agg(F.min("m").alias("component_id"))
-    named = grouped.join(least, "label").select(F.col("node").alias("h0"), "h1", "component_id", "label")
+    named = grouped.join(dealt(least), "label").select(F.col("node").alias("h0"), "h1", "component_id", "label")
     out = join_hot(sig, named, ["h0", "h1"], salt_by=["doc_id", "t"])
     full = F.col("n_shingles") > 0
     return out.select("doc_id", "t", "n_shingles", F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(full, F.col("label")).alias("label"))
@@ -470,9 +466,9 @@ def deduplicate(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5)
     repeated = join_hot(first, several, ["label"], "inner", salt_by=["t"])
     gone = gone.select("doc_id", "t").unionAll(repeated.where("t <> _least").select("doc_id", "t"))
     gone = gone.distinct().select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
-    kept = keyed.join(_small(gone), ["_id", "_t"], "left_anti")
+    kept = keyed.join(small(gone), ["_id", "_t"], "left_anti")
     twice = written(repeated.where("t = _least").groupBy("doc_id", "t").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")), "repeated")
     if not at_most(twice, 0):
-        many = kept.join(_small(twice), ["_id", "_t"], "left_semi")
-        kept = kept.join(_small(twice), ["_id", "_t"], "left_anti").unionByName(many.dropDuplicates(["_id", "_t"]))
+        many = kept.join(small(twice), ["_id", "_t"], "left_semi")
+        kept = kept.join(small(twice), ["_id", "_t"], "left_anti").unionByName(many.dropDuplicates(["_id", "_t"]))
     return again(kept, docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tesserae.session import BROADCAST_ROWS, ready, written
+from tesserae.session import BROADCAST_ROWS, dealt, ready, written
 
 #: Links that one task may hold; they are pairs of numbers.
 ONE_TASK = BROADCAST_ROWS
@@ -25,9 +25,9 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     while mark[0] > ONE_TASK:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "large")
+        large = written(both.where("v > u").join(dealt(low), "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "large")
         least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).where("u <> v").unionAll(least.select(F.col("m").alias("u"), "v"))
+        small = large.join(dealt(least), "v").select(F.col("m").alias("u"), F.col("u").alias("v")).where("u <> v").unionAll(least.select(F.col("m").alias("u"), "v"))
         after = written(small.distinct(), "small")
         now, before, mark = after, mark, _mark(after)
         if mark == before:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tesserae import session
 from tesserae.llm.common import join_hot
 
 
@@ -16,3 +17,10 @@ def test_salted_side_is_not_broadcast(spark):
     out = join_hot(left, spark.range(0, 100, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w")), ["k"], salt_by=["v"], small=False)
     assert "BroadcastExchange" not in plan(out)
     assert {(r.k, r.w) for r in out.collect()} == {(k, 2 * k if k % 2 == 0 else None) for k in range(100)}
+
+
+def test_a_side_of_many_rows_is_dealt(spark, monkeypatch):
+    left, right = spark.range(100), spark.range(0, 100, 2).withColumn("w", F.col("id") * 2)
+    assert "BroadcastExchange" in plan(left.join(session.small(right), "id"))
+    monkeypatch.setattr(session, "at_most", lambda df, rows=0: False)
+    assert "BroadcastExchange" not in plan(left.join(session.small(right), "id"))
