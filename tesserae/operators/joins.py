@@ -60,17 +60,41 @@ def duplicate_links(boxes: DataFrame, bucket: float, iou_min: float, containment
     return measured.where((F.col("iou") >= iou_min) | (F.col("containment") >= containment_min))
 
 
-def radius_pairs(points: DataFrame, radius: float, key: str = "id", x: str = "x", y: str = "y") -> DataFrame:
-    """a, b, distance of all pairs a < b within the radius, inclusive."""
-    slim = points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+def near_places(places: DataFrame, radius: float, order: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of places (x, y and other columns, suffixes _a and _b) within the radius, inclusive, with their distance and `same`, true for a
+    row with itself. Each pair is there once, in either direction; rows are told apart by x, y and `order`, which has no nulls.
+
+    Both sides are dealt to grid cells of the radius, a place to its own cell and to four of the eight around it."""
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cell = lambda v: F.floor(F.col(v) / radius)
-    b = slim.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("_cx"), cell("y").alias("_cy"))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = slim.select(F.col("id").alias("a"), "x", "y", cell("x").alias("_gx"), cell("y").alias("_gy"), F.explode(around).alias("_dx")).withColumn("_dy", F.explode(around))
-    a = a.select("a", "x", "y", (F.col("_gx") + F.col("_dx")).alias("_cx"), (F.col("_gy") + F.col("_dy")).alias("_cy"))
-    d2 = F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2)
-    near = a.join(b, ["_cx", "_cy"]).where((F.col("a") < F.col("b")) & (d2 <= radius * radius))
-    return near.select("a", "b", F.sqrt(d2).alias("distance"))
+    names = places.columns
+    b = places.select(*[F.col(c).alias(f"{c}_b") for c in names], cell("x").alias("_cx"), cell("y").alias("_cy"))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
+    a = places.select(*[F.col(c).alias(f"{c}_a") for c in names], cell("x").alias("_gx"), cell("y").alias("_gy"), F.explode(around).alias("_o"))
+    a = a.withColumn("_cx", F.col("_gx") + F.col("_o.i")).withColumn("_cy", F.col("_gy") + F.col("_o.j")).withColumn("_own", (F.col("_o.i") == 0) & (F.col("_o.j") == 0)).drop("_o", "_gx", "_gy")
+    d2 = F.pow(F.col("x_a") - F.col("x_b"), 2) + F.pow(F.col("y_a") - F.col("y_b"), 2)
+    one, two = (F.struct(*[F.col(f"{c}_{t}").alias(c) for c in ("x", "y", *order)]) for t in "ab")
+    # an exchange of a given number of parts: few places may stand for many pairs, so that their bytes say nothing of the work
+    met = a.repartition(parts, "_cx", "_cy").join(b.repartition(parts, "_cx", "_cy").hint("merge"), ["_cx", "_cy"])
+    near = met.where((d2 <= radius * radius) & (~F.col("_own") | (one <= two)))
+    return near.select(*[F.col(f"{c}_{t}") for c in names for t in "ab"], F.sqrt(d2).alias("distance"), (F.col("_own") & (one == two)).alias("same"))
+
+
+def radius_pairs(points: DataFrame, radius: float, key: str = "id", x: str = "x", y: str = "y", carry: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
+    """a, b, distance of all pairs a < b within the radius, inclusive; columns `carry` of both ends with suffixes _a and _b.
+
+    Points on one place that agree in `carry` are one row with a list, so distances are worked out by places and only then by points.
+    where: a condition over carry's columns, x and y with these suffixes, which is the same in both directions."""
+    slim = points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *[F.col(c) for c in carry if c not in ("x", "y")])
+    own = [c for c in slim.columns if c != "id"]
+    places = slim.where("id is not null").groupBy(*own).agg(F.collect_list("id").alias("ids"), F.min("id").alias("first"))
+    near = near_places(places, radius, ("first",))
+    near = near if where is None else near.where(where)
+    ends = near.drop("first_a", "first_b").withColumn("i", F.explode("ids_a")).drop("ids_a").withColumn("j", F.explode("ids_b")).drop("ids_b")
+    ends = ends.where((F.col("i") < F.col("j")) | (~F.col("same") & (F.col("i") > F.col("j"))))
+    ahead = F.col("i") < F.col("j")
+    sides = [F.when(ahead, F.col(f"{c}_{s}")).otherwise(F.col(f"{c}_{t}")).alias(f"{c}_{s}") for c in carry for s, t in ("ab", "ba")]
+    return ends.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance", *sides)
 
 
 def knn(points: DataFrame, k: int, bucket: float, key: str = "id", x: str = "x", y: str = "y", rounds: int = 24) -> DataFrame:

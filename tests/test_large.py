@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from tesserae import session
 from tesserae.llm.common import join_hot
+from tesserae.operators import graph, joins
 
 
 def plan(df) -> str:
@@ -24,3 +27,45 @@ def test_a_side_of_many_rows_is_dealt(spark, monkeypatch):
     assert "BroadcastExchange" in plan(left.join(session.small(right), "id"))
     monkeypatch.setattr(session, "at_most", lambda df, rows=0: False)
     assert "BroadcastExchange" not in plan(left.join(session.small(right), "id"))
+
+
+def crowded(spark):
+    """Many cells on few places, and what lies within 2 of what, worked out plainly."""
+    draw = random.Random(5)
+    rows = [(i, float(draw.randrange(6)), draw.randrange(6) / 2, draw.randrange(4)) for i in range(150)]
+    edges = {(a[0], b[0]): (a, b) for a in rows for b in rows if a[0] < b[0] and (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 4}
+    return spark.createDataFrame(rows, "id long, x double, y double, cluster_id int"), edges
+
+
+def test_radius_graph_of_crowded_places(spark):
+    cells, edges = crowded(spark)
+    out = graph.radius_graph(cells, 2, carry=("cluster_id",))
+    assert "BroadcastExchange" not in plan(out) and "BroadcastHashJoin" not in plan(joins.radius_pairs(cells, 2))
+    got = [(r.source, r.target, r.cluster_id_s, r.cluster_id_t) for r in out.collect()]
+    assert sorted(got) == sorted((*k, a[3], b[3]) for k, (a, b) in edges.items())
+
+
+def test_degrees_without_edges(spark):
+    cells, edges = crowded(spark)
+    out = graph.radius_degrees(cells, 2)
+    assert "BroadcastExchange" not in plan(out)
+    assert {r.id: r.degree for r in out.collect()} == {i: n for i in range(150) if (n := sum(i in e for e in edges))}
+
+
+def test_interactions_without_edges(spark):
+    cells, edges = crowded(spark)
+    out = graph.interaction_counts(graph.radius_interactions(cells, 2), cells.select("cluster_id").where("cluster_id > 0").distinct())
+    pairs = [tuple(sorted((a[3], b[3]))) for a, b in edges.values()]
+    assert {(r.a, r.b): r.observed for r in out.collect()} == {(a, b): pairs.count((a, b)) for a in (1, 2, 3) for b in (1, 2, 3) if a <= b}
+
+
+def test_export_and_viewport_know_clusters_before_edges(spark):
+    cells, edges = crowded(spark)
+    known = cells.where("cluster_id > 1").withColumn("cluster_name", F.concat(F.lit("C"), F.col("cluster_id").cast("string")))
+    out = graph.export_radius(cells, 2, known, "id", 0.5)
+    name = lambda c: f"C{c}" if c > 1 else "Unassigned"
+    assert "BroadcastExchange" not in plan(out)
+    assert sorted((r.source, r.target, r.cluster_id_s, r.cluster_name_t) for r in out.collect()) == sorted((*k, a[3] if a[3] > 1 else 0, name(b[3])) for k, (a, b) in edges.items())
+    found, more = graph.viewport(graph.radius_graph(cells, 2, carry=("x", "y", "cluster_id")), 0, 0, 1, 1, 7, graph.pair_filter("pair", 1, 2))
+    want = sorted(k for k, (a, b) in edges.items() if {a[3], b[3]} == {1, 2} and min(a[1], b[1]) <= 1 and min(a[2], b[2]) <= 1)
+    assert more and [(r.source, r.target) for r in found.collect()] == want[:7]
