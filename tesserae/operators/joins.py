@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,16 +80,17 @@ def near_places(places: DataFrame, radius: float, order: tuple[str, ...] = ()) -
     return near.select(*[F.col(f"{c}_{t}") for c in names for t in "ab"], F.sqrt(d2).alias("distance"), (F.col("_own") & (one == two)).alias("same"))
 
 
-def radius_pairs(points: DataFrame, radius: float, key: str = "id", x: str = "x", y: str = "y", carry: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
+def radius_pairs(points: DataFrame, radius: float, key: str = "id", x: str = "x", y: str = "y", carry: tuple[str, ...] = (), where: Column | None = None, measure: Callable[[Column], Column] = lambda d: d) -> DataFrame:
     """a, b, distance of all pairs a < b within the radius, inclusive; columns `carry` of both ends with suffixes _a and _b.
 
     Points on one place that agree in `carry` are one row with a list, so distances are worked out by places and only then by points.
-    where: a condition over carry's columns, x and y with these suffixes, which is the same in both directions."""
+    where: a condition over carry's columns, x and y with these suffixes, which is the same in both directions. measure: what
+    becomes of the distance, also worked out by places."""
     slim = points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *[F.col(c) for c in carry if c not in ("x", "y")])
     own = [c for c in slim.columns if c != "id"]
     places = slim.where("id is not null").groupBy(*own).agg(F.collect_list("id").alias("ids"), F.min("id").alias("first"))
     near = near_places(places, radius, ("first",))
-    near = near if where is None else near.where(where)
+    near = (near if where is None else near.where(where)).withColumn("distance", measure(F.col("distance")))
     ends = near.drop("first_a", "first_b").withColumn("i", F.explode("ids_a")).drop("ids_a").withColumn("j", F.explode("ids_b")).drop("ids_b")
     ends = ends.where((F.col("i") < F.col("j")) | (~F.col("same") & (F.col("i") > F.col("j"))))
     ahead = F.col("i") < F.col("j")
