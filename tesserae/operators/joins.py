@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tesserae.functions.geometry import Box, containment, intersection
-from tesserae.session import BROADCAST_ROWS, at_most, ready, written
+from tesserae.functions.geometry import Box, containment, intersection, iou
+from tesserae.session import BROADCAST_ROWS, at_most, dealt, ready, small, written
 
 
 def _span(lo: Column, hi: Column, bucket: float) -> Column:
@@ -23,15 +23,15 @@ def box_overlaps(boxes: DataFrame, bucket: float, key: str = "id", same: tuple[s
     distinct is needed. `same`: columns that must be equal; residual: a condition over the suffixed columns.
     """
     gx, gy = _span(F.col("x0"), F.col("x1"), bucket), _span(F.col("y0"), F.col("y1"), bucket)
-    dealt = boxes.withColumn("_gx", F.explode(gx)).withColumn("_gy", F.explode(gy))
+    held = boxes.withColumn("_gx", F.explode(gx)).withColumn("_gy", F.explode(gy))
     names = [c for c in boxes.columns if c not in same]
     keys = ["_gx", "_gy", *same]
-    a = dealt.select(*keys, *[F.col(c).alias(f"{c}_a") for c in names])
-    b = dealt.select(*keys, *[F.col(c).alias(f"{c}_b") for c in names])
+    a = held.select(*keys, *[F.col(c).alias(f"{c}_a") for c in names])
+    b = held.select(*keys, *[F.col(c).alias(f"{c}_b") for c in names])
     one, two = Box.of(suffix="_a"), Box.of(suffix="_b")
     here = (F.floor(F.greatest(one.x0, two.x0) / bucket) == F.col("_gx")) & (F.floor(F.greatest(one.y0, two.y0) / bucket) == F.col("_gy"))
     on = (F.col(f"{key}_a") < F.col(f"{key}_b")) & one.overlaps(two) & here
-    out = a.join(b, keys).where(on if residual is None else on & residual)
+    out = a.join(dealt(b), keys).where(on if residual is None else on & residual)
     return out.drop("_gx", "_gy")
 
 
@@ -39,14 +39,14 @@ def cross_overlaps(left: DataFrame, right: DataFrame, bucket: float, same: tuple
     """Pairs of a box of left and one of right that overlap strictly, as columns with suffixes _a and _b; dealt as in box_overlaps()."""
     keys = ["_gx", "_gy", *same]
 
-    def dealt(df: DataFrame, suffix: str) -> DataFrame:
+    def cells(df: DataFrame, suffix: str) -> DataFrame:
         gx, gy = _span(F.col("x0"), F.col("x1"), bucket), _span(F.col("y0"), F.col("y1"), bucket)
         rows = df.withColumn("_gx", F.explode(gx)).withColumn("_gy", F.explode(gy))
         return rows.select(*keys, *[F.col(c).alias(f"{c}{suffix}") for c in df.columns if c not in same])
 
     one, two = Box.of(suffix="_a"), Box.of(suffix="_b")
     here = (F.floor(F.greatest(one.x0, two.x0) / bucket) == F.col("_gx")) & (F.floor(F.greatest(one.y0, two.y0) / bucket) == F.col("_gy"))
-    return dealt(left, "_a").join(dealt(right, "_b"), keys).where(one.overlaps(two) & here).drop("_gx", "_gy")
+    return cells(left, "_a").join(dealt(cells(right, "_b")), keys).where(one.overlaps(two) & here).drop("_gx", "_gy")
 
 
 def duplicate_links(boxes: DataFrame, bucket: float, iou_min: float, containment_min: float, key: str = "id", tile: str = "tile", same: tuple[str, ...] = ("class_id",)) -> DataFrame:
@@ -75,7 +75,7 @@ def near_places(places: DataFrame, radius: float, order: tuple[str, ...] = ()) -
     d2 = F.pow(F.col("x_a") - F.col("x_b"), 2) + F.pow(F.col("y_a") - F.col("y_b"), 2)
     one, two = (F.struct(*[F.col(f"{c}_{t}").alias(c) for c in ("x", "y", *order)]) for t in "ab")
     # an exchange of a given number of parts: few places may stand for many pairs, so that their bytes say nothing of the work
-    met = a.repartition(parts, "_cx", "_cy").join(b.repartition(parts, "_cx", "_cy").hint("merge"), ["_cx", "_cy"])
+    met = a.repartition(parts, "_cx", "_cy").join(dealt(b.repartition(parts, "_cx", "_cy")), ["_cx", "_cy"])
     near = met.where((d2 <= radius * radius) & (~F.col("_own") | (one <= two)))
     return near.select(*[F.col(f"{c}_{t}") for c in names for t in "ab"], F.sqrt(d2).alias("distance"), (F.col("_own") & (one == two)).alias("same"))
 
@@ -101,39 +101,47 @@ def radius_pairs(points: DataFrame, radius: float, key: str = "id", x: str = "x"
 def knn(points: DataFrame, k: int, bucket: float, key: str = "id", x: str = "x", y: str = "y", rounds: int = 24) -> DataFrame:
     """a, b, rank, distance: the k nearest others of each point, exact, ties by the smaller key.
 
-    Rings of grid buckets: what a point has found is final once its k-th distance is within the searched square; the others go on
-    with twice the ring. A point whose ring spans all buckets is final too.
+    Points on one place have the same neighbours but themselves, so places are searched, each by its k + 1 smallest keys, for k + 1
+    neighbours. Rings of grid buckets: what a place has found is final once its last distance is within the searched square; the others
+    go on with twice the ring. A place whose ring spans all buckets is final too. `bucket` is the largest side to begin with: where
+    points are dense, smaller ones hold enough.
     """
     slim = written(points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "points")
     total = slim.count()
-    lo_x, hi_x, lo_y, hi_y = slim.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    todo, done, side = slim, None, float(bucket)
+    lo_x, hi_x, lo_y, hi_y = (v or 0.0 for v in slim.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
+    least = slim.withColumn("_k", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).where(F.col("_k") <= k + 1)
+    places = written(least.groupBy("x", "y").agg(F.sort_array(F.collect_list("id")).alias("ids")), "places")
+    todo, done, side = places.select("x", "y"), None, float(bucket)
+    while total and side * side * total > 8 * (k + 1) * (hi_x - lo_x) * (hi_y - lo_y) > 0:
+        side, rounds = side / 2, rounds + 1
     for _ in range(rounds):
         cell = lambda v: F.floor(F.col(v) / side)  # noqa: E731, B023
-        b = slim.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("_cx"), cell("y").alias("_cy"))
+        b = places.select("ids", F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("_cx"), cell("y").alias("_cy"))
         around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        a = todo.select(F.col("id").alias("a"), "x", "y", cell("x").alias("_gx"), cell("y").alias("_gy"), F.explode(around).alias("_dx")).withColumn("_dy", F.explode(around))
-        a = a.select("a", "x", "y", "_gx", "_gy", (F.col("_gx") + F.col("_dx")).alias("_cx"), (F.col("_gy") + F.col("_dy")).alias("_cy"))
+        a = todo.select("x", "y", cell("x").alias("_gx"), cell("y").alias("_gy"), F.explode(around).alias("_dx")).withColumn("_dy", F.explode(around))
+        a = a.select("x", "y", "_gx", "_gy", (F.col("_gx") + F.col("_dx")).alias("_cx"), (F.col("_gy") + F.col("_dy")).alias("_cy"))
         d2 = F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2)
-        rank = F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))
-        near = a.join(b, ["_cx", "_cy"]).where("a <> b").select("a", "b", d2.alias("d2"), "x", "y", "_gx", "_gy").withColumn("rank", rank).where(F.col("rank") <= k)
-        # the searched square reaches at least this far from the point
+        rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("d2", "b"))
+        near = a.join(dealt(b), ["_cx", "_cy"]).select(F.explode("ids").alias("b"), d2.alias("d2"), "x", "y", "_gx", "_gy").withColumn("rank", rank).where(F.col("rank") <= k + 1)
+        # the searched square reaches at least this far from the place
         reach = F.least(F.col("x") - (F.col("_gx") - 1) * side, (F.col("_gx") + 2) * side - F.col("x"), F.col("y") - (F.col("_gy") - 1) * side, (F.col("_gy") + 2) * side - F.col("y"))
-        found = written(near.withColumn("reach", reach), "near")
         whole = side >= max(hi_x - lo_x, hi_y - lo_y, 0.0)
-        last = found.groupBy("a").agg(F.count("*").alias("n"), F.max("d2").alias("worst"), F.min("reach").alias("reach"))
-        final = last.where(F.lit(whole) | ((F.col("n") >= min(k, total - 1)) & (F.col("worst") < F.col("reach") * F.col("reach")))).select("a")
-        part = found.join(final, "a", "left_semi").select("a", "b", "rank", F.sqrt("d2").alias("distance"))
+        last = near.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("d2", "b"))).alias("found"), F.min(reach).alias("reach"))
+        worst = F.array_max("found")["d2"]
+        last = written(last.withColumn("final", F.lit(whole) | ((F.size("found") >= min(k + 1, total)) & (worst < F.col("reach") * F.col("reach")))), "near")
+        part = last.where("final").select("x", "y", "found")
         done = part if done is None else done.unionAll(part)
         if whole:
             break
-        todo = written(todo.join(final, todo["id"] == final["a"], "left_anti"), "todo")
+        todo = written(last.where("not final").select("x", "y"), "todo")
         if at_most(todo, 0):
             break
         side *= 2
     else:
         raise RuntimeError(f"neighbours aren't found after {rounds} rounds: give a larger bucket")
-    return done
+    others = F.slice(F.filter("found", lambda s: s["b"] != F.col("id")), 1, k)
+    rows = slim.join(dealt(done), ["x", "y"]).select(F.col("id").alias("a"), F.posexplode(others).alias("at", "s"))
+    return rows.select("a", F.col("s.b").alias("b"), (F.col("at") + 1).alias("rank"), F.sqrt("s.d2").alias("distance"))
 
 
 def knn_vectors(points: DataFrame, k: int, key: str = "id", vector: str = "vector", block: int = 64) -> DataFrame:
@@ -192,9 +200,9 @@ def in_regions(points: DataFrame, regions: DataFrame, bucket: float, x: str = "x
     box = Box.of()
     px, py = F.col(x), F.col(y)
     on = (px >= box.x0) & (py >= box.y0) & ((px <= box.x1) & (py <= box.y1) if inclusive else (px < box.x1) & (py < box.y1))
-    dealt = regions.withColumn("_gx", F.explode(_span(F.col("x0"), F.col("x1"), bucket))).withColumn("_gy", F.explode(_span(F.col("y0"), F.col("y1"), bucket)))
+    held = regions.withColumn("_gx", F.explode(_span(F.col("x0"), F.col("x1"), bucket))).withColumn("_gy", F.explode(_span(F.col("y0"), F.col("y1"), bucket)))
     cells = points.withColumn("_gx", F.floor(px / bucket)).withColumn("_gy", F.floor(py / bucket))
-    return cells.join(F.broadcast(dealt) if at_most(dealt) else dealt, ["_gx", "_gy"]).where(on).drop("_gx", "_gy")
+    return cells.join(small(held), ["_gx", "_gy"]).where(on).drop("_gx", "_gy")
 
 
 def nearest_point(points: DataFrame, x: float, y: float, radius: float, key: str = "id", px: str = "x", py: str = "y") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae import session
 from tesserae.llm.common import join_hot
-from tesserae.operators import graph, joins
+from tesserae.operators import evaluation, graph, joins, matching
 
 
 def plan(df) -> str:
@@ -69,3 +69,58 @@ def test_export_and_viewport_know_clusters_before_edges(spark):
     found, more = graph.viewport(graph.radius_graph(cells, 2, carry=("x", "y", "cluster_id")), 0, 0, 1, 1, 7, graph.pair_filter("pair", 1, 2))
     want = sorted(k for k, (a, b) in edges.items() if {a[3], b[3]} == {1, 2} and min(a[1], b[1]) <= 1 and min(a[2], b[2]) <= 1)
     assert more and [(r.source, r.target) for r in found.collect()] == want[:7]
+
+
+def test_neighbours_of_crowded_places(spark, monkeypatch):
+    cells, _ = crowded(spark)
+    rows = cells.collect()
+    out = joins.knn(cells, 3, 8.0)
+    want = {r.id: [b for _, b in sorted(((r.x - o.x) ** 2 + (r.y - o.y) ** 2, o.id) for o in rows if o.id != r.id)[:3]] for r in rows}
+    got = {}
+    for r in out.orderBy("a", "rank").collect():
+        got.setdefault(r.a, []).append(r.b)
+    assert got == want and plan(out).count("Window") == 0  # lists of a place, not rows of each of its cells
+
+
+def sides(spark):
+    draw = random.Random(7)
+    box = lambda: (x := draw.randrange(300), y := draw.randrange(300), x + draw.randrange(20, 90), y + draw.randrange(20, 90))
+    made = lambda lo: [(lo + i, i % 2, *box()) for i in range(40)]
+    names = "id long, image int, x0 int, y0 int, x1 int, y1 int"
+    far = (900, 0, 5000, 5000, 5010, 5010)
+    pred, gt = [*made(100), far, (901, 7, 0, 0, 9, 9)], made(0)
+    iou = {}
+    for p in pred:
+        for g in gt:
+            if p[1] == g[1]:
+                n = max(0, min(p[4], g[4]) - max(p[2], g[2])) * max(0, min(p[5], g[5]) - max(p[3], g[3]))
+                iou[p[0], g[0]] = n / ((p[4] - p[2]) * (p[5] - p[3]) + (g[4] - g[2]) * (g[5] - g[3]) - n)
+    return spark.createDataFrame(pred, names), spark.createDataFrame(gt, names), iou
+
+
+def test_match_labels_by_buckets(spark):
+    pred, gt, iou = sides(spark)
+    out = joins.match_labels(gt, pred, 0.2, 0.4)
+    assert "_gx" in plan(out)  # not all pairs of an image
+    got = {r.pred: (r.gt, r.iou) for r in out.collect()}
+    assert got.pop(901) == (None, 0.0) and got[900] == (0, 0.0)
+    best = {}
+    for (p, g), v in iou.items():
+        best[p] = max(best.get(p, (-1.0, 0)), (v, -g))
+    assert got == {p: (-g, v) for p, (v, g) in best.items()}
+
+
+def test_greedy_pairs_by_buckets(spark):
+    pred, gt, iou = sides(spark)
+    out = matching.greedy_one_to_one(pred, gt)
+    assert "FlatMapGroupsInPandas" not in plan(out)  # no image's whole matrix
+    want, used = {}, set()
+    for (p, g), v in sorted(iou.items(), key=lambda x: (-x[1], x[0])):
+        if v > 0 and not {("p", p), ("g", g)} & used:
+            used |= {("p", p), ("g", g)}
+            want[p, g] = v
+    assert {(r.pred, r.gt): r.iou for r in out.collect()} == want
+    recall = evaluation.proposal_recall(gt, pred.withColumn("score", F.lit(1.0)), 1000, steps=(0.3, 0.5))
+    assert "FlatMapGroupsInPandas" not in plan(recall)
+    row = recall.first()
+    assert row.num_pos == 40 and abs(row.ar - sum(sum(v >= t for v in want.values()) / 40 for t in (0.3, 0.5)) / 2) < 1e-12
