@@ -212,16 +212,17 @@ def nearest_point(points: DataFrame, x: float, y: float, radius: float, key: str
     return near.orderBy("d2", key).limit(1)
 
 
-def match_labels(gt: DataFrame, pred: DataFrame, low: float, high: float, group: str = "image", allow_low_quality: bool = False) -> DataFrame:
+def match_labels(gt: DataFrame, pred: DataFrame, low: float, high: float, group: str = "image", allow_low_quality: bool = False, bucket: float = 128) -> DataFrame:
     """Best ground truth of each prediction by IoU, labelled 1 from `high`, 0 below `low`, -1 between; ties go to the smaller gt.
 
+    Boxes meet in grid buckets; a prediction that overlaps nothing has the group's first ground truth, at 0.
     allow_low_quality: the best predictions of each ground truth, ties included, are 1 as well."""
-    a = gt.select(group, F.col("id").alias("gt"), *[F.col(c).alias(f"{c}_a") for c in ("x0", "y0", "x1", "y1")])
-    b = pred.select(group, F.col("id").alias("pred"), *[F.col(c).alias(f"{c}_b") for c in ("x0", "y0", "x1", "y1")])
-    from tesserae.functions.geometry import iou
-
-    pairs = b.join(a, group, "left").withColumn("iou", F.coalesce(iou(Box.of(suffix="_a"), Box.of(suffix="_b")), F.lit(0.0)))
-    best = pairs.groupBy(group, "pred").agg(F.max(F.struct("iou", (-F.col("gt")).alias("neg"))).alias("m"))
+    box = ["x0", "y0", "x1", "y1"]
+    met = cross_overlaps(gt.select(group, F.col("id").alias("gt"), *box), pred.select(group, F.col("id").alias("pred"), *box), bucket, (group,))
+    pairs = met.select(group, F.col("pred_b").alias("pred"), F.col("gt_a").alias("gt"), F.coalesce(iou(Box.of(suffix="_a"), Box.of(suffix="_b")), F.lit(0.0)).alias("iou"))
+    first = gt.groupBy(group).agg(F.min("id").alias("gt"))
+    every = pred.select(group, F.col("id").alias("pred")).join(small(first), group, "left").select(group, "pred", "gt", F.lit(0.0).alias("iou"))
+    best = pairs.unionAll(every).groupBy(group, "pred").agg(F.max(F.struct("iou", (-F.col("gt")).alias("neg"))).alias("m"))
     out = best.select(group, "pred", (-F.col("m.neg")).alias("gt"), F.col("m.iou").alias("iou"))
     label = F.when(F.col("iou") >= high, 1).when(F.col("iou") < low, 0).otherwise(-1)
     if not allow_low_quality:
