@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tesserae.functions.geometry import Box, intersection
 from tesserae.operators.joins import cross_overlaps
-from tesserae.session import at_most, ready, written
+from tesserae.session import at_most, ready, small, written
 
 IOU_STEPS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 RECALL_STEPS = tuple(round(0.01 * k, 2) for k in range(101))
@@ -249,28 +249,15 @@ def lvis_report(gt: DataFrame, det: DataFrame, negative: DataFrame, not_exhausti
 def proposal_recall(gt: DataFrame, proposals: DataFrame, limit: int, area: tuple[float, float] = (0, 1e10), steps: tuple[float, ...] = IOU_STEPS) -> DataFrame:
     """ar, num_pos: greedy one-to-one matches by the globally best pair, image by image; images without either side don't count."""
     top = proposals.withColumn("_k", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("score"), "id"))).where(F.col("_k") <= limit)
-    cols = ["x0", "y0", "x1", "y1"]
-    box = Box.of()
-    a = gt.where((box.area >= area[0]) & (box.area <= area[1])).select("image", F.lit(True).alias("is_gt"), *[F.col(c).cast("double").alias(c) for c in cols])
-    b = top.select("image", F.lit(False).alias("is_gt"), *[F.col(c).cast("double").alias(c) for c in cols])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, p = pdf[pdf["is_gt"]][cols].to_numpy(), pdf[~pdf["is_gt"]][cols].to_numpy()
-        if not len(g) or not len(p):
-            return pd.DataFrame({"best": []}, dtype=float)
-        m = iou_matrix(p, g)
-        best = np.zeros(len(g))
-        for k in range(min(len(g), len(p))):
-            i, j = np.unravel_index(m.argmax(), m.shape)
-            if m[i, j] < 0:
-                break
-            best[k] = m[i, j]
-            m[i, :], m[:, j] = -1, -1
-        return pd.DataFrame({"best": best})
+    from tesserae.operators.matching import greedy_one_to_one
 
-    ready(gt.sparkSession)
-    found = a.unionByName(b).groupBy("image").applyInPandas(run, "best double")
-    return found.agg(*[F.avg((F.col("best") >= t).cast("double")).alias(f"r{int(t * 100)}") for t in steps], F.count("*").alias("num_pos")).withColumn("ar", sum((F.col(f"r{int(t * 100)}") for t in steps[1:]), F.col(f"r{int(steps[0] * 100)}")) / len(steps)).select("ar", "num_pos")
+    box = Box.of()
+    cols = ["image", "x0", "y0", "x1", "y1"]
+    able = gt.where((box.area >= area[0]) & (box.area <= area[1])).select(F.col("id") if "id" in gt.columns else F.monotonically_increasing_id().alias("id"), *cols)
+    won = greedy_one_to_one(top.select("id", *cols), able).agg(*[F.count_if(F.col("iou") >= t).alias(f"r{int(t * 100)}") for t in steps])
+    positives = able.join(small(top.select("image").distinct()), "image", "left_semi").agg(F.count("*").alias("num_pos"))
+    recall = [F.try_divide(F.col(f"r{int(t * 100)}") if t > 0 else F.col("num_pos"), "num_pos") for t in steps]
+    return positives.crossJoin(F.broadcast(won)).select((sum(recall[1:], recall[0]) / len(steps)).alias("ar"), "num_pos")
 
 
 def panoptic_quality(pixels: DataFrame, void: int = 0) -> DataFrame:
