@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tesserae.session import ready
+from tesserae.session import dealt, ready
 
 
 def to_runs(pixels: DataFrame, id_: str = "id", y: str = "y", x: str = "x") -> DataFrame:
@@ -60,10 +60,10 @@ def overlaps(runs: DataFrame, pairs: DataFrame) -> DataFrame:
     one = runs.select(F.col("id").alias("a"), "y", F.col("x0").alias("s1"), F.col("x1").alias("e1"))
     two = runs.select(F.col("id").alias("b"), "y", F.col("x0").alias("s2"), F.col("x1").alias("e2"))
     common = F.greatest(F.lit(0), F.least("e1", "e2") - F.greatest("s1", "s2"))
-    inter = pairs.select("a", "b").join(one, "a").join(two, ["b", "y"]).groupBy("a", "b").agg(F.sum(common).alias("intersection"))
+    inter = pairs.select("a", "b").join(dealt(one), "a").join(dealt(two), ["b", "y"]).groupBy("a", "b").agg(F.sum(common).alias("intersection"))
     area = runs.groupBy("id").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
-    out = pairs.join(inter, ["a", "b"], "left").withColumn("intersection", F.coalesce("intersection", F.lit(0).cast("long")))
-    out = out.join(area.select(F.col("id").alias("a"), F.col("area").alias("area_a")), "a").join(area.select(F.col("id").alias("b"), F.col("area").alias("area_b")), "b")
+    out = pairs.join(dealt(inter), ["a", "b"], "left").withColumn("intersection", F.coalesce("intersection", F.lit(0).cast("long")))
+    out = out.join(dealt(area.select(F.col("id").alias("a"), F.col("area").alias("area_a"))), "a").join(dealt(area.select(F.col("id").alias("b"), F.col("area").alias("area_b"))), "b")
     i = F.col("intersection")
     return out.withColumn("iou", F.coalesce(F.try_divide(i, F.col("area_a") + F.col("area_b") - i), F.lit(0.0))).withColumn("containment", F.coalesce(F.try_divide(i, F.least("area_a", "area_b")), F.lit(0.0)))
 
