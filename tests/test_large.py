@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tesserae import session
 from tesserae.llm.common import join_hot
-from tesserae.operators import evaluation, graph, joins, matching
+from tesserae.operators import evaluation, graph, joins, masks, matching
+from tesserae.plans.catalogue import QUERIES
 
 
 def plan(df) -> str:
@@ -124,3 +125,14 @@ def test_greedy_pairs_by_buckets(spark):
     assert "FlatMapGroupsInPandas" not in plan(recall)
     row = recall.first()
     assert row.num_pos == 40 and abs(row.ar - sum(sum(v >= t for v in want.values()) / 40 for t in (0.3, 0.5)) / 2) < 1e-12
+
+
+def test_masks_are_not_broadcast(spark):
+    runs = spark.createDataFrame([(1, 0, 0, 4), (1, 1, 0, 4), (2, 1, 2, 6), (3, 9, 0, 1)], "id long, y long, x0 long, x1 long")
+    out = masks.overlaps(runs, spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"))
+    assert "BroadcastExchange" not in plan(out)
+    assert {(r.a, r.b): (r.intersection, round(r.iou, 6)) for r in out.collect()} == {(1, 2): (2, 0.2), (1, 3): (0, 0.0)}
+
+
+def test_archives_are_not_broadcast(spark, sf_dir):
+    assert "BroadcastExchange" not in plan(QUERIES["archive_round_trip"](spark, sf_dir))
