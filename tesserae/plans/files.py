@@ -30,16 +30,16 @@ def tiff_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BOXES} SELECT id, class_id, x0::DOUBLE AS x0, y0::DOUBLE AS y0, (x1 - x0)::DOUBLE AS w, (y1 - y0)::DOUBLE AS h FROM boxes WHERE id % 5 > 0")
 def coco_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A COCO document of all boxes; every fifth has a polygon of too few points and goes."""
+    """COCO documents of all boxes; every fifth has a polygon of too few points and goes."""
     rows = boxes(spark, sf_dir)
     corner = [F.col(c).cast("double") for c in ("x0", "y0", "x1", "y0", "x1", "y1")]
     polygon = F.when(F.col("id") % 5 == 0, F.array(*corner[:4])).otherwise(F.array(*corner))
     notes = rows.select("id", F.col("tile").alias("image_id"), (F.col("class_id") * 10 + 3).cast("long").alias("category_id"), F.array(polygon).alias("segmentation"), F.array(*[F.col(c).cast("double") for c in ("x0", "y0")], (F.col("x1") - F.col("x0")).cast("double"), (F.col("y1") - F.col("y0")).cast("double")).alias("bbox"), F.lit(0).alias("iscrowd"))
     pictures = rows.select(F.col("tile").alias("id"), F.concat(F.lit("i"), F.col("tile").cast("string"), F.lit(".jpg")).alias("file_name"), F.lit(2003).alias("height"), F.lit(1501).alias("width")).distinct()
     kinds = rows.select((F.col("class_id") * 10 + 3).cast("long").alias("id"), F.concat(F.lit("c"), F.col("class_id").cast("string")).alias("name")).distinct()
-    path = f"{fresh_dir(spark, 'coco')}/doc.json"
-    sinks.coco_document(pictures, kinds, notes, path)
-    found = annotations.read_coco(spark, path)[2]
+    folder = fresh_dir(spark, "coco")
+    sinks.coco_documents(pictures, kinds, notes, folder)
+    found = annotations.read_coco(spark, folder)[2]
     return found.select("id", F.col("class").cast("int").alias("class_id"), *[F.col("bbox")[k].alias(c) for k, c in enumerate(("x0", "y0", "w", "h"))])
 
 

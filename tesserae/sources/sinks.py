@@ -5,13 +5,15 @@ from __future__ import annotations
 import io
 import json
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserae.operators.sampling import numbered
-from tesserae.session import at_most, written
+from tesserae.session import at_most, ready, written
 
 #: Rows and columns of a spreadsheet.
 SHEET_ROWS, SHEET_COLUMNS = 1_048_576, 16_384
@@ -73,6 +75,33 @@ def coco_document(images: DataFrame, categories: DataFrame, annotations: DataFra
     system.rename(made, there)
 
 
+def coco_documents(images: DataFrame, categories: DataFrame, annotations: DataFrame, folder: str, rows: int = 50_000) -> None:
+    """The three lists in a folder of documents in COCO's form, for read_coco(folder): each holds rows of one list, `rows` or about so many,
+    and is written by a task of its own, so any number of rows stays off the driver and no document is larger than a task can read."""
+    names = ("images", "categories", "annotations")
+
+    def document(name: str):
+        before = "".join(f'"{n}":[],' for n in names if n != name)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([f'{{{before}"{name}":['])], ["value"])
+            first = True
+            for b in batches:
+                lines = b.column(0).to_pylist()
+                if lines:
+                    yield pa.RecordBatch.from_arrays([pa.array([x if first and not i else f",{x}" for i, x in enumerate(lines)])], ["value"])
+                    first = False
+            yield pa.RecordBatch.from_arrays([pa.array(["]}"])], ["value"])
+
+        return run
+
+    ready(images.sparkSession)
+    for name, df in zip(names, (images, categories, annotations), strict=True):
+        lines = written(df.select(F.to_json(F.struct(*df.columns)).alias("value")), name)
+        parts = max(1, -(-lines.count() // rows))
+        lines.repartition(parts).mapInArrow(document(name), "value string").write.mode("overwrite" if name == names[0] else "append").text(folder)
+
+
 def _at(spark: SparkSession, path: str):
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there, there.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tesserae import session
 from tesserae.llm.common import join_hot
 from tesserae.operators import evaluation, graph, joins, masks, matching
 from tesserae.plans.catalogue import QUERIES
+from tesserae.sources import annotations, sinks
 
 
 def plan(df) -> str:
@@ -136,3 +138,20 @@ def test_masks_are_not_broadcast(spark):
 
 def test_archives_are_not_broadcast(spark, sf_dir):
     assert "BroadcastExchange" not in plan(QUERIES["archive_round_trip"](spark, sf_dir))
+
+
+def test_coco_documents_in_parts(spark, tmp_path):
+    notes = spark.range(95).select("id", (F.col("id") % 2).alias("image_id"), (F.col("id") % 3 * 10).alias("category_id"), F.array(F.array(*[F.lit(float(k)) for k in (0, 0, 1, 0, 1, 1)])).alias("segmentation"))
+    pictures = spark.range(2).select("id", F.format_string("i%d.jpg", "id").alias("file_name"))
+    kinds = spark.range(3).select((F.col("id") * 10).alias("id"), F.lit('a "b"').alias("name"))
+    sinks.coco_documents(pictures, kinds, notes, str(tmp_path / "d"), rows=10)
+    docs = [json.loads(p.read_text()) for p in (tmp_path / "d").glob("part-*")]
+    assert len(docs) == 12 and all(set(d) == {"images", "categories", "annotations"} and 0 < sum(map(len, d.values())) <= 30 for d in docs)
+    images, categories, rows = annotations.read_coco(spark, str(tmp_path / "d"))
+    assert images.count() == 2 and {r.name for r in categories.collect()} == {'a "b"'}
+    assert sorted((r.id, r.image_id, r["class"], len(r.polygons)) for r in rows.collect()) == [(i, i % 2, i % 3, 1) for i in range(95)]
+
+
+def test_coco_scan_has_no_document_of_all_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(sinks, "coco_document", None)
+    assert QUERIES["coco_scan"](spark, sf_dir).count() == 160
