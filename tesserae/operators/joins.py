@@ -86,11 +86,20 @@ def radius_pairs(points: DataFrame, radius: float, key: str = "id", x: str = "x"
     Points on one place that agree in `carry` are one row with a list, so distances are worked out by places and only then by points.
     where: a condition over carry's columns, x and y with these suffixes, which is the same in both directions. measure: what
     becomes of the distance, also worked out by places."""
+    near = near_places(listed(points, key, x, y, carry), radius, ("first",))
+    near = (near if where is None else near.where(where)).withColumn("distance", measure(F.col("distance")))
+    return pairs_of(near, carry)
+
+
+def listed(points: DataFrame, key: str = "id", x: str = "x", y: str = "y", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Places with the list of points there that agree in `carry`: x, y, carry's columns, ids and the first of these."""
     slim = points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *[F.col(c) for c in carry if c not in ("x", "y")])
     own = [c for c in slim.columns if c != "id"]
-    places = slim.where("id is not null").groupBy(*own).agg(F.collect_list("id").alias("ids"), F.min("id").alias("first"))
-    near = near_places(places, radius, ("first",))
-    near = (near if where is None else near.where(where)).withColumn("distance", measure(F.col("distance")))
+    return slim.where("id is not null").groupBy(*own).agg(F.collect_list("id").alias("ids"), F.min("id").alias("first"))
+
+
+def pairs_of(near: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """a < b, distance and `carry` of both ends: the pairs of points of near_places() of listed()."""
     ends = near.drop("first_a", "first_b").withColumn("i", F.explode("ids_a")).drop("ids_a").withColumn("j", F.explode("ids_b")).drop("ids_b")
     ends = ends.where((F.col("i") < F.col("j")) | (~F.col("same") & (F.col("i") > F.col("j"))))
     ahead = F.col("i") < F.col("j")

@@ -157,9 +157,7 @@ def label_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, target FROM e WHERE least(ax, bx) <= 400 AND greatest(ax, bx) >= 250 AND least(ay, by_) <= 500 AND greatest(ay, by_) >= 300
 """)
 def viewer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A spatial run's edges, indexed by grid cell, in a viewport."""
-    nodes = points(spark, sf_dir).withColumn("cluster_name", F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string")))
-    found = runs.spatial(nodes, runs.GraphOptions("radius", 20.0))
+    """All edges of a radius graph, indexed by grid cell, in a viewport."""
     folder = fresh_dir(spark, "viewer")
-    runs.viewer_index(nodes, found["edges"].select("source", "target", "distance"), folder, 128.0)
+    runs.viewer_index_radius(points(spark, sf_dir), 20.0, folder, 128.0)
     return runs.viewport(spark, folder, 250, 300, 400, 500)[1].select("source", "target")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae import session
 from tesserae.llm.common import join_hot
-from tesserae.operators import evaluation, graph, joins, masks, matching
+from tesserae.operators import evaluation, graph, joins, masks, matching, runs
 from tesserae.plans.catalogue import QUERIES
 from tesserae.sources import annotations, sinks
 
@@ -155,3 +155,21 @@ def test_coco_documents_in_parts(spark, tmp_path):
 def test_coco_scan_has_no_document_of_all_rows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(sinks, "coco_document", None)
     assert QUERIES["coco_scan"](spark, sf_dir).count() == 160
+
+
+def test_viewer_index_by_places(spark, tmp_path):
+    cells, edges = crowded(spark)
+    folder = str(tmp_path / "v")
+    assert runs.viewer_index_radius(cells, 2, folder, 1.0) and not runs.viewer_index_radius(cells, 2, folder, 1.0)
+    assert spark.read.parquet(f"{folder}/edges").select("first_a", "first_b").distinct().count() < len(edges) / 2  # places, not edges
+    seen, lines = runs.viewport(spark, folder, 1, 0.5, 3, 1)
+    assert seen.count() == sum(1 <= r.x <= 3 and 0.5 <= r.y <= 1 for r in cells.collect())
+    meets = lambda a, b: min(a[1], b[1]) <= 3 and max(a[1], b[1]) >= 1 and min(a[2], b[2]) <= 1 and max(a[2], b[2]) >= 0.5
+    got = [(r.source, r.target, r.x_s, r.y_t, r.cluster_id_s, r.cluster_id_t) for r in lines.collect()]
+    assert sorted(got) == sorted((*k, a[1], b[2], a[3], b[3]) for k, (a, b) in edges.items() if meets(a, b))
+    assert runs.viewer_index_radius(cells, 1, folder, 1.0)
+
+
+def test_viewer_edges_writes_no_edges(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(runs, "spatial", None)
+    assert QUERIES["viewer_edges"](spark, sf_dir).count() >= 0
