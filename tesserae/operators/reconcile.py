@@ -7,9 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tesserae.functions.geometry import Box, intersection
-from tesserae.operators import masks
+from tesserae.operators import cells, masks
 from tesserae.operators.components import connected_components
-from tesserae.operators.joins import box_overlaps
 from tesserae.operators.sampling import numbered, representative
 
 
@@ -30,25 +29,25 @@ class ReconcileOptions:
             raise ValueError("strategy must be representative or union")
 
 
-def links(predictions: DataFrame, options: ReconcileOptions, runs: DataFrame | None = None) -> DataFrame:
+def links(predictions: DataFrame, options: ReconcileOptions, runs: DataFrame | None = None, places: int | None = None) -> DataFrame:
     """a, b, intersection, iou, containment of duplicates in different tiles, by masks (runs) or, without these, by boxes.
 
-    Boxes and areas bound the ratios from above, so most pairs are settled before any mask is read."""
+    Boxes and areas bound the ratios from above, so most pairs are settled before any mask is read. places: boxes' ratios are rounded to,
+    while pairs are made."""
     same = ("class_id",) if options.match_classes else ()
-    pairs = box_overlaps(predictions.select("id", "tile", "class_id", "area", "x0", "y0", "x1", "y1"), options.bucket, "id", same, F.col("tile_a") != F.col("tile_b"))
-    a, b = Box.of(suffix="_a"), Box.of(suffix="_b")
-    # the planner may ask these before it knows that boxes overlap, so they hold for any two boxes
-    inter = intersection(a, b)
-    most = F.least(F.col("area_a"), F.col("area_b"), inter)
-    ratio = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
-    likely = pairs.where((ratio(most, F.col("area_a") + F.col("area_b") - most) >= options.iou) | (ratio(most, F.least("area_a", "area_b")) >= options.containment))
+    kind = predictions.select(intersection(Box.of(), Box.of()).alias("i")).dtypes[0][1]
     if runs is None:
-        measured = likely.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), inter.alias("intersection"), ratio(inter, a.area + b.area - inter).alias("iou"), ratio(inter, F.least(a.area, b.area)).alias("containment"))
-    else:
-        measured = masks.overlaps(runs, likely.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).select("a", "b", "intersection", "iou", "containment")
+        return cells.links(predictions, options.bucket, same, options.iou, options.containment, True, kind, places)
+    likely = cells.links(predictions, options.bucket, same, options.iou, options.containment, False, kind)
+    measured = masks.overlaps(runs, likely.select("a", "b")).select("a", "b", "intersection", "iou", "containment")
     return measured.where((F.col("iou") >= options.iou) | (F.col("containment") >= options.containment))
 
 
+def ties(predictions: DataFrame, options: ReconcileOptions) -> DataFrame:
+    """a, b: fewer links by boxes with the same groups. Their number grows with the predictions, not with all that overlap."""
+    return cells.ties(predictions, options.bucket, ("class_id",) if options.match_classes else (), options.iou, options.containment)
+
+
 def groups(predictions: DataFrame, found: DataFrame) -> DataFrame:
     """predictions with root: the smallest id of its group."""
     tied = connected_components(found, "a", "b")

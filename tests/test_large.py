@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tesserae import session
 from tesserae.llm.common import join_hot
-from tesserae.operators import evaluation, graph, joins, masks, matching, runs
+from tesserae.operators import cells as grid, evaluation, graph, joins, masks, matching, reconcile, runs
+from tesserae.operators.components import connected_components
 from tesserae.plans.catalogue import QUERIES
 from tesserae.sources import annotations, sinks
 
@@ -173,3 +174,36 @@ def test_viewer_index_by_places(spark, tmp_path):
 def test_viewer_edges_writes_no_edges(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(runs, "spatial", None)
     assert QUERIES["viewer_edges"](spark, sf_dir).count() >= 0
+
+
+def tiles(spark, n=160, seed=9):
+    """Boxes of several tiles, some of which lie over borders of buckets and some on equal places."""
+    draw = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x, y, w, h = draw.randrange(90), draw.randrange(90), draw.randrange(1, 30), draw.randrange(1, 30)
+        rows.append((i, draw.randrange(3), draw.randrange(2), float(draw.randrange(9)), w * h, x, y, x + w, y + h))
+    names = "id long, tile int, class_id int, score double, area long, x0 long, y0 long, x1 long, y1 long"
+    linked = {}
+    for a in rows:
+        for b in rows:
+            w, h = min(a[7], b[7]) - max(a[5], b[5]), min(a[8], b[8]) - max(a[6], b[6])
+            if a[0] < b[0] and a[1] != b[1] and a[2] == b[2] and w > 0 and h > 0:
+                one, two = w * h / (a[4] + b[4] - w * h), w * h / min(a[4], b[4])
+                if one >= 0.2 or two >= 0.5:
+                    linked[a[0], b[0]] = (w * h, round(one + 1e-9, 6), round(two + 1e-9, 6))
+    return spark.createDataFrame(rows, names), linked
+
+
+OPTIONS = reconcile.ReconcileOptions(0.2, 0.5, bucket=16)
+
+
+def test_links_by_cells(spark):
+    boxes, linked = tiles(spark)
+    out = reconcile.links(boxes, OPTIONS, places=6)
+    assert "Join" not in plan(out)  # pairs are made as matrices of a cell, not as rows
+    assert {(r.a, r.b): (r.intersection, r.iou, r.containment) for r in out.collect()} == linked and out.count() == len(linked)
+    odd = boxes.selectExpr("concat('k', id) as id", "nullif(tile, 7) as tile", "class_id", "area", "x0 + 0.5D as x0", "y0 + 0.5D as y0", "x1 + 0.5D as x1", "y1 + 0.5D as y1")
+    odd = odd.unionAll(odd.limit(3).selectExpr("id", "null", "class_id", "area", "x0", "y0", "x1", "y1")).unionAll(odd.limit(3).selectExpr("'none'", "tile + 9", "class_id", "null", "null", "y0", "x1", "y1"))
+    found = {tuple(sorted((int(r.a[1:]), int(r.b[1:])))): r.intersection for r in reconcile.links(odd, OPTIONS).collect()}
+    assert found == {k: float(v[0]) for k, v in linked.items()} and reconcile.links(boxes.limit(0), OPTIONS).count() == 0
