@@ -10,6 +10,7 @@ from tesserae.functions.geometry import Box, intersection
 from tesserae.operators import cells, masks
 from tesserae.operators.components import connected_components
 from tesserae.operators.sampling import numbered, representative
+from tesserae.session import dealt
 
 
 @dataclass(frozen=True)
@@ -51,14 +52,14 @@ def ties(predictions: DataFrame, options: ReconcileOptions) -> DataFrame:
 def groups(predictions: DataFrame, found: DataFrame) -> DataFrame:
     """predictions with root: the smallest id of its group."""
     tied = connected_components(found, "a", "b")
-    return predictions.join(tied.select(F.col("node").alias("id"), F.col("component").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return predictions.join(dealt(tied.select(F.col("node").alias("id"), F.col("component").alias("root"))), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def global_cells(grouped: DataFrame) -> DataFrame:
     """One row a group: representative, its place and class, counts, and global_cell_id from 1 by (y, x, class, first member)."""
     best = representative(grouped, "root")
     own = grouped.select(F.col("id").alias("representative"), "class_id", "score", "area", "centroid_x", "centroid_y")
-    return numbered(best.join(own, "representative"), ["centroid_y", "centroid_x", "class_id", "first_member"], "global_cell_id")
+    return numbered(best.join(dealt(own), "representative"), ["centroid_y", "centroid_x", "class_id", "first_member"], "global_cell_id")
 
 
 def cell_sources(grouped: DataFrame, cells: DataFrame) -> DataFrame:

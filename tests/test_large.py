@@ -234,3 +234,24 @@ def test_ties_have_the_groups_of_links(spark):
 def test_components_use_ties(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(reconcile, "links", None)
     assert QUERIES["connected_components"](spark, sf_dir).count() >= 0
+
+
+def members(spark):
+    boxes, linked = tiles(spark)
+    rows = boxes.selectExpr("*", "tile < 2 as owned", "x0 % 10 = 0 as at_edge", "(x0 + x1) / 2 as centroid_x", "(y0 + y1) / 2 as centroid_y")
+    return reconcile.groups(rows, reconcile.ties(rows, OPTIONS)), reached(range(160), linked)
+
+
+def test_global_cells_are_not_broadcast(spark, monkeypatch):
+    grouped, up = members(spark)
+    assert "BroadcastExchange" not in plan(grouped) and {r.id: r.root for r in grouped.collect()} == up
+    seen = []
+    monkeypatch.setattr(reconcile, "numbered", lambda df, *more: seen.append(plan(df)) or numbered(df, *more))
+    cells = reconcile.global_cells(grouped)
+    assert "BroadcastExchange" not in seen[0]
+    assert {r.first_member: r.source_count for r in cells.collect()} == {k: list(up.values()).count(k) for k in set(up.values())}
+
+
+def test_global_ids_use_ties(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(reconcile, "links", None)
+    assert QUERIES["global_ids"](spark, sf_dir).count() >= 0
