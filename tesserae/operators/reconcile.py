@@ -10,7 +10,7 @@ from tesserae.functions.geometry import Box, intersection
 from tesserae.operators import cells, masks
 from tesserae.operators.components import connected_components
 from tesserae.operators.sampling import numbered, representative
-from tesserae.session import dealt
+from tesserae.session import dealt, small
 
 
 @dataclass(frozen=True)
@@ -63,8 +63,8 @@ def global_cells(grouped: DataFrame) -> DataFrame:
 
 
 def cell_sources(grouped: DataFrame, cells: DataFrame) -> DataFrame:
-    """global_cell_id, prediction_id, is_representative."""
-    rows = grouped.select("id", "root").join(cells.select("root", "global_cell_id", "representative"), "root")
+    """global_cell_id, prediction_id, is_representative. One group may hold most predictions, so few cells travel to them."""
+    rows = grouped.select("id", "root").join(small(cells.select("root", "global_cell_id", "representative")), "root")
     return rows.select("global_cell_id", F.col("id").alias("prediction_id"), (F.col("id") == F.col("representative")).alias("is_representative"))
 
 

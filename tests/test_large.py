@@ -255,3 +255,13 @@ def test_global_cells_are_not_broadcast(spark, monkeypatch):
 def test_global_ids_use_ties(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(reconcile, "links", None)
     assert QUERIES["global_ids"](spark, sf_dir).count() >= 0
+
+
+def test_sources_of_a_large_group(spark, sf_dir, monkeypatch):
+    grouped, up = members(spark)
+    cells = reconcile.global_cells(grouped)
+    assert {(r.prediction_id, r.is_representative) for r in reconcile.cell_sources(grouped, cells).collect()} == {(i, i in {c.representative for c in cells.collect()}) for i in up}
+    monkeypatch.setattr(session, "at_most", lambda df, rows=0: False)
+    assert plan(reconcile.cell_sources(grouped, cells)).count("BroadcastHashJoin") == 1  # where partitions' numbers begin
+    monkeypatch.setattr(reconcile, "links", None)
+    assert QUERIES["cell_sources"](spark, sf_dir).count() >= 0
