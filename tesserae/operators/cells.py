@@ -187,3 +187,45 @@ def ties(predictions: DataFrame, side: float, same: tuple[str, ...], iou: float,
 
     kind = dict(predictions.dtypes)["id"]
     return by_cells(_whole(predictions, same), side, same, kernel, f"a {kind}, b {kind}")
+
+
+def _decided(box: np.ndarray, inner: np.ndarray, overlap: Callable[[np.ndarray, np.ndarray], np.ndarray], threshold: float) -> np.ndarray:
+    """States of boxes, best first: 2 stays, 1 goes, 0 not known, as that hangs on a box that isn't `inner`: others may be against it.
+
+    open: nothing that is known or unknown is against these so far; doubt: something unknown is, and what these are against is in doubt too."""
+    state, doubt, open_ = np.zeros(len(box), np.int64), np.empty(0, np.int64), np.arange(len(box))
+    while len(open_):
+        best = open_[0]
+        if len(doubt) and doubt[0] < best:
+            few, doubt = np.split(doubt, [min(BLOCK, int(np.searchsorted(doubt, best)))])
+            hit = ((overlap(box[few], box[open_]) > threshold) & (few[:, None] < open_)).any(axis=0)
+            doubt, open_ = np.sort(np.concatenate([doubt, open_[hit]])), open_[~hit]
+            continue
+        open_ = open_[1:]
+        if not inner[best]:
+            doubt = np.concatenate([[best], doubt])
+            continue
+        state[best] = 2
+        for rest in (open_, doubt):
+            state[rest[overlap(box[best : best + 1], box[rest])[0] > threshold]] = 1
+        open_, doubt = open_[state[open_] == 0], doubt[state[doubt] == 0]
+    return state
+
+
+def suppressed(boxes: DataFrame, side: float, by: tuple[str, ...], threshold: float, shift: tuple[float, float], overlap: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """boxes (id, score, box, by) with _cells and state: 2 stays, 1 goes, 0 not known yet, for each of its cells. A box of one cell meets all
+    that overlap it there; what goes there is left out. What isn't known hangs on boxes that are in more cells than one."""
+
+    def kernel(key: tuple, rows: pa.Table) -> Iterator[pa.Table]:
+        score = rows.column("score").to_numpy()
+        score = score.astype(np.float64) if score.dtype == object else score
+        order = np.lexsort((np.unique(rows.column("id").to_numpy(), return_inverse=True)[1], -score))
+        rows = rows.take(pa.array(order))
+        inner = rows.column("_cells").to_numpy() == 1
+        state = _decided(np.column_stack(_numbers(rows, *BOX)), inner, overlap, threshold)
+        out = rows.select(names).append_column("state", pa.array(state))
+        yield out.filter(pa.array(~inner | (state != 1)))
+
+    names = [*boxes.columns, "_cells"]
+    fields = ", ".join(f"`{c}` {t}" for c, t in boxes.dtypes)
+    return by_cells(boxes, side, by, kernel, f"{fields}, _cells long, state long", shift)

@@ -265,3 +265,24 @@ def test_sources_of_a_large_group(spark, sf_dir, monkeypatch):
     assert plan(reconcile.cell_sources(grouped, cells)).count("BroadcastHashJoin") == 1  # where partitions' numbers begin
     monkeypatch.setattr(reconcile, "links", None)
     assert QUERIES["cell_sources"](spark, sf_dir).count() >= 0
+
+
+def test_wide_nms_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(matching, "ONE_TASK", 0)  # to the end by cells
+    for seed, bucket in ((1, 4), (2, 8), (3, 64)):
+        draw = random.Random(seed)
+        rows = [(f"k{i}", i % 2, draw.choice([0.5, 1.0, 2.5, None, float("nan")]) if i % 9 else float(i), *(p := (draw.randrange(60), draw.randrange(60))), p[0] + draw.randrange(1, 50), p[1] + draw.randrange(1, 12)) for i in range(220)]
+        names = "id string, class_id int, score double, x0 int, y0 int, x1 int, y1 int"
+        boxes = spark.createDataFrame(rows, names)
+        got = matching.wide_nms(boxes.unionAll(spark.createDataFrame([("n", None, 9.0, 0, 0, 60, 60), ("m", 1, 9.0, None, 0, 60, 60)], names)), 0.1, ["class_id"], bucket)
+        assert sorted(r.id for r in got.collect()) == sorted(["m", "n", *[r.id for r in matching.nms(boxes.na.fill(-1.0), 0.1, ["class_id"]).collect()]])
+        assert got.schema == boxes.schema
+
+
+def test_wide_nms_has_no_task_of_all(spark, monkeypatch):
+    """A chain in which each box hangs on the one before it, over many cells."""
+    groups = []
+    monkeypatch.setattr(matching, "ONE_TASK", 30)
+    monkeypatch.setattr(matching, "nms", lambda df, *more, f=matching.nms: groups.append(df.count()) or f(df, *more))
+    boxes = spark.range(400).selectExpr("id", "0 as class_id", "double(-id) as score", "id * 5 as x0", "0L as y0", "id * 5 + 9 as x1", "9L as y1")
+    assert sorted(r.id for r in matching.wide_nms(boxes, 0.2, ["class_id"], 8).collect()) == list(range(0, 400, 2)) and max(groups) <= 30
