@@ -68,9 +68,11 @@ def overlaps(runs: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.withColumn("iou", F.coalesce(F.try_divide(i, F.col("area_a") + F.col("area_b") - i), F.lit(0.0))).withColumn("containment", F.coalesce(F.try_divide(i, F.least("area_a", "area_b")), F.lit(0.0)))
 
 
-def union(runs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Runs of the union of each group's masks; groups: id, group. Overlapping runs of a row melt by a running maximum."""
-    rows = runs.join(groups, "id").select("group", "y", "x0", "x1")
+def union(runs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Runs of the union of each group's masks; groups: id, group, or None if runs have their group as a column. Overlapping runs of a row melt
+    by a running maximum; of those that begin on one pixel only the longest travels to it."""
+    held = runs if groups is None else runs.join(dealt(groups), "id")
+    rows = held.groupBy("group", "y", "x0").agg(F.max("x1").alias("x1"))
     w = Window.partitionBy("group", "y").orderBy("x0", "x1")
     fresh = F.col("x0") > F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("_new", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("_k", F.sum("_new").over(w))

@@ -286,3 +286,15 @@ def test_wide_nms_has_no_task_of_all(spark, monkeypatch):
     monkeypatch.setattr(matching, "nms", lambda df, *more, f=matching.nms: groups.append(df.count()) or f(df, *more))
     boxes = spark.range(400).selectExpr("id", "0 as class_id", "double(-id) as score", "id * 5 as x0", "0L as y0", "id * 5 + 9 as x1", "9L as y1")
     assert sorted(r.id for r in matching.wide_nms(boxes, 0.2, ["class_id"], 8).collect()) == list(range(0, 400, 2)) and max(groups) <= 30
+
+
+def test_union_is_not_broadcast(spark, sf_dir):
+    draw = random.Random(4)
+    runs = [(i, draw.randrange(3), x := draw.randrange(30), x + draw.randrange(1, 9)) for i in range(120)]
+    pixels = {(i % 2, y, x) for i, y, lo, hi in runs for x in range(lo, hi)}
+    df = spark.createDataFrame(runs, "id long, y long, x0 long, x1 long")
+    for out in (masks.union(df, spark.range(120).selectExpr("id", "id % 2 as group")), masks.union(df.selectExpr("id % 2 as group", "y", "x0", "x1"))):
+        assert "BroadcastExchange" not in plan(out)
+        rows = out.collect()
+        assert {(r.id, r.y, x) for r in rows for x in range(r.x0, r.x1)} == pixels and sum(r.x1 - r.x0 for r in rows) == len(pixels)
+    assert "BroadcastExchange" not in plan(QUERIES["mask_union"](spark, sf_dir))
