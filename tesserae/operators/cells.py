@@ -159,7 +159,7 @@ def ties(predictions: DataFrame, side: float, same: tuple[str, ...], iou: float,
         n = len(s.x0)
         ids = rows.column("id").combine_chunks().take(pa.array(s.order))
         part, rest = np.full(n, -1), np.arange(n)  # rest: not reached yet, by y0
-        tall = (s.y1 - s.y0).max() if n else 0.0
+        tall = np.nan_to_num(s.y1 - s.y0).max()
         for start in range(n):
             if part[start] >= 0:
                 continue
@@ -180,7 +180,7 @@ def ties(predictions: DataFrame, side: float, same: tuple[str, ...], iou: float,
         np.minimum.at(first, part, s.rank)
         at = np.zeros(n, np.int64)
         at[s.rank] = np.arange(n)
-        root = at[first[part]] if n else part
+        root = at[first[part]]
         star = s.rank != s.rank[root]
         if star.any():
             yield pa.table({"a": ids.take(pa.array(root[star])), "b": ids.filter(pa.array(star))})

@@ -226,6 +226,9 @@ def test_ties_have_the_groups_of_links(spark):
         up = reached(range(260), linked)
         assert "Join" not in plan(out)
         assert {r.node: r.component for r in connected_components(out, "a", "b").collect()} == {i: up[i] for e in linked for i in e}
+    nowhere = boxes.limit(1).selectExpr("id + 999 as id", "tile", "class_id", "area", "x0", "y0", "x1", "double('nan') as y1")
+    odd = reconcile.ties(boxes.select(nowhere.columns).unionAll(nowhere), OPTIONS)
+    assert {r.node: r.component for r in connected_components(odd, "a", "b").collect()} == {i: up[i] for e in linked for i in e}
     # as many as boxes of cells at most, though all are linked with all
     same = spark.range(200).selectExpr("id", "id as tile", "0 as class_id", "100L as area", "0L as x0", "0L as y0", "10L as x1", "10L as y1")
     assert reconcile.ties(same, OPTIONS).count() == 199 and reconcile.links(same, OPTIONS).count() == 19900
