@@ -175,10 +175,12 @@ class Lists:
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets], np.int64)
         every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        order = np.lexsort((owner, every))
-        self.owner = owner[order]
-        self.keys, self.first = np.unique(every[order], return_index=True)
+        order = np.argsort(every, kind="stable")  # of equal shingles that of the lower set first
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        every = every[order]
+        del order
+        self.first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+        self.keys = every[self.first]
         self.last = np.append(self.first[1:], len(every))
 
     def search(self, s: np.ndarray, threshold: tuple[int, int]) -> list[int]:
@@ -212,7 +214,7 @@ class Lists:
             enough.append(seen)
             counts.append(size)
         # look these up in the long lists while they can still reach their need
-        d, times = np.array(enough, np.int64), np.array(counts, np.int64)
+        d, times = np.array(enough, np.int32), np.array(counts, np.int64)
         fit = (self.sizes[d] >= low) & (self.sizes[d] <= high)
         d, times = d[fit], times[fit]
         need = needed(len(s), self.sizes[d], threshold)
@@ -273,12 +275,18 @@ def connect(sets: list[np.ndarray], threshold: tuple[int, int], known: Union | N
 
 
 def visit(sets: list[np.ndarray], guests: list[int], threshold: tuple[int, int], known: Union) -> Union:
-    """Groups of sets once each guest has been searched, or until all are one."""
-    lists, apart = Lists(sets), len({known.root(i) for i in range(len(sets))})
+    """Groups of sets once each guest has been searched among those that aren't guests, or until all are one.
+
+    A guest meets another one where that is at home, so lists of the hosts alone, of which there are fewer, lose no link.
+    """
+    away = set(guests)
+    hosts = [i for i in range(len(sets)) if i not in away]
+    lists, apart = Lists([sets[i] for i in hosts]), len({known.root(i) for i in range(len(sets))})
     for x in guests:
         if apart == 1:
             break
-        for y in lists.search(sets[x], threshold):
+        for k in lists.search(sets[x], threshold):
+            y = hosts[k]
             apart -= known.root(x) != known.root(y)
             known.join(x, y)
     return known

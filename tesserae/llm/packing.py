@@ -30,8 +30,9 @@ from tesserae.llm.common import at_most, ready, text_of, tidied, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 END = struct.pack("<I", 0)
-#: Units whose ids a worker keeps during a task, about as many as 25 MB of text hold. One takes some 200 bytes.
-WORDS_KEPT = 450_000
+#: Units whose ids a worker keeps during a task, at some 150 bytes each. Frequent ones are soon known again: 45 MB of text took as long
+#: with 450,000.
+WORDS_KEPT = 100_000
 #: Fixed value: what the tokenizer cuts lower-case Latin-1 text into.
 UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\t-\\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 #: Words, marks, digits, white space and letters on which a tokenizer shows whether ids may be kept by word.

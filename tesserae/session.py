@@ -77,6 +77,8 @@ def small(df: DataFrame) -> DataFrame:
 
 #: Rows of an Arrow batch at most: texts and masks are long, and a batch is held several times between Spark and Python.
 BATCH_ROWS = 1_000
+#: Bytes after which an Arrow batch ends before that.
+BATCH_BYTES = 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -84,6 +86,9 @@ def ready(spark: SparkSession) -> SparkSession:
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(size)) <= BATCH_ROWS:
         spark.conf.set(size, str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -143,5 +143,24 @@ def test_visits_find_links_between_slices(spark, monkeypatch):
     assert calls and real is nj.visit
 
 
+def test_guests_are_searched_among_hosts(monkeypatch):
+    rnd, made = random.Random(5), []
+
+    class Seen(nj.Lists):
+        def __init__(self, sets):
+            super().__init__(sets)
+            made.append((len(sets), self.owner.itemsize))
+
+    monkeypatch.setattr(nj, "Lists", Seen)
+    base = [{rnd.getrandbits(64) for _ in range(30)} for _ in range(4)]
+    sets = [as_set(base[k % 4] | {rnd.getrandbits(64)}) for k in range(40)]
+    sets = sets[:5] + [as_set({1, 2, 3})] + sets[5:]
+    guests = list(range(6, len(sets)))
+    got = nj.visit(sets, guests, (4, 5), nj.Union(len(sets)))
+    want = nj.connect(sets, (4, 5))
+    assert all((got.root(i) == got.root(j)) == (want.root(i) == want.root(j)) for i in range(len(sets)) for j in range(i))
+    assert made[0] == (6, 4)
+
+
 def test_nothing(nothing):
     assert nj.link_components(nothing).count() == nj.deduplicate(nothing).count() == 0

@@ -133,6 +133,16 @@ def test_words_against_the_tokenizer():
         assert t(text) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_few_ids_are_kept():
+    rnd = random.Random(4)
+    t = packing.Tokens(word_tokenizer())
+    for _ in range(20):
+        text = " ".join("".join(rnd.choices("abcdefghij", k=9)) for _ in range(10_000))
+        ids = t(text)
+        assert len(t.ids) <= 120_010
+    assert ids == t._whole(text)
+
+
 def test_special_strings_and_other_files():
     from tokenizers import Tokenizer
 

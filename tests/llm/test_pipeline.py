@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from tesserae.session import ready
 from tests.llm.test_decontam import plain as contaminated
 from tests.llm.test_ngram_join import plain as groups
 from tests.llm.test_pii import spans
@@ -88,3 +90,13 @@ def test_empty_documents(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_batches_end_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    texts = ready(spark).range(0, 400, 1, 1).selectExpr("repeat('x', 100000) as text")
+    got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 40_000_000 and max(got) < 5_000_000
