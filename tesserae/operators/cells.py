@@ -29,7 +29,7 @@ def by_cells(boxes: DataFrame, side: float, same: tuple[str, ...], kernel: Calla
     dealt = held.repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in _groups(batches, keys):
+        for key, rows in in_turn(batches, keys):
             for out in kernel(key, rows):
                 yield from out.to_batches(max_chunksize=OUT_ROWS)
 
@@ -37,7 +37,7 @@ def by_cells(boxes: DataFrame, side: float, same: tuple[str, ...], kernel: Calla
     return dealt.mapInArrow(run, schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+def in_turn(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Rows of equal keys, which follow one another."""
     held, last = [], None
     for b in batches:

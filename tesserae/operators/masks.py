@@ -46,6 +46,76 @@ def pack(bits: np.ndarray) -> bytes:
     return np.packbits(bits.astype(bool).ravel(), bitorder="little").tobytes()
 
 
+def measured(archives: DataFrame) -> DataFrame:
+    """Bit-packed masks (x, y, width, height, data, and other columns, which stay) with the area and the corner (x0, y0) of their pixels, read
+    from the bits as they stand; masks without a pixel are left out."""
+    names = [c for c in archives.columns if c not in ("x", "y", "width", "height", "data")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x, y, w, h, data in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                bits = np.unpackbits(np.frombuffer(data, np.uint8), count=w * h, bitorder="little").reshape(h, w)
+                rows = np.count_nonzero(bits, axis=1)
+                n = int(rows.sum())
+                out.append((n, x + int(bits.any(axis=0).argmax()), y + int((rows > 0).argmax())) if n else (0, 0, 0))
+            found = np.array(out, np.int64).reshape(-1, 3)
+            own = [b.column(k) for k in range(5, b.num_columns)] + [pa.array(c) for c in found.T]
+            yield pa.RecordBatch.from_arrays(own, [*names, "area", "x0", "y0"]).filter(pa.array(found[:, 0] > 0))
+
+    ready(archives.sparkSession)
+    fields = "".join(f"`{c}` {dict(archives.dtypes)[c]}, " for c in names)
+    return archives.select("x", "y", "width", "height", "data", *names).mapInArrow(run, f"{fields}area long, x0 long, y0 long")
+
+
+#: Bits that packed() holds unpacked at a time, unless one mask has more.
+BITS = 1 << 22
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """rows with a column mask (a list of y, x0, x1: the runs of one mask), in its place area, box, centroid, as statistics() has them, width,
+    height and data, the bits that unpack() reads. A mask is packed where it is, and those without a pixel are left out."""
+    names = [c for c in rows.columns if c != "mask"]
+    made = ["area", *(box := ["x0", "y0", "x1", "y1"]), "centroid_x", "centroid_y", "width", "height", "data"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column(0)
+            y, x0, x1 = (held.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "x0", "x1"))
+            k = np.repeat(np.arange(b.num_rows), [n or 0 for n in held.value_lengths().to_pylist()])
+            at, first, k = np.unique(k, return_index=True, return_inverse=True)  # masks that have pixels, and where their runs begin
+            if not len(at):
+                continue
+            n = x1 - x0
+            area, low, high, top, bottom = (f.reduceat(v, first) for f, v in ((np.add, n), (np.minimum, x0), (np.maximum, x1), (np.minimum, y), (np.maximum, y)))
+            cx, cy = (np.add.reduceat(v, first) / area for v in (n * (x0 + x1 - 1) / 2, (n * y).astype(float)))
+            width, height = high - low, bottom + 1 - top
+            octets = -(-width * height // 8)
+            place = (y - top[k]) * width[k] + x0 - low[k]
+            ends, cuts, lo = np.cumsum(octets), [], 0
+            while lo < len(at):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BITS // 8, "right")))
+                cuts.append((lo, hi))
+                lo = hi
+            for lo, hi in cuts:
+                here = slice(first[lo], first[hi] if hi < len(at) else len(k))
+                base = np.cumsum([0, *octets[lo:hi]])
+                start = place[here] + 8 * base[k[here] - lo]
+                change = np.zeros(8 * base[-1] + 1, np.int32)
+                np.add.at(change, start, 1)
+                np.add.at(change, start + n[here], -1)
+                bits = np.packbits(np.cumsum(change[:-1]) > 0, bitorder="little")
+                data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(bits)])
+                values = [pa.array(c[lo:hi]) for c in (area, low, top, high, bottom + 1, cx, cy)] + [pa.array(c[lo:hi].astype(np.int32)) for c in (width, height)]
+                own = b.take(pa.array(at[lo:hi]))
+                yield pa.RecordBatch.from_arrays([own.column(i) for i in range(1, b.num_columns)] + values + [data], [*names, *made])
+
+    ready(rows.sparkSession)
+    fields = "".join(f"`{c}` {dict(rows.dtypes)[c]}, " for c in names)
+    full = F.filter("mask", lambda r: (r["x1"] > r["x0"]) & r["y"].isNotNull())
+    return rows.select(full.alias("mask"), *names).mapInArrow(run, f"{fields}area long, {', '.join(f'{c} long' for c in box)}, centroid_x double, centroid_y double, width int, height int, data binary")
+
+
 def statistics(runs: DataFrame) -> DataFrame:
     """id, area, box (x0 .. y1) and centroid (mean of pixel places), from runs in closed form."""
     n = F.col("x1") - F.col("x0")

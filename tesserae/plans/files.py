@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tesserae.operators import masks, runs
 from tesserae.plans.registry import big, query, r, table
-from tesserae.plans.spatial import BOXES, box_runs, boxes, label_pixels, points
-from tesserae.session import dealt, fresh_dir
+from tesserae.plans.spatial import BOXES, box_mask, boxes, label_pixels, points
+from tesserae.session import fresh_dir
 from tesserae.sources import annotations, images, sinks, tiles
 
 IMAGE = "px AS (SELECT o_orderkey // 100 AS y, o_orderkey % 100 AS x, o_custkey % 7 AS label, o_custkey % 3 AS image FROM orders)"
@@ -96,25 +96,13 @@ RUNS = "runs AS (SELECT id, class_id, score, y0, y1, x0, x1, unnest(range(y0, y1
 @query(f"WITH {BOXES}, {RUNS} SELECT 't' || id // 50 AS tile, row_number() OVER (PARTITION BY id // 50 ORDER BY id) - 1 AS local_index, class_id, sum(x1 - x0)::BIGINT AS area, min(x0) AS x0, min(y) AS y0 FROM shaped GROUP BY id, class_id")
 def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks packed into archives, one a tile, and read back: areas come from the bits."""
-    own, shapes = boxes(spark, sf_dir), box_runs(spark, sf_dir)
-    boxed = masks.statistics(shapes).withColumnRenamed("area", "_a")
-    # bits of the box row by row: spaces and pixels of each row as text, packed eight to a byte, the lowest bit first
-    rows = shapes.join(dealt(boxed.select("id", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"))), "id")
-    line = F.concat(F.repeat(F.lit("0"), (F.col("x0") - F.col("bx0")).cast("int")), F.repeat(F.lit("1"), (F.col("x1") - F.col("x0")).cast("int")), F.repeat(F.lit("0"), (F.col("bx1") - F.col("x1")).cast("int")))
-    bits = rows.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", line.alias("l")))), lambda s: s["l"]), "").alias("bits"))
-    padded = F.rpad("bits", (F.ceil(F.length("bits") / 8) * 8).cast("int"), "0")
-    octets = F.transform(F.sequence(F.lit(0), (F.length(padded) / 8).cast("int") - 1), lambda i: F.lpad(F.conv(F.reverse(F.substring(padded, i * 8 + 1, F.lit(8))), 2, 16), 2, "0"))
-    data = bits.select("id", F.unhex(F.array_join(octets, "")).alias("data"))
-    rows = own.select("id", "class_id", "score").join(dealt(boxed), "id").join(dealt(data), "id").select(
-        F.concat(F.lit("t"), F.floor(F.col("id") / 50).cast("string")).alias("tile_id"), F.col("id").alias("local_index"), "score", "class_id", F.col("_a").alias("area"), "x0", "y0", "x1", "y1", "centroid_x", "centroid_y",
-        F.lit(True).alias("owned_by_core"), F.lit(False).alias("touches_read_edge"), (F.col("x1") - F.col("x0")).cast("int").alias("width"), (F.col("y1") - F.col("y0")).cast("int").alias("height"), "data",
-    )
+    # a file of boxes is small for the work that they are, so they are dealt before each becomes a list of runs
+    own = boxes(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    shapes = own.select(F.concat(F.lit("t"), F.floor(F.col("id") / 50).cast("string")).alias("tile_id"), F.col("id").alias("local_index"), "score", "class_id", F.lit(True).alias("owned_by_core"), F.lit(False).alias("touches_read_edge"), box_mask().alias("mask"))
     folder = fresh_dir(spark, "npz")
-    sinks.write_archives(rows, folder).count()
-    found = images.read_archives(spark, f"{folder}/*.npz")
-    back = masks.unpack(found.select(F.concat_ws("/", "tile", F.col("local_index").cast("string")).alias("id"), F.col("x0").cast("int").alias("x"), F.col("y0").cast("int").alias("y"), "width", "height", "data"))
-    area = masks.statistics(back).select("id", "area", "x0", "y0")
-    return found.select("tile", "local_index", "class_id", F.concat_ws("/", "tile", F.col("local_index").cast("string")).alias("id")).join(dealt(area), "id").select("tile", "local_index", "class_id", big("area").alias("area"), big("x0").alias("x0"), big("y0").alias("y0"))
+    made = sinks.write_archives(masks.packed(shapes), folder)
+    found = images.read_archives(spark, folder, names=made.select(F.concat("tile_id", F.lit(".npz"))))
+    return masks.measured(found.select("tile", "local_index", "class_id", F.col("x0").alias("x"), F.col("y0").alias("y"), "width", "height", "data"))
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier")

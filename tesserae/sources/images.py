@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tesserae.functions.geometry import Box
@@ -159,27 +160,48 @@ def read_labels(chunks: DataFrame, region: Box, grid: DataFrame) -> DataFrame:
     return grid.join(own, ["y", "x"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
-def read_archives(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
-    """Predictions of .npz tile archives (struct of arrays with ragged, packed masks); another schema version is an error."""
+def read_archives(spark: SparkSession, path: str, version: int = 1, names: DataFrame | None = None) -> DataFrame:
+    """Predictions of .npz tile archives (struct of arrays with ragged, packed masks); another schema version is an error.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names: of the files in the folder `path`, as a column of strings. Each is then opened by the task that has its name, and the driver lists
+    none of them."""
+    schema = pa.schema([("tile", pa.string()), ("local_index", pa.int64()), ("class_id", pa.int32()), ("score", pa.float64()), *[(c, pa.int64()) for c in ("area", "x0", "y0", "x1", "y1")], ("centroid_x", pa.float64()), ("centroid_y", pa.float64()), ("owned", pa.bool_()), ("at_edge", pa.bool_()), ("width", pa.int32()), ("height", pa.int32()), ("data", pa.binary())])
+
+    def rows(content: bytes) -> pa.RecordBatch:
+        with np.load(io.BytesIO(content), allow_pickle=False) as z:
+            if int(z["schema_version"][0]) != version:
+                raise ValueError("the archive has another schema version")
+            scores, off, data = z["scores"], z["mask_offsets"], np.ascontiguousarray(z["mask_data"], np.uint8)
+            n = len(scores)
+            box, centre = z["global_boxes"].reshape(n, 4), z["global_centroids"].reshape(n, 2)
+            held = [np.full(n, str(z["tile_id"]), object), np.arange(n), z["class_ids"], scores, z["areas"], *box.T, *centre.T, z["owned_by_core"], z["touches_read_edge"], z["mask_widths"], z["mask_heights"]]
+        kinds = ["O", "i8", "i4", "f8", *["i8"] * 5, "f8", "f8", "?", "?", "i4", "i4"]
+        columns = [pa.array(np.ascontiguousarray(a, k), t) for a, k, t in zip(held, kinds, schema.types, strict=False)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([data[off[k] : off[k + 1]].tobytes() for k in range(n)], pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                yield rows(content.as_py())
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(base)
         for b in batches:
-            for content in b["content"]:
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    if int(z["schema_version"][0]) != version:
-                        raise ValueError("the archive has another schema version")
-                    n, off, data = len(z["scores"]), z["mask_offsets"], z["mask_data"]
-                    box = z["global_boxes"].reshape(n, 4)
-                    yield pd.DataFrame({
-                        "tile": str(z["tile_id"]), "local_index": np.arange(n), "class_id": z["class_ids"], "score": z["scores"].astype(float), "area": z["areas"],
-                        "x0": box[:, 0], "y0": box[:, 1], "x1": box[:, 2], "y1": box[:, 3], "centroid_x": z["global_centroids"].reshape(n, 2)[:, 0], "centroid_y": z["global_centroids"].reshape(n, 2)[:, 1],
-                        "owned": z["owned_by_core"].astype(bool), "at_edge": z["touches_read_edge"].astype(bool), "width": z["mask_widths"], "height": z["mask_heights"],
-                        "data": [data[off[k] : off[k + 1]].tobytes() for k in range(n)],
-                    })
+            for name in b.column(0).to_pylist():
+                with files.open_input_stream(f"{root}/{name}") as f:
+                    yield rows(f.read())
 
     ready(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "tile string, local_index long, class_id int, score double, area long, x0 long, y0 long, x1 long, y1 long, centroid_x double, centroid_y double, owned boolean, at_edge boolean, width int, height int, data binary")
+    fields = "tile string, local_index long, class_id int, score double, area long, x0 long, y0 long, x1 long, y1 long, centroid_x double, centroid_y double, owned boolean, at_edge boolean, width int, height int, data binary"
+    if names is None:
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, fields)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = there.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+    # names are few bytes for the work that they are
+    return names.toDF("name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(opened, fields)
 
 
 def read_features(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tesserae.operators.cells import in_turn
 from tesserae.operators.sampling import numbered
 from tesserae.session import at_most, ready, written
 
@@ -154,33 +155,35 @@ def write_archives(instances: DataFrame, folder: str, compressed: bool = True) -
 
     An archive is written under the attempt's name and then takes its own, so one that is there is whole. A tile is one task's: it holds what
     one read of an image found."""
-    from tesserae.session import ready
-
     fields = {"scores": ("score", np.float32), "class_ids": ("class_id", np.int32), "areas": ("area", np.int64), "owned_by_core": ("owned_by_core", bool), "touches_read_edge": ("touches_read_edge", bool), "mask_widths": ("width", np.int32), "mask_heights": ("height", np.int32)}
     there, system = _at(instances.sparkSession, folder)
     system.mkdirs(there)
     base = there.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        own = pdf.sort_values("local_index")
-        data = [np.frombuffer(d, np.uint8) for d in own["data"]]
-        held = {name: own[c].to_numpy().astype(kind) for name, (c, kind) in fields.items()}
-        held |= {"schema_version": np.array([1], np.int16), "tile_id": np.array(str(key[0])), "global_boxes": own[["x0", "y0", "x1", "y1"]].to_numpy(np.int64), "global_centroids": own[["centroid_x", "centroid_y"]].to_numpy(float), "mask_offsets": np.cumsum([0, *map(len, data)]), "mask_data": np.concatenate(data)}
-        packed = io.BytesIO()
-        (np.savez_compressed if compressed else np.savez)(packed, **held)
         files, root = fs.FileSystem.from_uri(base)
-        name = f"{root}/{key[0]}.npz"
-        part = f"{name}.{TaskContext.get().taskAttemptId()}.part"
-        with files.open_output_stream(part) as out:
-            out.write(packed.getvalue())
-        files.move(part, name)
-        return pd.DataFrame({"tile_id": [key[0]], "path": [name], "n": [len(own)]})
-
-    ready(instances.sparkSession)
-    return written(instances.groupBy("tile_id").applyInPandas(run, f"tile_id {dict(instances.dtypes)['tile_id']}, path string, n long"), "archives")
+        for key, own in in_turn(batches, ["tile_id"]):
+            column = lambda c, kind: own.column(c).to_numpy().astype(kind)  # noqa: B023, E731
+            data = own.column("data").to_pylist()
+            held = {name: column(c, kind) for name, (c, kind) in fields.items()}
+            held |= {"schema_version": np.array([1], np.int16), "tile_id": np.array(str(key[0])), "global_boxes": np.column_stack([column(c, np.int64) for c in ("x0", "y0", "x1", "y1")]), "global_centroids": np.column_stack([column(c, float) for c in ("centroid_x", "centroid_y")]), "mask_offsets": np.cumsum([0, *map(len, data)]), "mask_data": np.frombuffer(b"".join(data), np.uint8)}
+            packed = io.BytesIO()
+            (np.savez_compressed if compressed else np.savez)(packed, **held)
+            name = f"{root}/{key[0]}.npz"
+            part = f"{name}.{TaskContext.get().taskAttemptId()}.part"
+            with files.open_output_stream(part) as out:
+                out.write(packed.getvalue())
+            files.move(part, name)
+            tile = own.column("tile_id").slice(0, 1).combine_chunks()
+            yield pa.RecordBatch.from_arrays([tile, pa.array([name]), pa.array([own.num_rows])], ["tile_id", "path", "n"])
+
+    spark = ready(instances.sparkSession)
+    # an exchange of a given number of parts: tiles are small for the work that they are
+    dealt = instances.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tile_id").sortWithinPartitions("tile_id", "local_index")
+    return written(dealt.mapInArrow(run, f"tile_id {dict(instances.dtypes)['tile_id']}, path string, n long"), "archives")
 
 
 def write_tiffs(pixels: DataFrame, folder: str, height: int, width: int, dtype: str = "uint16", key: str = "image") -> DataFrame:

@@ -301,3 +301,35 @@ def test_union_is_not_broadcast(spark, sf_dir):
         rows = out.collect()
         assert {(r.id, r.y, x) for r in rows for x in range(r.x0, r.x1)} == pixels and sum(r.x1 - r.x0 for r in rows) == len(pixels)
     assert "BroadcastExchange" not in plan(QUERIES["mask_union"](spark, sf_dir))
+
+
+def test_masks_are_packed_in_place(spark, monkeypatch):
+    """As runs say, by the pixel; a few bits at a time; masks of no pixel are left out."""
+    draw = random.Random(8)
+    lists = {f"m{i}": [(y, x := draw.randrange(5) + k * 20, x + draw.randrange(18)) for y in range(draw.randrange(-3, 3), 6) if draw.random() < 0.8 for k in range(2)] for i in range(40)} | {"none": [], "null": None}
+    pixels = {i: {(y, x) for y, lo, hi in v or () for x in range(lo, hi)} for i, v in lists.items()}
+    df = spark.createDataFrame(list(lists.items()), "id string, mask array<struct<y: long, x0: long, x1: long>>")
+    for bits in (1 << 22, 100):
+        monkeypatch.setattr(masks, "BITS", bits)
+        out = masks.packed(df)
+        assert "Exchange" not in plan(out)
+        back = masks.unpack(out.select("id", F.col("x0").cast("int").alias("x"), F.col("y0").cast("int").alias("y"), "width", "height", "data"))
+        got = {}
+        for row in back.collect():
+            got.setdefault(row.id, set()).update((row.y, x) for x in range(row.x0, row.x1))
+        assert got == {i: p for i, p in pixels.items() if p}
+        want = masks.statistics(df.select("id", F.explode("mask").alias("m")).select("id", "m.*").where("x1 > x0")).collect()
+        assert sorted(tuple(row) for row in want) == sorted(tuple(row) for row in out.select("id", "area", "x0", "y0", "x1", "y1", "centroid_x", "centroid_y").collect())
+    wide = out.select("id", (F.col("x0") - 1).alias("x"), (F.col("y0") + 5).alias("y"), "width", "height", "data")
+    assert {r.id: (r.area, r.x0, r.y0) for r in masks.measured(wide).collect()} == {i: (len(p), min(x for _, x in p) - 1, min(y for y, _ in p) + 5) for i, p in pixels.items() if p}
+    corner = spark.createDataFrame([(1, 10, 20, 3, 2, bytearray(b"\x30")), (2, 0, 0, 3, 2, bytearray(b"\x00"))], "id int, x int, y int, width int, height int, data binary")
+    assert [tuple(r) for r in masks.measured(corner).collect()] == [(1, 2, 11, 21)]
+
+
+def test_archives_are_read_by_name(spark, sf_dir, tmp_path, monkeypatch):
+    """Masks travel once, to their tile's task; files aren't listed by the driver, and no runs are made of what they hold."""
+    for name in ("unpack", "statistics"):
+        monkeypatch.setattr(masks, name, None)
+    out = QUERIES["archive_round_trip"](spark, sf_dir)
+    text = plan(out)
+    assert "Join" not in text and "binaryFile" not in text.lower() and out.count() == 200
