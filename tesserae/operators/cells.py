@@ -15,6 +15,8 @@ from tesserae.session import ready
 BOX = ("x0", "y0", "x1", "y1")
 #: Boxes that meet all others of a cell at a time, and rows of a batch of results.
 BLOCK, OUT_ROWS = 64, 50_000
+#: Lists of a mask's runs; entries of a matrix of all masks of a cell at most, and rows of a band where they are more.
+RUN, DENSE, BAND = ("mask_y", "mask_x0", "mask_x1"), 1 << 22, 128
 
 
 def by_cells(boxes: DataFrame, side: float, same: tuple[str, ...], kernel: Callable[[tuple, pa.Table], Iterator[pa.Table]], schema: str, shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
@@ -109,24 +111,93 @@ class _Links:
         return inter, iou, part, found
 
 
-def _whole(predictions: DataFrame, same: tuple[str, ...]) -> DataFrame:
+class _Strips:
+    """The masks of one cell, by the number of their box, as strips: a strip has one run of a row at most, so that two of them meet as two
+    rows of a matrix. A mask has as many as its rows have runs and, if not all masks fit into one matrix, one set for each band of rows."""
+
+    def __init__(self, rows: pa.Table, order: np.ndarray, dense: int, band: int):
+        lists = [rows.column(c).combine_chunks() for c in RUN]
+        y, x0, x1 = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        k = np.repeat(place, lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        known = ~(np.isnan(y) | np.isnan(x0) | np.isnan(x1))
+        k, y, x0, x1 = k[known], *(c[known].astype(np.int64) for c in (y, x0, x1))
+        self.area = np.zeros(len(order), np.int64)
+        np.add.at(self.area, k, x1 - x0)
+        full = x1 > x0
+        by = np.lexsort((y[full], k[full]))
+        k, y, x0, x1 = (c[full][by] for c in (k, y, x0, x1))
+        self.at = np.zeros(len(order) + 1, np.int64)
+        if not len(k):
+            return
+        y, x0, x1 = y - y.min(), x0 - x0.min(), x1 - x0.min()
+        begins = np.r_[True, (k[1:] != k[:-1]) | (y[1:] != y[:-1])]
+        layer = np.arange(len(k)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        layers, tall = int(layer.max()) + 1, int(y.max()) + 1
+        if len(np.unique(k * layers + layer)) * tall > dense:
+            tall = band
+        self.bands = int(y.max()) // tall + 1
+        self.key, strip = np.unique((k * self.bands + y // tall) * layers + layer, return_inverse=True)
+        self.key, y = self.key // layers, y % tall  # of a mask and a band
+        self.at = np.searchsorted(self.key, np.arange(len(order) + 1) * self.bands)
+        self.one = len(self.key) == len(order) == len(np.unique(self.key // self.bands)) and self.bands == 1
+        kind = np.int32 if int(x1.max()) * tall < 1 << 31 else np.int64
+        self.low, self.high = np.zeros((2, len(self.key), tall), kind)
+        self.low[strip, y], self.high[strip, y] = x0, x1
+        self.top, self.bottom = np.full(len(self.key), tall), np.zeros(len(self.key), np.int64)
+        np.minimum.at(self.top, strip, y)
+        np.maximum.at(self.bottom, strip, y + 1)
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pixels that masks i and j share, counted by each pair of runs; i in order."""
+        out = np.zeros(len(i), np.int64)
+        cuts = [0, *(np.flatnonzero(i[1:] != i[:-1]) + 1).tolist(), len(i)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            for s in range(self.at[i[lo]], self.at[i[lo] + 1]):
+                others, rows = j[lo:hi], slice(self.top[s], self.bottom[s])
+                if self.one:
+                    strips = others
+                else:
+                    at = others * self.bands + self.key[s] % self.bands
+                    first = np.searchsorted(self.key, at)
+                    n = np.searchsorted(self.key, at, "right") - first
+                    whose = np.repeat(np.arange(hi - lo), n)
+                    strips = np.arange(len(whose)) + np.repeat(first - np.cumsum(n) + n, n)
+                shared = np.minimum(self.high[strips, rows], self.high[s, rows])
+                shared -= np.maximum(self.low[strips, rows], self.low[s, rows])
+                got = np.maximum(shared, 0, out=shared).sum(axis=1, dtype=shared.dtype)
+                if self.one:
+                    out[lo:hi] = got
+                else:
+                    np.add.at(out, lo + whose, got)
+        return out
+
+
+def _whole(predictions: DataFrame, same: tuple[str, ...], *more: str) -> DataFrame:
     """Rows that can have links: none of what tells them apart is null."""
-    return predictions.select("id", "tile", *same, "area", *BOX).dropna(subset=["id", "tile", *same, *BOX])
+    return predictions.select("id", "tile", *same, "area", *BOX, *more).dropna(subset=["id", "tile", *same, *BOX])
 
 
-def links(predictions: DataFrame, side: float, same: tuple[str, ...], iou: float, containment: float, by_boxes: bool = True, kind: str = "double", places: int | None = None) -> DataFrame:
+def links(predictions: DataFrame, side: float, same: tuple[str, ...], iou: float, containment: float, by_boxes: bool = True, kind: str = "double", places: int | None = None, by_masks: bool = False) -> DataFrame:
     """a < b, intersection, iou and containment of boxes that overlap in different tiles and agree in `same`, where a ratio reaches its
     threshold. by_boxes: if not, ratios of boxes needn't, only their bounds by areas. kind: the type of intersections; places: ratios
-    are rounded to, off ties. Each pair comes from the cell that holds its intersection's corner."""
+    are rounded to, off ties. Each pair comes from the cell that holds its intersection's corner.
+
+    by_masks: predictions have a column mask, lists of runs (y, x0, x1), which go with their boxes; the same pairs have the figures of
+    their masks, as masks.overlaps() has them. Boxes without runs have no pairs."""
 
     def kernel(key: tuple, rows: pa.Table) -> Iterator[pa.Table]:
         gx, gy = key[:2]
         fx, fy = (np.floor(v / side) for v in _numbers(rows, "x0", "y0"))
         here = (fx <= gx) & (fy <= gy)
+        if by_masks:
+            here &= np.nan_to_num(rows.column(RUN[0]).combine_chunks().value_lengths().to_numpy(zero_copy_only=False)) > 0
         rows = rows.filter(pa.array(here))
         if rows.num_rows < 2:
             return
         s = _Links(rows, iou, containment, by_boxes)
+        strips = _Strips(rows, s.order, DENSE, BAND) if by_masks else None
         ids = rows.column("id").combine_chunks().take(pa.array(s.order))
         left, top = (fx[here] == gx)[s.order], (fy[here] == gy)[s.order]
         n = len(s.x0)
@@ -142,11 +213,18 @@ def links(predictions: DataFrame, side: float, same: tuple[str, ...], iou: float
             inter, ious, part, found = s.measured(p, q)
             found &= s.rank[p] != s.rank[q]
             if found.any():
-                common = inter[found].astype(np.int64) if whole else inter[found]
-                yield pa.table({"a": ids.take(pa.array(p[found])), "b": ids.take(pa.array(q[found])), "intersection": common, "iou": _off_ties(ious[found], places), "containment": _off_ties(part[found], places)})
-
-    key, whole = dict(predictions.dtypes)["id"], kind in ("tinyint", "smallint", "int", "bigint")
-    out = by_cells(_whole(predictions, same), side, same, kernel, f"a {key}, b {key}, intersection {'long' if whole else 'double'}, iou double, containment double")
+                p, q, common, ious, part = (c[found] for c in (p, q, inter, ious, part))
+                if strips:
+                    common = strips.common(np.minimum(p, q), np.maximum(p, q))
+                    one, two = strips.area[p], strips.area[q]
+                    ious, part = _ratio(common, one + two - common), _ratio(common, np.minimum(one, two))
+                yield pa.table({"a": ids.take(pa.array(p)), "b": ids.take(pa.array(q)), "intersection": common.astype(np.int64) if whole else common, "iou": _off_ties(ious, places), "containment": _off_ties(part, places)})
+
+    key, whole, more = dict(predictions.dtypes)["id"], kind in ("tinyint", "smallint", "int", "bigint"), ()
+    if by_masks:
+        # lists of numbers are a third of a list of structs on their way
+        predictions, more = predictions.withColumns({c: F.col(f"mask.{c[5:]}") for c in RUN}), RUN
+    out = by_cells(_whole(predictions, same, *more), side, same, kernel, f"a {key}, b {key}, intersection {'long' if whole else 'double'}, iou double, containment double")
     return out.withColumn("intersection", F.col("intersection").cast(kind))
 
 

@@ -125,8 +125,14 @@ def statistics(runs: DataFrame) -> DataFrame:
     )
 
 
+def lists(runs: DataFrame) -> DataFrame:
+    """id and mask: its runs as a list."""
+    return runs.groupBy("id").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("mask"))
+
+
 def overlaps(runs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) with intersection, iou and containment of their masks: an interval join within equal rows of the image."""
+    """pairs (a, b) with intersection, iou and containment of their masks: an interval join within equal rows of the image. Its rows are those
+    of pairs times those of a mask; reconcile.links() and reconcile.overlaps() measure masks where pairs of boxes are made."""
     one = runs.select(F.col("id").alias("a"), "y", F.col("x0").alias("s1"), F.col("x1").alias("e1"))
     two = runs.select(F.col("id").alias("b"), "y", F.col("x0").alias("s2"), F.col("x1").alias("e2"))
     common = F.greatest(F.lit(0), F.least("e1", "e2") - F.greatest("s1", "s2"))

@@ -39,11 +39,17 @@ def links(predictions: DataFrame, options: ReconcileOptions, runs: DataFrame | N
     kind = predictions.select(intersection(Box.of(), Box.of()).alias("i")).dtypes[0][1]
     if runs is None:
         return cells.links(predictions, options.bucket, same, options.iou, options.containment, True, kind, places)
-    likely = cells.links(predictions, options.bucket, same, options.iou, options.containment, False, kind)
-    measured = masks.overlaps(runs, likely.select("a", "b")).select("a", "b", "intersection", "iou", "containment")
+    held = predictions.join(dealt(masks.lists(runs)), "id")
+    measured = cells.links(held, options.bucket, same, options.iou, options.containment, False, "bigint", by_masks=True)
     return measured.where((F.col("iou") >= options.iou) | (F.col("containment") >= options.containment))
 
 
+def overlaps(predictions: DataFrame, options: ReconcileOptions, places: int | None = None) -> DataFrame:
+    """links() by boxes with intersection, iou and containment of the masks: predictions have a column mask, as masks.lists() makes it."""
+    same = ("class_id",) if options.match_classes else ()
+    return cells.links(predictions, options.bucket, same, options.iou, options.containment, True, "bigint", places, by_masks=True)
+
+
 def ties(predictions: DataFrame, options: ReconcileOptions) -> DataFrame:
     """a, b: fewer links by boxes with the same groups. Their number grows with the predictions, not with all that overlap."""
     return cells.ties(predictions, options.bucket, ("class_id",) if options.match_classes else (), options.iou, options.containment)

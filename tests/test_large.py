@@ -333,3 +333,35 @@ def test_archives_are_read_by_name(spark, sf_dir, tmp_path, monkeypatch):
     out = QUERIES["archive_round_trip"](spark, sf_dir)
     text = plan(out)
     assert "Join" not in text and "binaryFile" not in text.lower() and out.count() == 200
+
+
+def test_masks_meet_where_pairs_are_made(spark, monkeypatch):
+    """The pairs of boxes with their masks' figures, in one matrix or in bands, of one run a row or of several, without a join of runs."""
+    from tesserae.operators import cells
+
+    boxes, linked = tiles(spark)
+    plain = [(b.id, y, b.x0 + b.id % 2, b.x1) for b in boxes.collect() for y in range(b.y0, b.y1) if b.id % 40]
+    holes = [(i, y, *part) for i, y, lo, hi in plain for part in ((lo, (lo + hi) // 2), ((lo + hi) // 2 + y % 2, hi)) if i % 3 or part[0] == lo]
+    for rows, dense, band in ((plain, 1 << 22, 128), (plain, 1, 128), (holes, 1 << 22, 128), (holes, 1, 4)):
+        monkeypatch.setattr(cells, "DENSE", dense)
+        monkeypatch.setattr(cells, "BAND", band)
+        runs = spark.createDataFrame(rows, "id long, y long, x0 long, x1 long")
+        pixels, area = {}, {}
+        for i, y, lo, hi in rows:
+            pixels.setdefault(i, set()).update((y, x) for x in range(lo, hi))
+        area = {i: len(p) for i, p in pixels.items()}
+        want = {}
+        for a, b in linked:
+            if a in area and b in area:
+                n = len(pixels[a] & pixels[b])
+                want[a, b] = (n, n / max(1, area[a] + area[b] - n), n / max(1, min(area[a], area[b])))
+        out = reconcile.overlaps(boxes.join(masks.lists(runs), "id"), OPTIONS, places=6)
+        assert {(r.a, r.b): (r.intersection, r.iou, r.containment) for r in out.collect()} == {k: (n, round(u + 1e-9, 6), round(c + 1e-9, 6)) for k, (n, u, c) in want.items()} and want
+        by_masks = reconcile.links(boxes.drop("area").join(masks.statistics(runs).select("id", "area"), "id"), OPTIONS, runs)
+        assert {(r.a, r.b): r.intersection for r in by_masks.collect()}.items() >= {k: n for k, (n, u, c) in want.items() if u >= 0.2 or c >= 0.5}.items()
+        assert [r for r in by_masks.collect() if r.iou < 0.2 and r.containment < 0.5] == []
+
+
+def test_mask_overlaps_joins_no_runs(spark, sf_dir):
+    out = QUERIES["mask_overlaps"](spark, sf_dir)
+    assert "Join" not in plan(out) and [t for _, t in out.dtypes] == ["bigint", "bigint", "bigint", "double"]
