@@ -55,10 +55,9 @@ def measured(archives: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for x, y, w, h, data in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                bits = np.unpackbits(np.frombuffer(data, np.uint8), count=w * h, bitorder="little").reshape(h, w)
-                rows = np.count_nonzero(bits, axis=1)
-                n = int(rows.sum())
-                out.append((n, x + int(bits.any(axis=0).argmax()), y + int((rows > 0).argmax())) if n else (0, 0, 0))
+                bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: w * h].reshape(h, w)
+                n = int(np.count_nonzero(bits))
+                out.append((n, x + int(np.bitwise_or.reduce(bits, axis=0).argmax()), y + int(bits.argmax()) // w) if n else (0, 0, 0))
             found = np.array(out, np.int64).reshape(-1, 3)
             own = [b.column(k) for k in range(5, b.num_columns)] + [pa.array(c) for c in found.T]
             yield pa.RecordBatch.from_arrays(own, [*names, "area", "x0", "y0"]).filter(pa.array(found[:, 0] > 0))
@@ -81,8 +80,10 @@ def packed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = b.column(0)
-            y, x0, x1 = (held.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "x0", "x1"))
+            y, x0, x1 = (held.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("y", "x0", "x1"))
             k = np.repeat(np.arange(b.num_rows), [n or 0 for n in held.value_lengths().to_pylist()])
+            full = (x1 > x0) & (y == y)  # noqa: PLR0124: nor unknown
+            k, y, x0, x1 = k[full], *(c[full].astype(np.int64) for c in (y, x0, x1))
             at, first, k = np.unique(k, return_index=True, return_inverse=True)  # masks that have pixels, and where their runs begin
             if not len(at):
                 continue
@@ -102,9 +103,9 @@ def packed(rows: DataFrame) -> DataFrame:
                 base = np.cumsum([0, *octets[lo:hi]])
                 start = place[here] + 8 * base[k[here] - lo]
                 change = np.zeros(8 * base[-1] + 1, np.int32)
-                np.add.at(change, start, 1)
-                np.add.at(change, start + n[here], -1)
-                bits = np.packbits(np.cumsum(change[:-1]) > 0, bitorder="little")
+                np.add.at(change, start, np.int32(1))
+                np.add.at(change, start + n[here], np.int32(-1))
+                bits = np.packbits(np.cumsum(change, out=change)[:-1] > 0, bitorder="little")
                 data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(bits)])
                 values = [pa.array(c[lo:hi]) for c in (area, low, top, high, bottom + 1, cx, cy)] + [pa.array(c[lo:hi].astype(np.int32)) for c in (width, height)]
                 own = b.take(pa.array(at[lo:hi]))
@@ -112,8 +113,7 @@ def packed(rows: DataFrame) -> DataFrame:
 
     ready(rows.sparkSession)
     fields = "".join(f"`{c}` {dict(rows.dtypes)[c]}, " for c in names)
-    full = F.filter("mask", lambda r: (r["x1"] > r["x0"]) & r["y"].isNotNull())
-    return rows.select(full.alias("mask"), *names).mapInArrow(run, f"{fields}area long, {', '.join(f'{c} long' for c in box)}, centroid_x double, centroid_y double, width int, height int, data binary")
+    return rows.select("mask", *names).mapInArrow(run, f"{fields}area long, {', '.join(f'{c} long' for c in box)}, centroid_x double, centroid_y double, width int, height int, data binary")
 
 
 def statistics(runs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae import session
@@ -324,6 +325,8 @@ def test_masks_are_packed_in_place(spark, monkeypatch):
     assert {r.id: (r.area, r.x0, r.y0) for r in masks.measured(wide).collect()} == {i: (len(p), min(x for _, x in p) - 1, min(y for y, _ in p) + 5) for i, p in pixels.items() if p}
     corner = spark.createDataFrame([(1, 10, 20, 3, 2, bytearray(b"\x30")), (2, 0, 0, 3, 2, bytearray(b"\x00"))], "id int, x int, y int, width int, height int, data binary")
     assert [tuple(r) for r in masks.measured(corner).collect()] == [(1, 2, 11, 21)]
+    with pytest.raises(Exception, match="reshape"):  # too few bits
+        masks.measured(corner.withColumn("width", F.lit(5))).collect()
 
 
 def test_archives_are_read_by_name(spark, sf_dir, tmp_path, monkeypatch):
